@@ -88,7 +88,7 @@ def encode_cursor(total: int, account: str) -> str:
 def decode_cursor(cursor: str | None) -> tuple[int, str] | None:
     """Position a cursor names; anything unreadable means the first page."""
     try:
-        data = json.loads(base64.urlsafe_b64decode((cursor or "").encode(), validate=False))
+        data = json.loads(base64.urlsafe_b64decode((cursor or "").encode()))
         return int(data["t"]), str(data["a"])
     except (ValueError, KeyError, TypeError):
         return None

@@ -27,10 +27,9 @@ VIEWS: dict[str, str] = {
             FROM events) AS b0""",
     "ev": f"""
         SELECT fight_id, seq, time_ms, event_type,
-          CASE WHEN event_type IN ('SKILL_ACTIVATION', 'WEAPON_SWAP') THEN user_id % 4
-               WHEN event_type IN ('DOWN', 'UP', 'DEATH', 'HEALTH_UPDATE') THEN user_id % 5
-               WHEN event_type = 'POSITION' THEN user_id % 6 ELSE user_id END AS source_agent_id,
-          CASE WHEN {_BUFFY} THEN k % 3 WHEN event_type = 'DAMAGE' AND k < 50 THEN k % 5
+          CASE WHEN stored_type = 'view' AND k >= 40 THEN user_id % 4 WHEN stored_type = 'error' THEN user_id % 5
+               ELSE user_id END AS source_agent_id,
+          CASE WHEN stored_type = 'signup' THEN k % 3 WHEN stored_type = 'purchase' AND k < 50 THEN k % 5
                ELSE k % 50 END AS target_agent_id,
           CASE WHEN {_BUFFY} THEN ({_list(BUFF_CHOICES)})[m % 6 + 1]
                WHEN event_type = 'SKILL_ACTIVATION' THEN 100 + k % 4 ELSE k END AS skill_id,

@@ -41,7 +41,6 @@ KIND_RULES: dict[str, tuple[str, int, int]] = {
     "DESPAWN": ("error", 84, 85),
     "POSITION": ("error", 86, 99),
 }
-LIFECYCLE = ["DOWN", "UP", "DEATH", "HEALTH_UPDATE"]
 BUFF_KINDS = ["BOON_APPLY", "BUFF_APPLY", "BUFF_EXTENSION"]
 BUFF_CHOICES = [740, 1122, 1187, 718, 725, 50001]
 REMOVED_BUFFS = [740, 736, 727, 1122, 733, 5974]
@@ -100,15 +99,16 @@ class Corpus:
     def events(self, kinds: Iterable[str] | None = None) -> DataFrame:
         df = self.base(kinds)
         k, m = F.col("k"), F.col("m")
+        # from stored columns only: predicates inferred on agent ids stay small at the scan
+        stored = F.col("stored_type")
         source = (
-            F.when(_is("SKILL_ACTIVATION", "WEAPON_SWAP"), F.col("user_id") % 4)
-            .when(_is(*LIFECYCLE), F.col("user_id") % 5)
-            .when(_is("POSITION"), F.col("user_id") % 6)
+            F.when((stored == "view") & (k >= 40), F.col("user_id") % 4)
+            .when(stored == "error", F.col("user_id") % 5)
             .otherwise(F.col("user_id"))
         )
         target = (
-            F.when(_is(*BUFF_KINDS), k % 3)
-            .when(_is("DAMAGE") & (k < 50), k % 5)
+            F.when(stored == "signup", k % 3)
+            .when((stored == "purchase") & (k < 50), k % 5)
             .otherwise(k % 50)
         )
         skill = (

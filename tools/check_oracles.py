@@ -26,7 +26,7 @@ def normal(frame):
 
 
 def cell(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
