@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from frayline.sources.corpus import BUFF_CHOICES, ELITES, KIND_RULES, REMOVED_BUFFS
+from frayline.sources.corpus import BUFF_CHOICES, ELITES, KIND_RULES, REMOVED_BUFFS, STATECHANGES
 
 
 def _list(values: list) -> str:
@@ -17,6 +17,13 @@ _KIND = "CASE " + " ".join(
 
 _BUFFY = "event_type IN ('BOON_APPLY', 'BUFF_APPLY', 'BUFF_EXTENSION')"
 
+def _little_endian(column: str) -> str:
+    text = f"lpad(to_hex({column}), 16, '0')"
+    return "(" + " || ".join(f"substring({text}, {i}, 2)" for i in range(15, 0, -2)) + ")"
+
+
+LE_SRC, LE_DST = _little_endian("src"), _little_endian("dst")
+
 VIEWS: dict[str, str] = {
     "ev0": f"""
         SELECT *, {_KIND} AS event_type FROM (
@@ -98,6 +105,62 @@ VIEWS: dict[str, str] = {
                 min_by(time_ms, seq) FILTER (time_ms <> 0 AND (damage > 0 OR healing > 0)) AS first_ms,
                 max_by(time_ms, seq) FILTER (damage > 0 OR healing > 0) AS last_ms
               FROM ev GROUP BY fight_id) AS bounds""",
+    "raw": f"""
+        SELECT fight_id, seq, build, time, src,
+          CAST(CASE WHEN statechange = 19 THEN (1073741824 + k * 8192) * 4294967296 +
+            CASE WHEN k % 17 = 0 THEN 2139095040 WHEN k % 19 = 0 THEN 1232348160 ELSE 1065353216 + (m % 1000) * 4096 END ELSE dst END AS BIGINT) AS dst,
+          CAST(CASE WHEN statechange = 19 THEN 1092616192 WHEN m % 50 = 0 THEN 2147483647 WHEN m % 9 = 0 THEN -m WHEN m % 9 = 1 THEN 0 ELSE m END AS BIGINT) AS value,
+          CASE k % 4 WHEN 0 THEN m // 3 WHEN 1 THEN -m ELSE 0 END AS buff_dmg,
+          CASE WHEN build >= 20250000 THEN m // 5 ELSE 0 END AS overstack,
+          CASE WHEN k % 20 = 7 THEN 718 ELSE k % 20 END AS skill,
+          CASE WHEN build >= 20250000 THEN 1 + user_id % 7 ELSE 0 END AS src_inst,
+          CASE WHEN build >= 20250000 AND dst <> 0 THEN 1 + k * 3 % 7 ELSE 0 END AS dst_inst,
+          CASE WHEN build >= 20250000 AND k % 5 = 0 THEN 1 + (k + m) % 7 ELSE 0 END AS src_master,
+          k % 3 AS iff, m % 2 AS buff, (k + m) % 16 AS result, CASE WHEN k % 10 = 9 THEN 1 + m % 6 ELSE 0 END AS activation,
+          CASE WHEN (m + k) % 7 = 0 THEN 1 + k % 3 ELSE 0 END AS buffremove, statechange,
+          CASE WHEN build >= 20250000 THEN m % 3 ELSE 0 END AS shields,
+          CASE WHEN build >= 20250000 THEN ([0, 128, 3, 0])[m % 4 + 1] ELSE 0 END AS offcycle,
+          CASE WHEN build >= 20250000 THEN CASE WHEN statechange = 49 AND k % 2 = 0 THEN 2627419289 ELSE k % 9 END ELSE 0 END AS pad,
+          CASE WHEN build >= 20250000 THEN 0 ELSE k % 2 END AS nondamage
+        FROM (SELECT fight_id, seq, time_ms AS time, user_id, k, m, user_id % 12 AS src, k % 12 AS dst,
+                CASE WHEN d % 2 = 0 THEN 20240301 WHEN d % 4 = 1 THEN 20250315 ELSE 20260601 END AS build,
+                ({_list(STATECHANGES)})[(seq * 31 + k * 7 + m) % 40 + 1] AS statechange
+              FROM (SELECT *, CAST(substring(fight_id, 7, 2) AS INTEGER) AS d FROM ev0) AS r0) AS r1""",
+    "folded": """
+        SELECT * REPLACE (CASE WHEN build >= 20260507 AND statechange = 67 THEN 1 ELSE activation END AS activation,
+          CASE WHEN build >= 20260507 AND statechange IN (67, 68, 69, 71, 72) THEN 0 ELSE statechange END AS statechange) FROM raw""",
+    "mst": """
+        SELECT fight_id, seq, agent AS master FROM (
+          SELECT fight_id, seq, prio, last_value(agent IGNORE NULLS) OVER (PARTITION BY fight_id, inst ORDER BY seq, prio
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS agent
+          FROM (SELECT fight_id, seq, src_inst AS inst, src AS agent, 0 AS prio FROM raw WHERE src_inst <> 0 AND src <> 0
+                UNION ALL SELECT fight_id, seq, dst_inst, dst, 1 FROM raw WHERE dst_inst <> 0 AND dst <> 0
+                UNION ALL SELECT fight_id, seq, src_master, NULL, 2 FROM raw WHERE src_master <> 0) AS u) AS v WHERE prio = 2""",
+    "own": """
+        SELECT r.fight_id, src, max_by(master, r.seq) AS owner FROM raw r JOIN mst ON r.fight_id = mst.fight_id AND r.seq = mst.seq
+        WHERE master IS NOT NULL AND src <> 0 GROUP BY 1, 2""",
+    "gd": f"""
+        SELECT fight_id, skill, max_by({LE_SRC} || {LE_DST}, seq) AS guid FROM raw WHERE statechange = 46 GROUP BY 1, 2""",
+    "dd": """
+        SELECT i.fight_id, i.actor AS src, started AS time, max_by(CASE WHEN closed IS NOT NULL THEN closed - started ELSE greatest(0, coalesce(last_time, started) - started) END, island) AS downtime_ms
+        FROM (SELECT fight_id, src AS actor, island, min_by(time, seq) FILTER (statechange = 5) AS started, max(time) FILTER (statechange <> 5) AS closed
+              FROM (SELECT *, count(*) FILTER (statechange <> 5) OVER (PARTITION BY fight_id, src ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS island
+                    FROM raw WHERE build >= 20250000 AND statechange IN (3, 4, 5)) AS l GROUP BY 1, 2, 3) AS i
+        LEFT JOIN (SELECT fight_id, actor, max(time) AS last_time FROM (SELECT fight_id, time, src AS actor FROM raw WHERE build >= 20250000
+                   UNION ALL SELECT fight_id, time, dst FROM raw WHERE build >= 20250000) AS a WHERE time > 0 AND actor <> 0 GROUP BY 1, 2) AS aw
+          ON i.fight_id = aw.fight_id AND i.actor = aw.actor
+        WHERE started IS NOT NULL GROUP BY 1, 2, 3""",
+    "ctx": """
+        SELECT f.*, mst.master, owner, guid, downtime_ms, coalesce(mst.master, f.src) AS actor,
+          rm.fight_id IS NOT NULL AS cleared,
+          CASE WHEN value >= 2147483647 THEN 0 ELSE greatest(value, 0) END AS size,
+          CASE WHEN buff_dmg >= 2147483647 THEN 0 ELSE greatest(buff_dmg, 0) END AS strip, build >= 20250000 AS modern
+        FROM folded f LEFT JOIN mst ON f.fight_id = mst.fight_id AND f.seq = mst.seq
+        LEFT JOIN own ON f.fight_id = own.fight_id AND f.src = own.src
+        LEFT JOIN gd ON f.fight_id = gd.fight_id AND f.skill = gd.skill
+        LEFT JOIN dd ON f.fight_id = dd.fight_id AND f.src = dd.src AND f.time = dd.time
+        LEFT JOIN (SELECT DISTINCT fight_id, time, src AS actor, skill FROM raw WHERE build >= 20250000 AND buffremove = 1) rm
+          ON f.fight_id = rm.fight_id AND f.time = rm.time AND coalesce(mst.master, f.src) = rm.actor AND f.skill = rm.skill""",
 }
 
 

@@ -64,7 +64,8 @@ RAW_RECORD_DDL = (
     "fight_id STRING, seq BIGINT, build INT, time BIGINT, src DECIMAL(20,0), dst DECIMAL(20,0), "
     "value BIGINT, buff_dmg BIGINT, overstack BIGINT, skill BIGINT, src_inst INT, dst_inst INT, "
     "src_master INT, dst_master INT, iff SMALLINT, buff SMALLINT, result SMALLINT, activation SMALLINT, "
-    "buffremove SMALLINT, statechange SMALLINT, shields SMALLINT, offcycle SMALLINT, pad BIGINT"
+    "buffremove SMALLINT, statechange SMALLINT, shields SMALLINT, offcycle SMALLINT, pad BIGINT, "
+    "nondamage SMALLINT"
 )
 CATALOGUE_DDL = (
     "id BIGINT, name STRING, profession INT, is_elite BOOLEAN, skill_type STRING, "

@@ -44,6 +44,7 @@ KIND_RULES: dict[str, tuple[str, int, int]] = {
 BUFF_KINDS = ["BOON_APPLY", "BUFF_APPLY", "BUFF_EXTENSION"]
 BUFF_CHOICES = [740, 1122, 1187, 718, 725, 50001]
 REMOVED_BUFFS = [740, 736, 727, 1122, 733, 5974]
+STATECHANGES = [0] * 16 + [18, 27, 70, 30, 49, 6, 7, 57, 11, 45, 51, 46, 19, 3, 5, 4, 8, 56, 38, 67, 68, 69, 71, 22]
 ELITES = [0, 62, 61, 43, 5, 71, 48, 40, 60, 52]
 
 
@@ -221,3 +222,51 @@ class Corpus:
             (F.col("day") + F.make_dt_interval(hours=dom % 24)).alias("started_at"),
             F.when(dom % 2 == 0, "20240301").when(dom % 5 == 0, "dev").otherwise("20240701").alias("build_version"),
         )
+
+    # -- decoded records -----------------------------------------------------
+    def raw_records(self) -> DataFrame:
+        """Every stored event as one decoded record; code fields cycle through all record kinds."""
+        df = self.base()
+        k, m = F.col("k"), F.col("m")
+        day = F.substring("fight_id", 7, 2).cast("int")
+        build = F.when(day % 2 == 0, 20240301).when(day % 4 == 1, 20250315).otherwise(20260601)
+        df = df.select(
+            "fight_id", "seq", F.col("time_ms").alias("time"), "user_id", "k", "m", build.alias("build"),
+            _pick(STATECHANGES, (F.col("seq") * 31 + k * 7 + m) % 40).alias("statechange"),
+        )
+        modern = F.col("build") >= 20250000
+        position = F.col("statechange") == 19
+        x_bits = (
+            F.when(k % 17 == 0, 2139095040).when(k % 19 == 0, 1232348160).otherwise(1065353216 + (m % 1000) * 4096)
+        )
+        y_bits = 1073741824 + k * 8192
+        value = (
+            F.when(position, 1092616192)
+            .when(m % 50 == 0, 2147483647)
+            .when(m % 9 == 0, -m)
+            .when(m % 9 == 1, 0)
+            .otherwise(m)
+        )
+        src, dst = F.col("user_id") % 12, k % 12
+        only_modern = lambda c: F.when(modern, c).otherwise(F.lit(0))
+        return df.select(
+            "fight_id", "seq", "build", "time", src.alias("src"),
+            F.when(position, y_bits * 4294967296 + x_bits).otherwise(dst).cast("bigint").alias("dst"),
+            value.cast("bigint").alias("value"),
+            F.when(k % 4 == 0, F.expr("m div 3")).when(k % 4 == 1, -m).otherwise(0).cast("bigint").alias("buff_dmg"),
+            only_modern(F.expr("m div 5")).alias("overstack"),
+            F.when(k % 20 == 7, 718).otherwise(k % 20).cast("bigint").alias("skill"),
+            only_modern(1 + F.col("user_id") % 7).cast("int").alias("src_inst"),
+            only_modern(F.when(dst == 0, 0).otherwise(1 + (k * 3) % 7)).cast("int").alias("dst_inst"),
+            only_modern(F.when(k % 5 == 0, 1 + (k + m) % 7).otherwise(0)).cast("int").alias("src_master"),
+            F.lit(0).alias("dst_master"),
+            (k % 3).cast("int").alias("iff"), (m % 2).cast("int").alias("buff"),
+            ((k + m) % 16).cast("int").alias("result"),
+            F.when(k % 10 == 9, 1 + m % 6).otherwise(0).cast("int").alias("activation"),
+            F.when((m + k) % 7 == 0, 1 + k % 3).otherwise(0).cast("int").alias("buffremove"),
+            F.col("statechange").cast("int").alias("statechange"),
+            only_modern(m % 3).cast("int").alias("shields"),
+            only_modern(_pick([0, 128, 3, 0], m % 4)).cast("int").alias("offcycle"),
+            only_modern(F.when((F.col("statechange") == 49) & (k % 2 == 0), 2627419289).otherwise(k % 9)).cast("bigint").alias("pad"),
+            F.when(modern, 0).otherwise(k % 2).cast("int").alias("nondamage"),
+        )
