@@ -117,12 +117,12 @@ VIEWS: dict[str, str] = {
           CASE WHEN build >= 20250000 AND dst <> 0 THEN 1 + k * 3 % 7 ELSE 0 END AS dst_inst,
           CASE WHEN build >= 20250000 AND k % 5 = 0 THEN 1 + (k + m) % 7 ELSE 0 END AS src_master,
           (k + m) % 3 AS iff, m % 2 AS buff, (k + m) % 16 AS result, CASE WHEN k % 10 = 9 THEN 1 + m % 6 ELSE 0 END AS activation,
-          CASE WHEN (m + k) % 7 = 0 THEN 1 + k % 3 ELSE 0 END AS buffremove, statechange,
+          CASE WHEN k % 20 = 7 OR (m + k) % 7 = 0 THEN 1 + m % 3 ELSE 0 END AS buffremove, statechange,
           CASE WHEN build >= 20250000 THEN m % 3 ELSE 0 END AS shields,
           CASE WHEN build >= 20250000 THEN ([0, 128, 3, 0])[m % 4 + 1] ELSE 0 END AS offcycle,
           CASE WHEN build >= 20250000 THEN CASE WHEN statechange = 49 AND k % 2 = 0 THEN 2627419289 ELSE k % 9 END ELSE 0 END AS pad,
           CASE WHEN build >= 20250000 THEN 0 ELSE k % 2 END AS nondamage
-        FROM (SELECT fight_id, seq, time_ms // 1800000 * 1800000 + 1 AS time, user_id, k, m, user_id % 12 AS src, (k + seq) % 12 AS dst,
+        FROM (SELECT fight_id, seq, time_ms // 14400000 * 14400000 + 1 AS time, user_id, k, m, user_id % 12 AS src, CASE WHEN k % 20 = 7 AND m % 2 = 0 THEN 0 ELSE (k + seq) % 12 END AS dst,
                 CASE WHEN d % 2 = 0 THEN 20240301 WHEN d % 4 = 1 THEN 20250315 ELSE 20260601 END AS build,
                 ({_list(STATECHANGES)})[(seq * 31 + k * 7 + m) % 40 + 1] AS statechange
               FROM (SELECT *, CAST(substring(fight_id, 7, 2) AS INTEGER) AS d FROM ev0) AS r0) AS r1""",

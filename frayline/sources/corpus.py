@@ -231,7 +231,7 @@ class Corpus:
         day = F.substring("fight_id", 7, 2).cast("int")
         build = F.when(day % 2 == 0, 20240301).when(day % 4 == 1, 20250315).otherwise(20260601)
         df = df.select(
-            "fight_id", "seq", F.expr("time_ms div 1800000 * 1800000 + 1").alias("time"), "user_id", "k", "m", build.alias("build"),
+            "fight_id", "seq", F.expr("time_ms div 14400000 * 14400000 + 1").alias("time"), "user_id", "k", "m", build.alias("build"),
             _pick(STATECHANGES, (F.col("seq") * 31 + k * 7 + m) % 40).alias("statechange"),
         )
         modern = F.col("build") >= 20250000
@@ -247,7 +247,8 @@ class Corpus:
             .when(m % 9 == 1, 0)
             .otherwise(m)
         )
-        src, dst = F.col("user_id") % 12, (k + F.col("seq")) % 12
+        src = F.col("user_id") % 12
+        dst = F.when((k % 20 == 7) & (m % 2 == 0), 0).otherwise((k + F.col("seq")) % 12)
         only_modern = lambda c: F.when(modern, c).otherwise(F.lit(0))
         return df.select(
             "fight_id", "seq", "build", "time", src.alias("src"),
@@ -263,7 +264,7 @@ class Corpus:
             ((k + m) % 3).cast("int").alias("iff"), (m % 2).cast("int").alias("buff"),
             ((k + m) % 16).cast("int").alias("result"),
             F.when(k % 10 == 9, 1 + m % 6).otherwise(0).cast("int").alias("activation"),
-            F.when((m + k) % 7 == 0, 1 + k % 3).otherwise(0).cast("int").alias("buffremove"),
+            F.when((k % 20 == 7) | ((m + k) % 7 == 0), 1 + m % 3).otherwise(0).cast("int").alias("buffremove"),
             F.col("statechange").cast("int").alias("statechange"),
             only_modern(m % 3).cast("int").alias("shields"),
             only_modern(_pick([0, 128, 3, 0], m % 4)).cast("int").alias("offcycle"),
