@@ -43,23 +43,27 @@ def resolve_masters(raw: DataFrame, chunk: int = SEQ_CHUNK) -> DataFrame:
     Each record first announces its own instance ids, so announcements and the
     lookup share one timeline per (fight, instance), ordered by record.
     """
-    announce = F.array(
-        F.struct(F.col("src_inst").alias("inst"), F.col("src").alias("agent"), F.lit(0).alias("prio")),
-        F.struct(F.col("dst_inst").alias("inst"), F.col("dst").alias("agent"), F.lit(1).alias("prio")),
-    )
-    updates = raw.filter(_modern()).select(FIGHT, "seq", F.inline(announce)).filter("inst <> 0 and agent <> 0")
-    lookups = raw.filter(_modern() & (F.col("src_master") != 0)).select(
-        FIGHT, "seq", F.col("src_master").alias("inst"), F.lit(None).cast("bigint").alias("agent"), F.lit(2).alias("prio")
+    found = _found_masters(raw, chunk)
+    return raw.join(found.select(FIGHT, "seq", "master"), [FIGHT, "seq"], "left")
+
+
+def _found_masters(raw: DataFrame, chunk: int) -> DataFrame:
+    inst = lambda c: F.col(c).cast("int").alias("inst")
+    entries = F.array_compact(
+        F.array(
+            F.when((F.col("src_inst") != 0) & (F.col("src") != 0), F.struct(inst("src_inst"), F.col("src").cast("bigint").alias("agent"), F.lit(0).alias("prio"))),
+            F.when((F.col("dst_inst") != 0) & (F.col("dst") != 0), F.struct(inst("dst_inst"), F.col("dst").cast("bigint").alias("agent"), F.lit(1).alias("prio"))),
+            F.when(F.col("src_master") != 0, F.struct(inst("src_master"), F.lit(None).cast("bigint").alias("agent"), F.lit(2).alias("prio"))),
+        )
     )
-    rows = updates.withColumn("agent", F.col("agent").cast("bigint")).unionByName(lookups)
+    rows = raw.filter(_modern()).select(FIGHT, "seq", "src", F.inline(entries))
     rows = running(rows, [FIGHT, "inst"], [Running("master", "last", F.col("agent"))], ("seq", "prio"), chunk)
-    found = rows.filter("prio = 2").select(FIGHT, "seq", "master")
-    return raw.join(found, [FIGHT, "seq"], "left")
+    return rows.filter("prio = 2").select(FIGHT, "seq", "src", "master")
 
 
-def owners(resolved: DataFrame) -> DataFrame:
+def owners(found: DataFrame) -> DataFrame:
     """Last known owner of every agent."""
-    rows = resolved.filter(F.col("master").isNotNull() & (F.col("src") != 0))
+    rows = found.filter(F.col("master").isNotNull() & (F.col("src") != 0))
     return rows.groupBy(FIGHT, F.col("src").alias("agent")).agg(F.max_by("master", "seq").alias("owner"))
 
 
@@ -149,8 +153,9 @@ def enriched_agents(raw: DataFrame, agents: DataFrame) -> DataFrame:
 def with_context(raw: DataFrame) -> DataFrame:
     """Everything the rules read besides the record itself."""
     raw = fold_recoded(raw)
-    rows = resolve_masters(raw)
-    rows = rows.join(owners(rows).withColumnRenamed("agent", "src"), [FIGHT, "src"], "left")
+    found = _found_masters(raw, SEQ_CHUNK)
+    rows = raw.join(found.select(FIGHT, "seq", "master"), [FIGHT, "seq"], "left")
+    rows = rows.join(owners(found).withColumnRenamed("agent", "src"), [FIGHT, "src"], "left")
     rows = rows.join(effect_guids(raw), [FIGHT, "skill"], "left")
     rows = rows.join(down_durations(raw), [FIGHT, "src", "time"], "left")
     rows = rows.withColumn("actor", F.coalesce("master", "src"))

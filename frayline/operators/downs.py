@@ -47,28 +47,21 @@ def pre_down_windows(events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
             "_low": F.when(F.col("last_reading").isNotNull() & low_last, F.col("time_ms")),
         }
     )
+    # at a high reading: the first low one from there on (the millisecond's own last reading counts)
+    marks = running(marks, agent, [Running("next_low", "next", F.col("_low"))], ("time_ms",), chunk_ms)
+    high = F.struct(F.col("time_ms").alias("at"), F.coalesce("_low", "next_low").alias("low"))
     steps = [
         Running("last_up", "prev", F.col("_up")),
-        Running("last_above", "prev", F.col("_above")),
+        Running("last_high", "prev", F.when(F.col("_above").isNotNull(), high)),
     ]
     downs = running(marks, agent, steps, ("time_ms",), chunk_ms).filter(
         (F.col("downs") > 0) & ~((F.col("died") == 1) & (F.col("rallied") == 0))
     )
     rally = F.coalesce("last_up", F.lit(-1))
-    # readings at the rally's own time do not count: only those after it
-    seen_above = F.coalesce(F.col("last_above") > rally, F.lit(False))
-    downs = downs.select(
-        *agent, F.col("time_ms").alias("end_ms"), rally.alias("rally"),
-        F.when(seen_above, F.col("last_above")).alias("from_ms"),
-    )
-    direct = downs.filter("from_ms is null").select(*agent, (F.col("rally") + 1).alias("start_ms"), "end_ms")
-    # first low reading at or after the last high one: next low mark seen from that high mark
-    probes = downs.filter("from_ms is not null").select(*agent, F.col("from_ms").alias("time_ms"), "end_ms", F.lit(1).alias("_p"))
-    lows = marks.filter("_low is not null").select(*agent, "time_ms", F.col("_low"), F.lit(2).alias("_p"))
-    line = probes.unionByName(lows, allowMissingColumns=True)
-    line = running(line, agent, [Running("start_ms", "next", F.col("_low"))], ("time_ms", "_p", "end_ms"), chunk_ms)
-    later = line.filter((F.col("_p") == 1) & (F.col("start_ms") < F.col("end_ms"))).select(*agent, "start_ms", "end_ms")
-    return direct.unionByName(later)
+    seen_above = F.coalesce(F.col("last_high.at") > rally, F.lit(False))
+    start = F.when(seen_above, F.col("last_high.low")).otherwise(rally + 1)
+    out = downs.select(*agent, start.alias("start_ms"), F.col("time_ms").alias("end_ms"))
+    return out.filter(F.col("start_ms") < F.col("end_ms"))
 
 
 def down_contribution(events: DataFrame, durations: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:

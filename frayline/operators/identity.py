@@ -14,15 +14,15 @@ ABSENCE_FLOOR_MS = 1_000
 OWNER_BUCKET_MS = 60_000
 
 
-def ownership_intervals(resolved: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def ownership_intervals(resolved: DataFrame, raw: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Lives of agents split by owner: ``[start_ms, end_ms)`` relative to the fight's first record.
 
-    ``resolved`` are records with their resolved ``master``. A spawn (6) opens a
+    ``resolved`` are the ``raw`` records with their ``master``. A spawn (6) opens a
     life, a despawn (7) ends it, a record naming another master splits it; what is
     still open ends with the fight. Intervals without an owner are kept.
     """
     rows = resolved.filter("time > 0 and src <> 0")
-    ends = resolved.filter("time > 0").groupBy(FIGHT).agg(F.min("time").alias("origin"), F.max("time").alias("last"))
+    ends = raw.filter("time > 0").groupBy(FIGHT).agg(F.min("time").alias("origin"), F.max("time").alias("last"))
     spawn, despawn = F.col("statechange") == 6, F.col("statechange") == 7
     names_owner = F.col("src_master") != 0
     marks = rows.filter(spawn | despawn | names_owner).select(

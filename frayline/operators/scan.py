@@ -95,6 +95,17 @@ def _combine(step: Running, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry)
 
 
+def _co_located(chunked: DataFrame, keys: list[str]) -> DataFrame:
+    """One shuffle by (keys, chunk) that the row side and the summary side both read."""
+    return chunked.repartition(*keys, "_chunk")
+
+
+def _whole_row(chunked: DataFrame, place: Column) -> Column:
+    """The chunk's last row. It makes both sides need the same columns, so Spark plans one
+    exchange and reuses it; pruning would otherwise shuffle the input twice."""
+    return F.max_by(F.struct(*[F.col(c) for c in chunked.columns]), place).alias("_whole")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -111,13 +122,15 @@ def running(
     if chunk_ms is None:
         w = Window.partitionBy(*keys).orderBy(*ordering)
         return df.withColumns({s.name: _local(s, w) for s in steps})
-    chunked = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk_ms))
+    chunked = _co_located(df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk_ms)), keys)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*ordering)
     local = chunked.withColumns({f"_l_{s.name}": _local(s, w) for s in steps})
     place = F.struct(*ordering)
-    chunks = chunked.groupBy(*keys, "_chunk").agg(*[_summary(s, place).alias(f"_s_{s.name}") for s in steps])
+    chunks = chunked.groupBy(*keys, "_chunk").agg(
+        *[_summary(s, place).alias(f"_s_{s.name}") for s in steps], _whole_row(chunked, place)
+    )
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    carries = chunks.select(
+    carries = chunks.filter("_whole is not null").select(
         *keys, "_chunk", *[_carry(s, f"_s_{s.name}", over_chunks).alias(f"_c_{s.name}") for s in steps]
     )
     rows = local.join(carries, [*keys, "_chunk"])
@@ -149,14 +162,15 @@ def clamped_sum(
             "_reset": F.coalesce(reset, F.lit(False)),
         }
     ).withColumn("_d", F.when(F.col("_reset"), F.lit(0)).otherwise(delta).cast("bigint"))
+    rows = _co_located(rows, keys)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*ordering).rowsBetween(_UNBOUNDED, Window.currentRow)
     rows = rows.withColumn("_r", F.sum(F.col("_reset").cast("int")).over(w))
     wr = Window.partitionBy(*keys, "_chunk", "_r").orderBy(*ordering).rowsBetween(_UNBOUNDED, Window.currentRow)
     rows = rows.withColumn("_p", F.sum("_d").over(wr)).withColumn("_q", F.min("_p").over(wr))
     place = F.struct("_r", *ordering)
     chunks = rows.groupBy(*keys, "_chunk").agg(
-        F.max("_r").alias("resets"), F.max_by("_p", place).alias("p"), F.max_by("_q", place).alias("q")
-    )
+        F.max("_r").alias("resets"), F.max_by("_p", place).alias("p"), F.max_by("_q", place).alias("q"), _whole_row(rows, place)
+    ).filter("_whole is not null")
     # a chunk with a reset ends at a known level; others add p and lift the level to at least p - q
     known = F.col("resets") > 0
     level = F.col("p") - F.least(F.col("q"), F.lit(0))

@@ -132,11 +132,11 @@ def compared_within_tolerance(c: Corpus) -> DataFrame:
 @query("D5", """
     WITH n AS (SELECT o_custkey, count(*) AS parts FROM orders GROUP BY 1)
     SELECT o.o_custkey AS entity, o_orderkey AS slice, 'entities[' || o.o_custkey || CASE WHEN parts > 1 THEN '@' || o_orderkey ELSE '' END || ']' AS key, 'FAIL' AS status, 'entity-present' AS rule
-    FROM orders o JOIN n ON o.o_custkey = n.o_custkey WHERE o.o_custkey NOT IN (SELECT l_partkey FROM lineitem)""")
+    FROM orders o JOIN n ON o.o_custkey = n.o_custkey WHERE o.o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def missing_entities(c: Corpus) -> DataFrame:
-    """Customers expected by orders, parts of line items as the present entities."""
+    """Customers expected by orders, those with money as the present entities."""
     expected = c.table("orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("slice"))
-    return reconcile.missing_entities(expected, c.table("lineitem").select(F.col("l_partkey").alias("entity")), "entity", "slice")
+    return reconcile.missing_entities(expected, c.table("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("entity")), "entity", "slice")
 
 
 @query("D4", """

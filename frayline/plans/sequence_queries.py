@@ -9,7 +9,7 @@ from frayline.operators import classify, downs, identity, positions, rotation
 from frayline.operators.scan import covered_by_any, near_any
 from frayline.plans.registry import query
 from frayline.plans.rollup_queries import fight_seconds, rounded
-from frayline.sources.corpus import BUFF_CHOICES, Corpus, _pick
+from frayline.sources.corpus import BUFF_CHOICES, Corpus, pick
 
 HOUR_MS = 3_600_000
 DOWN_KINDS = ["DAMAGE", "CC", "DOWN", "UP", "DEATH", "HEALTH_UPDATE", "COMBAT_OUTCOME"]
@@ -83,7 +83,8 @@ _SPANS = """sp AS (SELECT a.fight_id, agent_id, min(time) - any_value(origin) AS
 
 
 def intervals(c: Corpus) -> DataFrame:
-    return identity.ownership_intervals(classify.resolve_masters(c.raw_records()), HOUR_MS)
+    raw = c.raw_records()
+    return identity.ownership_intervals(classify.resolve_masters(raw), raw, HOUR_MS)
 
 
 def spans(c: Corpus) -> DataFrame:
@@ -205,7 +206,7 @@ def _entries(c: Corpus) -> DataFrame:
         "fight_id", a.alias("entry_id"),
         F.when(a % 4 == 3, F.concat(F.lit("Non Squad Player "), a.cast("string"))).otherwise(F.concat(F.lit("acct."), F.expr("agent_id div 2").cast("string"))).alias("account"),
         F.concat(F.lit("Agent "), F.when(a % 3 == 0, a + 1).otherwise(a).cast("string")).alias("name"),
-        _pick(["Druid", "Warrior", "Firebrand", "Scourge"], a % 4).alias("profession_label"),
+        pick(["Druid", "Warrior", "Firebrand", "Scourge"], a % 4).alias("profession_label"),
         ((a * 7) % 40).cast("int").alias("instance_id"), F.lit(0).cast("bigint").alias("lo_ms"), F.lit(60000000).cast("bigint").alias("hi_ms"),
     )
 
@@ -287,8 +288,8 @@ _RULES = f"""ru AS (SELECT trigger_kind, trigger_id, cast_skill_id, max(p_size)
 def rules(c: Corpus) -> DataFrame:
     """A cast rule per (trigger, cast) of the parts table."""
     key = F.col("p_partkey")
-    kind = _pick(["damage", "healing", "missile", "buff_gain", "buff_give", "buff_loss"], key % 6)
-    trigger = F.when(key % 6 > 2, _pick(BUFF_CHOICES, F.expr("p_partkey div 6 % 6"))).otherwise(key).cast("string")
+    kind = pick(["damage", "healing", "missile", "buff_gain", "buff_give", "buff_loss"], key % 6)
+    trigger = F.when(key % 6 > 2, pick(BUFF_CHOICES, F.expr("p_partkey div 6 % 6"))).otherwise(key).cast("string")
     rows = c.table("part").select(
         kind.alias("trigger_kind"), trigger.alias("trigger_id"), (1000 + key % 7).alias("cast_skill_id"),
         "p_size", F.when(key % 7 == 3, 4).alias("gp"),

@@ -9,8 +9,6 @@ itself for the kinds asked for.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +46,65 @@ STATECHANGES = [0] * 16 + [18, 27, 70, 30, 49, 6, 7, 57, 11, 45, 51, 46, 19, 3,
 ELITES = [0, 62, 61, 43, 5, 71, 48, 40, 60, 52]
 
 
-def _pick(values: list, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def pick_sql(values: list, index: str) -> str:
+    """SQL: the value at a zero-based index."""
+    items = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"element_at(array({items}), cast(({index}) + 1 AS int))"
+
+
+_BUFFS = "event_type IN ('BOON_APPLY', 'BUFF_APPLY', 'BUFF_EXTENSION')"
+
+
+def _for(kind: str, sql: str) -> str:
+    return f"CASE WHEN event_type = '{kind}' THEN {sql} END"
+
+
+EVENT_COLUMNS = {
+    "source_agent_id": """CASE WHEN stored_type = 'view' AND k >= 40 THEN user_id % 4
+        WHEN stored_type = 'error' THEN user_id % 5 ELSE user_id END""",
+    "target_agent_id": """CASE WHEN stored_type = 'signup' THEN k % 3
+        WHEN stored_type = 'purchase' AND k < 50 THEN k % 5 ELSE k % 50 END""",
+    "skill_id": f"""CASE WHEN {_BUFFS} THEN cast({pick_sql(BUFF_CHOICES, 'm % 6')} AS bigint)
+        WHEN event_type = 'SKILL_ACTIVATION' THEN 100 + k % 4 ELSE k END""",
+    "damage": _for("DAMAGE", "m"),
+    "buff_dmg": _for("DAMAGE", "if(k % 3 = 0, m div 2, 0)"),
+    "result": _for("DAMAGE", "k % 13"),
+    "is_condition": _for("DAMAGE", "k % 7 = 0"),
+    "shield_damage": _for("DAMAGE", "m div 10"),
+    "connected": _for("DAMAGE", "k % 13 IN (0, 1, 2, 8, 10)"),
+    "absorbed": _for("DAMAGE", "k % 13 = 6"),
+    "against_downed": _for("DAMAGE", "k % 11 = 0"),
+    "is_life_leech": _for("DAMAGE", "k % 17 = 0"),
+    "healing": _for("HEALING", "m"),
+    "barrier": _for("HEALING", "k % 20 * 10"),
+    "buff_removal": _for("BUFF_REMOVAL", "1 + m % 5"),
+    "buff_id": _for("BUFF_REMOVAL", pick_sql(REMOVED_BUFFS, "k % 6")),
+    "cc_value": _for("CC", "m"),
+    "killed_by_agent_id": "CASE WHEN event_type = 'DEATH' AND k % 2 = 0 THEN m % 50 END",
+    "downtime_ms": _for("DOWN", "m * 10"),
+    "health_percent": _for("HEALTH_UPDATE", "m * 37 % 10001 / 100.0D"),
+    "outcome": _for("COMBAT_OUTCOME", "if(k % 2 = 0, 'downed', 'killed')"),
+    "x": _for("POSITION", "cast(m % 1000 AS double)"),
+    "y": _for("POSITION", "cast(k * 10 AS double)"),
+    "activation": _for("SKILL_ACTIVATION", "m % 5 + 1"),
+    "expected_duration_ms": _for("SKILL_ACTIVATION", "m * 1000"),
+    "swapped_from": _for("WEAPON_SWAP", "k % 4"),
+    "swapped_to": _for("WEAPON_SWAP", "m % 4"),
+    "guid": _for("EFFECT", "concat('G', k % 5)"),
+    "kind": _for(
+        "BOON_APPLY", "CASE m % 10 WHEN 7 THEN 'remove_single' WHEN 8 THEN 'remove_all' WHEN 9 THEN 'remove_manual' ELSE 'apply' END"
+    ),
+    "stacks": "CASE WHEN event_type IN ('BOON_APPLY', 'BUFF_APPLY') THEN 1 + k % 3 END",
+    "stack_id": f"CASE WHEN {_BUFFS} THEN k % 7 END",
+    "duration_ms": """CASE WHEN event_type IN ('BOON_APPLY', 'BUFF_APPLY') THEN (1 + m % 50) * 200000
+        WHEN event_type = 'SKILL_ACTIVATION' THEN m % 500 + 1 END""",
+    "extended_duration_ms": _for("BUFF_EXTENSION", "(1 + m % 50) * 200000"),
+    "new_duration_ms": _for("BUFF_EXTENSION", "(1 + m % 50) * 200000 + k * 1000"),
+}
 
 
-def _is(*kinds: str) -> Column:
-    return F.col("event_type").isin(list(kinds))
+def pick(values: list, index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
 class Corpus:
@@ -69,131 +120,51 @@ class Corpus:
 
     # -- combat events -------------------------------------------------------
     def base(self, kinds: Iterable[str] | None = None) -> DataFrame:
-        k = F.col("k")
+        """fight_id, seq, time_ms, user_id, k, m, stored_type and the combat kind of every stored event.
+
+        For chosen kinds their rules become a filter on stored columns.
+        """
+        wanted = list(KIND_RULES) if kinds is None else list(kinds)
+        hits = {n: "stored_type = '%s' AND k BETWEEN %d AND %d" % KIND_RULES[n] for n in wanted}
         df = self.table("events")
         if kinds is not None:
-            stored = sorted({KIND_RULES[k][0] for k in kinds})
-            df = df.filter(F.col("event_type").isin(stored))
-        ts = F.col("ts").cast("timestamp")
-        df = df.select(
-            F.date_format(ts, "yyyyMMdd").alias("fight_id"),
-            F.col("event_id").alias("seq"),
-            (F.unix_millis(ts) - F.unix_millis(F.date_trunc("day", ts))).alias("time_ms"),
+            df = df.filter(F.col("event_type").isin(sorted({KIND_RULES[n][0] for n in wanted})))
+        df = df.selectExpr(
+            "date_format(cast(ts AS timestamp), 'yyyyMMdd') AS fight_id",
+            "event_id AS seq",
+            "unix_millis(cast(ts AS timestamp)) - unix_millis(date_trunc('day', cast(ts AS timestamp))) AS time_ms",
             "user_id",
-            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-            F.round(F.col("value") * 100).cast("bigint").alias("m"),
-            F.col("event_type").alias("stored_type"),
+            "cast(get_json_object(props, '$.k') AS bigint) AS k",
+            "cast(round(value * 100) AS bigint) AS m",
+            "event_type AS stored_type",
         )
-        wanted = list(KIND_RULES) if kinds is None else list(kinds)
-        hits = {}
-        for name in wanted:
-            stored, low, high = KIND_RULES[name]
-            hits[name] = (F.col("stored_type") == stored) & k.between(low, high)
         if kinds is not None:
-            df = df.filter(reduce(or_, hits.values()))
+            df = df.filter(" OR ".join(f"({h})" for h in hits.values()))
         # the last kind needs no test of its own: the rules (or the filter) cover every row
-        kind = F.lit(wanted[-1])
-        for name in reversed(wanted[:-1]):
-            kind = F.when(hits[name], name).otherwise(kind)
-        return df.withColumn("event_type", kind)
+        cases = " ".join(f"WHEN {hits[n]} THEN '{n}'" for n in wanted[:-1])
+        kind = f"CASE {cases} ELSE '{wanted[-1]}' END" if cases else f"'{wanted[-1]}'"
+        return df.selectExpr("*", f"{kind} AS event_type")
 
     def events(self, kinds: Iterable[str] | None = None) -> DataFrame:
+        """Combat events; ids come from stored columns only, so predicates inferred on them stay small at the scan."""
         df = self.base(kinds)
-        k, m = F.col("k"), F.col("m")
-        # from stored columns only: predicates inferred on agent ids stay small at the scan
-        stored = F.col("stored_type")
-        source = (
-            F.when((stored == "view") & (k >= 40), F.col("user_id") % 4)
-            .when(stored == "error", F.col("user_id") % 5)
-            .otherwise(F.col("user_id"))
-        )
-        target = (
-            F.when(stored == "signup", k % 3)
-            .when((stored == "purchase") & (k < 50), k % 5)
-            .otherwise(k % 50)
-        )
-        skill = (
-            F.when(_is(*BUFF_KINDS), _pick(BUFF_CHOICES, m % 6).cast("bigint"))
-            .when(_is("SKILL_ACTIVATION"), 100 + k % 4)
-            .otherwise(k)
-        )
-        duration = (
-            F.when(_is("BOON_APPLY", "BUFF_APPLY"), (1 + m % 50) * 200_000)
-            .when(_is("SKILL_ACTIVATION"), m % 500 + 1)
-        )
-        boon_kind = (
-            F.when(m % 10 == 7, "remove_single")
-            .when(m % 10 == 8, "remove_all")
-            .when(m % 10 == 9, "remove_manual")
-            .otherwise("apply")
-        )
-        extended = F.when(_is("BUFF_EXTENSION"), (1 + m % 50) * 200_000)
-        columns = {
-            "source_agent_id": source,
-            "target_agent_id": target,
-            "skill_id": skill,
-            "damage": F.when(_is("DAMAGE"), m),
-            "buff_dmg": F.when(_is("DAMAGE"), F.when(k % 3 == 0, F.expr("m div 2")).otherwise(F.lit(0))),
-            "result": F.when(_is("DAMAGE"), k % 13),
-            "is_condition": F.when(_is("DAMAGE"), k % 7 == 0),
-            "shield_damage": F.when(_is("DAMAGE"), F.expr("m div 10")),
-            "connected": F.when(_is("DAMAGE"), (k % 13).isin(0, 1, 2, 8, 10)),
-            "absorbed": F.when(_is("DAMAGE"), k % 13 == 6),
-            "against_downed": F.when(_is("DAMAGE"), k % 11 == 0),
-            "is_life_leech": F.when(_is("DAMAGE"), k % 17 == 0),
-            "healing": F.when(_is("HEALING"), m),
-            "barrier": F.when(_is("HEALING"), (k % 20) * 10),
-            "buff_removal": F.when(_is("BUFF_REMOVAL"), 1 + m % 5),
-            "buff_id": F.when(_is("BUFF_REMOVAL"), _pick(REMOVED_BUFFS, k % 6)),
-            "cc_value": F.when(_is("CC"), m),
-            "killed_by_agent_id": F.when(_is("DEATH") & (k % 2 == 0), m % 50),
-            "downtime_ms": F.when(_is("DOWN"), m * 10),
-            "health_percent": F.when(_is("HEALTH_UPDATE"), ((m * 37) % 10001) / 100.0),
-            "outcome": F.when(_is("COMBAT_OUTCOME"), F.when(k % 2 == 0, "downed").otherwise("killed")),
-            "x": F.when(_is("POSITION"), (m % 1000).cast("double")),
-            "y": F.when(_is("POSITION"), (k * 10).cast("double")),
-            "activation": F.when(_is("SKILL_ACTIVATION"), m % 5 + 1),
-            "expected_duration_ms": F.when(_is("SKILL_ACTIVATION"), m * 1000),
-            "swapped_from": F.when(_is("WEAPON_SWAP"), k % 4),
-            "swapped_to": F.when(_is("WEAPON_SWAP"), m % 4),
-            "guid": F.when(_is("EFFECT"), F.concat(F.lit("G"), (k % 5).cast("string"))),
-            "kind": F.when(_is("BOON_APPLY"), boon_kind),
-            "stacks": F.when(_is("BOON_APPLY", "BUFF_APPLY"), 1 + k % 3),
-            "stack_id": F.when(_is(*BUFF_KINDS), k % 7),
-            "duration_ms": duration,
-            "extended_duration_ms": extended,
-            "new_duration_ms": extended + k * 1000,
-        }
-        return df.select("fight_id", "seq", "time_ms", "event_type", *[c.alias(n) for n, c in columns.items()])
+        columns = [f"{sql} AS {name}" for name, sql in EVENT_COLUMNS.items()]
+        return df.selectExpr("fight_id", "seq", "time_ms", "event_type", *columns)
 
     # -- dimensions ----------------------------------------------------------
     def agents(self) -> DataFrame:
         """Every (fight, agent) mentioned by an event, with identity attributes."""
-        ids = (
-            self.events()
-            .select("fight_id", F.explode(F.array("source_agent_id", "target_agent_id")).alias("agent_id"))
-            .distinct()
-        )
-        a = F.col("agent_id")
-        player = a % 3 < 2
-        account = F.concat(
-            F.when(a % 7 == 0, ":").otherwise(""), F.lit("acct."), F.expr("agent_id div 2").cast("string")
-        )
-        return ids.select(
+        ids = self.events().selectExpr("fight_id", "explode(array(source_agent_id, target_agent_id)) AS agent_id").distinct()
+        return ids.selectExpr(
             "fight_id",
             "agent_id",
-            F.concat(
-                F.lit("Agent "), a.cast("string"), F.when(a % 10 == 1, " [CMDR]").otherwise("")
-            ).alias("name"),
-            player.alias("is_player"),
-            F.when(player & (a % 11 != 10), account).alias("account_name"),
-            F.when(
-                player,
-                F.concat(F.when(a % 2 == 0, "Subgroup ").otherwise(""), (a % 5).cast("string")),
-            ).alias("subgroup"),
-            (a % 10).cast("int").alias("profession"),
-            _pick(ELITES, a % 10).alias("elite"),
-            (a % 40).cast("int").alias("instance_id"),
+            "concat('Agent ', agent_id, if(agent_id % 10 = 1, ' [CMDR]', '')) AS name",
+            "agent_id % 3 < 2 AS is_player",
+            "if(agent_id % 3 < 2 AND agent_id % 11 <> 10, concat(if(agent_id % 7 = 0, ':', ''), 'acct.', agent_id div 2), NULL) AS account_name",
+            "if(agent_id % 3 < 2, concat(if(agent_id % 2 = 0, 'Subgroup ', ''), agent_id % 5), NULL) AS subgroup",
+            "cast(agent_id % 10 AS int) AS profession",
+            f"{pick_sql(ELITES, 'agent_id % 10')} AS elite",
+            "cast(agent_id % 40 AS int) AS instance_id",
         )
 
     def players(self) -> DataFrame:
@@ -226,48 +197,34 @@ class Corpus:
     # -- decoded records -----------------------------------------------------
     def raw_records(self) -> DataFrame:
         """Every stored event as one decoded record; code fields cycle through all record kinds."""
-        df = self.base()
-        k, m = F.col("k"), F.col("m")
-        day = F.substring("fight_id", 7, 2).cast("int")
-        build = F.when(day % 2 == 0, 20240301).when(day % 4 == 1, 20250315).otherwise(20260601)
-        df = df.select(
-            "fight_id", "seq", F.expr("time_ms div 14400000 * 14400000 + 1").alias("time"), "user_id", "k", "m", build.alias("build"),
-            _pick(STATECHANGES, (F.col("seq") * 31 + k * 7 + m) % 40).alias("statechange"),
-        )
-        modern = F.col("build") >= 20250000
-        position = F.col("statechange") == 19
-        x_bits = (
-            F.when(k % 17 == 0, 2139095040).when(k % 19 == 0, 1232348160).otherwise(1065353216 + (m % 1000) * 4096)
-        )
-        y_bits = 1073741824 + k * 8192
-        value = (
-            F.when(position, 1092616192)
-            .when(m % 50 == 0, 2147483647)
-            .when(m % 9 == 0, -m)
-            .when(m % 9 == 1, 0)
-            .otherwise(m)
-        )
-        src = F.col("user_id") % 12
-        dst = F.when((k % 20 == 7) & (m % 2 == 0), 0).otherwise((k + F.col("seq")) % 12)
-        only_modern = lambda c: F.when(modern, c).otherwise(F.lit(0))
-        return df.select(
-            "fight_id", "seq", "build", "time", src.alias("src"),
-            F.when(position, y_bits * 4294967296 + x_bits).otherwise(dst).cast("bigint").alias("dst"),
-            value.cast("bigint").alias("value"),
-            F.when(k % 4 == 0, F.expr("m div 3")).when(k % 4 == 1, -m).otherwise(0).cast("bigint").alias("buff_dmg"),
-            only_modern(F.expr("m div 5")).alias("overstack"),
-            F.when(k % 20 == 7, 718).otherwise(k % 20).cast("bigint").alias("skill"),
-            only_modern(1 + F.col("user_id") % 7).cast("int").alias("src_inst"),
-            only_modern(F.when(dst == 0, 0).otherwise(1 + (k * 3) % 7)).cast("int").alias("dst_inst"),
-            only_modern(F.when(k % 5 == 0, 1 + (k + m) % 7).otherwise(0)).cast("int").alias("src_master"),
-            F.lit(0).alias("dst_master"),
-            ((k + m) % 3).cast("int").alias("iff"), (m % 2).cast("int").alias("buff"),
-            ((k + m) % 16).cast("int").alias("result"),
-            F.when(k % 10 == 9, 1 + m % 6).otherwise(0).cast("int").alias("activation"),
-            F.when((k % 20 == 7) | ((m + k) % 7 == 0), 1 + m % 3).otherwise(0).cast("int").alias("buffremove"),
-            F.col("statechange").cast("int").alias("statechange"),
-            only_modern(m % 3).cast("int").alias("shields"),
-            only_modern(_pick([0, 128, 3, 0], m % 4)).cast("int").alias("offcycle"),
-            only_modern(F.when((F.col("statechange") == 49) & (k % 2 == 0), 2627419289).otherwise(k % 9)).cast("bigint").alias("pad"),
-            F.when(modern, 0).otherwise(k % 2).cast("int").alias("nondamage"),
+        df = self.base().selectExpr(
+            "fight_id", "seq", "time_ms div 14400000 * 14400000 + 1 AS time", "user_id", "k", "m",
+            "CASE WHEN substring(fight_id, 7, 2) % 2 = 0 THEN 20240301 WHEN substring(fight_id, 7, 2) % 4 = 1 THEN 20250315 ELSE 20260601 END AS build",
+            f"{pick_sql(STATECHANGES, '(seq * 31 + k * 7 + m) % 40')} AS statechange",
+        )
+        df = df.selectExpr(
+            "*", "user_id % 12 AS src", "CASE WHEN k % 20 = 7 AND m % 2 = 0 THEN 0 ELSE (k + seq) % 12 END AS plain_dst",
+            "build >= 20250000 AS modern", "statechange = 19 AS at_place",
+        )
+        x_bits = "CASE WHEN k % 17 = 0 THEN 2139095040 WHEN k % 19 = 0 THEN 1232348160 ELSE 1065353216 + (m % 1000) * 4096 END"
+        return df.selectExpr(
+            "fight_id", "seq", "build", "time", "src",
+            f"cast(if(at_place, (1073741824 + k * 8192) * 4294967296 + {x_bits}, plain_dst) AS bigint) AS dst",
+            """cast(CASE WHEN at_place THEN 1092616192 WHEN m % 50 = 0 THEN 2147483647 WHEN m % 9 = 0 THEN -m
+               WHEN m % 9 = 1 THEN 0 ELSE m END AS bigint) AS value""",
+            "cast(CASE k % 4 WHEN 0 THEN m div 3 WHEN 1 THEN -m ELSE 0 END AS bigint) AS buff_dmg",
+            "if(modern, m div 5, 0) AS overstack",
+            "cast(if(k % 20 = 7, 718, k % 20) AS bigint) AS skill",
+            "cast(if(modern, 1 + user_id % 7, 0) AS int) AS src_inst",
+            "cast(if(modern AND plain_dst <> 0, 1 + k * 3 % 7, 0) AS int) AS dst_inst",
+            "cast(if(modern AND k % 5 = 0, 1 + (k + m) % 7, 0) AS int) AS src_master",
+            "0 AS dst_master",
+            "cast((k + m) % 3 AS int) AS iff", "cast(m % 2 AS int) AS buff", "cast((k + m) % 16 AS int) AS result",
+            "cast(if(k % 10 = 9, 1 + m % 6, 0) AS int) AS activation",
+            "cast(if(k % 20 = 7 OR (m + k) % 7 = 0, 1 + m % 3, 0) AS int) AS buffremove",
+            "cast(statechange AS int) AS statechange",
+            "cast(if(modern, m % 3, 0) AS int) AS shields",
+            f"cast(if(modern, {pick_sql([0, 128, 3, 0], 'm % 4')}, 0) AS int) AS offcycle",
+            "cast(if(modern, if(statechange = 49 AND k % 2 = 0, 2627419289, k % 9), 0) AS bigint) AS pad",
+            "cast(if(modern, 0, k % 2) AS int) AS nondamage",
         )
