@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 COMMON = (
     "fight_id STRING, seq BIGINT, time_ms BIGINT, source_agent_id DECIMAL(20,0), "
     "target_agent_id DECIMAL(20,0), skill_id BIGINT, event_type STRING"
@@ -58,7 +56,6 @@ def _wide() -> str:
 
 
 EVENT_DDL = f"{COMMON}, {_wide()}"
-EVENT: StructType = StructType.fromDDL(EVENT_DDL)
 
 RAW_RECORD_DDL = (
     "fight_id STRING, seq BIGINT, build INT, time BIGINT, src DECIMAL(20,0), dst DECIMAL(20,0), "

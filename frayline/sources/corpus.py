@@ -110,13 +110,18 @@ def pick(values: list, index: Column) -> Column:
 class Corpus:
     """Lazy DataFrames over one folder of driver tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, timestamps: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
+        self._extra = ["cast(ts AS timestamp) AS ts"] if timestamps else []
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One stored table; its schema is read once per corpus."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # -- combat events -------------------------------------------------------
     def base(self, kinds: Iterable[str] | None = None) -> DataFrame:
@@ -137,6 +142,7 @@ class Corpus:
             "cast(get_json_object(props, '$.k') AS bigint) AS k",
             "cast(round(value * 100) AS bigint) AS m",
             "event_type AS stored_type",
+            *self._extra,
         )
         if kinds is not None:
             df = df.filter(" OR ".join(f"({h})" for h in hits.values()))
@@ -149,7 +155,8 @@ class Corpus:
         """Combat events; ids come from stored columns only, so predicates inferred on them stay small at the scan."""
         df = self.base(kinds)
         columns = [f"{sql} AS {name}" for name, sql in EVENT_COLUMNS.items()]
-        return df.selectExpr("fight_id", "seq", "time_ms", "event_type", *columns)
+        kept = ["ts"] if self._extra else []
+        return df.selectExpr("fight_id", "seq", "time_ms", "event_type", *kept, *columns)
 
     # -- dimensions ----------------------------------------------------------
     def agents(self) -> DataFrame:
@@ -228,3 +235,13 @@ class Corpus:
             "cast(if(modern, if(statechange = 49 AND k % 2 = 0, 2627419289, k % 9), 0) AS bigint) AS pad",
             "cast(if(modern, 0, k % 2) AS int) AS nondamage",
         )
+
+
+class StreamCorpus(Corpus):
+    """The same corpus with its event table read as a stream of files."""
+
+    def table(self, name: str) -> DataFrame:
+        stored = super().table(name)
+        if name != "events":
+            return stored
+        return self.spark.readStream.schema(stored.schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
