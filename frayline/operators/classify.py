@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frayline.functions import lookups as L
-from frayline.functions.combat import clamp_magnitude, condition_absorbed, condition_landed, float32_from_bits
+from frayline.functions.combat import float32_from_bits
 from frayline.operators.scan import Running, running
 
 FIGHT = "fight_id"
@@ -163,207 +163,168 @@ def with_context(raw: DataFrame) -> DataFrame:
     return rows.join(cleared, [FIGHT, "time", "actor", "skill"], "left").withColumn("cleared", F.coalesce("cleared", F.lit(False)))
 
 
-def _only(condition: Column, tag: str) -> Column:
-    return F.when(condition, F.array(F.lit(tag))).otherwise(F.array().cast("array<string>"))
+# tags a record can emit, with the event kind each becomes
+TAG_KINDS = {
+    "BUFF_APPLY": "BUFF_APPLY", "BUFF_STACK_ACTIVE": "BUFF_STACK_ACTIVE", "BUFF_EXTENSION": "BUFF_EXTENSION", "EXTEND": "BUFF_EXTENSION",
+    "BUFF_INFO": "BUFF_INFO", "EXTENSION_HEAL": "HEALING", "HEALING": "HEALING", "SPAWN": "SPAWN", "DESPAWN": "DESPAWN", "MISSILE": "MISSILE",
+    "WEAPON_SWAP": "WEAPON_SWAP", "EFFECT": "EFFECT", "POSITION": "POSITION", "UP": "UP", "DOWN": "DOWN", "DEATH": "DEATH",
+    "HEALTH_UPDATE": "HEALTH_UPDATE", "STUN_BREAK": "STUN_BREAK", "BARRIER": "BARRIER", "SKILL_ACTIVATION": "SKILL_ACTIVATION",
+    "BOON_REMOVE": "BOON_APPLY", "BOON_APPLY": "BOON_APPLY", "EMPTY_APPLY": "BOON_APPLY", "CONDITION_DAMAGE": "DAMAGE", "DIRECT_DAMAGE": "DAMAGE",
+    "PLAIN_DAMAGE": "DAMAGE", "COMBAT_OUTCOME": "COMBAT_OUTCOME", "CC": "CC", "BLOCK": "BLOCK", "DODGE": "DODGE", "INTERRUPT": "INTERRUPT",
+    "BUFF_REMOVAL": "BUFF_REMOVAL",
+}
+TAG = {name: code for code, name in enumerate(TAG_KINDS)}
 
 
-def _some(*tags: Column) -> Column:
-    return F.array_compact(F.array(*tags))
+def _on(*tags: str) -> str:
+    codes = [str(TAG[t]) for t in tags]
+    return f"tag = {codes[0]}" if len(codes) == 1 else f"tag IN ({', '.join(codes)})"
 
 
-def emitted_tags() -> Column:
-    """Tags of a record, in emission order."""
-    sc, result, iff = F.col("statechange"), F.col("result"), F.col("iff")
-    value, buff_dmg, buff = F.col("value"), F.col("buff_dmg"), F.col("buff") != 0
-    remove = F.col("buffremove")
-    tag = lambda name: F.array(F.lit(name))
-    none = F.array().cast("array<string>")
-    heal = extension_heal()
-    position = F.col("pos_x").isNotNull() & F.col("pos_y").isNotNull() & F.col("pos_z").isNotNull() & (
-        F.greatest(F.abs("pos_x"), F.abs("pos_y"), F.abs("pos_z")) <= POSITION_LIMIT
-    )
-    own_tick = (F.col("actor") == F.col("dst")) & buff & (value == 0) & (buff_dmg > 0)
-    tick_size, hit_size = clamp_magnitude(buff_dmg), _direct_size()
-    tick = _only((tick_size > 0) | (result != 0), "CONDITION_DAMAGE")
-    tick = F.when((iff == 2) & (F.col("src") == 0) & (F.col("src_master") != 0), none).otherwise(tick)
-    attempt = (hit_size > 0) | ((F.col("dst") != 0) & (F.col("skill") != 0) & result.isin(0, 1, 2, 3, 4, 6, 7, 8, 10, 13))
-    defence = F.when(result == 3, "BLOCK").when(result == 4, "DODGE").when(result == 5, "INTERRUPT")
-    direct = F.when(result == 12, tag("CC")).otherwise(
-        _some(
-            F.when(result.isin(8, 9), "COMBAT_OUTCOME"),
-            defence,
-            F.when(~result.isin(5, 8, 9, 11) & attempt, "DIRECT_DAMAGE"),
-        )
-    )
-    modern = (
-        F.when(buff & (buff_dmg == 0) & (value > 0) & (F.col("activation") == 0), F.when(F.col("offcycle") != 0, tag("EXTEND")).otherwise(tag("BOON_APPLY")))
-        .when(~iff.isin(1, 2) & ~own_tick, none)
-        .when(buff, tick)
-        .otherwise(direct)
-    )
-    plain_size, strip = clamp_magnitude(value), clamp_magnitude(buff_dmg)
-    non_damage = F.col("nondamage") != 0
-    legacy = (
-        F.when(buff, _some(F.when(non_damage & ((plain_size > 0) | (strip > 0)), "HEALING"), F.lit("EMPTY_APPLY")))
-        .when(non_damage, _some(F.when(plain_size > 0, "HEALING"), F.when(strip > 0, "BUFF_REMOVAL")))
-        .otherwise(_some(defence, F.when(plain_size > 0, "PLAIN_DAMAGE")))
-    )
-    dropped_removal = _modern() & (remove != 1) & (((iff == 2) & (F.col("dst") == 0)) | F.col("cleared"))
-    return (
-        F.when(sc == 18, tag("BUFF_APPLY"))
-        .when(sc == 27, tag("BUFF_STACK_ACTIVE"))
-        .when(sc == 70, tag("BUFF_EXTENSION"))
-        .when(sc == 30, tag("BUFF_INFO"))
-        .when((sc == 49) & (F.col("pad") == L.HEAL_EXTENSION_SIGNATURE), _only((heal > 0) & _peer(), "EXTENSION_HEAL"))
-        .when(sc == 6, tag("SPAWN"))
-        .when(sc == 7, tag("DESPAWN"))
-        .when(sc == 57, tag("MISSILE"))
-        .when(sc == 46, none)
-        .when(sc == 11, tag("WEAPON_SWAP"))
-        .when(sc.isin(45, 51, 60, 62) & F.col("guid").isNotNull(), tag("EFFECT"))
-        .when(sc == 19, _only(position, "POSITION"))
-        .when(sc == 3, tag("UP"))
-        .when(sc == 5, _only(~_modern() | F.col("downtime_ms").isNotNull(), "DOWN"))
-        .when(sc == 4, tag("DEATH"))
-        .when(sc == 8, tag("HEALTH_UPDATE"))
-        .when(sc == 56, tag("STUN_BREAK"))
-        .when(sc == 38, tag("BARRIER"))
-        .when(sc != 0, none)
-        .when(F.col("activation").between(1, 6), tag("SKILL_ACTIVATION"))
-        .when(remove.between(1, 3), F.when(dropped_removal, none).otherwise(tag("BOON_REMOVE")))
-        .when(_modern(), modern)
-        .otherwise(legacy)
-    )
+def _emit(*tags: str) -> str:
+    return f"array({', '.join(str(TAG[t]) for t in tags)})"
 
 
-def extension_heal() -> Column:
-    value, buff_dmg, buff = F.col("value"), F.col("buff_dmg"), F.col("buff")
-    return (
-        F.when((buff == 0) & (value < 0), -value)
-        .when((buff != 0) & (value == 0) & (buff_dmg < 0), -buff_dmg)
-        .otherwise(F.lit(0))
-    )
+def _emit_if(**conditions: str) -> str:
+    """Tags whose condition holds, in order."""
+    return "array_compact(array(" + ", ".join(f"if({c}, {TAG[t]}, NULL)" for t, c in conditions.items()) + "))"
 
 
-def _peer() -> Column:
-    return F.col("offcycle").cast("int").bitwiseAND(F.lit(128)) != 0
+_NOTHING = "cast(array() AS array<int>)"
+_HITS = ", ".join(map(str, L.HIT_RESULTS))
+# numbers several rules read, computed once per record
+RECORD_FACTS = {
+    "modern": f"build >= {L.MODERN_BUILD}",
+    "size": f"CASE WHEN value >= {L.MAGNITUDE_CEILING} THEN 0 ELSE greatest(value, 0) END",
+    "strip": f"CASE WHEN buff_dmg >= {L.MAGNITUDE_CEILING} THEN 0 ELSE greatest(buff_dmg, 0) END",
+    "extension_heal": """CASE WHEN buff = 0 AND value < 0 THEN -value
+        WHEN buff <> 0 AND value = 0 AND buff_dmg < 0 THEN -buff_dmg ELSE 0 END""",
+    "own_tick": "actor = dst AND buff <> 0 AND value = 0 AND buff_dmg > 0",
+}
 
 
-def _direct_size() -> Column:
-    return F.when(F.col("result") == 10, F.lit(0)).otherwise(clamp_magnitude(F.col("value")))
+def emitted_tags() -> str:
+    """SQL array of a record's tags, in emission order."""
+    at_place = f"pos_x IS NOT NULL AND pos_y IS NOT NULL AND pos_z IS NOT NULL AND greatest(abs(pos_x), abs(pos_y), abs(pos_z)) <= {POSITION_LIMIT}"
+    attempt = "(result <> 10 AND size > 0) OR (dst <> 0 AND skill <> 0 AND result IN (0, 1, 2, 3, 4, 6, 7, 8, 10, 13))"
+    defence = {"BLOCK": "result = 3", "DODGE": "result = 4", "INTERRUPT": "result = 5"}
+    direct = _emit_if(COMBAT_OUTCOME="result IN (8, 9)", **defence, DIRECT_DAMAGE=f"result NOT IN (5, 8, 9, 11) AND ({attempt})")
+    modern = f"""CASE
+        WHEN buff <> 0 AND buff_dmg = 0 AND value > 0 AND activation = 0
+          THEN if(offcycle <> 0, {_emit("EXTEND")}, {_emit("BOON_APPLY")})
+        WHEN iff NOT IN (1, 2) AND NOT own_tick THEN {_NOTHING}
+        WHEN buff <> 0 THEN if(NOT (iff = 2 AND src = 0 AND src_master <> 0) AND (strip > 0 OR result <> 0), {_emit("CONDITION_DAMAGE")}, {_NOTHING})
+        WHEN result = 12 THEN {_emit("CC")}
+        ELSE {direct} END"""
+    legacy = f"""CASE
+        WHEN buff <> 0 THEN {_emit_if(HEALING="nondamage <> 0 AND (size > 0 OR strip > 0)", EMPTY_APPLY="true")}
+        WHEN nondamage <> 0 THEN {_emit_if(HEALING="size > 0", BUFF_REMOVAL="strip > 0")}
+        ELSE {_emit_if(**defence, PLAIN_DAMAGE="size > 0")} END"""
+    dropped_removal = "modern AND buffremove <> 1 AND ((iff = 2 AND dst = 0) OR cleared)"
+    states = {
+        18: "BUFF_APPLY", 27: "BUFF_STACK_ACTIVE", 70: "BUFF_EXTENSION", 30: "BUFF_INFO", 6: "SPAWN", 7: "DESPAWN", 57: "MISSILE", 11: "WEAPON_SWAP",
+        3: "UP", 4: "DEATH", 8: "HEALTH_UPDATE", 56: "STUN_BREAK", 38: "BARRIER",
+    }
+    conditional = {
+        49: (f"pad = {L.HEAL_EXTENSION_SIGNATURE} AND extension_heal > 0 AND (cast(offcycle AS int) & 128) <> 0", "EXTENSION_HEAL"),
+        19: (at_place, "POSITION"), 5: ("NOT modern OR downtime_ms IS NOT NULL", "DOWN"),
+    } | {code: ("guid IS NOT NULL", "EFFECT") for code in (45, 51, 60, 62)}
+    by_state = " ".join(f"WHEN {code} THEN {_emit(tag)}" for code, tag in states.items())
+    by_state += " " + " ".join(f"WHEN {code} THEN if({cond}, {_emit(tag)}, {_NOTHING})" for code, (cond, tag) in conditional.items())
+    return f"""CASE
+        WHEN statechange <> 0 THEN CASE statechange {by_state} ELSE {_NOTHING} END
+        WHEN activation BETWEEN 1 AND 6 THEN {_emit("SKILL_ACTIVATION")}
+        WHEN buffremove BETWEEN 1 AND 3 THEN if({dropped_removal}, {_NOTHING}, {_emit("BOON_REMOVE")})
+        WHEN modern THEN {modern} ELSE {legacy} END"""
+
+
+_ACTOR_ONLY = ("DESPAWN", "WEAPON_SWAP", "POSITION", "UP", "DOWN", "DEATH", "HEALTH_UPDATE", "STUN_BREAK")
+_HIT = _on("DIRECT_DAMAGE", "PLAIN_DAMAGE")
+_TICK = _on("CONDITION_DAMAGE")
+_ANY_HIT = _on("DIRECT_DAMAGE", "PLAIN_DAMAGE", "CONDITION_DAMAGE")
+
+
+def _ids() -> dict[str, str]:
+    raw_source = _on(*_ACTOR_ONLY, "BUFF_APPLY", "BUFF_STACK_ACTIVE", "BUFF_EXTENSION", "BUFF_INFO", "BARRIER", "SKILL_ACTIVATION")
+    return {
+        "source_agent_id": f"""CASE WHEN {raw_source} THEN src WHEN {_on("SPAWN")} THEN coalesce(owner, 0) WHEN {_on("MISSILE")} THEN coalesce(owner, actor)
+            WHEN {_on("EFFECT")} THEN if(guid = '{L.FIXED_OWNER_GUID}', src, coalesce(owner, src)) WHEN {_on("BOON_REMOVE", "BLOCK", "DODGE")} THEN dst ELSE actor END""",
+        "target_agent_id": f"""CASE WHEN {_on("BUFF_STACK_ACTIVE", "SPAWN", "BOON_REMOVE")} THEN src
+            WHEN {_on(*_ACTOR_ONLY, "SKILL_ACTIVATION", "BLOCK", "DODGE")} THEN 0 ELSE dst END""",
+        "skill_id": f"cast(if({_on(*_ACTOR_ONLY, 'SPAWN', 'BLOCK', 'DODGE')}, 0, skill) AS bigint)",
+    }
 
 
-# tag -> event kind, where they differ
-TAG_KIND = {
-    "EXTENSION_HEAL": "HEALING", "CONDITION_DAMAGE": "DAMAGE", "DIRECT_DAMAGE": "DAMAGE", "PLAIN_DAMAGE": "DAMAGE",
-    "EXTEND": "BUFF_EXTENSION", "EMPTY_APPLY": "BOON_APPLY", "BOON_REMOVE": "BOON_APPLY",
-}
+def _payload() -> dict[str, str]:
+    """SQL per payload column; null where the event kind does not carry it."""
+    landed = f"CASE WHEN result = {L.ABSORB_RESULT} THEN false WHEN build >= {L.RECODED_BUILD} THEN result >= 13 AND result % 2 = 0 ELSE result = 0 END"
+    immune = f"CASE WHEN result = {L.ABSORB_RESULT} THEN true WHEN build >= {L.RECODED_BUILD} THEN result >= 13 AND result % 2 = 1 ELSE result <> 0 END"
+    byte = lambda c: f"pmod(cast({c} AS bigint), 256)"
+    effect_ms = f"{byte('iff')} + {byte('buff')} * 256 + {byte('result')} * 65536 + {byte('activation')} * 16777216"
+    when = lambda *pairs: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + " END"
+    ext, heal = _on("EXTENSION_HEAL"), _on("HEALING")
+    return {
+        "damage": when((_on("DIRECT_DAMAGE"), "if(result = 10, 0, size)"), (_on("PLAIN_DAMAGE"), "size"), (_TICK, "strip")),
+        "buff_dmg": when((_on("DIRECT_DAMAGE"), "0"), (_on("PLAIN_DAMAGE", "CONDITION_DAMAGE"), "strip")),
+        "result": when((_ANY_HIT, "result")),
+        "is_condition": when((_ANY_HIT, f"({_TICK})")),
+        "shield_damage": when((_ANY_HIT, f"if(overstack >= {L.MAGNITUDE_CEILING}, 0, overstack)")),
+        "connected": when((_TICK, landed), (_HIT, f"result IN ({_HITS})")),
+        "absorbed": when((_TICK, immune), (_HIT, f"result = {L.ABSORB_RESULT}")),
+        "against_downed": when(
+            (f"{_TICK} AND build < {L.RECODED_BUILD}", "pmod(pad, 256) <> 0"), (_on("CONDITION_DAMAGE", "DIRECT_DAMAGE"), "offcycle <> 0"), (_on("PLAIN_DAMAGE"), "false")
+        ),
+        "is_life_leech": when((_ANY_HIT, f"({_TICK}) AND offcycle IN (3, 5)")),
+        "healing": when((ext, "if(shields <> 0, 0, extension_heal)"), (heal, "size")),
+        "barrier": when((ext, "if(shields <> 0, extension_heal, 0)"), (heal, "strip")),
+        "src_is_peer": when((ext, "true"), (heal, "false")),
+        "buff_removal": when((_on("BUFF_REMOVAL"), "strip")),
+        "buff_id": when((_on("BUFF_REMOVAL"), byte("buff"))),
+        "cc_value": when((_on("CC"), "size")),
+        "outcome": when((_on("COMBAT_OUTCOME"), "if(result = 8, 'killed', 'downed')")),
+        "downtime_ms": when((_on("DOWN"), "coalesce(downtime_ms, 0)")),
+        "health_percent": when((_on("HEALTH_UPDATE"), "least(greatest(dst / 100.0D, 0.0D), 100.0D)")),
+        "x": when((_on("POSITION"), "pos_x")),
+        "y": when((_on("POSITION"), "pos_y")),
+        "activation": when((_on("SKILL_ACTIVATION"), "activation")),
+        "expected_duration_ms": when((_on("SKILL_ACTIVATION"), "greatest(buff_dmg, 0)")),
+        "swapped_from": when((_on("WEAPON_SWAP"), "greatest(value, 0)")),
+        "swapped_to": when((_on("WEAPON_SWAP"), "dst")),
+        "guid": when((_on("EFFECT"), "guid")),
+        "is_around_dst": when((_on("EFFECT"), "dst <> 0")),
+        "kind": when(
+            (_on("BOON_APPLY", "EMPTY_APPLY"), "'apply'"), (_on("BOON_REMOVE"), "CASE buffremove WHEN 1 THEN 'remove_all' WHEN 2 THEN 'remove_single' ELSE 'remove_manual' END")
+        ),
+        "duration_ms": when(
+            (_on("BUFF_APPLY", "BOON_REMOVE", "BOON_APPLY"), "size"), (_on("EMPTY_APPLY", "BARRIER"), "0"), (_on("SKILL_ACTIVATION"), "greatest(value, 0)"),
+            (_on("EFFECT"), f"if(statechange = 51, {effect_ms}, 0)"),
+        ),
+        "original_duration_ms": when((_on("BUFF_APPLY"), "if(strip <> 0, strip, size)")),
+        "stacks": when((f"{_on('BOON_REMOVE')} AND buffremove = 1", "greatest(result, 1)"), (_on("BOON_REMOVE", "BOON_APPLY", "EMPTY_APPLY", "BUFF_APPLY"), "1")),
+        "stack_id": when((_on("BUFF_STACK_ACTIVE"), "dst"), (_on("BUFF_APPLY", "BUFF_EXTENSION", "EXTEND", "BOON_REMOVE", "BOON_APPLY"), "pad")),
+        "added_active": when((_on("BUFF_APPLY", "BOON_APPLY"), "shields <> 0")),
+        "extended_duration_ms": when((_on("BUFF_EXTENSION"), "greatest(value, 0)"), (_on("EXTEND"), "size")),
+        "new_duration_ms": when((_on("BUFF_EXTENSION"), "greatest(overstack, 0)"), (_on("EXTEND"), f"if(overstack >= {L.MAGNITUDE_CEILING}, 0, greatest(overstack, 0))")),
+        "max_stacks": when((_on("BUFF_INFO"), "src_master")),
+        "duration_cap": when((_on("BUFF_INFO"), "overstack")),
+    }
 
 
 def classify(raw: DataFrame) -> DataFrame:
     """Typed events of decoded records; one row per event, payload columns null where unused."""
     bits = F.lit(4294967296)
+    at_place = F.col("statechange") == 19
     rows = with_context(raw).withColumns(
         {
-            "pos_x": float32_from_bits(F.pmod(F.col("dst").cast("bigint"), bits)),
-            "pos_y": float32_from_bits(F.shiftrightunsigned(F.col("dst").cast("bigint"), 32)),
-            "pos_z": float32_from_bits(F.pmod(F.col("value"), bits)),
+            "pos_x": F.when(at_place, float32_from_bits(F.pmod(F.col("dst").cast("bigint"), bits))),
+            "pos_y": F.when(at_place, float32_from_bits(F.shiftrightunsigned(F.col("dst").cast("bigint"), 32))),
+            "pos_z": F.when(at_place, float32_from_bits(F.pmod(F.col("value"), bits))),
         }
     )
-    rows = rows.withColumn("tag", F.explode(emitted_tags()))
-    on = lambda *tags: F.col("tag").isin(list(tags))
-    src, dst, actor, value = F.col("src"), F.col("dst"), F.col("actor"), F.col("value")
-    buff_dmg, result, overstack = F.col("buff_dmg"), F.col("result"), F.col("overstack")
-    zero = F.lit(0)
-    owner_or_source = F.coalesce("owner", "src")
-    source = (
-        F.when(on("BUFF_APPLY", "BUFF_STACK_ACTIVE", "BUFF_EXTENSION", "BUFF_INFO", "DESPAWN", "WEAPON_SWAP", "POSITION",
-                  "UP", "DOWN", "DEATH", "HEALTH_UPDATE", "STUN_BREAK", "BARRIER", "SKILL_ACTIVATION"), src)
-        .when(on("SPAWN"), F.coalesce("owner", zero))
-        .when(on("MISSILE"), F.coalesce("owner", "actor"))
-        .when(on("EFFECT"), F.when(F.col("guid") == L.FIXED_OWNER_GUID, src).otherwise(owner_or_source))
-        .when(on("BOON_REMOVE", "BLOCK", "DODGE"), dst)
-        .otherwise(actor)
-    )
-    target = (
-        F.when(on("BUFF_STACK_ACTIVE", "SPAWN", "BOON_REMOVE"), src)
-        .when(on("DESPAWN", "WEAPON_SWAP", "POSITION", "UP", "DOWN", "DEATH", "HEALTH_UPDATE", "STUN_BREAK",
-                 "SKILL_ACTIVATION", "BLOCK", "DODGE"), zero)
-        .otherwise(dst)
-    )
-    no_skill = on("SPAWN", "DESPAWN", "WEAPON_SWAP", "POSITION", "UP", "DOWN", "DEATH", "HEALTH_UPDATE", "STUN_BREAK", "BLOCK", "DODGE")
-    size, strip = clamp_magnitude(value), clamp_magnitude(buff_dmg)
-    hit, tick = on("DIRECT_DAMAGE", "PLAIN_DAMAGE"), on("CONDITION_DAMAGE")
-    any_hit = hit | tick
-    build = F.col("build")
-    nonneg = lambda c: F.greatest(c, zero)
-    low_byte = lambda c: F.pmod(F.col(c).cast("bigint"), F.lit(256))
-    down_flag = F.when(
-        tick, F.when(build >= L.RECODED_BUILD, F.col("offcycle") != 0).otherwise(F.pmod(F.col("pad"), F.lit(256)) != 0)
-    ).when(on("DIRECT_DAMAGE"), F.col("offcycle") != 0).otherwise(False)
-    effect_ms = low_byte("iff") + low_byte("buff") * 256 + low_byte("result") * 65536 + low_byte("activation") * 16777216
-    kind = (
-        F.when(on("BOON_APPLY", "EMPTY_APPLY"), "apply")
-        .when(on("BOON_REMOVE"), F.when(F.col("buffremove") == 1, "remove_all").when(F.col("buffremove") == 2, "remove_single").otherwise("remove_manual"))
-    )
-    duration = (
-        F.when(on("BUFF_APPLY", "BOON_REMOVE", "BOON_APPLY"), size)
-        .when(on("EMPTY_APPLY", "BARRIER"), zero)
-        .when(on("SKILL_ACTIVATION"), nonneg(value))
-        .when(on("EFFECT"), F.when(F.col("statechange") == 51, effect_ms).otherwise(zero))
+    rows = rows.selectExpr("*", *[f"{sql} AS {name}" for name, sql in RECORD_FACTS.items()])
+    rows = rows.selectExpr("*", f"explode({emitted_tags()}) AS tag")
+    kinds = ", ".join(f"'{kind}'" for kind in TAG_KINDS.values())
+    return rows.selectExpr(
+        FIGHT, "seq", "time AS time_ms", f"element_at(array({kinds}), tag + 1) AS event_type",
+        *[f"{sql} AS {name}" for name, sql in (_ids() | _payload()).items()],
     )
-    shielded = F.col("shields") != 0
-    payload = {
-        "damage": F.when(on("DIRECT_DAMAGE"), _direct_size()).when(on("PLAIN_DAMAGE"), size).when(tick, strip),
-        "buff_dmg": F.when(on("DIRECT_DAMAGE"), zero).when(on("PLAIN_DAMAGE"), strip).when(tick, strip),
-        "result": F.when(any_hit, result),
-        "is_condition": F.when(any_hit, tick),
-        "shield_damage": F.when(any_hit, F.when(overstack >= L.MAGNITUDE_CEILING, zero).otherwise(overstack)),
-        "connected": F.when(tick, condition_landed(result, build)).when(hit, result.isin(L.HIT_RESULTS)),
-        "absorbed": F.when(tick, condition_absorbed(result, build)).when(hit, result == L.ABSORB_RESULT),
-        "against_downed": F.when(any_hit, down_flag),
-        "is_life_leech": F.when(any_hit, tick & F.col("offcycle").isin(3, 5)),
-        "healing": F.when(on("EXTENSION_HEAL"), F.when(shielded, zero).otherwise(extension_heal())).when(on("HEALING"), size),
-        "barrier": F.when(on("EXTENSION_HEAL"), F.when(shielded, extension_heal()).otherwise(zero)).when(on("HEALING"), strip),
-        "src_is_peer": F.when(on("EXTENSION_HEAL"), True).when(on("HEALING"), False),
-        "buff_removal": F.when(on("BUFF_REMOVAL"), strip),
-        "buff_id": F.when(on("BUFF_REMOVAL"), low_byte("buff")),
-        "cc_value": F.when(on("CC"), size),
-        "outcome": F.when(on("COMBAT_OUTCOME"), F.when(result == 8, "killed").otherwise("downed")),
-        "downtime_ms": F.when(on("DOWN"), F.coalesce("downtime_ms", zero)),
-        "health_percent": F.when(on("HEALTH_UPDATE"), F.least(F.greatest(dst / 100.0, F.lit(0.0)), F.lit(100.0))),
-        "x": F.when(on("POSITION"), F.col("pos_x")),
-        "y": F.when(on("POSITION"), F.col("pos_y")),
-        "activation": F.when(on("SKILL_ACTIVATION"), F.col("activation")),
-        "expected_duration_ms": F.when(on("SKILL_ACTIVATION"), nonneg(buff_dmg)),
-        "swapped_from": F.when(on("WEAPON_SWAP"), nonneg(value)),
-        "swapped_to": F.when(on("WEAPON_SWAP"), dst),
-        "guid": F.when(on("EFFECT"), F.col("guid")),
-        "is_around_dst": F.when(on("EFFECT"), dst != 0),
-        "kind": kind,
-        "duration_ms": duration,
-        "original_duration_ms": F.when(on("BUFF_APPLY"), F.when(strip != 0, strip).otherwise(size)),
-        "stacks": F.when(on("BOON_REMOVE") & (F.col("buffremove") == 1), F.greatest(result, F.lit(1)))
-        .when(on("BOON_REMOVE", "BOON_APPLY", "EMPTY_APPLY", "BUFF_APPLY"), F.lit(1)),
-        "stack_id": F.when(on("BUFF_STACK_ACTIVE"), dst).when(on("BUFF_APPLY", "BUFF_EXTENSION", "EXTEND", "BOON_REMOVE", "BOON_APPLY"), F.col("pad")),
-        "added_active": F.when(on("BUFF_APPLY", "BOON_APPLY"), shielded),
-        "extended_duration_ms": F.when(on("BUFF_EXTENSION"), nonneg(value)).when(on("EXTEND"), size),
-        "new_duration_ms": F.when(on("BUFF_EXTENSION"), nonneg(overstack)).when(on("EXTEND"), clamp_magnitude(overstack)),
-        "max_stacks": F.when(on("BUFF_INFO"), F.col("src_master")),
-        "duration_cap": F.when(on("BUFF_INFO"), overstack),
-    }
-    event_type = F.coalesce(_tag_kind(), F.col("tag"))
-    return rows.select(
-        FIGHT, "seq", F.col("time").alias("time_ms"), event_type.alias("event_type"),
-        source.alias("source_agent_id"), target.alias("target_agent_id"),
-        F.when(no_skill, zero).otherwise(F.col("skill")).cast("bigint").alias("skill_id"),
-        *[col.alias(name) for name, col in payload.items()],
-    )
-
-
-def _tag_kind() -> Column:
-    out = None
-    for tag, kind in TAG_KIND.items():
-        hit = F.col("tag") == tag
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out

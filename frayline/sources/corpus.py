@@ -139,7 +139,7 @@ class Corpus:
             "event_id AS seq",
             "unix_millis(cast(ts AS timestamp)) - unix_millis(date_trunc('day', cast(ts AS timestamp))) AS time_ms",
             "user_id",
-            "cast(get_json_object(props, '$.k') AS bigint) AS k",
+            r"""cast(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS bigint) AS k""",
             "cast(round(value * 100) AS bigint) AS m",
             "event_type AS stored_type",
             *self._extra,
