@@ -147,6 +147,10 @@ def player_damage(
         F.count(F.lit(1)).alias("hit_count"),
         F.sum(condition).cast("bigint").alias("condi_damage"),
     )
+    return _damage_rates(rows, durations, agents)
+
+
+def _damage_rates(rows: DataFrame, durations: DataFrame, agents: DataFrame | None) -> DataFrame:
     rows = with_duration(rows, durations).withColumn("power_damage", F.col("total_damage") - F.col("condi_damage"))
     for total, rate in (("total_damage", "dps"), ("power_damage", "power_dps"), ("condi_damage", "condi_dps")):
         rows = rows.withColumn(rate, safe_rate(F.col(total), F.col("duration_s")))
@@ -154,12 +158,28 @@ def player_damage(
     return with_names(rows, agents, "source_agent_id") if agents is not None else rows
 
 
-def with_condition_context(events: DataFrame, fights: DataFrame, skills: DataFrame) -> DataFrame:
-    """Adds ``condi_part`` per hit from the fight's build and the skill's name."""
-    hits = events.filter(_is("DAMAGE"))
-    hits = hits.join(fights.select(FIGHT, "build_version"), FIGHT, "left")
-    hits = hits.join(skills.select("skill_id", "skill_name"), "skill_id", "left")
-    return hits.withColumn("condi_part", condition_part(F.col("build_version"), F.col("skill_name")))
+def condition_split(events: DataFrame, fights: DataFrame, skills: DataFrame) -> DataFrame:
+    """Damage, hits and condition damage per (fight, source, skill).
+
+    Whether the build carries the condition part in the hit or leaves it to the
+    skill's name is a property of (fight, skill), so both candidates are summed
+    first and the dimensions join reduced rows.
+    """
+    carried = F.least(F.col("damage"), F.greatest(F.col("buff_dmg"), F.lit(0)))
+    rows = events.filter(_is("DAMAGE")).groupBy(FIGHT, "source_agent_id", "skill_id").agg(
+        F.sum("damage").alias("damage"), F.count(F.lit(1)).alias("hits"), F.sum(carried).alias("carried")
+    )
+    rows = rows.join(fights.select(FIGHT, "build_version"), FIGHT, "left").join(skills.select("skill_id", "skill_name"), "skill_id", "left")
+    part = condition_part(F.col("build_version"), F.col("skill_name"), F.col("carried"))
+    return rows.withColumn("condi", part).drop("carried", "build_version", "skill_name")
+
+
+def player_damage_split(split: DataFrame, durations: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Player damage from :func:`condition_split` rows."""
+    rows = split.groupBy(FIGHT, "source_agent_id").agg(
+        F.sum("damage").alias("total_damage"), F.sum("hits").alias("hit_count"), F.sum("condi").cast("bigint").alias("condi_damage")
+    )
+    return _damage_rates(rows, durations, agents)
 
 
 def player_healing(

@@ -42,7 +42,7 @@ def account_buckets(events: DataFrame, players: DataFrame, skills: DataFrame) ->
     """Raw sums per (fight, account): what the summary row is built from.
 
     An account appears when one of its agents acts, or gives or receives a buff.
-    Reduced per agent before the identity join.
+    Reduced per (agent, skill) before the skill and identity joins.
     """
     buffs = F.col("event_type").isin("BOON_APPLY", "BUFF_APPLY")
     sides = F.when(
@@ -52,27 +52,24 @@ def account_buckets(events: DataFrame, players: DataFrame, skills: DataFrame) ->
             F.struct(F.col("target_agent_id").alias("agent_id"), F.lit(False).alias("acts")),
         ),
     ).otherwise(F.array(F.struct(F.col("source_agent_id").alias("agent_id"), F.lit(True).alias("acts"))))
-    named = events.join(
-        skills.filter(F.col("skill_name").isin(L.CONDITION_SKILL_NAMES)).select("skill_id", F.lit(True).alias("is_condi_skill")),
-        "skill_id", "left",
-    )
-    rows = named.withColumn("side", F.explode(sides)).withColumns(
+    rows = events.withColumn("side", F.explode(sides)).withColumns(
         {"agent_id": F.col("side.agent_id"), "acts": F.col("side.acts")}
     )
     acts = F.col("acts")
     removal = acts & _is("BOON_APPLY") & (F.col("kind") != "apply")
     tracked = F.col("skill_id").isin(list(L.TRACKED_BOONS.values()))
-    hit = acts & _is("DAMAGE")
-    condi = F.coalesce(F.col("is_condi_skill"), F.lit(False))
-    per_agent = rows.groupBy(FIGHT, "agent_id").agg(
-        sum_where(hit, "damage").alias("total_damage"),
-        sum_where(hit & condi, "damage").alias("condi_damage"),
+    per_skill = rows.groupBy(FIGHT, "agent_id", "skill_id").agg(
+        sum_where(acts & _is("DAMAGE"), "damage").alias("total_damage"),
         sum_where(acts & _is("HEALING"), "healing").alias("total_healing"),
         sum_where(acts & _is("BUFF_REMOVAL"), "buff_removal").alias("total_buff_removal"),
         sum_where(removal & tracked, "stacks").alias("boon_removals"),
         sum_where(removal & ~tracked, "stacks").alias("condition_cleanses"),
         count_where(acts & _is("CC")).alias("cc_applied"),
     )
+    condi = skills.filter(F.col("skill_name").isin(L.CONDITION_SKILL_NAMES)).select("skill_id", F.lit(True).alias("_condi"))
+    per_agent = per_skill.join(condi, "skill_id", "left").withColumn(
+        "condi_damage", F.when(F.col("_condi"), F.col("total_damage")).otherwise(0)
+    )
     rows = per_agent.join(players, [FIGHT, "agent_id"])
     sums = ["total_damage", "condi_damage", "total_healing", "total_buff_removal", "boon_removals", "condition_cleanses", "cc_applied"]
     out = rows.groupBy(FIGHT, "account_name").agg(
@@ -170,8 +167,8 @@ def combat_readout(
     fills a value but does not make a player appear.
     """
     sets = [
-        damage.withColumnRenamed("source_agent_id", "agent_id").drop("name"),
-        healing.withColumnRenamed("source_agent_id", "agent_id").drop("name"),
+        damage.withColumnRenamed("source_agent_id", "agent_id"),
+        healing.withColumnRenamed("source_agent_id", "agent_id"),
         boons, defense, counters, kills,
     ]
     stacked = None

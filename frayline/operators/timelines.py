@@ -135,10 +135,9 @@ def requested_accounts(spark, accounts: list[str], minimum: int = 2, maximum: in
 
 def aligned_days(series: DataFrame, value: str = "total_damage") -> DataFrame:
     """Every account against the union of all days: one value or null."""
-    days = series.select("local_day").distinct()
-    accounts = series.select("account_name").distinct()
-    # both sides are distinct lists; the product is the output itself
-    frame = days.join(accounts)
+    # the calendar is one row with an array of days, bounded by the calendar itself
+    calendar = series.agg(F.sort_array(F.collect_set("local_day")).alias("_days"))
+    frame = series.select("account_name").distinct().join(calendar).select("account_name", F.explode("_days").alias("local_day"))
     return frame.join(series.select("account_name", "local_day", value), ["account_name", "local_day"], "left")
 
 

@@ -176,39 +176,3 @@ def fight_player_boons(c: Corpus) -> DataFrame:
     FROM ag JOIN players p ON ag.fight_id = p.fight_id AND ag.agent_id = p.agent_id GROUP BY 1, 2""")
 def summary_buckets(c: Corpus) -> DataFrame:
     return summaries.account_buckets(c.events(), c.players(), c.skills())
-
-
-def readout(c: Corpus) -> DataFrame:
-    seconds, players = fight_seconds(c), c.players()
-    hits = rollups.with_condition_context(c.events(["DAMAGE"]), c.fights(), c.skills())
-    return summaries.combat_readout(
-        players.drop("is_player"),
-        rollups.player_damage(hits, seconds, c.agents(), F.col("condi_part")),
-        rollups.player_healing(c.events(["HEALING", "STUN_BREAK"]), seconds, c.agents(), F.col("barrier")),
-        rollups.player_boons(c.events(["BOON_APPLY", "BUFF_REMOVAL"]), seconds),
-        rollups.player_defense(c.events(["DAMAGE", "CC", "DEATH", "DODGE", "BLOCK", "INTERRUPT"]), F.col("shield_damage")),
-        rollups.combat_counters(c.events(["BUFF_REMOVAL", "CC", "DAMAGE", "DOWN"])),
-        rollups.kill_participation(c.events(["DAMAGE", "DEATH"])),
-        rollups.presence(c.events(), players, seconds).drop("active_buckets"),
-        buffs.wide_outgoing(buffs.outgoing_generation(c.events(["BOON_APPLY"]))),
-    )
-
-
-@query("A20 J6 U4 R7")
-def combat_readout(c: Corpus) -> DataFrame:
-    rows = rounded(readout(c), "dps", "hps", "presence_pct")
-    return rows.withColumns(
-        {"roles": F.array_join("roles", ","), "detected_tags": F.array_join("detected_tags", ",")}
-    )
-
-
-@query("A25")
-def squad_totals(c: Corpus) -> DataFrame:
-    return rounded(rollups.squad_totals(readout(c)), "dps", "hps")
-
-
-@query("T10")
-def readout_role_counts(c: Corpus) -> DataFrame:
-    from frayline.operators import profiles
-
-    return profiles.role_counts(readout(c))

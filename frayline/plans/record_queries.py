@@ -103,7 +103,7 @@ def record_scalars(c: Corpus) -> DataFrame:
     )
 
 
-@query("C16 C30 A30", """
+@query("C16 A30", """
     SELECT fight_id, seq, CASE WHEN is_condition THEN connected WHEN connected THEN true WHEN buff_dmg > 0 THEN damage > 0 ELSE result IN (0, 1, 2, 8, 10) END AS landed,
       CASE WHEN is_condition THEN absorbed ELSE absorbed OR result = 6 END AS absorbed,
       CASE WHEN (is_condition OR buff_dmg > 0) AND NOT is_life_leech THEN least(damage, buff_dmg) ELSE 0 END AS condition_damage,

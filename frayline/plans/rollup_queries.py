@@ -97,10 +97,9 @@ _CONDI = """
     SELECT fight_id, CAST(sum(condi) AS BIGINT) AS condi_total, CAST(sum(damage - condi) AS BIGINT) AS power_total
     FROM ({_CONDI}) h GROUP BY fight_id""")
 def condition_power_split(c: Corpus) -> DataFrame:
-    hits = rollups.with_condition_context(c.events(["DAMAGE"]), c.fights(), c.skills())
-    return hits.groupBy("fight_id").agg(
-        F.sum("condi_part").cast("bigint").alias("condi_total"),
-        F.sum(F.col("damage") - F.col("condi_part")).cast("bigint").alias("power_total"),
+    split = rollups.condition_split(c.events(["DAMAGE"]), c.fights(), c.skills())
+    return split.groupBy("fight_id").agg(
+        F.sum("condi").cast("bigint").alias("condi_total"), F.sum(F.col("damage") - F.col("condi")).cast("bigint").alias("power_total")
     )
 
 
@@ -114,8 +113,8 @@ def condition_power_split(c: Corpus) -> DataFrame:
     LEFT JOIN durations d ON h.fight_id = d.fight_id
     LEFT JOIN agents a ON h.fight_id = a.fight_id AND h.source_agent_id = a.agent_id""")
 def player_damage(c: Corpus) -> DataFrame:
-    hits = rollups.with_condition_context(c.events(["DAMAGE"]), c.fights(), c.skills())
-    rows = rollups.player_damage(hits, fight_seconds(c), c.agents(), F.col("condi_part"))
+    split = rollups.condition_split(c.events(["DAMAGE"]), c.fights(), c.skills())
+    rows = rollups.player_damage_split(split, fight_seconds(c), c.agents())
     return rounded(rows, "dps", "power_dps", "condi_dps")
 
 

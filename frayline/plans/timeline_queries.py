@@ -90,9 +90,9 @@ def _day_points(c: Corpus) -> DataFrame:
 
 
 @query("W4", f"""
-    WITH contrib AS ({CONTRIB}), dd AS ({_DAYS})
+    WITH contrib AS ({CONTRIB}), dys AS ({_DAYS})
     SELECT account_name, strftime(local_day, '%Y-%m-%d') AS local_day, fight_id, total_damage, total_healing, total_buff_removal,
-      strftime(CAST(local_day AS TIMESTAMP) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS started_at FROM dd""")
+      strftime(CAST(local_day AS TIMESTAMP) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS started_at FROM dys""")
 def account_days(c: Corpus) -> DataFrame:
     # January in New York is UTC-5 throughout, which is what the SQL twin uses
     rows = _day_points(c)
@@ -137,20 +137,20 @@ def cross_account_timelines(c: Corpus) -> DataFrame:
 
 
 @query("W7", f"""
-    WITH contrib AS ({CONTRIB}), dd AS ({_DAYS})
-    SELECT a.account_name, strftime(d.local_day, '%Y-%m-%d') AS local_day, dd.total_damage
-    FROM (SELECT DISTINCT local_day FROM dd) d CROSS JOIN (SELECT DISTINCT account_name FROM dd) a
-    LEFT JOIN dd ON dd.account_name = a.account_name AND dd.local_day = d.local_day""")
+    WITH contrib AS ({CONTRIB}), dys AS ({_DAYS})
+    SELECT a.account_name, strftime(d.local_day, '%Y-%m-%d') AS local_day, dys.total_damage
+    FROM (SELECT DISTINCT local_day FROM dys) d CROSS JOIN (SELECT DISTINCT account_name FROM dys) a
+    LEFT JOIN dys ON dys.account_name = a.account_name AND dys.local_day = d.local_day""")
 def aligned_account_days(c: Corpus) -> DataFrame:
     rows = timelines.aligned_days(_day_points(c))
     return rows.withColumn("local_day", F.date_format("local_day", "yyyy-MM-dd"))
 
 
 @query("W12", f"""
-    WITH contrib AS ({CONTRIB}), dd AS ({_DAYS}), al AS (
-      SELECT a.account_name, d.local_day, dd.total_damage
-      FROM (SELECT DISTINCT local_day FROM dd) d CROSS JOIN (SELECT DISTINCT account_name FROM dd) a
-      LEFT JOIN dd ON dd.account_name = a.account_name AND dd.local_day = d.local_day),
+    WITH contrib AS ({CONTRIB}), dys AS ({_DAYS}), al AS (
+      SELECT a.account_name, d.local_day, dys.total_damage
+      FROM (SELECT DISTINCT local_day FROM dys) d CROSS JOIN (SELECT DISTINCT account_name FROM dys) a
+      LEFT JOIN dys ON dys.account_name = a.account_name AND dys.local_day = d.local_day),
     rr AS (SELECT *, count(*) FILTER (total_damage IS NULL) OVER (PARTITION BY account_name ORDER BY local_day) AS run FROM al)
     SELECT account_name, run, strftime(min(local_day), '%Y-%m-%d') AS run_start, strftime(max(local_day), '%Y-%m-%d') AS run_end,
       count(*) AS points FROM rr WHERE total_damage IS NOT NULL GROUP BY 1, 2""")

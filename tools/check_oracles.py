@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -37,6 +39,35 @@ def cell(v):
     return str(v)
 
 
+def check(spark, con, folder: str, q) -> int:
+    """Print one line for a query; 1 when it fails."""
+    start = time.time()
+    try:
+        got = q.run(spark, folder).toPandas()
+    except Exception as err:  # noqa: BLE001
+        print(f"ERROR {q.name}: {str(err)[:900]}", flush=True)
+        return 1
+    took = time.time() - start
+    if q.sql is None:
+        print(f"rows  {q.name}: {len(got)} rows {took:.1f}s", flush=True)
+        return 0
+    try:
+        want = con.execute(q.sql).df()
+    except Exception as err:  # noqa: BLE001
+        print(f"SQLERR {q.name}: {str(err)[:700]}", flush=True)
+        return 1
+    if sorted(got.columns) != sorted(want.columns):
+        print(f"COLS  {q.name}: {sorted(got.columns)} vs {sorted(want.columns)}", flush=True)
+        return 1
+    a, b = normal(got), normal(want)
+    if a == b:
+        print(f"ok    {q.name}: {len(a)} rows {took:.1f}s", flush=True)
+        return 0
+    diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
+    print(f"DIFF  {q.name}: {len(a)} vs {len(b)} rows; cols {sorted(got.columns)}; {diff}", flush=True)
+    return 1
+
+
 def main() -> int:
     folder, names = sys.argv[1], sys.argv[2:]
     registry = load_queries()
@@ -47,37 +78,8 @@ def main() -> int:
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
-    bad = 0
-    for name in names or list(registry):
-        q = registry[name]
-        start = time.time()
-        try:
-            got = q.run(spark, folder).toPandas()
-        except Exception as err:  # noqa: BLE001
-            bad += 1
-            print(f"ERROR {name}: {str(err)[:900]}")
-            continue
-        took = time.time() - start
-        if q.sql is None:
-            print(f"rows  {name}: {len(got)} rows {took:.1f}s")
-            continue
-        try:
-            want = con.execute(q.sql).df()
-        except Exception as err:  # noqa: BLE001
-            bad += 1
-            print(f"SQLERR {name}: {str(err)[:700]}")
-            continue
-        if sorted(got.columns) != sorted(want.columns):
-            bad += 1
-            print(f"COLS  {name}: {sorted(got.columns)} vs {sorted(want.columns)}")
-            continue
-        a, b = normal(got), normal(want)
-        if a == b:
-            print(f"ok    {name}: {len(a)} rows {took:.1f}s")
-        else:
-            bad += 1
-            diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
-            print(f"DIFF  {name}: {len(a)} vs {len(b)} rows; cols {sorted(got.columns)}; {diff}")
+    with ThreadPoolExecutor(int(os.environ.get("CHECK_THREADS", "1"))) as pool:
+        bad = sum(pool.map(lambda name: check(spark, con.cursor(), folder, registry[name]), names or list(registry)))
     print("bad:", bad)
     return 1 if bad else 0
 
