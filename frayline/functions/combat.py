@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from frayline.functions import lookups as L
 
 
+def _sql(value) -> str:
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(_sql(v) for v in value)})"
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
 def lookup(mapping: Mapping, key: Column) -> Column:
     """Value of a small fixed mapping, null when the key is absent."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.create_map(*pairs)[key]
+    pairs = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in mapping.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def safe_rate(total: Column, seconds: Column) -> Column:

@@ -13,22 +13,6 @@ from frayline.functions import lookups as L
 from frayline.functions.combat import lookup
 
 
-def _role_array(names: list[str]) -> Column:
-    return F.array(*[F.lit(n) for n in names])
-
-
-def _capabilities(spec: Column) -> Column:
-    """Roles the specialisation can play, null when it has no entry."""
-    by_roles: dict[tuple[str, ...], list[str]] = {}
-    for name, roles in L.SPEC_CAPABILITIES.items():
-        by_roles.setdefault(tuple(roles), []).append(name)
-    out = None
-    for roles, names in by_roles.items():
-        hit = spec.isin(names)
-        out = F.when(hit, _role_array(list(roles))) if out is None else out.when(hit, _role_array(list(roles)))
-    return out
-
-
 def effort_shares(df: DataFrame, damage: str, healing: str, removal: str) -> DataFrame:
     """Weighted effort per axis and its share of the total (0 when there is none)."""
     weights = L.EFFORT_WEIGHTS
@@ -68,7 +52,7 @@ def with_role(
     df = df.withColumns(
         {
             "_hint": F.coalesce(lookup(L.SPEC_HINT, F.col("_spec")), lookup(L.PROFESSION_HINT, F.col("_prof"))),
-            "_caps": _capabilities(F.col("_spec")),
+            "_caps": lookup(L.SPEC_CAPABILITIES, F.col("_spec")),
         }
     )
     r_damage, r_heal, r_strip = F.col("r_damage"), F.col("r_heal"), F.col("r_strip")

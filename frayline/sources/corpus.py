@@ -114,6 +114,7 @@ class Corpus:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._events: dict[tuple[str, ...] | None, DataFrame] = {}
         self._extra = ["cast(ts AS timestamp) AS ts"] if timestamps else []
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -153,10 +154,14 @@ class Corpus:
 
     def events(self, kinds: Iterable[str] | None = None) -> DataFrame:
         """Combat events; ids come from stored columns only, so predicates inferred on them stay small at the scan."""
-        df = self.base(kinds)
+        wanted = None if kinds is None else tuple(sorted(kinds))
+        if wanted in self._events:
+            return self._events[wanted]
+        df = self.base(wanted)
         columns = [f"{sql} AS {name}" for name, sql in EVENT_COLUMNS.items()]
         kept = ["ts"] if self._extra else []
-        return df.selectExpr("fight_id", "seq", "time_ms", "event_type", *kept, *columns)
+        self._events[wanted] = df.selectExpr("fight_id", "seq", "time_ms", "event_type", *kept, *columns)
+        return self._events[wanted]
 
     # -- dimensions ----------------------------------------------------------
     def agents(self) -> DataFrame:
