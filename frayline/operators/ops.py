@@ -10,6 +10,8 @@ from frayline.operators.rollups import count_where
 MAX_ATTEMPTS = 3
 # --- fixed values: seconds to wait before the next attempt ----------------
 BACKOFF_S = {1: 1, 2: 10, 3: 100}
+# --- fixed value: message of a swept upload --------------------------------
+STUCK_MESSAGE = "stuck-pending-sweeper: no completion signal within {seconds}s (worker died or Redis lost the job)"
 # --- fixed values: upper bounds of the job duration histogram -------------
 DURATION_BOUNDS = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0]
 
@@ -103,7 +105,7 @@ def backfill_counts(fights: DataFrame, summaries: DataFrame, agents: DataFrame)
 def sweep_stuck(uploads: DataFrame, now: Column, threshold_s: int) -> DataFrame:
     """Pending uploads older than the threshold become failed, with a message."""
     stuck = (F.col("status") == "pending") & (F.col("uploaded_at") < now - F.make_dt_interval(secs=F.lit(threshold_s)))
-    message = f"stuck-pending-sweeper: no completion signal within {threshold_s}s (worker died or Redis lost the job)"
+    message = STUCK_MESSAGE.format(seconds=threshold_s)
     return uploads.withColumns(
         {
             "error_message": F.when(stuck, message).otherwise(F.col("error_message")),

@@ -102,14 +102,14 @@ def content_collisions(c: Corpus) -> DataFrame:
 @query("S12", """
     WITH fr AS (SELECT l_orderkey AS upload_id, count(*) - 1 AS ignored_fights, min(l_linenumber) AS n FROM lineitem GROUP BY 1),
     f AS (SELECT DISTINCT ON (l_orderkey) l_orderkey AS upload_id, l_linenumber, l_partkey, l_suppkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey),
-    x AS (SELECT fr.upload_id, ignored_fights, 'f' || l_partkey AS fight_id, CASE WHEN l_partkey % 11 = 0 THEN 'EvtcParseError: truncated' WHEN l_partkey % 7 = 0 THEN 'parser yielded fight without header'
+    x AS (SELECT fr.upload_id, ignored_fights, 'f' || l_partkey AS fight_id, CASE WHEN l_partkey % 11 = 0 THEN 'ParseError: truncated' WHEN l_partkey % 7 = 0 THEN 'parser yielded fight without header'
         WHEN l_partkey % 5 = 0 THEN 'The content is already analyzed as fight f' || l_partkey END AS error_message FROM fr JOIN f ON fr.upload_id = f.upload_id)
     SELECT upload_id, fight_id, ignored_fights, CASE WHEN error_message IS NULL THEN 'completed' ELSE 'failed' END AS status, error_message, CASE WHEN error_message IS NULL THEN 'v1' END AS parser_version FROM x""")
 def parse_outcomes(c: Corpus) -> DataFrame:
     """Line items of an order are the fights its parse yielded."""
     line = "l_linenumber * 10000000000L + l_partkey * 100000L + l_suppkey"
     attempts = c.table("lineitem").selectExpr(
-        "l_orderkey AS upload_id", "if(l_partkey % 11 = 0, 'EvtcParseError', NULL) AS error_class", "if(l_partkey % 11 = 0, 'truncated', NULL) AS error_text",
+        "l_orderkey AS upload_id", "if(l_partkey % 11 = 0, 'ParseError', NULL) AS error_class", "if(l_partkey % 11 = 0, 'truncated', NULL) AS error_text",
         f"{line} AS fight_no", "concat('f', l_partkey) AS fight_id", "l_partkey % 7 <> 0 AS has_header", "l_partkey % 5 = 0 AS collides",
     )
     return ops.parse_outcomes(attempts, "v1")
