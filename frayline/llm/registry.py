@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import importlib
+import pkgutil
 
-MODULES = [
-    "op1_queries", "op2_queries", "op3_queries", "op4_queries", "op5_queries",
-    "op6_queries", "op7_queries", "op8_queries", "op9_queries", "op10_queries",
-]
+from frayline.llm import queries as modules
+
+
+def _modules() -> list:
+    names = sorted(m.name for m in pkgutil.iter_modules(modules.__path__))
+    return [importlib.import_module(f"{modules.__name__}.{name}") for name in names]
 
 
 def queries() -> dict:
-    found = {}
-    for name in MODULES:
-        found |= importlib.import_module(f"frayline.llm.queries.{name}").QUERIES
-    return found
+    return {name: run for m in _modules() for name, run in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {}
-    for name in MODULES:
-        found |= getattr(importlib.import_module(f"frayline.llm.queries.{name}"), "SQL", {})
-    return found
+    return {name: sql for m in _modules() for name, sql in getattr(m, "SQL", {}).items()}
