@@ -216,9 +216,9 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     a row that loses all its words goes."""
     names = documents.columns
     _, removed = repeats(documents, window)
-    removed = saved(removed.select("key", F.col("kept").alias("__kept")))
+    removed = saved(removed.select(F.col("key").alias("__key"), F.col("kept").alias("__kept")))
     keyed = documents.withColumn("__key", F.xxhash64("text", F.octet_length("text")))
-    joined = keyed.join(removed, keyed["__key"] == removed["key"], "left").filter("__kept is null or __kept <> ''")
+    joined = keyed.join(removed, "__key", "left").filter("__kept is null or __kept <> ''")
     return joined.withColumn("text", F.coalesce("__kept", "text")).select(*names)
 
 
