@@ -114,12 +114,11 @@ def sweep_stuck(uploads: DataFrame, now: Column, threshold_s: int) -> DataFrame:
     )
 
 
-def expired_failures(uploads: DataFrame, fights: DataFrame, now: Column, retention_days: int, prefix: str, batch: int) -> DataFrame:
-    """The next batch (oldest first) of expired failed uploads without a dependent fight."""
+def expired_failures(uploads: DataFrame, fights: DataFrame, now: Column, retention_days: int, prefix: str) -> DataFrame:
+    """All expired failed uploads without a dependent fight."""
     old = (F.col("status") == "failed") & (F.col("uploaded_at") < now - F.make_dt_interval(days=F.lit(retention_days)))
     rows = uploads.filter(old & F.col("error_message").startswith(prefix))
-    rows = rows.join(fights.select(F.col("upload_id").alias("id")), "id", "left_anti")
-    return rows.orderBy("uploaded_at", "id").limit(batch)
+    return rows.join(fights.select(F.col("upload_id").alias("id")), "id", "left_anti")
 
 
 def without(rows: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frayline.operators.scan import CHUNK_MS, Running, running
@@ -11,20 +11,22 @@ FIGHT = "fight_id"
 SAMPLE_MS = 500
 SAMPLE_LIMIT = 2000
 FILL_BUCKET_MS = 10_000
+CHUNK_STEPS = 10_000
 
 
-def downsample(positions: DataFrame, step_ms: int = SAMPLE_MS, limit: int = SAMPLE_LIMIT) -> DataFrame:
-    """Last sample per step, then at most ``limit`` per agent at indexes floor(n*i/limit).
+def downsample(positions: DataFrame, step_ms: int = SAMPLE_MS, limit: int | None = None) -> DataFrame:
+    """Last sample per step; for display, ``limit`` leaves at most that many per agent, at indexes floor(n*i/limit).
 
-    A sample with index j stays when j = floor(n*i/limit) for some i, which can be
+    Metrics take all samples. A sample with index j stays when j = floor(n*i/limit) for some i, which can be
     tested on the row itself. The ranking runs over steps, not samples.
     """
     last = positions.groupBy(FIGHT, "agent_id", F.floor(F.col("time_ms") / step_ms).alias("step")).agg(
         F.max_by(F.struct("time_ms", "x", "y"), F.struct("time_ms", "seq")).alias("s")
     )
+    if limit is None:
+        return last.select(FIGHT, "agent_id", "s.time_ms", "s.x", "s.y")
     sizes = last.groupBy(FIGHT, "agent_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(FIGHT, "agent_id").orderBy("step")
-    rows = last.join(sizes, [FIGHT, "agent_id"]).withColumn("j", F.row_number().over(w) - 1)
+    rows = running(last.join(sizes, [FIGHT, "agent_id"]), [FIGHT, "agent_id"], [Running("j", "before", F.lit(1))], ("step",), CHUNK_STEPS)
     i = F.ceil(F.col("j") * limit / F.col("n"))
     kept = (F.col("n") <= limit) | ((i < limit) & (F.floor(F.col("n") * i / limit) == F.col("j")))
     return rows.filter(kept).select(FIGHT, "agent_id", "s.time_ms", "s.x", "s.y")
@@ -85,7 +87,7 @@ def commander_distance(samples: DataFrame, commanders: DataFrame) -> DataFrame:
 
 
 def position_rows(samples: DataFrame, players: DataFrame, metrics: DataFrame, commander: DataFrame) -> DataFrame:
-    """One row per player with its (at most ``SAMPLE_LIMIT``) samples and spacing metrics."""
+    """One row per player with its samples (thinned for display) and spacing metrics."""
     arrays = samples.groupBy(FIGHT, "agent_id").agg(F.sort_array(F.collect_list(F.struct("time_ms", "x", "y"))).alias("samples"))
     rows = arrays.join(players.select(FIGHT, "agent_id", "account_name", "name"), [FIGHT, "agent_id"])
     return rows.join(metrics, [FIGHT, "agent_id"], "left").join(commander, [FIGHT, "agent_id"], "left")

@@ -96,8 +96,12 @@ def _combine(step: Running, local: Column, carry: Column) -> Column:
 
 
 def _co_located(chunked: DataFrame, keys: list[str]) -> DataFrame:
-    """One shuffle by (keys, chunk) that the row side and the summary side both read."""
-    return chunked.repartition(*keys, "_chunk")
+    """One shuffle by (keys, chunk) that the row side and the summary side both read.
+
+    The pair is one struct: structs with nulls inside are equal to each other, so rows with a null key or a null time
+    keep their carry in a plain equi-join.
+    """
+    return chunked.withColumn("_place", F.struct(*keys, "_chunk")).repartition("_place")
 
 
 def _whole_row(chunked: DataFrame, place: Column) -> Column:
@@ -123,19 +127,19 @@ def running(
         w = Window.partitionBy(*keys).orderBy(*ordering)
         return df.withColumns({s.name: _local(s, w) for s in steps})
     chunked = _co_located(df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk_ms)), keys)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*ordering)
+    w = Window.partitionBy("_place").orderBy(*ordering)
     local = chunked.withColumns({f"_l_{s.name}": _local(s, w) for s in steps})
     place = F.struct(*ordering)
-    chunks = chunked.groupBy(*keys, "_chunk").agg(
+    chunks = chunked.groupBy("_place").agg(
         *[_summary(s, place).alias(f"_s_{s.name}") for s in steps], _whole_row(chunked, place)
-    )
+    ).select("*", "_place.*")
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
     carries = chunks.filter("_whole is not null").select(
-        *keys, "_chunk", *[_carry(s, f"_s_{s.name}", over_chunks).alias(f"_c_{s.name}") for s in steps]
+        "_place", *[_carry(s, f"_s_{s.name}", over_chunks).alias(f"_c_{s.name}") for s in steps]
     )
-    rows = local.join(carries, [*keys, "_chunk"])
+    rows = local.join(carries, "_place")
     rows = rows.withColumns({s.name: _combine(s, F.col(f"_l_{s.name}"), F.col(f"_c_{s.name}")) for s in steps})
-    return rows.drop("_chunk", *[f"_l_{s.name}" for s in steps], *[f"_c_{s.name}" for s in steps])
+    return rows.drop("_place", "_chunk", *[f"_l_{s.name}" for s in steps], *[f"_c_{s.name}" for s in steps])
 
 
 def clamped_sum(
@@ -163,14 +167,14 @@ def clamped_sum(
         }
     ).withColumn("_d", F.when(F.col("_reset"), F.lit(0)).otherwise(delta).cast("bigint"))
     rows = _co_located(rows, keys)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*ordering).rowsBetween(_UNBOUNDED, Window.currentRow)
+    w = Window.partitionBy("_place").orderBy(*ordering).rowsBetween(_UNBOUNDED, Window.currentRow)
     rows = rows.withColumn("_r", F.sum(F.col("_reset").cast("int")).over(w))
-    wr = Window.partitionBy(*keys, "_chunk", "_r").orderBy(*ordering).rowsBetween(_UNBOUNDED, Window.currentRow)
+    wr = Window.partitionBy("_place", "_r").orderBy(*ordering).rowsBetween(_UNBOUNDED, Window.currentRow)
     rows = rows.withColumn("_p", F.sum("_d").over(wr)).withColumn("_q", F.min("_p").over(wr))
     place = F.struct("_r", *ordering)
-    chunks = rows.groupBy(*keys, "_chunk").agg(
+    chunks = rows.groupBy("_place").agg(
         F.max("_r").alias("resets"), F.max_by("_p", place).alias("p"), F.max_by("_q", place).alias("q"), _whole_row(rows, place)
-    ).filter("_whole is not null")
+    ).filter("_whole is not null").select("*", "_place.*")
     # a chunk with a reset ends at a known level; others add p and lift the level to at least p - q
     known = F.col("resets") > 0
     level = F.col("p") - F.least(F.col("q"), F.lit(0))
@@ -187,11 +191,11 @@ def clamped_sum(
     chunks = chunks.withColumn("_low", F.min(floor_at).over(we))
     chunks = chunks.withColumn("_end", F.col("_b") + F.greatest(F.col("_start"), -F.col("_low")))
     wl = Window.partitionBy(*keys).orderBy("_chunk")
-    carries = chunks.select(*keys, "_chunk", F.coalesce(F.lag("_end").over(wl), F.lit(0)).alias("_in"))
-    rows = rows.join(carries, [*keys, "_chunk"])
+    carries = chunks.select("_place", F.coalesce(F.lag("_end").over(wl), F.lit(0)).alias("_in"))
+    rows = rows.join(carries, "_place")
     base = F.when(F.col("_r") == 0, F.col("_in")).otherwise(F.lit(0))
     rows = rows.withColumn(out, F.col("_p") + F.greatest(base, -F.col("_q")))
-    return rows.drop("_chunk", "_reset", "_d", "_r", "_p", "_q", "_in")
+    return rows.drop("_place", "_chunk", "_reset", "_d", "_r", "_p", "_q", "_in")
 
 
 def timeline_union(left: DataFrame, right: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:

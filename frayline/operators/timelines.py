@@ -1,19 +1,22 @@
 """Tumbling windows and timelines.
 
-Zero-fill is built from one row per series (its last bucket) exploded over a
-``sequence`` that the bucket cap bounds, joined with the already aggregated
-buckets. Events themselves are only ever aggregated.
+Zero-fill is built from one row per series (its last bucket), exploded in two
+steps of bounded or short arrays, joined with the already aggregated buckets.
+Events themselves are only ever aggregated. Long fights are filled like others;
+``oversized`` reports those above the documented bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frayline.operators.rollups import sum_where
+from frayline.operators.scan import Running, running
 
 FIGHT = "fight_id"
 MAX_BUCKETS = 50_000
+STRETCH = 1_000
 SERIES = {"DAMAGE": "damage", "HEALING": "healing", "BUFF_REMOVAL": "buff_removal"}
 TOTALS = ["total_damage", "total_healing", "total_buff_removal"]
 
@@ -31,15 +34,17 @@ def _bucket(window_s: int) -> Column:
     return F.floor(F.col("time_ms") / (window_s * 1000))
 
 
-def _checked(last: Column, cap: int) -> Column:
-    message = F.concat(F.lit("too many buckets: "), (last + 1).cast("string"))
-    return F.when(last >= cap, F.raise_error(message).cast("bigint")).otherwise(last)
+def _frame(last_bucket: DataFrame) -> DataFrame:
+    """All buckets from 0 on: first the stretches of ``STRETCH`` buckets, then the buckets of each."""
+    start = F.col("_stretch") * STRETCH
+    stretches = last_bucket.withColumn("_stretch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_bucket") / STRETCH))))
+    return stretches.withColumn("bucket", F.explode(F.sequence(start, F.least(F.col("last_bucket"), start + STRETCH - 1)))).drop("last_bucket", "_stretch")
 
 
-def _frame(last_bucket: DataFrame, cap: int) -> DataFrame:
-    return last_bucket.withColumn(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), _checked(F.col("last_bucket"), cap)))
-    ).drop("last_bucket")
+def oversized(events: DataFrame, window_s: int = 5, bound: int = MAX_BUCKETS) -> DataFrame:
+    """Fights with more than ``bound`` buckets, as a wrong clock makes them: buckets needed."""
+    last = events.groupBy(FIGHT).agg((F.max(_bucket(window_s)) + 1).alias("buckets"))
+    return last.filter(F.col("buckets") > bound)
 
 
 def _filled(frame: DataFrame, buckets: DataFrame, keys: list[str], values: list[str], window_s: int) -> DataFrame:
@@ -52,22 +57,22 @@ def _filled(frame: DataFrame, buckets: DataFrame, keys: list[str], values: list[
     )
 
 
-def event_windows(events: DataFrame, window_s: int = 5, cap: int = MAX_BUCKETS) -> DataFrame:
+def event_windows(events: DataFrame, window_s: int = 5) -> DataFrame:
     """Half-open windows per fight from 0 to the last event of any kind, zero-filled."""
     buckets = events.groupBy(FIGHT, _bucket(window_s).alias("bucket")).agg(
         F.count(F.lit(1)).alias("event_count"), *_series()
     )
     last = buckets.groupBy(FIGHT).agg(F.max("bucket").alias("last_bucket"))
-    return _filled(_frame(last, cap), buckets, [FIGHT], ["event_count", *TOTALS], window_s)
+    return _filled(_frame(last), buckets, [FIGHT], ["event_count", *TOTALS], window_s)
 
 
-def fight_timeline(events: DataFrame, window_s: int = 5, cap: int = MAX_BUCKETS) -> DataFrame:
+def fight_timeline(events: DataFrame, window_s: int = 5) -> DataFrame:
     """The three value series only; other kinds neither count nor extend the timeline."""
     acting = events.filter(F.col("event_type").isin(list(SERIES)))
-    return event_windows(acting, window_s, cap).drop("event_count")
+    return event_windows(acting, window_s).drop("event_count")
 
 
-def player_timelines(events: DataFrame, players: DataFrame, window_s: int = 5, cap: int = MAX_BUCKETS) -> DataFrame:
+def player_timelines(events: DataFrame, players: DataFrame, window_s: int = 5) -> DataFrame:
     """One series per account, all padded to the fight's last bucket with player activity.
 
     Any event of a known player extends the timeline even when it adds nothing.
@@ -83,7 +88,7 @@ def player_timelines(events: DataFrame, players: DataFrame, window_s: int = 5, c
         F.sum("total_damage").alias("account_damage"), F.max("bucket").alias("account_last")
     )
     last = accounts.groupBy(FIGHT).agg(F.max("account_last").alias("last_bucket"))
-    frame = _frame(accounts.drop("account_last").join(last, FIGHT), cap)
+    frame = _frame(accounts.drop("account_last").join(last, FIGHT))
     return _filled(frame, buckets, [FIGHT, "account_name"], TOTALS, window_s)
 
 
@@ -133,12 +138,30 @@ def requested_accounts(spark, accounts: list[str], minimum: int = 2, maximum: in
     return spark.createDataFrame(list(enumerate(bare)), "position INT, account_name STRING")
 
 
-def aligned_days(series: DataFrame, value: str = "total_damage") -> DataFrame:
-    """Every account against the union of all days: one value or null."""
-    # the calendar is one row with an array of days, bounded by the calendar itself
-    calendar = series.agg(F.sort_array(F.collect_set("local_day")).alias("_days"))
-    frame = series.select("account_name").distinct().join(calendar).select("account_name", F.explode("_days").alias("local_day"))
-    return frame.join(series.select("account_name", "local_day", value), ["account_name", "local_day"], "left")
+def aligned_days(series: DataFrame, requested: DataFrame, value: str = "total_damage") -> DataFrame:
+    """The requested accounts (2 to 4, see :func:`requested_accounts`) on the union of their days: one value or null.
+
+    A day is expanded by the request's accounts, never by the accounts of the corpus.
+    """
+    own = series.join(requested.select("account_name"), "account_name", "left_semi").select("account_name", "local_day", value)
+    names = [r.account_name for r in requested.select("account_name").collect()]
+    frame = own.select("local_day").distinct().withColumn("account_name", F.explode(F.array(*map(F.lit, names))))
+    return frame.join(own, ["account_name", "local_day"], "left").select("account_name", "local_day", value)
+
+
+def day_runs(series: DataFrame, value: str = "total_damage") -> DataFrame:
+    """Runs of days without a missing one, per account, on the calendar of all accounts' days.
+
+    Days of one run have the same difference of calendar rank and own rank, so no account-by-day grid is made. The
+    calendar is a table of distinct days; own ranks are running counts.
+    """
+    calendar = series.select("local_day").distinct().withColumn("_all", F.lit(1)).withColumn("_time", F.unix_date("local_day").cast("bigint"))
+    ranks = running(calendar, ["_all"], [Running("day_rank", "sum", F.lit(1))], ("_time",), 1_000).select("local_day", "day_rank", "_time")
+    rows = series.filter(F.col(value).isNotNull()).select("account_name", "local_day").join(ranks, "local_day")
+    rows = running(rows, ["account_name"], [Running("own_rank", "sum", F.lit(1))], ("_time",), 1_000)
+    return rows.groupBy("account_name", (F.col("day_rank") - F.col("own_rank")).alias("run")).agg(
+        F.min("local_day").alias("run_start"), F.max("local_day").alias("run_end"), F.count(F.lit(1)).alias("points")
+    )
 
 
 # -- series reshaping -------------------------------------------------------------
@@ -158,9 +181,8 @@ def rebucket(series: DataFrame, keys: list[str], values: list[str], limit: int =
 def activity_gaps(series: DataFrame, keys: list[str], min_gap_ms: int = 30_000) -> DataFrame:
     """Stretches longer than ``min_gap_ms`` between active buckets, with their midpoints."""
     active = series.filter(" + ".join(TOTALS) + " > 0")
-    order = Window.partitionBy(*keys).orderBy("start_ms")  # at most MAX_BUCKETS rows per key
-    previous = F.lag("end_ms").over(order)
-    rows = active.withColumn("gap_start_ms", previous).withColumn("gap_ms", F.col("start_ms") - F.col("gap_start_ms"))
+    rows = running(active, keys, [Running("gap_start_ms", "prev", F.col("end_ms"))], ("start_ms",), 3_600_000)
+    rows = rows.withColumn("gap_ms", F.col("start_ms") - F.col("gap_start_ms"))
     return rows.filter(F.col("gap_ms") > min_gap_ms).select(
         *keys, "gap_start_ms", F.col("start_ms").alias("gap_end_ms"), "gap_ms",
         F.expr("(gap_start_ms + start_ms) div 2").alias("midpoint_ms"),
@@ -185,11 +207,3 @@ def log_scaled(series: DataFrame, keys: list[str], values: list[str]) -> DataFra
     rows = series.join(top, keys)
     return rows.withColumns({f"{v}_scaled": F.log10(F.col(v) + 1) / scale for v in values}).drop("_top")
 
-
-def value_runs(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Contiguous non-null stretches of each series: start, end, number of points."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = series.withColumn("run", F.count(F.when(F.col(value).isNull(), 1)).over(w))
-    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, "run").agg(
-        F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count(F.lit(1)).alias("points")
-    )

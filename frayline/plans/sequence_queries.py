@@ -79,7 +79,7 @@ _INTERVALS = """orig AS (SELECT fight_id, min(time) AS origin, max(time) AS last
       WHERE state <> 'gone' AND coalesce(nx, last) > time)"""
 _SPANS = """sp AS (SELECT a.fight_id, agent_id, min(time) - any_value(origin) AS first_ms, max(time) - any_value(origin) AS last_ms
     FROM (SELECT fight_id, time, src AS agent_id, statechange FROM raw UNION ALL SELECT fight_id, time, dst, statechange FROM raw) a
-    JOIN orig ON a.fight_id = orig.fight_id WHERE time > 0 AND agent_id BETWEEN 1 AND 11 AND statechange NOT IN (8, 19, 27) GROUP BY 1, 2)"""
+    JOIN orig ON a.fight_id = orig.fight_id WHERE time > 0 AND agent_id <> 0 AND (a.fight_id, agent_id) IN (SELECT (fight_id, agent_id) FROM agents) AND statechange NOT IN (8, 19, 27) GROUP BY 1, 2)"""
 
 
 def intervals(c: Corpus) -> DataFrame:
@@ -88,8 +88,9 @@ def intervals(c: Corpus) -> DataFrame:
 
 
 def spans(c: Corpus) -> DataFrame:
-    """Awareness of the agents 1 to 11 that records name (position records pack coordinates into dst)."""
-    return classify.awareness(c.raw_records().filter("statechange <> 19")).filter("agent_id between 1 and 11")
+    """Awareness of the known agents (position records pack coordinates into dst and name no agent there)."""
+    known = c.agents().select("fight_id", "agent_id")
+    return classify.awareness(c.raw_records().filter("statechange <> 19")).join(known, ["fight_id", "agent_id"], "left_semi")
 
 
 @query("C12", f"WITH {_INTERVALS} SELECT * FROM iv")
@@ -510,7 +511,8 @@ def commander_distances(c: Corpus) -> DataFrame:
     LEFT JOIN cd ON sa.fight_id = cd.fight_id AND sa.agent_id = cd.agent_id""")
 def player_positions(c: Corpus) -> DataFrame:
     track = samples(c)
-    rows = positions.position_rows(track, c.players(), positions.spacing(track, HOUR_MS, HOUR_MS), commander(c))
+    shown = positions.downsample(position_events(c), limit=positions.SAMPLE_LIMIT)
+    rows = positions.position_rows(shown, c.players(), positions.spacing(track, HOUR_MS, HOUR_MS), commander(c))
     text = F.transform("samples", lambda s: F.concat_ws(":", s["time_ms"], s["x"].cast("bigint"), s["y"].cast("bigint")))
     rows = rows.withColumn("samples", F.array_join(text, ";")).drop("agent_id")
     return rounded(rows, "dist_to_com", "stack_dist", "commander_dist")

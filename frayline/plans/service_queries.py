@@ -224,10 +224,10 @@ def pending_after_sweep(c: Corpus) -> DataFrame:
 
 @query("O2", f"""
     WITH {_UP} SELECT id FROM up WHERE status = 'failed' AND uploaded_at < {_NOW} - INTERVAL 90 DAY AND error_message LIKE 'Duplicate fight:%'
-      AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ORDER BY uploaded_at, id LIMIT 100""")
+      AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def expired_failures(c: Corpus) -> DataFrame:
     fights = c.table("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("upload_id"))
-    return ops.expired_failures(uploads(c), fights, now(), 90, "Duplicate fight:", 100).select("id")
+    return ops.expired_failures(uploads(c), fights, now(), 90, "Duplicate fight:").select("id")
 
 
 @query("O3 M3", f"""
@@ -443,14 +443,14 @@ _WINDOW_SUMS = """CAST(coalesce(sum(damage), 0) AS BIGINT) AS total_damage, CAST
 
 @query("X1", f"""
     WITH b AS (SELECT ev.fight_id, date_trunc('hour', ts) AS w, count(*) AS event_count, {_WINDOW_SUMS} FROM ev JOIN events ON event_id = seq GROUP BY 1, 2)
-    SELECT fight_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_count, total_damage, total_healing, total_buff_removal FROM b
-    WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+    SELECT fight_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_count, total_damage, total_healing, total_buff_removal FROM b""")
 def live_timeline(c: Corpus) -> DataFrame:
-    """Windows the watermark has closed once the stream is drained."""
-    events = StreamCorpus(c.spark, c.folder, timestamps=True).events()
+    """All windows of the drained stream, open ones with their newest state."""
+    stream = live.live_timeline(StreamCorpus(c.spark, c.folder, timestamps=True).events())
     folder = live.work_folder(c.spark, "live-timeline")
-    live.drain(live.live_timeline(events), folder)
-    return day(c.spark.read.parquet(f"{folder}/rows"), "window_start")
+    live.drain(stream, folder, live.batch_sink(f"{folder}/windows"), "update")
+    schema = "fight_id STRING, window_start TIMESTAMP, event_count BIGINT, total_damage BIGINT, total_healing BIGINT, total_buff_removal BIGINT"
+    return day(live.newest_rows(live.batch_table(c.spark, f"{folder}/windows", schema), ["fight_id", "window_start"]), "window_start")
 
 
 @query("X2", f"WITH {_UP} SELECT DISTINCT sha256 FROM up")
@@ -458,19 +458,17 @@ def live_ingest(c: Corpus) -> DataFrame:
     stream = live.stream_table(c.spark, c.folder, "orders").selectExpr("concat('h', o_custkey) AS sha256", "cast(o_orderdate AS timestamp) AS uploaded_at")
     folder = live.work_folder(c.spark, "live-ingest")
     live.drain(live.first_uploads(stream).select("sha256"), folder, live.ingest_batch(f"{folder}/uploads"))
-    return c.spark.read.parquet(f"{folder}/uploads").select("sha256")
+    return live.batch_table(c.spark, f"{folder}/uploads", "sha256 STRING").select("sha256")
 
 
 @query("X3", f"WITH contrib AS ({CONTRIB}) SELECT fight_id, account_name, total_damage, total_healing, total_buff_removal FROM contrib")
 def live_summaries(c: Corpus) -> DataFrame:
     folder = live.work_folder(c.spark, "live-summaries")
     players = c.players()
-    sink = live.refresh_summaries(
-        lambda batch: summaries.contributions(batch, players), lambda rows: files.replace_fights(rows, f"{folder}/summaries")
-    )
+    keys = ["fight_id", "account_name"]
+    sink = live.batch_sink(f"{folder}/summaries", lambda batch: summaries.contributions(batch, players).select(*keys, *timelines.TOTALS))
     live.drain(StreamCorpus(c.spark, c.folder).events(rollups.ACTION_KINDS), folder, sink)
-    rows = c.spark.read.parquet(f"{folder}/summaries")
-    return rows.select(F.col("fight_id").cast("string"), "account_name", *timelines.TOTALS)
+    return live.merged_summaries(c.spark, f"{folder}/summaries", keys, timelines.TOTALS)
 
 
 @query("X4", """
@@ -495,6 +493,6 @@ def live_sweep(c: Corpus) -> DataFrame:
         "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status", "cast(NULL AS string) AS error_message",
     )
     folder = live.work_folder(c.spark, "live-sweep")
-    store = lambda rows: rows.write.mode("append").parquet(f"{folder}/uploads")
-    live.drain(stream, folder, live.sweep_batch(now(), 86400, store))
-    return c.spark.read.parquet(f"{folder}/uploads").groupBy("status").agg(F.count(F.lit(1)).alias("uploads"))
+    live.drain(stream, folder, live.sweep_batch(now(), 86400, f"{folder}/uploads"))
+    schema = "id BIGINT, uploaded_at TIMESTAMP, status STRING, error_message STRING"
+    return live.batch_table(c.spark, f"{folder}/uploads", schema).groupBy("status").agg(F.count(F.lit(1)).alias("uploads"))

@@ -29,7 +29,13 @@ def _window_sql(where: str, count: bool) -> str:
 _ACTING = "WHERE event_type IN ('DAMAGE', 'HEALING', 'BUFF_REMOVAL')"
 
 
-@query("W1 V5 V7", _window_sql("", True))
+@query("V7", "SELECT fight_id, max(time_ms // 5000) + 1 AS buckets FROM ev GROUP BY 1 HAVING max(time_ms // 5000) + 1 > 10000")
+def oversized_timelines(c: Corpus) -> DataFrame:
+    """Fights with more than 10,000 windows of 5 s."""
+    return timelines.oversized(c.events(), bound=10_000)
+
+
+@query("W1 V5", _window_sql("", True))
 def event_windows(c: Corpus) -> DataFrame:
     return timelines.event_windows(c.events(), HOUR)
 
@@ -137,12 +143,13 @@ def cross_account_timelines(c: Corpus) -> DataFrame:
 
 
 @query("W7", f"""
-    WITH contrib AS ({CONTRIB}), dys AS ({_DAYS})
+    WITH contrib AS ({CONTRIB}), dys AS (SELECT * FROM ({_DAYS}) x WHERE account_name IN ('acct.1', 'acct.3'))
     SELECT a.account_name, strftime(d.local_day, '%Y-%m-%d') AS local_day, dys.total_damage
-    FROM (SELECT DISTINCT local_day FROM dys) d CROSS JOIN (SELECT DISTINCT account_name FROM dys) a
+    FROM (SELECT DISTINCT local_day FROM dys) d CROSS JOIN (SELECT unnest(['acct.3', 'acct.1', 'acct.none']) AS account_name) a
     LEFT JOIN dys ON dys.account_name = a.account_name AND dys.local_day = d.local_day""")
 def aligned_account_days(c: Corpus) -> DataFrame:
-    rows = timelines.aligned_days(_day_points(c))
+    wanted = timelines.requested_accounts(c.spark, ["acct.3", ":acct.1", "acct.none"])
+    rows = timelines.aligned_days(_day_points(c), wanted)
     return rows.withColumn("local_day", F.date_format("local_day", "yyyy-MM-dd"))
 
 
@@ -152,10 +159,10 @@ def aligned_account_days(c: Corpus) -> DataFrame:
       FROM (SELECT DISTINCT local_day FROM dys) d CROSS JOIN (SELECT DISTINCT account_name FROM dys) a
       LEFT JOIN dys ON dys.account_name = a.account_name AND dys.local_day = d.local_day),
     rr AS (SELECT *, count(*) FILTER (total_damage IS NULL) OVER (PARTITION BY account_name ORDER BY local_day) AS run FROM al)
-    SELECT account_name, run, strftime(min(local_day), '%Y-%m-%d') AS run_start, strftime(max(local_day), '%Y-%m-%d') AS run_end,
-      count(*) AS points FROM rr WHERE total_damage IS NOT NULL GROUP BY 1, 2""")
+    SELECT account_name, strftime(min(local_day), '%Y-%m-%d') AS run_start, strftime(max(local_day), '%Y-%m-%d') AS run_end,
+      count(*) AS points FROM rr WHERE total_damage IS NOT NULL GROUP BY account_name, run""")
 def account_day_runs(c: Corpus) -> DataFrame:
-    rows = timelines.value_runs(timelines.aligned_days(_day_points(c)), ["account_name"], "local_day", "total_damage")
+    rows = timelines.day_runs(_day_points(c)).drop("run")
     return rows.withColumns({n: F.date_format(n, "yyyy-MM-dd") for n in ("run_start", "run_end")})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,10 +70,13 @@ def parse_catalogue(lines: DataFrame, order: Column) -> DataFrame:
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """NDJSON catalogue; a missing file is an empty catalogue."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    try:
+        stored = spark.read.text(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CATALOGUE_DDL)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    lines = stored.select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
     return parse_catalogue(lines, F.struct("_f", "_b", F.monotonically_increasing_id()))
 
 
@@ -128,9 +132,8 @@ def upsert_summaries(spark: SparkSession, path: str, rows: DataFrame, keys: list
     Dynamic overwrite stages its files before swapping partitions, so reading the
     touched partitions of the same table is safe.
     """
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
-        stored = spark.read.parquet(path).withColumn("fight_id", F.col("fight_id").cast("string"))
-        touched = stored.join(rows.select("fight_id").distinct(), "fight_id", "left_semi")
-        rows = upserted(touched.select(*rows.columns), rows, list(keys))
-    replace_fights(rows, path)
+    # an empty append makes the table where it is not there yet
+    rows.limit(0).write.mode("append").partitionBy("fight_id").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path).withColumn("fight_id", F.col("fight_id").cast("string"))
+    touched = stored.join(rows.select("fight_id").distinct(), "fight_id", "left_semi")
+    replace_fights(upserted(touched.select(*rows.columns), rows, list(keys)), path)

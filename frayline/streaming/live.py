@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,32 +43,51 @@ def first_uploads(uploads: DataFrame, time: str = "uploaded_at", delay: str = "7
     return uploads.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: append hashes not stored yet. Each batch owns a folder, so a replayed batch rewrites itself."""
+def batch_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches below ``path``, which is made when it is not there yet."""
+    spark.createDataFrame([], f"{schema}, batch_id BIGINT").write.mode("append").partitionBy("batch_id").parquet(path)
+    return spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
+
+
+def own_folder(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Each batch owns a folder, so a replayed batch rewrites itself."""
+    rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("batch_id").parquet(path)
+
+
+def batch_sink(path: str, step: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: ``step`` of every batch, kept once however often the batch is replayed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        rows = batch
-        if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-            stored = spark.read.schema("sha256 STRING, batch_id BIGINT").parquet(path).filter(F.col("batch_id") != batch_id)
-            rows = batch.join(stored.select("sha256"), "sha256", "left_anti")
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(path)
+        own_folder(step(batch), path, batch_id)
 
     return write
 
 
-def refresh_summaries(summarise: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: recompute the fights of the batch and replace their rows (idempotent)."""
+def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: append hashes that no other batch has stored."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store(summarise(batch))
+        stored = batch_table(batch.sparkSession, path, "sha256 STRING").filter(F.col("batch_id") != batch_id)
+        own_folder(batch.join(stored.select("sha256"), "sha256", "left_anti"), path, batch_id)
 
     return write
 
 
+def merged_summaries(spark: SparkSession, path: str, keys: list[str], totals: list[str]) -> DataFrame:
+    """Summaries from the partial sums each batch has left: a fight may arrive in any number of batches."""
+    parts = batch_table(spark, path, ", ".join([f"{k} STRING" for k in keys] + [f"{t} BIGINT" for t in totals]))
+    return parts.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in totals])
+
+
+def newest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows an updating stream has left per key, those of the last batch."""
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 HISTORY_DDL = "fight_id STRING, agent_id BIGINT, buff_id BIGINT, seq BIGINT, time_ms BIGINT, stacks BIGINT"
 STATE_DDL = "level BIGINT, times ARRAY<BIGINT>, seqs ARRAY<BIGINT>, kinds ARRAY<STRING>, amounts ARRAY<BIGINT>"
 
@@ -119,26 +137,24 @@ def live_stack_history(events: DataFrame, event_time: str = "ts", delay: str = "
     )
 
 
-def sweep_batch(now: Column, threshold_s: int, store: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+def sweep_batch(now: Column, threshold_s: int, path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: stuck uploads of the batch become failed."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store(ops.sweep_stuck(batch, now, threshold_s))
-
-    return write
+    return batch_sink(path, lambda batch: ops.sweep_stuck(batch, now, threshold_s))
 
 
-def drain(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:
+def drain(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
     """Process what is available now: into parquet under ``folder``/rows, or through a batch sink."""
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress")
     if sink is None:
         writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
     else:
-        writer.foreachBatch(sink).start().awaitTermination()
+        writer.outputMode(mode).foreachBatch(sink).start().awaitTermination()
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder; a local one only where none is configured (tests)."""
-    shared = checkpoint_dir(spark)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="frayline-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in shared storage: the checkpoint folder, else the streaming checkpoint location, else the warehouse."""
+    settings = (checkpoint_dir(spark), spark.conf.get("spark.sql.streaming.checkpointLocation", None), spark.conf.get("spark.sql.warehouse.dir", None))
+    base = next((s for s in settings if s), None)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir, spark.sql.streaming.checkpointLocation or spark.sql.warehouse.dir to shared storage")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -65,8 +65,7 @@ def test_sweeps(spark):
     swept = {r.id: r.status for r in ops.sweep_stuck(df, now, 50 * 86400).collect()}
     assert swept == {1: "pending", 2: "failed", 3: "failed", 4: "failed", 5: "failed", 6: "failed"}
     fights = spark.createDataFrame([(6,)], "upload_id BIGINT")
-    assert [r.id for r in ops.expired_failures(df, fights, now, 90, "Duplicate fight:", 1).collect()] == [5]
-    gone = ops.expired_failures(df, fights, now, 90, "Duplicate fight:", 10)
+    gone = ops.expired_failures(df, fights, now, 90, "Duplicate fight:")
     assert sorted(r.id for r in ops.without(df, gone).collect()) == [1, 2, 4, 6]
 
 
@@ -113,6 +112,40 @@ def test_ingest_is_exactly_once_over_replayed_batches(spark, tmp_path):
     assert sorted(r.sha256 for r in spark.read.parquet(str(tmp_path / "u")).collect()) == ["a", "b", "c"]
 
 
+def test_summaries_over_several_and_replayed_batches(spark, tmp_path):
+    path = str(tmp_path / "s")
+    sink = live.batch_sink(path)
+    df = lambda *rows: spark.createDataFrame(rows, "fight_id STRING, account_name STRING, damage BIGINT")
+    sink(df(("f", "a", 100), ("f", "b", 1)), 0)
+    sink(df(("f", "a", 7)), 1)
+    sink(df(("f", "a", 7)), 1)
+    got = live.merged_summaries(spark, path, ["fight_id", "account_name"], ["damage"]).collect()
+    assert sorted(tuple(r) for r in got) == [("f", "a", 107), ("f", "b", 1)]
+
+
+def test_replayed_sweep_keeps_each_upload_once(spark, tmp_path):
+    path, now = str(tmp_path / "u"), F.lit("2026-01-03").cast("timestamp")
+    sink = live.sweep_batch(now, 3600, path)
+    df = spark.createDataFrame([(1, "pending", None)], "id BIGINT, status STRING, error_message STRING").withColumn("uploaded_at", F.lit("2026-01-01").cast("timestamp"))
+    for _ in range(2):
+        sink(df, 0)
+    schema = "id BIGINT, status STRING, error_message STRING, uploaded_at TIMESTAMP"
+    assert [r.status for r in live.batch_table(spark, path, schema).collect()] == ["failed"]
+
+
+def test_open_windows_come_out_with_their_newest_state(spark, tmp_path):
+    source, hour = str(tmp_path / "in"), 3_600_000
+    write_stream(spark, [hit(0, 1, 9, 1), hit(hour, 1, 9, 2)], source)
+    schema, work, path = spark.read.parquet(source).schema, str(tmp_path / "work"), str(tmp_path / "w")
+    run = lambda: live.drain(live.live_timeline(spark.readStream.schema(schema).parquet(source)), work, live.batch_sink(path), "update")
+    run()
+    write_stream(spark, [hit(hour + 1, 1, 9, 8)], source)
+    run()
+    rows = live.batch_table(spark, path, "fight_id STRING, window_start TIMESTAMP, event_count BIGINT, total_damage BIGINT, total_healing BIGINT, total_buff_removal BIGINT")
+    got = sorted((r.window_start.hour, r.total_damage) for r in live.newest_rows(rows, ["fight_id", "window_start"]).collect())
+    assert got == [(0, 1), (1, 10)]
+
+
 def test_content_hash_and_backoff(spark):
     row = spark.range(1).select(ops.content_hash(F.lit(b"x")).alias("h"), (ops.next_attempt_at(F.lit("2026-01-01").cast("timestamp"), F.lit(2)).cast("long") - F.lit("2026-01-01").cast("timestamp").cast("long")).alias("d")).first()
     assert row.d == 10 and len(row.h) == 64

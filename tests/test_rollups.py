@@ -65,13 +65,13 @@ def test_kill_participation_and_presence(spark):
     assert got == {1: 50.0, 2: 50.0}
 
 
-def test_windows_fill_gaps_and_respect_edges_and_cap(spark):
+def test_windows_fill_gaps_and_respect_edges(spark):
     df = event_frame(spark, [hit(0, 1, 9, 1), hit(4999, 1, 9, 2), hit(5000, 1, 9, 4), hit(16000, 1, 9, 8)])
     rows = timelines.event_windows(df, 5).orderBy("bucket").collect()
     assert [(r.start_ms, r.end_ms, r.total_damage, r.event_count) for r in rows] == [(0, 5000, 3, 2), (5000, 10000, 4, 1), (10000, 15000, 0, 0), (15000, 20000, 8, 1)]
     assert quality.bucket_gaps(timelines.event_windows(df, 5), ["fight_id"]).count() == 0
-    with pytest.raises(Exception, match="too many buckets"):
-        timelines.event_windows(df, 1, cap=10).collect()
+    assert timelines.event_windows(df, 1).count() == 17  # reported, not refused
+    assert [tuple(r) for r in timelines.oversized(df, 1, 10).collect()] == [("f1", 17)] and timelines.oversized(df, 1, 17).count() == 0
     with pytest.raises(ValueError):
         timelines.event_windows(df, 0)
 

@@ -68,3 +68,23 @@ def test_value_at_half_open_intervals(spark):
     p = spark.createDataFrame([("k", t, t) for t in times], "k STRING, time_ms BIGINT, seq BIGINT")
     got = {r.time_ms: r.o for r in value_at(p, s, ["k"], "owner", "o", 7).collect()}
     assert [got[t] for t in times] == [None, 1, 1, 2, 2, None, None, 3, 3, None]
+
+
+def test_rows_with_null_keys_or_times_keep_their_values(spark):
+    rows = [("a", 5, 0, 1), (None, 5, 1, 2), (None, 90, 2, 3), (None, None, 3, 4), ("a", None, 4, 5)]
+    df = spark.createDataFrame(rows, "k STRING, time_ms BIGINT, seq BIGINT, v BIGINT")
+    for chunk in (10, None):
+        got = {r.seq: r.x for r in running(df, ["k"], [Running("x", "sum", F.col("v"))], chunk_ms=chunk).collect()}
+        assert got == {0: 6, 1: 6, 2: 9, 3: 4, 4: 5}  # a null time comes first
+    got = {r.seq: r.level for r in clamped_sum(df, ["k"], F.col("v"), F.lit(False), "level", chunk_ms=10).collect()}
+    assert got == {0: 6, 1: 6, 2: 9, 3: 4, 4: 5}
+
+
+def test_lookups_of_null_keys(spark):
+    probes = spark.createDataFrame([(None, 5, 0), (None, 50, 1), ("a", 5, 2)], "k STRING, time_ms BIGINT, seq BIGINT")
+    spans = spark.createDataFrame([(None, 0, 10, 7)], "k STRING, start_ms BIGINT, end_ms BIGINT, v BIGINT")
+    marks = spark.createDataFrame([(None, 48)], "k STRING, time_ms BIGINT")
+    by_seq = lambda df: {r.seq: r.x for r in df.collect()}
+    assert by_seq(covered_by_any(probes, spans, ["k"], "x", 20)) == {0: True, 1: False, 2: False}
+    assert by_seq(value_at(probes, spans, ["k"], "v", "x", 20)) == {0: 7, 1: None, 2: None}
+    assert by_seq(near_any(probes, marks, ["k"], 3, "x", 20)) == {0: False, 1: True, 2: False}
