@@ -150,17 +150,44 @@ def enriched_agents(raw: DataFrame, agents: DataFrame) -> DataFrame:
     return agents.join(first, [FIGHT, "agent_id"], "left").join(team, [FIGHT, "agent_id"], "left")
 
 
+def _context_kind() -> Column:
+    """Which lookups a record's rules read: each record has one kind, most have 0 and read none."""
+    code, instant = F.col("statechange"), F.col("activation").between(1, 6)
+    return (
+        F.when(code.isin(45, 51, 60, 62), 1)
+        .when(code == 5, 2)
+        .when(code.isin(6, 57), 3)
+        .when((code == 0) & ~instant & F.col("buffremove").isin(2, 3), 4)
+        .when((F.col("src_master") != 0) & code.isin(0, 49), 5)
+        .otherwise(0)
+    )
+
+
 def with_context(raw: DataFrame) -> DataFrame:
-    """Everything the rules read besides the record itself."""
+    """Everything the rules read besides the record itself.
+
+    Records are parted by what they read, and only those parts are shuffled to their lookups: effects to definitions and
+    owners, downs to their pairs, spawns and missiles to owners, single removals to all-removals, records with a master
+    to the master. All others pass by.
+    """
     raw = fold_recoded(raw)
     found = _found_masters(raw, SEQ_CHUNK)
-    rows = raw.join(found.select(FIGHT, "seq", "master"), [FIGHT, "seq"], "left")
-    rows = rows.join(owners(found).withColumnRenamed("agent", "src"), [FIGHT, "src"], "left")
-    rows = rows.join(effect_guids(raw), [FIGHT, "skill"], "left")
-    rows = rows.join(down_durations(raw), [FIGHT, "src", "time"], "left")
-    rows = rows.withColumn("actor", F.coalesce("master", "src"))
+    masters = found.select(FIGHT, "seq", "master")
+    owned = owners(found).withColumnRenamed("agent", "src")
     cleared = all_removals(raw).withColumn("cleared", F.lit(True))
-    return rows.join(cleared, [FIGHT, "time", "actor", "skill"], "left").withColumn("cleared", F.coalesce("cleared", F.lit(False)))
+    kind = _context_kind()
+    part = lambda n: raw.filter(kind == n)
+    parts = [
+        part(1).join(effect_guids(raw), [FIGHT, "skill"], "left").join(owned, [FIGHT, "src"], "left"),
+        part(2).join(down_durations(raw), [FIGHT, "src", "time"], "left"),
+        part(3).join(owned, [FIGHT, "src"], "left").join(masters, [FIGHT, "seq"], "left"),
+        part(4).join(masters, [FIGHT, "seq"], "left").withColumn("actor", F.coalesce("master", "src")).join(cleared, [FIGHT, "time", "actor", "skill"], "left"),
+        part(5).join(masters, [FIGHT, "seq"], "left"),
+    ]
+    rows = part(0)
+    for more in parts:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.withColumns({"actor": F.coalesce("master", "src"), "cleared": F.coalesce("cleared", F.lit(False))})
 
 
 # tags a record can emit, with the event kind each becomes
