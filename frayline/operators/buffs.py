@@ -1,15 +1,14 @@
 """Buff stacks over time: histories, generation, and uptime from stack segments.
 
-Uptime is split in two jobs. Keys with plain applies that never overflow have
-closed forms (sums and running maxima). All other keys run the stack rules of
-:func:`fold_segments` over independent *episodes*: stretches between moments at
-which the key provably holds no stack. The fold streams sorted batches, so its
-memory is the stack list (at most the capacity), not the episode.
+Uptime runs the stack rules of :func:`fold_segments` over independent
+*episodes*: stretches between moments at which the key provably holds no stack.
+The fold streams sorted batches, so its memory is the stack list (at most the
+capacity), not the episode.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,25 +133,28 @@ def with_episodes(stacks: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     it comes later than the latest moment any earlier stack can last: last apply
     plus (longest duration x capacity, or x1 for intensity buffs) plus all
     extensions. Stacks without a duration last until removed and forbid the rule.
+    All of these are counted from the last removal of everything on.
     """
     adds = F.col("action").isin("apply", "snapshot")
     lengthens = F.col("action") == "extend"
     slots = F.when(F.col("buff_id").isin(INTENSITY_IDS), 1).otherwise(
         F.coalesce(lookup(CAPACITY_BY_ID, F.col("buff_id")), F.lit(25))
     )
-    endless = adds & (F.col("duration_ms") <= 0)
+    applied = F.col("buff_id").isin(INTENSITY_IDS) & (F.col("action") == "apply")
+    endless = adds & (F.col("duration_ms") <= 0) & ~applied
+    rows = running(stacks, KEYS, [Running("_clears", "before", (F.col("action") == "remove_all").cast("int"))], chunk_ms=chunk_ms)
     steps = [
         Running("_last", "prev", F.when(adds | lengthens, F.col("time_ms"))),
         Running("_long", "max_before", F.when(adds, F.col("duration_ms")).when(lengthens, F.col("renewed_ms"))),
         Running("_added", "before", F.when(lengthens, F.col("extended_ms"))),
         Running("_endless", "max_before", endless.cast("int")),
-        Running("_clears", "before", (F.col("action") == "remove_all").cast("int")),
     ]
-    rows = running(stacks, KEYS, steps, chunk_ms=chunk_ms)
+    rows = running(rows, [*KEYS, "_clears"], steps, chunk_ms=chunk_ms)
     bound = F.col("_last") + F.col("_long") * slots + F.col("_added")
     idle = (F.coalesce(F.col("_endless"), F.lit(0)) == 0) & (F.col("time_ms") > bound)
     rows = rows.withColumn("_idle", F.coalesce(idle, F.lit(False)).cast("int"))
     rows = running(rows, KEYS, [Running("_gaps", "sum", F.col("_idle"))], chunk_ms=chunk_ms)
+    # clears and gaps only ever grow, so equal sums mean the same stretch
     return rows.withColumn("episode", F.col("_clears") + F.col("_gaps")).drop(
         "_last", "_long", "_added", "_endless", "_clears", "_idle", "_gaps"
     )
@@ -197,15 +199,12 @@ class _Stacks:
         return min(finite, key=lambda i: abs(self._left(i) - wanted)) if finite else None
 
     def add(self, duration: int, stack_id: int, snapshot: bool) -> None:
-        length = duration if duration > 0 else float("inf")
+        # without a duration a stack lasts until removed, but an applied intensity stack is over at once
+        length = duration if duration > 0 else 0 if self.intensity and not snapshot else float("inf")
         if self.intensity:
-            end = self.now + length
-            place = bisect_right(self.ends, end)
             if len(self.ends) >= self.capacity:
                 self.drop(0)
-                place = max(0, place - 1)
-            self.ends.insert(place, end)
-            self.ids.insert(place, stack_id)
+            self._insert(self.now + length, stack_id)
             return
         if len(self.ends) >= self.capacity:
             victim = min(range(1, len(self.ends)), key=lambda i: self.ends[i]) if len(self.ends) > 1 else 0
@@ -216,6 +215,13 @@ class _Stacks:
         self.ends.append(length)
         self.ids.append(stack_id)
 
+    def _insert(self, end: float, stack_id: int) -> None:
+        """Endless intensity stacks stand first, to be displaced first; the others go by expiry."""
+        endless = sum(e == float("inf") for e in self.ends)
+        place = endless if end == float("inf") else bisect_right(self.ends, end, lo=endless)
+        self.ends.insert(place, end)
+        self.ids.insert(place, stack_id)
+
     def remove_one(self, duration: int, stack_id: int) -> None:
         if stack_id >= 0 and stack_id in self.ids:
             self.drop(self.ids.index(stack_id))
@@ -234,8 +240,15 @@ class _Stacks:
             i = self.ids.index(stack_id)
         else:
             i = self._nearest(renewed - extended)
-        if i is not None:
-            self.ends[i] += extended
+        if i is None:
+            return
+        self.ends[i] += extended
+        if self.intensity:  # longer stacks move back, past those that expire no later
+            end, stack = self.ends.pop(i), self.ids.pop(i)
+            endless = sum(e == float("inf") for e in self.ends)
+            place = endless if end == float("inf") else bisect_left(self.ends, end, lo=max(i, endless))
+            self.ends.insert(place, end)
+            self.ids.insert(place, stack)
 
 
 def fold_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,44 +359,3 @@ def merged_uptimes(segments: DataFrame, groups: DataFrame, awareness: DataFrame)
         FIGHT, "entity", lookup(BOON_BY_ID, F.col("buff_id")).alias("boon"),
         uptime_value(F.col("buff_id"), F.col("stack_ms"), F.col("length_ms")).alias("uptime"),
     )
-
-
-# -- closed forms --------------------------------------------------------------------
-def plain_keys(stacks: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Keys of timed applies only, that never exceed their capacity.
-
-    The number of unexpired stacks at every apply is a running sum over apply and
-    expiry points; for queue buffs it bounds the queue length from below only, so
-    they must stay within capacity in total.
-    """
-    plain = stacks.groupBy(*KEYS).agg(
-        F.min(((F.col("action") == "apply") & (F.col("duration_ms") > 0)).cast("int")).alias("timed"),
-        F.sum("stacks").alias("total"), F.count(F.lit(1)).alias("applies"),
-    )
-    intensity = F.col("buff_id").isin(INTENSITY_IDS)
-    capacity = F.coalesce(lookup(CAPACITY_BY_ID, F.col("buff_id")), F.lit(25))
-    amount = F.when(intensity, F.col("total")).otherwise(F.col("applies"))
-    return plain.filter((F.col("timed") == 1) & (amount <= capacity)).select(*KEYS)
-
-
-def intensity_average(stacks: DataFrame, ends: DataFrame) -> DataFrame:
-    """Average stacks of plain intensity keys: clipped durations over the fight."""
-    rows = stacks.filter(F.col("buff_id").isin(INTENSITY_IDS)).join(ends.select(FIGHT, "end_ms", "length_ms"), FIGHT)
-    clipped = F.least("duration_ms", F.col("end_ms") - F.col("time_ms")) * F.col("stacks")
-    return rows.groupBy(*KEYS).agg((F.sum(clipped) / F.max("length_ms")).alias("uptime"))
-
-
-def queue_busy_percent(stacks: DataFrame, ends: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Uptime of plain queue keys: all durations minus what is still queued at the end.
-
-    Work arrives at t with length d; the backlog left at the end is
-    ``sum d + max(t_j - sum of d before j) - end`` when positive.
-    """
-    rows = stacks.filter(~F.col("buff_id").isin(INTENSITY_IDS))
-    rows = running(rows, KEYS, [Running("_earlier", "before", F.col("duration_ms"))], chunk_ms=chunk_ms)
-    rows = rows.groupBy(*KEYS).agg(
-        F.sum("duration_ms").alias("work"), F.max(F.col("time_ms") - F.col("_earlier")).alias("lag")
-    )
-    rows = rows.join(ends.select(FIGHT, "end_ms", "length_ms"), FIGHT)
-    left = F.greatest(F.col("work") + F.col("lag") - F.col("end_ms"), F.lit(0))
-    return rows.select(*KEYS, interval_percent(F.col("work") - left, F.col("length_ms")).alias("uptime"))

@@ -9,6 +9,7 @@ from frayline.operators import buffs, records, rollups, summaries
 from frayline.functions import lookups as L
 from frayline.plans.registry import query
 from frayline.plans.rollup_queries import fight_seconds, rounded
+from frayline.plans.stack_sql import INTENSITY, NAMES, TRACKED, area, stack_ctes
 from frayline.sources.corpus import Corpus
 
 HOUR_MS = 3_600_000
@@ -67,36 +68,48 @@ def outgoing_boons(c: Corpus) -> DataFrame:
     return buffs.outgoing_generation(c.events(["BOON_APPLY"]))
 
 
-_PLAIN = f"""{_ENDS}, se AS (SELECT fight_id, target_agent_id AS agent_id, skill_id AS buff_id, seq, time_ms,
-      coalesce(kind, event_type) AS action, coalesce(duration_ms, 0) AS duration_ms, coalesce(stacks, 1) AS stacks
-      FROM ev WHERE event_type IN ('BOON_APPLY', 'BUFF_APPLY', 'BUFF_EXTENSION') AND skill_id IN {_TRACKED} AND coalesce(kind, '') <> 'remove_manual'),
-    pk AS (SELECT fight_id, agent_id, buff_id FROM se GROUP BY 1, 2, 3
-      HAVING bool_and(action = 'apply') AND CASE WHEN buff_id IN (740, 1122) THEN sum(stacks) <= 25 ELSE count(*) <= 15 END)"""
+def _key_uptimes(c: Corpus, intensity: bool) -> DataFrame:
+    """Uptime of every (fight, agent, buff) that any stack event names."""
+    stacks = buffs.stack_events(c.events(BUFF_KINDS))
+    ours = F.col("buff_id").isin(buffs.INTENSITY_IDS) == F.lit(intensity)
+    times = segments(c).filter(ours).groupBy(*buffs.KEYS).agg(F.sum((F.col("end_ms") - F.col("start_ms")) * F.col("stacks")).alias("stack_ms"))
+    rows = stacks.filter(ours).select(*buffs.KEYS).distinct().join(times, buffs.KEYS, "left").join(fight_ends(c), "fight_id")
+    value = buffs.uptime_value(F.col("buff_id"), F.coalesce("stack_ms", F.lit(0)), F.col("length_ms"))
+    return rounded(rows.withColumn("uptime", value), "uptime").select(*buffs.KEYS, "uptime")
 
 
-def _plain(c: Corpus) -> DataFrame:
-    stacks = buffs.stack_events(c.events(BUFF_KINDS))
-    return stacks.join(buffs.plain_keys(stacks), buffs.KEYS, "left_semi")
+_VALUE = "round(CASE WHEN buff_id IN {i} THEN {a} / {n} ELSE least(100.0, {a} / {n} * 100.0) END, 6)"
+
+
+def _uptime(stack_ms: str, length: str) -> str:
+    return _VALUE.format(i=INTENSITY, a=stack_ms, n=length)
+
 
+def _key_sql(which: str) -> str:
+    return f"""WITH RECURSIVE {stack_ctes()}
+      SELECT sg.fight_id, agent_id, buff_id, {_uptime(f"sum({area()})", "any_value(end_ms)")} AS uptime
+      FROM sg JOIN ends ON sg.fight_id = ends.fight_id WHERE {which} GROUP BY 1, 2, 3"""
 
-@query("F6", f"""
-    WITH {_PLAIN} SELECT se.fight_id, se.agent_id, se.buff_id,
-      round(sum(least(duration_ms, end_ms - time_ms) * stacks) / max(end_ms), 6) AS uptime
-    FROM se JOIN pk ON se.fight_id = pk.fight_id AND se.agent_id = pk.agent_id AND se.buff_id = pk.buff_id
-    JOIN ends ON se.fight_id = ends.fight_id WHERE se.buff_id IN (740, 1122) GROUP BY 1, 2, 3""")
+
+@query("F6 F8 F9 F10", _key_sql("intensity"))
 def plain_intensity_uptime(c: Corpus) -> DataFrame:
-    return rounded(buffs.intensity_average(_plain(c), fight_ends(c)), "uptime")
+    """Average stacks of every intensity key."""
+    return _key_uptimes(c, True)
 
 
-@query("F7", f"""
-    WITH {_PLAIN}, q AS (SELECT se.*, sum(duration_ms) OVER w - duration_ms AS earlier FROM se
-      JOIN pk ON se.fight_id = pk.fight_id AND se.agent_id = pk.agent_id AND se.buff_id = pk.buff_id
-      WHERE se.buff_id NOT IN (740, 1122) WINDOW w AS (PARTITION BY se.fight_id, se.agent_id, se.buff_id ORDER BY time_ms, seq)),
-    g AS (SELECT fight_id, agent_id, buff_id, sum(duration_ms) AS work, max(time_ms - earlier) AS lag FROM q GROUP BY 1, 2, 3)
-    SELECT g.fight_id, agent_id, buff_id, round(least(100.0, (work - greatest(work + lag - end_ms, 0)) / end_ms * 100.0), 6) AS uptime
-    FROM g JOIN ends ON g.fight_id = ends.fight_id""")
+@query("F7 F8 F9 F10", _key_sql("NOT intensity"))
 def plain_queue_uptime(c: Corpus) -> DataFrame:
-    return rounded(buffs.queue_busy_percent(_plain(c), fight_ends(c), HOUR_MS), "uptime")
+    """Uptime of every queue key."""
+    return _key_uptimes(c, False)
+
+
+def _agent_sql(clears: bool) -> str:
+    boons = ", ".join(f"('{n}', {i})" for n, i in L.TRACKED_BOONS.items())
+    return f"""WITH RECURSIVE {stack_ctes(clears)},
+      tm AS (SELECT fight_id, agent_id, buff_id, sum({area()}) AS stack_ms FROM sg GROUP BY 1, 2, 3)
+      SELECT a.fight_id, a.agent_id, boon, {_uptime("coalesce(stack_ms, 0)", "end_ms").replace("buff_id IN", "b.buff_id IN")} AS uptime
+      FROM agents a JOIN ends ON a.fight_id = ends.fight_id CROSS JOIN (VALUES {boons}) AS b(boon, buff_id)
+      LEFT JOIN tm ON tm.fight_id = a.fight_id AND tm.agent_id = a.agent_id AND tm.buff_id = b.buff_id"""
 
 
 @query("F6 F7 F8 F9 F10")
@@ -104,20 +117,26 @@ def stack_segments(c: Corpus) -> DataFrame:
     return segments(c)
 
 
-@query("F12")
+@query("F12", _agent_sql(False))
 def boon_uptimes(c: Corpus) -> DataFrame:
-    return buffs.boon_uptimes(segments(c), c.agents(), fight_ends(c))
+    return rounded(buffs.boon_uptimes(segments(c), c.agents(), fight_ends(c)), "uptime")
 
 
-@query("F11")
+@query("F11", _agent_sql(True))
 def uptimes_until_despawn(c: Corpus) -> DataFrame:
     despawns = c.events(["DESPAWN"]).select("fight_id", F.col("source_agent_id").alias("agent_id"), "seq", "time_ms")
     stacks = buffs.with_agent_ends(buffs.stack_events(c.events(BUFF_KINDS)), despawns)
     ends = fight_ends(c)
-    return buffs.boon_uptimes(buffs.stack_segments(stacks, ends, HOUR_MS), c.agents(), ends)
+    return rounded(buffs.boon_uptimes(buffs.stack_segments(stacks, ends, HOUR_MS), c.agents(), ends), "uptime")
 
 
-@query("F13")
+@query("F13", f"""
+    WITH RECURSIVE {stack_ctes()}, aw AS (SELECT fight_id, agent_id, min(time_ms) AS first_ms, max(time_ms) AS last_ms FROM (
+        SELECT fight_id, source_agent_id AS agent_id, time_ms FROM ev UNION ALL SELECT fight_id, target_agent_id, time_ms FROM ev) x GROUP BY 1, 2),
+    wn AS (SELECT a.fight_id, a.agent_id, instance_id AS entity, end_ms // 2 - end_ms // 4 AS length, greatest(end_ms // 4, first_ms) AS lo, least(end_ms // 2, last_ms) AS hi
+      FROM agents a JOIN ends ON a.fight_id = ends.fight_id JOIN aw ON aw.fight_id = a.fight_id AND aw.agent_id = a.agent_id),
+    ar AS (SELECT sg.fight_id, entity, buff_id, length, {area("lo", "hi")} AS held FROM sg JOIN wn ON sg.fight_id = wn.fight_id AND sg.agent_id = wn.agent_id WHERE hi > lo)
+    SELECT fight_id, entity, {NAMES} AS boon, {_uptime("sum(held)", "max(length)")} AS uptime FROM ar GROUP BY fight_id, entity, buff_id HAVING sum(held) > 0""")
 def merged_instance_uptimes(c: Corpus) -> DataFrame:
     """Agents sharing an instance id taken as one entity over the second quarter of the fight."""
     ends = fight_ends(c)
@@ -130,7 +149,7 @@ def merged_instance_uptimes(c: Corpus) -> DataFrame:
         "fight_id", F.col("instance_id").alias("entity"), "agent_id",
         F.expr("end_ms div 4").alias("lo_ms"), F.expr("end_ms div 2").alias("hi_ms"),
     )
-    return buffs.merged_uptimes(segments(c), groups, spans)
+    return rounded(buffs.merged_uptimes(segments(c), groups, spans).filter("uptime > 0"), "uptime")
 
 
 def account_boons(c: Corpus) -> DataFrame:
@@ -138,9 +157,20 @@ def account_boons(c: Corpus) -> DataFrame:
     return summaries.merged_boons(uptimes, buffs.outgoing_generation(c.events(["BOON_APPLY"])), c.players())
 
 
-@query("A24")
+_ACCOUNT_BOONS = f"""{stack_ctes()},
+    tm AS (SELECT fight_id, agent_id, buff_id, sum({area()}) AS stack_ms FROM sg GROUP BY 1, 2, 3),
+    og AS (SELECT fight_id, source_agent_id AS agent_id, skill_id AS buff_id, sum(duration_ms * stacks) AS outgoing
+      FROM ev WHERE kind = 'apply' AND source_agent_id <> target_agent_id AND skill_id IN {TRACKED} GROUP BY 1, 2, 3),
+    ab AS (SELECT p.fight_id, account_name, boon AS boon_name, CAST(sum(outgoing) AS BIGINT) AS outgoing,
+        round(avg(CASE WHEN b.buff_id IN {INTENSITY} THEN coalesce(stack_ms, 0) / end_ms ELSE least(100.0, coalesce(stack_ms, 0) / end_ms * 100.0) END), 6) AS uptime
+      FROM players p JOIN ends ON p.fight_id = ends.fight_id CROSS JOIN (VALUES {", ".join(f"('{n}', {i})" for n, i in L.TRACKED_BOONS.items())}) AS b(boon, buff_id)
+      LEFT JOIN tm ON tm.fight_id = p.fight_id AND tm.agent_id = p.agent_id AND tm.buff_id = b.buff_id
+      LEFT JOIN og ON og.fight_id = p.fight_id AND og.agent_id = p.agent_id AND og.buff_id = b.buff_id GROUP BY 1, 2, 3)"""
+
+
+@query("A24", f"WITH RECURSIVE {_ACCOUNT_BOONS} SELECT * FROM ab")
 def merged_account_boons(c: Corpus) -> DataFrame:
-    return account_boons(c)
+    return rounded(account_boons(c), "uptime")
 
 
 def summary_rows(c: Corpus) -> DataFrame:
@@ -153,10 +183,10 @@ def fight_player_summaries(c: Corpus) -> DataFrame:
     return summary_rows(c)
 
 
-@query("S8")
+@query("S8", f"WITH RECURSIVE {_ACCOUNT_BOONS} SELECT * FROM ab WHERE uptime IS NOT NULL OR outgoing IS NOT NULL")
 def fight_player_boons(c: Corpus) -> DataFrame:
     """Long boon rows unpivoted back from the wide summary columns."""
-    return summaries.long_boons(summaries.wide_boons(account_boons(c)))
+    return rounded(summaries.long_boons(summaries.wide_boons(account_boons(c))), "uptime")
 
 
 @query("A22", """

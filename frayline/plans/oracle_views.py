@@ -179,6 +179,8 @@ def with_views(sql: str) -> str:
         return sql
     parts = [f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body
