@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frayline.operators.scan import Running, running
+
 FIGHT = "fight_id"
 
 
@@ -16,21 +18,34 @@ def failing(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows.withColumn("broken", broken).filter(F.size("broken") > 0)
 
 
-def roster_checks(roster: DataFrame, subgroups: DataFrame) -> DataFrame:
+def roster_checks(roster: DataFrame, subgroups: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Counts against each other and against the fight's skill catalogue (``catalogue``: fight_id, skill_id)."""
     members = subgroups.groupBy(FIGHT).agg(F.sum("player_count").alias("members"))
-    rows = roster.join(members, FIGHT, "left").withColumn("members", F.coalesce("members", F.lit(0)))
+    skills = catalogue.groupBy(FIGHT).agg(F.countDistinct("skill_id").alias("skills"))
+    rows = roster.join(members, FIGHT, "left").join(skills, FIGHT, "left").fillna(0, ["members", "skills"])
     return failing(
         rows,
         {
             "players + npcs = agents": F.col("player_count") + F.col("npc_count") == F.col("agent_count"),
             "subgroups add up": F.col("members") == F.col("player_count"),
+            "skills = catalogue": F.col("skills") == F.col("skill_count"),
         },
     )
 
 
-def attendance_checks(attendance: DataFrame, total_fights: DataFrame) -> DataFrame:
-    """Attendance never exceeds the number of fights (``total_fights``: one row, ``n``)."""
-    return failing(attendance.join(total_fights), {"attendance within fights": F.col("fights_attended") <= F.col("n")})
+def attendance_checks(attendance: DataFrame, played: DataFrame) -> DataFrame:
+    """Attendance within the number of fights, and equal to the account's fights (``played``: account_name, fight_id)."""
+    own = played.groupBy("account_name").agg(F.countDistinct(FIGHT).alias("own"))
+    total = played.agg(F.countDistinct(FIGHT).alias("n")).first()["n"]
+    rows = attendance.join(own, "account_name", "left").fillna(0, ["own"])
+    return failing(rows, {"attendance within fights": F.col("fights_attended") <= total, "attendance = own fights": F.col("fights_attended") == F.col("own")})
+
+
+def out_of_order(rows: DataFrame, keys: list[str], position: str, value: str, descending: bool = False, chunk: int = 1_000_000) -> DataFrame:
+    """Rows whose value does not come after the previous one of the key (equal values are out of order too)."""
+    rows = running(rows, keys, [Running("_before", "prev", F.col(value))], (position,), chunk)
+    ordered = F.col("_before") > F.col(value) if descending else F.col("_before") < F.col(value)
+    return rows.filter(~ordered).drop("_before")
 
 
 def sums_preserved(parts: DataFrame, whole: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -42,12 +57,12 @@ def sums_preserved(parts: DataFrame, whole: DataFrame, keys: list[str], values:
     return rows.filter(~same)
 
 
-def order_violations(rows: DataFrame, partition: list[str], position: str, metric: str, key: str) -> DataFrame:
-    """Neighbours out of (metric desc, key asc) order in a presented list of at most a page per partition."""
-    w = Window.partitionBy(*partition).orderBy(position)
-    before_m, before_k = F.lag(metric).over(w), F.lag(key).over(w)
+def order_violations(rows: DataFrame, partition: list[str], position: str, metric: str, key: str, chunk: int = 1_000) -> DataFrame:
+    """Neighbours out of (metric desc, key asc) order in a presented list."""
+    rows = running(rows, partition, [Running("_before", "prev", F.struct(F.col(metric).alias("m"), F.col(key).alias("k")))], (position,), chunk)
+    before_m, before_k = F.col("_before.m"), F.col("_before.k")
     bad = (before_m < F.col(metric)) | ((before_m == F.col(metric)) & (before_k >= F.col(key)))
-    return rows.withColumn("_bad", bad).filter("_bad").drop("_bad")
+    return rows.filter(bad).drop("_before")
 
 
 def bucket_gaps(buckets: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,8 +79,10 @@ def unequal_series(series: DataFrame, group: list[str], member: str) -> DataFram
     return lengths.groupBy(*group).agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).filter("shortest <> longest")
 
 
-def bad_history(history: DataFrame) -> DataFrame:
-    return history.filter("stacks < 0 or time_ms < 0")
+def bad_history(history: DataFrame, keys: list[str], chunk: int = 1_000_000) -> DataFrame:
+    """Entries with a negative time or level, or earlier than the entry before them."""
+    rows = running(history, keys, [Running("_before", "prev", F.col("time_ms"))], ("seq",), chunk)
+    return rows.filter("stacks < 0 or time_ms < 0 or time_ms < _before").drop("_before")
 
 
 def domain_violations(rows: DataFrame, non_negative: list[str] = (), domains: dict[str, list] = {}, ranges: dict[str, tuple] = {}) -> DataFrame:

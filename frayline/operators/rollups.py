@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frayline.functions import lookups as L
@@ -77,6 +77,14 @@ def subgroup_members(agents: DataFrame) -> DataFrame:
     )
 
 
+def subgroup_accounts(agents: DataFrame) -> DataFrame:
+    """The sorted member list of every subgroup, one row per member with its place: lists have no bound."""
+    players = agents.filter(_has_account()).withColumn("subgroup", F.coalesce("subgroup", F.lit("")))
+    names = players.groupBy(FIGHT, "subgroup", "account_name").agg(F.count(F.lit(1)).alias("characters"))
+    place = Window.partitionBy(FIGHT, "subgroup").orderBy("account_name")
+    return names.withColumn("position", F.row_number().over(place))
+
+
 def combatants(agents: DataFrame) -> DataFrame:
     """Players of a fight in (account, name) order, one row each."""
     return agents.filter(_has_account()).select(

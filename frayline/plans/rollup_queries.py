@@ -43,6 +43,14 @@ def subgroup_roster(c: Corpus) -> DataFrame:
     return rollups.subgroup_members(c.players())
 
 
+@query("A2", """
+    SELECT fight_id, coalesce(subgroup, '') AS subgroup, account_name, count(*) AS characters,
+      row_number() OVER (PARTITION BY fight_id, coalesce(subgroup, '') ORDER BY account_name) AS position
+    FROM players GROUP BY 1, 2, 3""")
+def subgroup_member_list(c: Corpus) -> DataFrame:
+    return rollups.subgroup_accounts(c.players())
+
+
 @query("A3 C24 T7", """
     SELECT fight_id, agent_id, account_name, name, coalesce(subgroup, '') AS subgroup, profession, elite FROM players""")
 def combatant_list(c: Corpus) -> DataFrame:

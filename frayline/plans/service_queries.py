@@ -364,23 +364,70 @@ def detected_roles(c: Corpus) -> DataFrame:
 
 
 # -- quality: violations found in the operators' own output -----------------------------------
-@query("V1", "SELECT fight_id, 0 AS agent_count FROM fights WHERE false")
+# each check reads the operator's output with known faults put in, so that it has something to find
+@query("V1", """
+    SELECT fight_id, CASE WHEN CAST(fight_id AS BIGINT) % 3 = 0 AND CAST(fight_id AS BIGINT) % 2 = 0 THEN 'players + npcs = agents,subgroups add up,skills = catalogue'
+      WHEN CAST(fight_id AS BIGINT) % 3 = 0 THEN 'players + npcs = agents,subgroups add up' ELSE 'skills = catalogue' END AS broken
+    FROM fights WHERE fight_id IN (SELECT fight_id FROM ev) AND (CAST(fight_id AS BIGINT) % 3 = 0 OR CAST(fight_id AS BIGINT) % 2 = 0)""")
 def roster_violations(c: Corpus) -> DataFrame:
-    roster = rollups.fight_roster(c.agents(), c.events().select("fight_id", "skill_id").distinct())
-    return quality.roster_checks(roster, rollups.subgroup_members(c.agents())).select("fight_id", "agent_count")
+    """Fights divisible by 3 lack a player, even ones a skill."""
+    skills, number = c.events().select("fight_id", "skill_id").distinct(), F.col("fight_id").cast("bigint")
+    roster = rollups.fight_roster(c.agents(), skills)
+    roster = roster.withColumn("player_count", F.col("player_count") - F.when(number % 3 == 0, 1).otherwise(0))
+    catalogue = skills.unionByName(skills.filter(number % 2 == 0).withColumn("skill_id", F.lit(-1).cast("bigint")).distinct())
+    rows = quality.roster_checks(roster, rollups.subgroup_members(c.agents()), catalogue)
+    return rows.select("fight_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("V2", """
+    SELECT account_name, CASE WHEN account_name LIKE '%1' THEN 'attendance within fights,attendance = own fights' ELSE 'attendance = own fights' END AS broken
+    FROM players WHERE fight_id IN (SELECT fight_id FROM fights) AND (account_name LIKE '%1' OR account_name LIKE '%2') GROUP BY 1""")
+def attendance_violations(c: Corpus) -> DataFrame:
+    """Accounts that end with 1 have too many fights altogether, those with 2 one too few."""
+    rows = rollups.attendance(c.players(), c.fights())
+    change = F.when(F.col("account_name").endswith("1"), 1_000_000).when(F.col("account_name").endswith("2"), -1).otherwise(0)
+    rows = quality.attendance_checks(rows.withColumn("fights_attended", F.col("fights_attended") + change), c.players().join(c.fights().select("fight_id"), "fight_id", "left_semi"))
+    return rows.select("account_name", F.array_join("broken", ",").alias("broken"))
 
 
-@query("V2", "SELECT '' AS account_name WHERE false")
-def attendance_violations(c: Corpus) -> DataFrame:
-    total = c.fights().agg(F.count(F.lit(1)).alias("n"))
-    return quality.attendance_checks(rollups.attendance(c.players(), c.fights()), total).select("account_name")
+@query("V2", "SELECT fight_id, CAST(agent_id AS BIGINT) AS agent_id FROM agents WHERE agent_id > 0 AND (agent_id - 1) % 5 = 0 AND EXISTS (SELECT 1 FROM agents b WHERE b.fight_id = agents.fight_id AND b.agent_id = agents.agent_id - 1)")
+def repeated_ids(c: Corpus) -> DataFrame:
+    """Agents listed by id; the one after every fifth id repeats it."""
+    rows = c.agents().select("fight_id", "agent_id", F.col("agent_id").alias("position"))
+    rows = rows.withColumn("listed", F.when((F.col("agent_id") - 1) % 5 == 0, F.col("agent_id") - 1).otherwise(F.col("agent_id")))
+    found = quality.out_of_order(rows, ["fight_id"], "position", "listed")
+    return found.select("fight_id", F.col("agent_id").cast("bigint").alias("agent_id"))
 
 
-@query("V3", "SELECT '' AS fight_id WHERE false")
+@query("V3", """
+    SELECT fight_id, CAST(sum(damage) AS BIGINT) AS part_total_damage FROM ev WHERE event_type IN ('DAMAGE', 'HEALING', 'BUFF_REMOVAL')
+    GROUP BY 1 HAVING CAST(fight_id AS BIGINT) % 2 = 0""")
 def rollup_sum_violations(c: Corpus) -> DataFrame:
+    """Skill totals against an input that holds one more damage in even fights."""
     events = c.events(rollups.ACTION_KINDS)
-    whole = events.select("fight_id", F.col("damage").alias("total_damage"), F.col("healing").alias("total_healing"))
-    return quality.sums_preserved(rollups.skill_usage(events, c.skills()), whole, ["fight_id"], ["total_damage", "total_healing"]).select("fight_id")
+    whole = events.groupBy("fight_id").agg(F.sum("damage").alias("total_damage"), F.sum("healing").alias("total_healing"))
+    whole = whole.withColumn("total_damage", F.col("total_damage") + F.when(F.col("fight_id").cast("bigint") % 2 == 0, 1).otherwise(0))
+    return quality.sums_preserved(rollups.skill_usage(events, c.skills()), whole, ["fight_id"], ["total_damage", "total_healing"]).select("fight_id", "part_total_damage")
+
+
+@query("V5", """
+    WITH b AS (SELECT fight_id, CAST(sum(damage) AS BIGINT) AS d, CAST(coalesce(sum(damage) FILTER (time_ms < 3600000), 0) AS BIGINT) AS f FROM ev GROUP BY 1)
+    SELECT fight_id, d - f AS part_total_damage, d AS whole_total_damage FROM b WHERE f <> 0""")
+def bucket_sum_violations(c: Corpus) -> DataFrame:
+    """Hour windows with the first one lost, against the input's sums."""
+    windows = timelines.event_windows(c.events(), 3600).filter("bucket > 0")
+    whole = c.events().select("fight_id", F.col("damage").alias("total_damage"))
+    return quality.sums_preserved(windows, whole, ["fight_id"], ["total_damage"]).select("fight_id", "part_total_damage", "whole_total_damage")
+
+
+@query("V6", f"""
+    WITH contrib AS ({CONTRIB}) SELECT fight_id, account_name, total_damage + 1 AS part_total_damage, total_damage AS whole_total_damage FROM contrib WHERE account_name LIKE '%3'""")
+def account_sum_violations(c: Corpus) -> DataFrame:
+    """Series sums per account against contributions; accounts that end with 3 have one damage too many."""
+    series = timelines.player_timelines(c.events(rollups.ACTION_KINDS), c.players(), 3600)
+    parts = series.groupBy("fight_id", "account_name").agg(F.sum("total_damage").alias("total_damage"))
+    parts = parts.withColumn("total_damage", F.col("total_damage") + F.col("account_name").endswith("3").cast("int"))
+    return quality.sums_preserved(parts, contributions(c), ["fight_id", "account_name"], ["total_damage"]).select("fight_id", "account_name", "part_total_damage", "whole_total_damage")
 
 
 @query("V4 N6", """
@@ -410,11 +457,18 @@ def series_length_violations(c: Corpus) -> DataFrame:
     return quality.unequal_series(rows, ["fight_id"], "source_agent_id")
 
 
-@query("V9", "SELECT '' AS fight_id WHERE false")
+@query("V9", """
+    WITH h AS (SELECT fight_id, target_agent_id, skill_id, seq, CASE WHEN seq % 11 = 0 THEN time_ms - 7200000 ELSE time_ms END AS t
+      FROM ev WHERE event_type = 'BOON_APPLY' AND kind <> 'remove_manual'),
+    x AS (SELECT *, lag(t) OVER (PARTITION BY fight_id, target_agent_id, skill_id ORDER BY seq) AS before FROM h)
+    SELECT fight_id, seq FROM x WHERE seq % 7 = 0 OR t < 0 OR t < before""")
 def history_violations(c: Corpus) -> DataFrame:
+    """A history whose every 7th record has lost its level and every 11th comes two hours early."""
     from frayline.operators import buffs
 
-    return quality.bad_history(buffs.stack_history(c.events(["BOON_APPLY"]), 3_600_000)).select("fight_id")
+    rows = buffs.stack_history(c.events(["BOON_APPLY"]), 3_600_000)
+    rows = rows.withColumns({"stacks": F.when(F.col("seq") % 7 == 0, -1).otherwise(F.col("stacks")), "time_ms": F.col("time_ms") - F.when(F.col("seq") % 11 == 0, 7_200_000).otherwise(0)})
+    return quality.bad_history(rows, buffs.KEYS).select("fight_id", "seq")
 
 
 @query("V10", f"""
@@ -429,12 +483,26 @@ def duplicate_hashes(c: Corpus) -> DataFrame:
     return quality.duplicate_keys(uploads(c), ["sha256"])
 
 
-@query("V8", "SELECT '' AS account_name WHERE false")
+@query("V8", f"""
+    WITH contrib AS ({CONTRIB}) SELECT account_name, count(*) AS fights FROM contrib WHERE account_name LIKE '%2' GROUP BY 1""")
 def profile_violations(c: Corpus) -> DataFrame:
-    """Attendance of every profile against its distinct fights."""
+    """Attendance of every profile against its distinct fights; accounts that end with 2 have one too many."""
     rows = contributions(c)
     attended = profiles.attended_fights(rows).withColumn("fights_attended", F.lit(1))
-    return quality.sums_preserved(profiles.profiles(rows), attended, ["account_name"], ["fights_attended"]).select("account_name")
+    made = profiles.profiles(rows).withColumn("fights_attended", F.col("fights_attended") + F.col("account_name").endswith("2").cast("int"))
+    found = quality.sums_preserved(made, attended, ["account_name"], ["fights_attended"])
+    return found.select("account_name", F.col("whole_fights_attended").alias("fights"))
+
+
+@query("V8", f"""
+    WITH contrib AS ({CONTRIB}), pts AS (SELECT account_name, cc.fight_id, started_at FROM contrib cc JOIN fights f ON cc.fight_id = f.fight_id),
+    n AS (SELECT *, lag(started_at) OVER (PARTITION BY account_name ORDER BY fight_id) AS before FROM pts)
+    SELECT account_name, fight_id FROM n WHERE before <= started_at""")
+def newest_first_violations(c: Corpus) -> DataFrame:
+    """Points of every account presented oldest first: each one after a newer position is a violation."""
+    rows = contributions(c).join(c.fights().select("fight_id", "started_at"), "fight_id")
+    rows = rows.select("account_name", "fight_id", "started_at", F.col("fight_id").cast("bigint").alias("position"))
+    return quality.out_of_order(rows, ["account_name"], "position", "started_at", descending=True, chunk=1_000).select("account_name", "fight_id")
 
 
 # -- streaming --------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frayline.functions.names import profession_code
 from frayline.operators import profiles, rollups, summaries, timelines
 from frayline.plans.registry import query
 from frayline.plans.rollup_queries import rounded
@@ -250,6 +251,12 @@ def profile_page(c: Corpus) -> DataFrame:
     return profiles.page(rows, [F.col("total_damage").desc(), F.col("account_name").asc()], 20, 10)
 
 
+@query("C21 A31", f"WITH contrib AS ({CONTRIB}), {_MODAL} SELECT * FROM pf WHERE profession = 3")
+def profiles_of_profession(c: Corpus) -> DataFrame:
+    """Profiles whose modal profession is the named one."""
+    return profiles.modal_profiles(contributions(c), profession=profession_code("Engineer"))
+
+
 @query("T2", f"""
     WITH contrib AS ({CONTRIB}), {_MODAL} SELECT * FROM pf
     WHERE total_damage < 100000 OR (total_damage = 100000 AND account_name > 'acct.5')
@@ -280,6 +287,52 @@ def top_targets(c: Corpus) -> DataFrame:
     return profiles.top_per_key(rows, ["fight_id"], "total_damage", "target_agent_id", 100)
 
 
+def _top_sql(kind: str, value: str, key: str) -> str:
+    return f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fight_id ORDER BY total DESC, {key}) AS rank
+      FROM (SELECT fight_id, {key}, CAST(sum({value}) AS BIGINT) AS total FROM ev WHERE event_type = '{kind}' GROUP BY 1, 2) r) x WHERE rank <= 100"""
+
+
+def _top(c: Corpus, kind: str, value: str, key: str) -> DataFrame:
+    rows = c.events([kind]).groupBy("fight_id", key).agg(F.sum(value).alias("total"))
+    return profiles.top_per_key(rows, ["fight_id"], "total", key, 100)
+
+
+@query("T3", _top_sql("HEALING", "healing", "target_agent_id"))
+def top_healed_targets(c: Corpus) -> DataFrame:
+    return _top(c, "HEALING", "healing", "target_agent_id")
+
+
+@query("T3", _top_sql("BUFF_REMOVAL", "buff_removal", "target_agent_id"))
+def top_stripped_targets(c: Corpus) -> DataFrame:
+    return _top(c, "BUFF_REMOVAL", "buff_removal", "target_agent_id")
+
+
+@query("T3", _top_sql("DAMAGE", "damage", "skill_id"))
+def top_damage_skills(c: Corpus) -> DataFrame:
+    return _top(c, "DAMAGE", "damage", "skill_id")
+
+
+@query("T3", """
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fight_id, source_agent_id ORDER BY total DESC, skill_id) AS rank
+      FROM (SELECT e.fight_id, source_agent_id, skill_id, CAST(sum(damage) AS BIGINT) AS total FROM ev e
+        JOIN players p ON p.fight_id = e.fight_id AND p.agent_id = e.source_agent_id WHERE event_type = 'DAMAGE' GROUP BY 1, 2, 3) r) x WHERE rank <= 100""")
+def top_player_skills(c: Corpus) -> DataFrame:
+    """The 100 best skills of every player."""
+    who = c.players().select("fight_id", F.col("agent_id").alias("source_agent_id"))
+    rows = c.events(["DAMAGE"]).groupBy("fight_id", "source_agent_id", "skill_id").agg(F.sum("damage").alias("total"))
+    return profiles.top_per_key(rows.join(who, ["fight_id", "source_agent_id"], "left_semi"), ["fight_id", "source_agent_id"], "total", "skill_id", 100)
+
+
+@query("T1", """
+    SELECT fight_id, strftime(started_at, '%Y-%m-%d %H:%M') AS started_at FROM (
+      SELECT fight_id, started_at, row_number() OVER (ORDER BY started_at DESC, fight_id) AS position FROM fights) x WHERE position BETWEEN 6 AND 15""")
+def fights_page(c: Corpus) -> DataFrame:
+    """The second page after an offset of five: ten fights, newest first."""
+    rows = profiles.page(c.fights().select("fight_id", "started_at"), [F.desc("started_at"), F.asc("fight_id")], offset=5, limit=10)
+    return rows.select("fight_id", F.date_format("started_at", "yyyy-MM-dd HH:mm").alias("started_at"))
+
+
 @query("T4", f"""
     WITH contrib AS ({CONTRIB}) SELECT * FROM (SELECT fight_id, account_name, total_healing,
       row_number() OVER (PARTITION BY fight_id ORDER BY total_healing DESC, account_name) AS rank FROM contrib) x WHERE rank <= 5""")
@@ -288,6 +341,24 @@ def top_series(c: Corpus) -> DataFrame:
     return profiles.top_per_key(rows, ["fight_id"], "total_healing", "account_name", 5)
 
 
+_SIX = ["total_damage", "total_healing", "total_buff_removal", "boon_strips", "condition_cleanses", "cc_applied"]
+
+
+@query("T5", f"""
+    WITH sd AS (SELECT e.*, account_name FROM ev e JOIN players p ON e.fight_id = p.fight_id AND e.source_agent_id = p.agent_id),
+    sm AS (SELECT fight_id, account_name, CAST(coalesce(sum(damage), 0) AS BIGINT) AS total_damage, CAST(coalesce(sum(healing), 0) AS BIGINT) AS total_healing,
+      CAST(coalesce(sum(buff_removal), 0) AS BIGINT) AS total_buff_removal,
+      CAST(coalesce(sum(stacks) FILTER (kind <> 'apply' AND skill_id <> 50001), 0) + coalesce(sum(buff_removal), 0) AS BIGINT) AS boon_strips,
+      CAST(coalesce(sum(stacks) FILTER (kind <> 'apply' AND skill_id = 50001), 0) AS BIGINT) AS condition_cleanses,
+      count(*) FILTER (event_type = 'CC') AS cc_applied FROM sd GROUP BY 1, 2),
+    lg AS (UNPIVOT sm ON {", ".join(_SIX)} INTO NAME metric VALUE value)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fight_id, metric ORDER BY value DESC, account_name) AS rank FROM lg WHERE value > 0) x WHERE rank <= 3""")
+def six_cards(c: Corpus) -> DataFrame:
+    """Top three accounts of each of the six card metrics."""
+    rows = summaries.account_buckets(c.events(), c.players(), c.skills()).select("fight_id", "account_name", *[F.col(m).cast("bigint").alias(m) for m in _SIX])
+    return profiles.top_per_metric(rows, ["fight_id"], "account_name", _SIX)
+
+
 @query("T5", f"""
     WITH contrib AS ({CONTRIB}), lg AS (UNPIVOT (SELECT fight_id, account_name, total_damage, total_healing, total_buff_removal FROM contrib)
       ON total_damage, total_healing, total_buff_removal INTO NAME metric VALUE value)
