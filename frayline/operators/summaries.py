@@ -173,7 +173,9 @@ def combat_readout(
     ]
     stacked = None
     for rows in sets:
-        rows = rows.withColumn("_member", F.lit(1))
+        # being down or hitting no one makes no member by itself: counters count through cleanses, strips and CC
+        member = F.when(F.col("cleanses") + F.col("strips") + F.col("cc") > 0, 1) if rows is counters else F.lit(1)
+        rows = rows.withColumn("_member", member)
         stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
     stacked = stacked.unionByName(presence, allowMissingColumns=True)
     merged = stacked.groupBy(FIGHT, "agent_id").agg(

@@ -40,19 +40,19 @@ _FROM = {
     "bo": ["boons_out", "boons_in", "strips_received_in"], "df": ["damage_taken", "barrier_absorbed", "cc_taken", "deaths", "dodges", "blocks", "interrupts"],
     "cn": ["cleanses", "strips", "cc", "cleave_targets", "downtime_ms"], "kp": ["kill_participation"], "pz": ["presence_pct"],
 }
-_MEMBERS = " UNION ".join(f"SELECT fight_id, {_ID.get(a, 'agent_id')} AS agent_id FROM {a}" for a in ("dmg", "hl", "bo", "df", "cn", "kp"))
+_MEMBERS = " UNION ".join(f"SELECT fight_id, {_ID.get(a, 'agent_id')} AS agent_id FROM {a}" for a in ("dmg", "hl", "bo", "df", "kp")) + " UNION SELECT fight_id, agent_id FROM cn WHERE cleanses + strips + cc > 0"
 _VALUES = ", ".join(f"coalesce({a}.{col}, 0) AS {col}" for a, cols in _FROM.items() for col in cols)
 _JOINS = " ".join(f"LEFT JOIN {a} ON mb.fight_id = {a}.fight_id AND mb.agent_id = {a}.{_ID.get(a, 'agent_id')}" for a in _FROM)
 _SCORE = "CASE boon " + " ".join(f"WHEN '{b}' THEN {w}" for b, w in L.BOON_WEIGHTS.items()) + " ELSE 0 END"
-_READOUT = f"""WITH {", ".join(f"{a} AS {_twin(q)}" for a, q in _SETS.items())}, mb AS ({_MEMBERS}),
-    sc AS (SELECT fight_id, agent_id, sum(outgoing * {_SCORE}) AS boon_score FROM og GROUP BY 1, 2),
-    rd AS (SELECT mb.fight_id, mb.agent_id, p.name, account_name, subgroup, profession, elite, instance_id, {_VALUES}, boon_score
+_READOUT = f"""WITH {", ".join(f"{a} AS MATERIALIZED {_twin(q)}" for a, q in _SETS.items())}, mb AS ({_MEMBERS}),
+    sc AS MATERIALIZED (SELECT fight_id, agent_id, sum(outgoing * {_SCORE}) AS boon_score FROM og GROUP BY 1, 2),
+    rd AS MATERIALIZED (SELECT mb.fight_id, mb.agent_id, p.name, account_name, subgroup, profession, elite, instance_id, {_VALUES}, boon_score
       FROM mb JOIN players p ON mb.fight_id = p.fight_id AND mb.agent_id = p.agent_id {_JOINS}
       LEFT JOIN sc ON mb.fight_id = sc.fight_id AND mb.agent_id = sc.agent_id),
     src AS (SELECT * RENAME (strips AS total_buff_removal), NULL::BIGINT AS power FROM rd), {service_queries._ROLE},
     lb AS (SELECT *, list_filter([CASE role WHEN 'HEAL' THEN 'Heal' WHEN 'BOON' THEN 'Support' WHEN 'STRIP' THEN 'Strip' WHEN 'DPS' THEN 'DPS' END,
       CASE WHEN cleanses > 10 THEN 'Cleanser' END, CASE WHEN cc > 3 THEN 'CC' END], lambda x: x IS NOT NULL) AS ls FROM r7),
-    ro AS (SELECT *, CASE WHEN len(ls) > 0 THEN ls ELSE ['DPS'] END AS role_list FROM lb)"""
+    ro AS MATERIALIZED (SELECT *, CASE WHEN len(ls) > 0 THEN ls ELSE ['DPS'] END AS role_list FROM lb)"""
 
 
 @query("A20 J6 U4 R7", _READOUT + """
