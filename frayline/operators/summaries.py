@@ -156,6 +156,16 @@ READOUT_ZERO = [
 ]
 
 
+def readout_details(readout: DataFrame, parts: list[DataFrame], counts: list[str]) -> DataFrame:
+    """Readout rows with the columns of further per-agent tables; absent counts and rates are 0, absent text ''.
+
+    Every part has one row per (fight, agent), so the rows never multiply.
+    """
+    for part in parts:
+        readout = readout.join(part, [FIGHT, "agent_id"], "left")
+    return readout.fillna(0, counts)
+
+
 def combat_readout(
     players: DataFrame, damage: DataFrame, healing: DataFrame, boons: DataFrame, defense: DataFrame,
     counters: DataFrame, kills: DataFrame, presence: DataFrame, outgoing: DataFrame | None = None,

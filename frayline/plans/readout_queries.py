@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frayline.functions import lookups as L
 from frayline.operators import buffs, profiles, rollups, summaries
-from frayline.plans import buff_queries, rollup_queries, service_queries  # noqa: F401  (registers the metric sets)
+from frayline.plans import buff_queries, rollup_queries, sequence_queries, service_queries  # noqa: F401  (registers the metric sets)
 from frayline.plans.registry import QUERIES, query
 from frayline.plans.rollup_queries import fight_seconds, rounded
 from frayline.sources.corpus import Corpus
@@ -65,6 +65,43 @@ def combat_readout(c: Corpus) -> DataFrame:
     return rows.withColumns({"roles": F.array_join("roles", ","), "detected_tags": F.array_join("detected_tags", ",")})
 
 
+_RATES = ["power_dps", "condi_dps", "barrier_ps", "boons_out_rate", "boons_in_rate"]
+_BOONS_OUT = [f"{b}_out" for b in L.READOUT_BOONS]
+_DOWN = ["down_contribution_dps", "downs", "kills"]
+_UPTIMES = [f"{b}_uptime" for b in L.TRACKED_BOONS]
+_GIVEN = [f"outgoing_{b}" for b in L.TRACKED_BOONS]
+
+
+def _pivot(source: str, value: str, columns: dict[str, str]) -> str:
+    cells = ", ".join(f"max({value}) FILTER (boon = '{b}') AS {c}" for c, b in columns.items())
+    return f"SELECT fight_id, agent_id, {cells} FROM {source} GROUP BY 1, 2"
+
+
+@query("A20 J6", f"""{_READOUT.replace('WITH ', 'WITH RECURSIVE ', 1)}, dc AS MATERIALIZED {_twin("down_contribution")}, bu AS MATERIALIZED {_twin("boon_uptimes")},
+    cd AS MATERIALIZED {_twin("commander_distances")}, ob AS MATERIALIZED {_twin("other_boon_maps")},
+    uw AS ({_pivot("bu", "uptime", dict(zip(_UPTIMES, L.TRACKED_BOONS)))}), gw AS ({_pivot("og", "outgoing", dict(zip(_GIVEN, L.TRACKED_BOONS)))})
+    SELECT ro.fight_id, ro.agent_id, ro.total_damage, {", ".join(f"coalesce(dmg.{c}, 0) AS {c}" for c in _RATES[:2])}, coalesce(hl.barrier_ps, 0) AS barrier_ps,
+      {", ".join(f"coalesce(bo.{c}, 0) AS {c}" for c in _RATES[3:] + _BOONS_OUT)}, {", ".join(f"coalesce(dc.{c}, 0) AS {c}" for c in _DOWN)},
+      {", ".join(_UPTIMES)}, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _GIVEN)}, commander_dist, other_boons_out
+    FROM ro LEFT JOIN dmg ON dmg.fight_id = ro.fight_id AND dmg.source_agent_id = ro.agent_id LEFT JOIN hl ON hl.fight_id = ro.fight_id AND hl.source_agent_id = ro.agent_id
+    LEFT JOIN bo ON bo.fight_id = ro.fight_id AND bo.agent_id = ro.agent_id LEFT JOIN dc ON dc.fight_id = ro.fight_id AND dc.source_agent_id = ro.agent_id
+    LEFT JOIN uw ON uw.fight_id = ro.fight_id AND uw.agent_id = ro.agent_id LEFT JOIN gw ON gw.fight_id = ro.fight_id AND gw.agent_id = ro.agent_id
+    LEFT JOIN cd ON cd.fight_id = ro.fight_id AND cd.agent_id = ro.agent_id LEFT JOIN ob ON ob.fight_id = ro.fight_id AND ob.agent_id = ro.agent_id""")
+def full_readout(c: Corpus) -> DataFrame:
+    """The readout's further columns: rates, boon columns, down contribution, uptimes, outgoing boons, commander distance."""
+    run = lambda name: QUERIES[name].build(c)
+    renamed = lambda name: run(name).withColumnRenamed("source_agent_id", "agent_id")
+    uptimes = run("boon_uptimes").groupBy("fight_id", "agent_id").agg(
+        *[F.max(F.when(F.col("boon") == b, F.col("uptime"))).alias(n) for n, b in zip(_UPTIMES, L.TRACKED_BOONS)])
+    parts = [
+        renamed("player_damage").select("fight_id", "agent_id", *_RATES[:2]), renamed("player_healing").select("fight_id", "agent_id", "barrier_ps"),
+        run("player_boons").select("fight_id", "agent_id", *_RATES[3:], *_BOONS_OUT), renamed("down_contribution").select("fight_id", "agent_id", *_DOWN),
+        uptimes, run("commander_distances"), run("other_boon_maps"),
+    ]
+    rows = summaries.readout_details(readout(c).select("fight_id", "agent_id", "total_damage", *_GIVEN), parts, [*_RATES, *_BOONS_OUT, *_DOWN, *_GIVEN])
+    return rows
+
+
 @query("A25", _READOUT + """
     SELECT fight_id, round(sum(dps), 3) AS dps, round(sum(hps), 3) AS hps, CAST(sum(total_buff_removal) AS BIGINT) AS strips, CAST(sum(cleanses) AS BIGINT) AS cleanses, CAST(sum(cc) AS BIGINT) AS cc,
       count(*) FILTER (list_contains(role_list, 'Heal')) AS healers, count(*) FILTER (list_contains(role_list, 'Support')) AS supports FROM ro GROUP BY 1""")
