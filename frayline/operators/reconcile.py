@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frayline.functions.combat import absorbed_hit, catalogue_condition, catalogue_condition_damage, landed_hit
@@ -237,6 +237,14 @@ def cast_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return missing.unionByName(extra).groupBy("skill_id", "direction").agg(F.count(F.lit(1)).alias("casts"))
 
 
+def worst_skills(differences: DataFrame, n: int) -> DataFrame:
+    """The n skills with the largest sum of missing and extra casts, ties by skill."""
+    side = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("casts"))), F.lit(0)).alias(d)
+    totals = differences.groupBy("skill_id").agg(side("missing"), side("extra"), F.sum("casts").alias("_all"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("_all"), "skill_id")
+    return totals.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("_all")
+
+
 # -- classification and report ------------------------------------------------------
 def bucket(key: Column) -> Column:
     """``players[x].stats.total`` -> ``players.stats.total``."""

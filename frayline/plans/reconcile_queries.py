@@ -178,6 +178,16 @@ def cast_differences(c: Corpus) -> DataFrame:
     return reconcile.cast_differences(_expected_casts(c), casts(c))
 
 
+@query("T9", f"""
+    WITH {_EXPECTED_CASTS}, df AS (SELECT skill_id, direction, count(*) AS casts FROM (
+      SELECT *, 'missing' AS direction FROM (SELECT * FROM xc EXCEPT SELECT * FROM ca) a UNION ALL SELECT *, 'extra' FROM (SELECT * FROM ca EXCEPT SELECT * FROM xc) b) x GROUP BY 1, 2)
+    SELECT * FROM (SELECT skill_id, CAST(coalesce(sum(casts) FILTER (direction = 'missing'), 0) AS BIGINT) AS missing, CAST(coalesce(sum(casts) FILTER (direction = 'extra'), 0) AS BIGINT) AS extra,
+      row_number() OVER (ORDER BY sum(casts) DESC, skill_id) AS rank FROM df GROUP BY 1) y WHERE rank <= 10""")
+def worst_skills(c: Corpus) -> DataFrame:
+    """The ten skills with the most missing and extra casts."""
+    return reconcile.worst_skills(reconcile.cast_differences(_expected_casts(c), casts(c)), 10)
+
+
 @query("D6", f"""
     WITH {_COMPARED} SELECT regexp_replace(key, '\\[[^\\]]*\\]', '', 'g') AS bucket, status, count(*) AS results FROM cmp GROUP BY 1, 2""")
 def result_buckets(c: Corpus) -> DataFrame:

@@ -47,7 +47,11 @@ def subscriptions(c: Corpus) -> DataFrame:
 
 
 def deliveries(c: Corpus) -> DataFrame:
-    return c.table("lineitem").selectExpr(
+    return as_deliveries(c.table("lineitem"))
+
+
+def as_deliveries(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(
         "(l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS id", "l_suppkey % 25 AS subscription_id", "l_orderkey AS upload_id", "cast(l_partkey % 4 AS int) AS attempt",
         "CASE l_returnflag WHEN 'A' THEN 200 WHEN 'R' THEN 500 END AS status_code", "if(l_returnflag = 'R', 'HTTP 500', NULL) AS error",
         "if(l_returnflag = 'A', cast(l_shipdate AS timestamp), NULL) AS delivered_at", "if(l_linestatus = 'O', cast(l_shipdate AS timestamp), NULL) AS next_attempt_at",
@@ -174,9 +178,23 @@ def skill_catalogue(c: Corpus) -> DataFrame:
     return files.catalogue_view(files.parse_catalogue(lines, F.col("p_partkey"))).drop("icon_url", "description")
 
 
-@query("O12")
+@query("O12", f"""
+    SELECT o_orderpriority AS catalogue, round(date_diff('second', max(o_orderdate)::TIMESTAMP, {_NOW}) / 86400.0, 6) AS age_days FROM orders GROUP BY 1""")
 def catalogue_age(c: Corpus) -> DataFrame:
-    return files.catalogue_age_days(c.spark, f"{c.folder}/part.parquet", F.current_timestamp(), "parquet")
+    """Age of every catalogue (order priority) at a given time, by the newest stored change."""
+    rows = c.table("orders").select(F.col("o_orderpriority").alias("catalogue"), F.col("o_orderdate").cast("timestamp").alias("changed"))
+    return rounded(files.age_days(rows, ["catalogue"], "changed", now()), "age_days")
+
+
+@query("S2", "SELECT fight_id, event_type, count(*) AS events, CAST(coalesce(sum(damage), 0) AS BIGINT) AS damage FROM ev GROUP BY 1, 2")
+def rewritten_events(c: Corpus) -> DataFrame:
+    """All events written as gzip JSON lines per fight and read back."""
+    folder = live.work_folder(c.spark, "event-files")
+    files.write_event_stream(c.events().select("fight_id", "seq", "time_ms", "event_type", "source_agent_id", "target_agent_id", "skill_id", "damage"), folder, as_json=True)
+    lines = c.spark.read.text(folder).select("value", F.regexp_extract(F.col("_metadata.file_path"), "fight_id=([^/]+)", 1).alias("fight"))
+    good, _ = files.split_valid(files.parse_event_lines(lines))
+    return good.groupBy(F.col("fight").alias("fight_id"), "event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.coalesce(F.sum("damage"), F.lit(0)).alias("damage"))
 
 
 _SIDE = """concat(if(c_custkey % 7 = 0, '[1', concat('{"', if(c_custkey % 5 = 0, 'people', 'players'), '": {"', if(c_custkey % 2 = 0, upper(c_name), c_name),
@@ -321,6 +339,39 @@ def dead_letter_page(c: Corpus) -> DataFrame:
     return profiles.page(ops.dead_letters(deliveries(c), now()).select("id", "subscription_id", "upload_id"), [F.col("id").desc()], 50, 25)
 
 
+@query("O11", f"""
+    WITH {_DEL} SELECT id, upload_id, row_number() OVER (ORDER BY id DESC) AS position FROM de WHERE attempt >= 3 AND delivered_at IS NULL AND subscription_id = 7 QUALIFY position <= 50""")
+def subscription_dead_letters(c: Corpus) -> DataFrame:
+    """The newest 50 dead letters of one subscription."""
+    rows = ops.dead_letters(deliveries(c).filter("subscription_id = 7"), now()).select("id", "upload_id", F.lit(0).alias("page"))
+    return profiles.top_per_key(rows, ["page"], "id", "upload_id", 50).select("id", "upload_id", F.col("rank").alias("position"))
+
+
+@query("O11", f"""
+    WITH {_DEL} SELECT id, row_number() OVER (ORDER BY coalesce(next_attempt_at, DATE '1970-01-01'), id) AS position FROM de
+    WHERE attempt < 3 AND delivered_at IS NULL AND (next_attempt_at IS NULL OR next_attempt_at <= {_NOW}) AND (status_code IS NULL OR status_code >= 300) QUALIFY position <= 100""")
+def oldest_due_deliveries(c: Corpus) -> DataFrame:
+    """The 100 deliveries that are due longest."""
+    rows = ops.due_retries(deliveries(c), now()).withColumn("age", -F.unix_seconds(F.coalesce("next_attempt_at", F.timestamp_seconds(F.lit(0)))))
+    rows = profiles.top_per_key(rows.withColumn("page", F.lit(0)), ["page"], "age", "id", 100)
+    return rows.select("id", F.col("rank").alias("position"))
+
+
+@query("O11", f"WITH {_UP} SELECT sha256, id, status FROM up WHERE sha256 IN ('h7', 'h11', 'h1000000')")
+def uploads_by_hash(c: Corpus) -> DataFrame:
+    return uploads(c).filter(F.col("sha256").isin("h7", "h11", "h1000000")).select("sha256", "id", "status")
+
+
+@query("M2", """
+    SELECT CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 THEN 'invalid' WHEN c_custkey % 6 = 0 THEN 'unresolved' ELSE 'resolved' END AS outcome, count(*) AS players FROM customer GROUP BY 1""")
+def resolved_sidecar_players(c: Corpus) -> DataFrame:
+    """Sidecar players by outcome; every sixth is asked for under a name that no document holds."""
+    name = F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("nobody "), F.col("c_name"))).otherwise(F.col("c_name"))
+    rows = sidecars(c).withColumn("found", documents.case_insensitive(F.col("players"), name).isNotNull())
+    outcome = F.when(~F.col("valid"), "invalid").when(F.col("found"), "resolved").otherwise("unresolved")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("players"))
+
+
 @query("O11", f"WITH {_SUB} SELECT id, filter FROM sb WHERE NOT revoked")
 def active_subscriptions(c: Corpus) -> DataFrame:
     return subscriptions(c).filter("revoked_at is null").select("id", "filter")
@@ -564,3 +615,24 @@ def live_sweep(c: Corpus) -> DataFrame:
     live.drain(stream, folder, live.sweep_batch(now(), 86400, f"{folder}/uploads"))
     schema = "id BIGINT, uploaded_at TIMESTAMP, status STRING, error_message STRING"
     return live.batch_table(c.spark, f"{folder}/uploads", schema).groupBy("status").agg(F.count(F.lit(1)).alias("uploads"))
+
+
+def _drained(c: Corpus, name: str, step, schema: str) -> DataFrame:
+    """``step`` of every micro-batch of the deliveries, kept once per batch."""
+    folder = live.work_folder(c.spark, name)
+    stream = as_deliveries(live.stream_table(c.spark, c.folder, "lineitem"))
+    live.drain(stream, folder, live.batch_sink(f"{folder}/rows", step))
+    return live.batch_table(c.spark, f"{folder}/rows", schema)
+
+
+@query("X5 O4", f"""
+    WITH {_DEL} SELECT attempt, count(*) AS due FROM de WHERE attempt < 3 AND delivered_at IS NULL AND (next_attempt_at IS NULL OR next_attempt_at <= {_NOW}) AND (status_code IS NULL OR status_code >= 300) GROUP BY 1""")
+def live_retries(c: Corpus) -> DataFrame:
+    rows = _drained(c, "live-retries", lambda batch: ops.due_retries(batch, now()).select("id", "attempt"), "id BIGINT, attempt INT")
+    return rows.groupBy("attempt").agg(F.count(F.lit(1)).alias("due"))
+
+
+@query("X5 O6", f"WITH {_DEL} SELECT id, subscription_id, error AS last_error FROM de WHERE attempt >= 3 AND delivered_at IS NULL")
+def live_dead_letters(c: Corpus) -> DataFrame:
+    step = lambda batch: ops.dead_letters(batch, now()).select("id", "subscription_id", "last_error")
+    return _drained(c, "live-dead-letters", step, "id BIGINT, subscription_id BIGINT, last_error STRING").drop("batch_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -33,18 +33,3 @@ def build_session(app: str = "frayline", master: str | None = None, **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
     return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    Falls through unchanged when no folder is configured: the result is the
-    same, only the lineage is longer.
-    """
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if folder is None:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

@@ -90,10 +90,13 @@ def catalogue_view(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def catalogue_age_days(spark: SparkSession, path: str, now: Column, fmt: str = "text") -> DataFrame:
-    """Days since the newest catalogue file changed (reads file metadata, not the lines)."""
-    rows = spark.read.format(fmt).load(path).select(F.col("_metadata.file_modification_time").alias("changed"))
-    return rows.agg(((now.cast("double") - F.max("changed").cast("double")) / 86400).alias("age_days"))
+def age_days(rows: DataFrame, keys: list[str], changed: str, now: Column) -> DataFrame:
+    """Days from the newest change of every key to ``now``.
+
+    For files, ``changed`` is Spark's ``_metadata.file_modification_time``.
+    """
+    newest = rows.groupBy(*keys).agg(F.max(changed).alias("_changed"))
+    return newest.select(*keys, ((now.cast("double") - F.col("_changed").cast("double")) / 86400).alias("age_days"))
 
 
 # -- sidecars ------------------------------------------------------------------------
