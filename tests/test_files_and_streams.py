@@ -33,7 +33,8 @@ def test_catalogue_skips_bad_lines_later_wins_missing_is_empty(spark, tmp_path):
     assert (rows[1].name, rows[1].profession, rows[1].is_elite, rows[1].skill_type) == ("new", "MESMER", False, "utility")
     assert rows[2].is_elite and rows[2].profession is None and rows[2].skill_type == "heal"
     assert files.read_catalogue(spark, str(tmp_path / "none")).count() == 0
-    assert files.catalogue_age_days(spark, str(path), F.current_timestamp()).first().age_days < 1
+    stored = spark.read.text(str(path)).select(F.lit("c").alias("catalogue"), F.col("_metadata.file_modification_time").alias("changed"))
+    assert files.age_days(stored, ["catalogue"], "changed", F.current_timestamp()).first().age_days < 1
 
 
 def test_sidecars_validity_lookup_and_merge(spark, tmp_path):
