@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frayline.llm.common import batched
+
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 _ESCAPED = re.compile(r"\\([\\|n])")
 FORMATTED = "conv_id long, formatted string, input_ids array<int>, loss_mask array<boolean>, loss_starts array<long>, loss_ends array<long>"
@@ -107,7 +109,7 @@ def format_conversations(rows: DataFrame, path: str) -> DataFrame:
             names = ["conv_id", "formatted", "input_ids", "loss_mask", "loss_starts", "loss_ends"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = batched(rows).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return turns.mapInArrow(encode, FORMATTED)
 
 

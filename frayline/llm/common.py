@@ -35,6 +35,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = 1000
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, after seeing to it that Python workers get batches of at most ``ARROW_ROWS`` rows in this session.
+
+    Texts are long, and every running task holds a few batches in the JVM and in its worker. Spark's own bound in bytes
+    (``maxBytesPerBatch``) still cuts batches of very long texts shorter.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)

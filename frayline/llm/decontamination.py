@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from frayline.llm.automaton import SuffixAutomaton, merged
-from frayline.llm.common import saved
+from frayline.llm.common import batched, saved
 
 WINDOW = 10
 SHARD_BYTES = 2_000_000
@@ -96,43 +95,45 @@ class ItemMatcher:
         return merged(spans), found
 
 
-def item_shards(items: DataFrame, window: int, id_column: str, text: str, shard_bytes: int) -> Iterator[ItemMatcher]:
-    """One matcher per shard of the items; only one shard is on the driver at a time."""
-    total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    for k in range(shards):
-        own = items.filter(F.pmod(F.xxhash64(id_column), F.lit(shards)) == k).select(id_column, text)
-        yield ItemMatcher([(r[0], normal_words(r[1])) for r in own.toLocalIterator()], window)
+def shard_matcher(items: DataFrame, k: int, shards: int, window: int, id_column: str, text: str) -> ItemMatcher:
+    """The matcher of shard k; only one shard is on the driver at a time."""
+    own = items.filter(F.pmod(F.xxhash64(id_column), F.lit(shards)) == k).select(id_column, text)
+    return ItemMatcher([(r[0], normal_words(r[1])) for r in own.toLocalIterator()], window)
+
 
+def matched(documents: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES, clean: bool = False) -> DataFrame:
+    """``documents`` with hit word spans, occurring items and the number of words in ``__`` columns.
 
-def matched(documents: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``documents`` with hit word spans, occurring items and the number of words in ``__`` columns."""
-    spark, done = documents.sparkSession, False
-    start = documents.withColumns({_SPANS: F.lit(None).cast("array<struct<start:long,end:long>>"), _ITEMS: F.lit(None).cast("array<long>"), _WORDS: F.lit(0).cast("long")})
-    for matcher in item_shards(items, window, item_id, item_text, shard_bytes):
-        start = saved(start) if done else start
-        start, done = _pass(start, spark.sparkContext.broadcast(matcher), text), True
-    return start
+    ``clean``: the last pass also takes the hit spans out of the text.
+    """
+    shards = max(1, -(-(items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0) // shard_bytes))
+    found = documents.withColumns({_SPANS: F.lit(None).cast("array<struct<start:long,end:long>>"), _ITEMS: F.lit(None).cast("array<long>"), _WORDS: F.lit(0).cast("long")})
+    for k in range(shards):
+        matcher = documents.sparkSession.sparkContext.broadcast(shard_matcher(items, k, shards, window, item_id, item_text))
+        found = _pass(saved(found) if k else found, matcher, text, clean and k == shards - 1)
+    return found
 
 
-def _pass(documents: DataFrame, matcher, text: str) -> DataFrame:
+def _pass(documents: DataFrame, matcher, text: str, clean: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher.value
         for batch in batches:
             place = {n: batch.schema.get_field_index(n) for n in (text, _SPANS, _ITEMS, _WORDS)}
-            spans, items, sizes = [], [], []
+            spans, items, sizes, texts = [], [], [], []
             for value, s, i in zip(batch.column(place[text]), batch.column(place[_SPANS]).to_pylist(), batch.column(place[_ITEMS]).to_pylist()):
                 words = normal_words(value.as_py())
                 hit, found = own.match(words)
-                before = [(x["start"], x["end"]) for x in s or ()]
-                spans.append([{"start": a, "end": b} for a, b in merged(before + hit)])
+                hit = merged([(x["start"], x["end"]) for x in s or ()] + hit)
+                spans.append([{"start": a, "end": b} for a, b in hit])
+                if clean:
+                    texts.append(without_spans(value.as_py(), hit) if hit else value.as_py())
                 items.append(sorted({*(i or ()), *(x for x in found if x is not None)}))
                 sizes.append(len(words))
-            new = {place[_SPANS]: spans, place[_ITEMS]: items, place[_WORDS]: sizes}
+            new = {place[_SPANS]: spans, place[_ITEMS]: items, place[_WORDS]: sizes} | ({place[text]: texts} if clean else {})
             columns = [pa.array(new[k], c.type) if k in new else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return documents.mapInArrow(scan, documents.schema)
+    return batched(documents).mapInArrow(scan, documents.schema)
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -161,12 +162,6 @@ def without_spans(value: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``documents`` without the spans that hit items; documents with at least ``coverage`` of their words hit go."""
     names = documents.columns
-    found = matched(documents, items, window, text)
+    found = matched(documents, items, window, text, clean=True)
     hit = F.aggregate(_SPANS, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    kept = found.filter((hit == 0) | (hit < coverage * F.col(_WORDS)))
-
-    @F.pandas_udf(T.StringType())
-    def cleaned(values, spans):
-        return values.combine(spans, lambda v, s: without_spans(v, [(x["start"], x["end"]) for x in s]) if v is not None and len(s) else v)
-
-    return kept.withColumn(text, F.when(F.size(_SPANS) > 0, cleaned(text, _SPANS)).otherwise(F.col(text))).select(*names)
+    return found.filter((hit == 0) | (hit < coverage * F.col(_WORDS))).select(*names)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frayline.llm.common import mixed, saved, window_hashes, word_bounds, word_hashes
+from frayline.llm.common import batched, mixed, saved, window_hashes, word_bounds, word_hashes
 from frayline.llm.components import components
 
 SIZE = 5
@@ -92,7 +92,7 @@ def signatures(documents: DataFrame, size: int, threshold: float, miss: float) -
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    return batched(documents).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def gram_sets(documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frayline.llm.common import batched
+
 SAMPLE = 5_000
 CONFIDENCE = 0.5
 CONFIRM = 0.7
@@ -211,4 +213,4 @@ def licence_families(documents: DataFrame, templates: dict[str, list[str]] = TEM
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_paragraphs", "n_licences", "families", "confidence"])
 
-    return documents.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_paragraphs long, n_licences long, families string, confidence double")
+    return batched(documents).select("doc_id", "text").mapInArrow(scan, "doc_id long, n_paragraphs long, n_licences long, families string, confidence double")

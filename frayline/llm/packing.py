@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frayline.llm.common import saved
+from frayline.llm.common import batched, saved
 
 CAPACITY = 2048
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _rank long"
@@ -90,7 +90,7 @@ def encoded_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, en
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "_task", "_rank"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    return documents.select("doc_id", "text").mapInArrow(encode, _PIECES)
+    return batched(documents).select("doc_id", "text").mapInArrow(encode, _PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frayline.llm.common import word_bounds, word_hashes
+from frayline.llm.common import batched, word_bounds, word_hashes
 
 SAMPLE = 20_000
 CUT = 0.3
@@ -200,7 +200,7 @@ def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", sam
     share = min(1.0, sample / max(1, own.count()))
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # about ``sample`` rows of two numbers: small enough to broadcast, whatever the corpus
-    rows = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    rows = batched(documents).select("doc_id", "text").join(F.broadcast(own), "doc_id")
     found = rows.select("doc_id", fold().alias("fold"), "_label", statistics("text").alias("stats")).toPandas()
     found = found.assign(order=found["stats"].map(lambda s: tuple(s))).sort_values(["doc_id", "order", "_label"], kind="stable")
     x = np.stack(found["stats"].to_list()) if len(found) else np.zeros((0, len(STATISTICS)))
@@ -209,7 +209,7 @@ def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", sam
 
 def scored(documents: DataFrame, model: RuleEnsemble, out: str = "score") -> DataFrame:
     """``documents`` with the score of each text."""
-    return documents.withColumn("__stats", statistics("text")).withColumn(out, model.score(F.col("__stats"))).drop("__stats")
+    return batched(documents).withColumn("__stats", statistics("text")).withColumn(out, model.score(F.col("__stats"))).drop("__stats")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frayline.llm.automaton import SuffixAutomaton, merged
-from frayline.llm.common import saved, window_hashes, word_bounds, word_hashes
+from frayline.llm.common import batched, saved, window_hashes, word_bounds, word_hashes
 
 WINDOW = 35
 GRAM = 12
@@ -60,7 +60,7 @@ def _hashed(text: str | None) -> tuple[list[bytes], np.ndarray]:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", F.octet_length("text")).alias("key"), "text")
+    return batched(documents).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", F.octet_length("text")).alias("key"), "text")
 
 
 def scanned(documents: DataFrame, window: int, gram: int) -> DataFrame:
@@ -252,4 +252,4 @@ def _pass(documents: DataFrame, automaton, window: int) -> DataFrame:
             columns = [pa.array(out, c.type) if k == place else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return documents.mapInArrow(stream, documents.schema)
+    return batched(documents).mapInArrow(stream, documents.schema)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frayline.llm.common import saved
+from frayline.llm.common import batched, saved
 
 FREQUENT = 400_000
 LIMIT = 2048
@@ -117,7 +117,7 @@ def vocabulary(documents: DataFrame, path: str, text: str = "text") -> DataFrame
             pieces = [cut.pieces(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int64())], ["pre_token", "n", "pieces"])
 
-    counts = documents.select(F.col(text)).mapInArrow(tally, "pre_token string, n long")
+    counts = batched(documents).select(F.col(text)).mapInArrow(tally, "pre_token string, n long")
     distinct = counts.groupBy("pre_token").agg(F.sum("n").alias("n"))
     return distinct.mapInArrow(count_pieces, "pre_token string, n long, pieces long")
 

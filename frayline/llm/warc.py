@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frayline.llm.common import saved, shared_folder
+from frayline.llm.common import batched, saved, shared_folder
 
 BLOCK_ENTRIES = 1000
 ARCHIVE_BYTES = 1 << 30
@@ -153,7 +153,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, archive_byt
         if out is not None:
             out.close()
 
-    return with_references(pages, min_bytes).mapInArrow(write, _ENTRY)
+    return with_references(batched(pages), min_bytes).mapInArrow(write, _ENTRY)
 
 
 def write_index(entries: DataFrame, folder: str, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
