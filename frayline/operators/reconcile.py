@@ -181,7 +181,8 @@ def match_casts(expected: DataFrame, actual: DataFrame, keys: list[str], slack_m
     An expected cast takes the first remaining actual one with equal duration at
     most ``slack_ms`` away, or at equal time when either duration is 0. Candidates
     are always within ``slack_ms``, so the casts of a skill fall into islands at
-    larger gaps and the greedy walk runs per island, over (time, duration) counts.
+    larger gaps. Islands are dealt to tasks and read in time order; a task holds
+    the counted casts of the last ``2 * slack_ms`` only.
     """
     group = [*keys, "skill_id"]
     side = lambda df, flag: df.groupBy(*group, "time_ms", "duration_ms").agg(F.count(F.lit(1)).alias("n")).withColumn("_side", F.lit(flag))
@@ -189,44 +190,71 @@ def match_casts(expected: DataFrame, actual: DataFrame, keys: list[str], slack_m
     order = ("time_ms", "_side", "duration_ms")
     rows = running(rows, group, [Running("_prev", "prev", F.col("time_ms"))], order, chunk_ms)
     opens = F.col("_prev").isNull() | (F.col("time_ms") - F.col("_prev") > slack_ms)
-    rows = running(rows, group, [Running("island", "last", F.when(opens, F.col("time_ms")))], order, chunk_ms)
-    islands = rows.groupBy(*group, "island").agg(F.sort_array(F.collect_list(F.struct("time_ms", "_side", "duration_ms", "n"))).alias("items"))
-    # islands with one side only need no matching
-    schema = islands.select(*group, F.lit("").alias("verdict"), F.lit(0).cast("bigint").alias("time_ms"), F.lit(0).cast("bigint").alias("duration_ms"), F.lit(0).cast("bigint").alias("n")).schema
-    names = list(group)
+    rows = running(rows, group, [Running("_island", "last", F.when(opens, F.col("time_ms")))], order, chunk_ms)
+    rows = rows.withColumn("_group", F.to_json(F.struct(*group, "_island")))
+    ordered = rows.select(*group, "_group", *order, "n").repartition("_group").sortWithinPartitions("_group", *order)
+    schema = ordered.select(*group, F.lit("").alias("verdict"), "time_ms", "duration_ms", "n").schema
 
     def walk(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        current, head, window = None, (), CastWindow(slack_ms)
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                head = tuple(row[g] for g in names)
-                out.extend((*head, *found) for found in _greedy(row["items"], slack_ms))
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return islands.select(*group, "items").mapInPandas(walk, schema)
-
-
-def _greedy(items, slack_ms: int) -> list[tuple[str, int, int, int]]:
-    """Greedy walk over counted casts of one island; counts keep it short for repeated casts."""
-    left = [[i["time_ms"], i["duration_ms"], i["n"]] for i in items if i["_side"] == 1]
-    out: list[tuple[str, int, int, int]] = []
-    for want in (i for i in items if i["_side"] == 0):
-        t, d, need = want["time_ms"], want["duration_ms"], want["n"]
-        for other in left:
-            if need == 0:
-                break
-            same = other[1] == d and abs(other[0] - t) <= slack_ms
-            instant = other[0] == t and (other[1] == 0 or d == 0)
-            if other[2] and (same or instant):
-                used = min(need, other[2])
-                need, other[2] = need - used, other[2] - used
-                out.append(("MATCHED", t, d, used))
-        if need:
-            out.append(("MISSING", t, d, need))
-    out.extend(("EXTRA", t, d, n) for t, d, n in left if n)
-    return out
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["_group"] != current:
+                    out.extend((*head, *found) for found in window.close())
+                    current, head = row["_group"], tuple(row[g] for g in group)
+                out.extend((*head, *found) for found in window.take(row["_side"], row["time_ms"], row["duration_ms"], row["n"]))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], arrow_schema)
+        rest = [(*head, *found) for found in window.close()]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rest], arrow_schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow_schema = to_arrow_schema(schema)
+    return ordered.mapInArrow(walk, schema)
+
+
+class CastWindow:
+    """Counted casts of one island that can still meet another, in time order."""
+
+    def __init__(self, slack_ms: int) -> None:
+        self.slack_ms = slack_ms
+        self.wanted: list[tuple[int, int, int]] = []
+        self.left: list[list[int]] = []
+
+    def take(self, side: int, time: int, duration: int, n: int):
+        """Add a cast; yields what is decided once no later cast can change it."""
+        yield from self._settle(time - self.slack_ms)
+        if side == 0:
+            self.wanted.append((time, duration, n))
+        else:
+            self.left.append([time, duration, n])
+
+    def close(self):
+        yield from self._settle(None)
+        yield from (("EXTRA", t, d, n) for t, d, n in self.left if n)
+        self.left = []
+
+    def _settle(self, before: int | None):
+        ready = [w for w in self.wanted if before is None or w[0] < before]
+        for t, d, need in ready:
+            for other in self.left:
+                same = other[1] == d and abs(other[0] - t) <= self.slack_ms
+                instant = other[0] == t and (other[1] == 0 or d == 0)
+                if need and other[2] and (same or instant):
+                    used = min(need, other[2])
+                    need, other[2] = need - used, other[2] - used
+                    yield "MATCHED", t, d, used
+            if need:
+                yield "MISSING", t, d, need
+        self.wanted = self.wanted[len(ready) :]
+        if before is not None:
+            # a waiting cast is at ``before`` or later, so it reaches back to before - slack at most
+            gone = [x for x in self.left if x[0] < before - self.slack_ms]
+            self.left = self.left[len(gone) :]
+            yield from (("EXTRA", t, d, n) for t, d, n in gone if n)
 
 
 def cast_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -195,23 +195,42 @@ def anchor_groups(rows: DataFrame, keys: list[str], radius_ms: int = 10, chunk_m
     """Adds ``anchor_ms``: rows within ``radius_ms`` of a group's first time share the group.
 
     The distinct times of a key first fall into islands split at gaps of
-    ``radius_ms`` or more (no group crosses one); inside an island the anchor is a
-    fold over its distinct millisecond times.
+    ``radius_ms`` or more (no group crosses one). Islands are dealt to tasks and
+    read in time order; a task holds one batch and the last anchor, and jumps
+    from anchor to anchor by binary search.
     """
     times = rows.select(*keys, "time_ms").distinct()
     times = running(times, keys, [Running("_prev", "prev", F.col("time_ms"))], ("time_ms",), chunk_ms)
     opens = F.col("_prev").isNull() | (F.col("time_ms") - F.col("_prev") >= radius_ms)
-    times = running(times, keys, [Running("island", "last", F.when(opens, F.col("time_ms")))], ("time_ms",), chunk_ms)
-    islands = times.groupBy(*keys, "island").agg(F.sort_array(F.collect_list("time_ms")).alias("ts"))
-    start = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.array().cast("array<struct<t:bigint,a:bigint>>").alias("out"))
-
-    def step(acc: Column, t: Column) -> Column:
-        anchor = F.when(acc["anchor"].isNull() | (t - acc["anchor"] >= radius_ms), t).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.array_append(acc["out"], F.struct(t.alias("t"), anchor.alias("a"))).alias("out"))
-
-    anchors = islands.select(*keys, F.inline(F.aggregate("ts", start, step, lambda acc: acc["out"])))
-    anchors = anchors.select(*keys, F.col("t").alias("time_ms"), F.col("a").alias("anchor_ms"))
-    return rows.join(anchors, [*keys, "time_ms"])
+    times = running(times, keys, [Running("_island", "last", F.when(opens, F.col("time_ms")))], ("time_ms",), chunk_ms)
+    # equal islands of different keys get different numbers only through the key, so the key is part of the group
+    times = times.withColumn("_group", F.to_json(F.struct(*keys, "_island")))
+    ordered = times.select(*keys, "time_ms", "_group").repartition("_group").sortWithinPartitions("_group", "time_ms")
+    schema = ordered.drop("_group").withColumn("anchor_ms", F.col("time_ms")).schema
+
+    def jump(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        group, anchor = None, 0
+        for batch in batches:
+            names = batch.schema.names
+            groups, at = batch.column(names.index("_group")).to_pylist(), batch.column(names.index("time_ms")).to_numpy()
+            anchors = np.empty_like(at)
+            edges = [k for k in range(len(groups)) if k == 0 or groups[k] != groups[k - 1]]
+            for a, b in zip(edges, [*edges[1:], len(groups)]):
+                if groups[a] != group:
+                    group, anchor = groups[a], at[a]
+                while a < b:
+                    end = a + int(np.searchsorted(at[a:b], anchor + radius_ms))
+                    anchors[a:end] = anchor
+                    a = end
+                    if a < b:
+                        anchor = at[a]
+            kept = [batch.column(k) for k, n in enumerate(names) if n != "_group"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(anchors)], schema.names)
+
+    return rows.join(ordered.mapInArrow(jump, schema), [*keys, "time_ms"])
 
 
 def grouped_translation(rows: DataFrame, keys: list[str], translation: DataFrame, radius_ms: int = 10, chunk_ms: int = CHUNK_MS) -> DataFrame:

@@ -161,16 +161,30 @@ def _expected_casts(c: Corpus) -> DataFrame:
     )
 
 
-@query("D3")
+_EXPECTED_CASTS = f"""{_CASTS}, ca AS (SELECT * FROM pc WHERE duration_ms IS NOT NULL), xc AS (SELECT fight_id, source_agent_id, skill_id,
+      CASE WHEN time_ms % 2 = 1 THEN time_ms + 2 + time_ms % 3 ELSE time_ms END AS time_ms, CASE WHEN time_ms % 3 = 0 THEN 0 ELSE duration_ms END AS duration_ms FROM ca)"""
+# one expected cast after the other takes the first actual one left that fits
+_GREEDY = f"""{_EXPECTED_CASTS},
+    xn AS MATERIALIZED (SELECT fight_id, source_agent_id, skill_id, time_ms, duration_ms, row_number() OVER (PARTITION BY fight_id, source_agent_id, skill_id ORDER BY time_ms, duration_ms) AS i FROM xc),
+    al AS (SELECT fight_id, source_agent_id, skill_id, list({{'t': time_ms, 'd': duration_ms}} ORDER BY time_ms, duration_ms) AS l FROM ca GROUP BY 1, 2, 3),
+    gp AS (SELECT fight_id, source_agent_id, skill_id FROM xc UNION SELECT fight_id, source_agent_id, skill_id FROM ca),
+    wk AS (SELECT gp.fight_id, gp.source_agent_id, gp.skill_id, 0::BIGINT AS i, coalesce(l, []) AS l, NULL::BOOLEAN AS ok
+        FROM gp LEFT JOIN al ON gp.fight_id = al.fight_id AND gp.source_agent_id = al.source_agent_id AND gp.skill_id = al.skill_id
+      UNION ALL SELECT fight_id, source_agent_id, skill_id, i, CASE WHEN p > 0 THEN list_concat(l[1 : p - 1], l[p + 1 : len(l)]) ELSE l END, p > 0
+      FROM (SELECT wk.fight_id, wk.source_agent_id, wk.skill_id, xn.i, wk.l, coalesce(list_position(list_transform(wk.l, lambda y: (y.d = xn.duration_ms AND abs(y.t - xn.time_ms) <= 2)
+          OR (y.t = xn.time_ms AND (y.d = 0 OR xn.duration_ms = 0))), true), 0) AS p
+        FROM wk JOIN xn ON xn.fight_id = wk.fight_id AND xn.source_agent_id = wk.source_agent_id AND xn.skill_id = wk.skill_id AND xn.i = wk.i + 1) s),
+    gv AS (SELECT fight_id, source_agent_id, skill_id, count(*) FILTER (ok) AS matched, count(*) FILTER (NOT ok) AS missing, min(len(l)) AS extra FROM wk GROUP BY 1, 2, 3)"""
+
+
+@query("D3", f"""
+    WITH RECURSIVE {_GREEDY} SELECT fight_id, source_agent_id, skill_id, u.verdict, CAST(u.n AS BIGINT) AS casts
+    FROM gv, unnest([{{'verdict': 'MATCHED', 'n': matched}}, {{'verdict': 'MISSING', 'n': missing}}, {{'verdict': 'EXTRA', 'n': extra}}]) AS t(u) WHERE u.n > 0""")
 def matched_casts(c: Corpus) -> DataFrame:
     rows = reconcile.match_casts(_expected_casts(c), casts(c), ["fight_id", "source_agent_id"], chunk_ms=HOUR_MS)
     return rows.groupBy("fight_id", "source_agent_id", "skill_id", "verdict").agg(F.sum("n").alias("casts"))
 
 
-_EXPECTED_CASTS = f"""{_CASTS}, ca AS (SELECT * FROM pc WHERE duration_ms IS NOT NULL), xc AS (SELECT fight_id, source_agent_id, skill_id,
-      CASE WHEN time_ms % 2 = 1 THEN time_ms + 2 + time_ms % 3 ELSE time_ms END AS time_ms, CASE WHEN time_ms % 3 = 0 THEN 0 ELSE duration_ms END AS duration_ms FROM ca)"""
-
-
 @query("U3", f"""
     WITH {_EXPECTED_CASTS} SELECT skill_id, direction, count(*) AS casts FROM (
       SELECT *, 'missing' AS direction FROM (SELECT * FROM xc EXCEPT SELECT * FROM ca) a UNION ALL SELECT *, 'extra' FROM (SELECT * FROM ca EXCEPT SELECT * FROM xc) b) x GROUP BY 1, 2""")

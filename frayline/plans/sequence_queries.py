@@ -357,14 +357,30 @@ def kit_casts(c: Corpus) -> DataFrame:
     return rotation.kit_casts(c.events(["WEAPON_SWAP", "SKILL_ACTIVATION"]), bundles, chunk_ms=HOUR_MS)
 
 
-@query("F23")
+def _anchor_sql(where: str) -> str:
+    """Groups by jumps: each anchor leads to the first time at least ten minutes later."""
+    return f"""WITH RECURSIVE rw AS (SELECT fight_id, target_agent_id, time_ms, skill_id FROM ev WHERE event_type = 'BOON_APPLY' {where}),
+    tm AS (SELECT DISTINCT fight_id, target_agent_id, time_ms FROM rw),
+    nx AS (SELECT a.fight_id, a.target_agent_id, a.time_ms, min(b.time_ms) AS jump FROM tm a JOIN tm b ON a.fight_id = b.fight_id AND a.target_agent_id = b.target_agent_id
+      AND b.time_ms >= a.time_ms + 600000 GROUP BY 1, 2, 3),
+    an AS (SELECT fight_id, target_agent_id, min(time_ms) AS anchor_ms FROM tm GROUP BY 1, 2
+      UNION ALL SELECT an.fight_id, an.target_agent_id, jump FROM an JOIN nx ON nx.fight_id = an.fight_id AND nx.target_agent_id = an.target_agent_id AND nx.time_ms = an.anchor_ms),
+    gr AS (SELECT rw.*, anchor_ms FROM rw ASOF JOIN an ON rw.fight_id = an.fight_id AND rw.target_agent_id = an.target_agent_id AND rw.time_ms >= an.anchor_ms)"""
+
+
+@query("F23", _anchor_sql("") + " SELECT fight_id, target_agent_id, anchor_ms, count(*) AS events, count(DISTINCT skill_id) AS buffs FROM gr GROUP BY 1, 2, 3")
 def anchored_buff_groups(c: Corpus) -> DataFrame:
     rows = c.events(["BOON_APPLY"]).select("fight_id", "target_agent_id", "seq", "time_ms", "skill_id")
     grouped = rotation.anchor_groups(rows, ["fight_id", "target_agent_id"], 600_000, HOUR_MS)
     return grouped.groupBy("fight_id", "target_agent_id", "anchor_ms").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("skill_id").alias("buffs"))
 
 
-@query("F23")
+_CHOICES = ", ".join(str(x) for x in sorted(BUFF_CHOICES))
+
+
+@query("F23", _anchor_sql("AND kind = 'apply'") + f""", st AS (SELECT fight_id, target_agent_id, anchor_ms AS time_ms, list_sort(list(DISTINCT skill_id)) AS ids FROM gr GROUP BY 1, 2, 3)
+    SELECT fight_id, target_agent_id, CAST(CASE WHEN len(ids) = 1 THEN ids[1] ELSE ids[1] * 100000 + ids[2] END AS BIGINT) AS skill_id, time_ms FROM st
+    WHERE len(ids) <= 2 AND list_has_all([{_CHOICES}], ids)""")
 def translated_buff_groups(c: Corpus) -> DataFrame:
     rows = c.events(["BOON_APPLY"]).filter("kind = 'apply'").select("fight_id", "target_agent_id", "seq", "time_ms", "skill_id")
     # every pair of choices stands for a combined skill, single ones for themselves
