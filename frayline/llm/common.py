@@ -50,8 +50,11 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+# which bytes of UTF-8 text make words: all but ASCII white space (space, 9 to 13), or ASCII letters and digits and all
+# bytes of other characters
+UNSPACED = np.ones(256, dtype=bool)
+UNSPACED[[32, *range(9, 14)]] = False
+ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
@@ -80,11 +83,11 @@ class Powers:
 _POWERS = Powers()
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words of UTF-8 ``data``; words are split at ASCII white space (space, 9 to 13)."""
+def word_bounds(data: np.ndarray, letters: np.ndarray = UNSPACED) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words of UTF-8 ``data``: the longest runs of ``letters``."""
     inside = np.empty(len(data) + 2, dtype=bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    inside[1:-1] = letters[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by MinHash banding (operator 8).
 
-Texts are lower-cased and split at ASCII white space; their n-grams are ``size`` consecutive words (a shorter text has
-one, of all its words). Texts with equal n-gram sets are copies and go on as one node with a number of copies.
+Words are runs of ASCII letters, ASCII digits and non-ASCII characters of the lower-cased text, so case, punctuation and
+spacing do not count; n-grams are ``size`` consecutive words (a shorter text has one, of all its words). Texts with equal n-gram sets are copies and go on as one node with a number of copies.
 
 1. Banding: ``choose_bands`` takes the least number of bands for which a pair at the threshold is missed with a
    probability of ``miss`` at most. Nodes are shuffled on their band hashes.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frayline.llm.common import batched, mixed, saved, window_hashes, word_bounds, word_hashes
+from frayline.llm.common import ALPHANUMERIC, batched, mixed, saved, window_hashes, word_bounds, word_hashes
 from frayline.llm.components import components
 
 SIZE = 5
@@ -50,7 +50,7 @@ def choose_bands(threshold: float, miss: float = MISS, most: int = MAX_HASHES) -
 def ngram_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's n-grams."""
     data = np.frombuffer((text or "").lower().encode(), dtype=np.uint8)
-    words = word_hashes(data, *word_bounds(data))
+    words = word_hashes(data, *word_bounds(data, ALPHANUMERIC))
     return np.unique(window_hashes(words, min(size, len(words)))) if len(words) else np.empty(0, dtype=np.uint64)
 
 

@@ -11,7 +11,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
 SQL = {
     "op8_jaccard_join": """
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
   FROM words, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
