@@ -16,8 +16,8 @@ the shards are dealt to tasks, and only stretches that can match are streamed th
    matching statistics of each: a window is repeated if its state occurs more than once.
 4. A shard with more than ``SHARD_WORDS`` words of distinct fragments is dealt anew as single windows, which pre-aggregate.
 
-Equal texts are handled once, with their number of copies. Hashes only choose what meets; what is removed is decided on
-the words. Rows: null text has no words and stays; texts without white space are one word; repeated rows are copies of
+Equal texts are handled once, with their number of copies; texts are told apart by a 64-bit hash of text and size. Anchor
+hashes only choose what meets; what is removed is decided on the words. Rows: null text has no words and stays; texts without white space are one word; repeated rows are copies of
 each other, hence removed like other repeats; an empty table gives no rows; further columns pass through.
 """
 
