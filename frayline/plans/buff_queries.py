@@ -178,11 +178,6 @@ def summary_rows(c: Corpus) -> DataFrame:
     return summaries.fight_player_summaries(buckets, account_boons(c), records.event_spans(c.events()))
 
 
-@query("A22 A23 N7")
-def fight_player_summaries(c: Corpus) -> DataFrame:
-    return summary_rows(c)
-
-
 @query("S8", f"WITH RECURSIVE {_ACCOUNT_BOONS} SELECT * FROM ab WHERE uptime IS NOT NULL OR outgoing IS NOT NULL")
 def fight_player_boons(c: Corpus) -> DataFrame:
     """Long boon rows unpivoted back from the wide summary columns."""

@@ -113,3 +113,23 @@ def squad_totals(c: Corpus) -> DataFrame:
     SELECT fight_id, role, count(*) AS players FROM (SELECT fight_id, unnest(role_list) AS role FROM ro) x GROUP BY 1, 2""")
 def readout_role_counts(c: Corpus) -> DataFrame:
     return profiles.role_counts(readout(c))
+
+
+_WIDE = ", ".join(f"max(uptime) FILTER (boon_name = '{b}') AS {b}_uptime, max(outgoing) FILTER (boon_name = '{b}') AS outgoing_{b}" for b in L.TRACKED_BOONS)
+_COLUMNS = ", ".join(f"{b}_uptime, outgoing_{b}" for b in L.TRACKED_BOONS)
+
+
+@query("A22 A23 N7", f"""
+    WITH RECURSIVE {buff_queries._ACCOUNT_BOONS}, sb AS MATERIALIZED {_twin("summary_buckets")}, wb AS MATERIALIZED (SELECT fight_id, account_name, {_WIDE} FROM ab GROUP BY 1, 2),
+    sq AS (SELECT fight_id, sum(total_healing) AS squad FROM sb GROUP BY 1), sp AS (SELECT fight_id, (max(time_ms) - min(time_ms)) / 1000.0::DOUBLE AS seconds FROM ev GROUP BY 1),
+    src AS MATERIALIZED (SELECT sb.*, wb.* EXCLUDE (fight_id, account_name), power_damage AS power, squad, seconds,
+        {" + ".join(f"coalesce(outgoing_{b}, 0) * {w}" for b, w in L.BOON_WEIGHTS.items())} AS boon_score,
+        {" + ".join(f"coalesce(outgoing_{b}, 0)" for b in L.TRACKED_BOONS)} AS given
+      FROM sb LEFT JOIN wb ON sb.fight_id = wb.fight_id AND sb.account_name = wb.account_name JOIN sq ON sq.fight_id = sb.fight_id LEFT JOIN sp ON sp.fight_id = sb.fight_id), {service_queries._ROLE},
+    ls AS (SELECT *, list_filter([CASE WHEN squad > 0 AND total_healing / squad > 0.10 THEN 'Heal' END, CASE WHEN given / greatest(coalesce(seconds, 0), 1.0) > 1.0 THEN 'Support' END,
+      CASE WHEN boon_strips > 5 THEN 'Strip' END, CASE WHEN condition_cleanses > 10 THEN 'Cleanser' END, CASE WHEN cc_applied > 3 THEN 'CC' END], lambda x: x IS NOT NULL) AS additive FROM r7)
+    SELECT fight_id, account_name, name, profession, elite, total_damage, condi_damage, power_damage, total_healing, total_buff_removal, boon_strips, condition_cleanses, cc_applied,
+      {_COLUMNS}, role AS detected_role, array_to_string(tags, ',') AS detected_tags, array_to_string(CASE WHEN len(additive) > 0 THEN additive ELSE ['DPS'] END, ',') AS roles FROM ls""")
+def fight_player_summaries(c: Corpus) -> DataFrame:
+    rows = rounded(buff_queries.summary_rows(c), *[f"{b}_uptime" for b in L.TRACKED_BOONS])
+    return rows.withColumns({"roles": F.array_join("roles", ","), "detected_tags": F.array_join("detected_tags", ",")})
