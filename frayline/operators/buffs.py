@@ -306,6 +306,15 @@ def stack_segments(stacks: DataFrame, ends: DataFrame, chunk_ms: int = CHUNK_MS)
     return rows.mapInPandas(fold_segments, SEGMENT_DDL)
 
 
+def merged_segments(segments: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Adjoining stretches of equal level joined: the longest stretches without a change."""
+    rows = running(segments, KEYS, [Running("_before", "prev", F.struct("end_ms", "stacks"))], ("start_ms",), chunk_ms)
+    goes_on = (F.col("_before.end_ms") == F.col("start_ms")) & (F.col("_before.stacks") == F.col("stacks"))
+    rows = rows.withColumn("_opens", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("start_ms"))).drop("_before")
+    rows = running(rows, KEYS, [Running("_start", "last", F.col("_opens"))], ("start_ms",), chunk_ms)
+    return rows.groupBy(*KEYS, F.col("_start").alias("start_ms")).agg(F.max("end_ms").alias("end_ms"), F.max("stacks").alias("stacks"))
+
+
 def clipped_stack_time(segments: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Stack time of every (keys, buff) inside its window ``[lo_ms, hi_ms)``."""
     rows = segments.join(windows, keys)

@@ -9,7 +9,7 @@ from frayline.operators import buffs, records, rollups, summaries
 from frayline.functions import lookups as L
 from frayline.plans.registry import query
 from frayline.plans.rollup_queries import fight_seconds, rounded
-from frayline.plans.stack_sql import INTENSITY, NAMES, TRACKED, area, stack_ctes
+from frayline.plans.stack_sql import INTENSITY, NAMES, TRACKED, area, level_ctes, stack_ctes
 from frayline.sources.corpus import Corpus
 
 HOUR_MS = 3_600_000
@@ -112,9 +112,9 @@ def _agent_sql(clears: bool) -> str:
       LEFT JOIN tm ON tm.fight_id = a.fight_id AND tm.agent_id = a.agent_id AND tm.buff_id = b.buff_id"""
 
 
-@query("F6 F7 F8 F9 F10")
+@query("F6 F7 F8 F9 F10", f"WITH RECURSIVE {stack_ctes()}, {level_ctes()} SELECT * FROM lv")
 def stack_segments(c: Corpus) -> DataFrame:
-    return segments(c)
+    return buffs.merged_segments(segments(c), HOUR_MS)
 
 
 @query("F12", _agent_sql(False))

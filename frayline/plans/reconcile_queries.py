@@ -163,23 +163,27 @@ def _expected_casts(c: Corpus) -> DataFrame:
 
 _EXPECTED_CASTS = f"""{_CASTS}, ca AS (SELECT * FROM pc WHERE duration_ms IS NOT NULL), xc AS (SELECT fight_id, source_agent_id, skill_id,
       CASE WHEN time_ms % 2 = 1 THEN time_ms + 2 + time_ms % 3 ELSE time_ms END AS time_ms, CASE WHEN time_ms % 3 = 0 THEN 0 ELSE duration_ms END AS duration_ms FROM ca)"""
-# one expected cast after the other takes the first actual one left that fits
-_GREEDY = f"""{_EXPECTED_CASTS},
-    xn AS MATERIALIZED (SELECT fight_id, source_agent_id, skill_id, time_ms, duration_ms, row_number() OVER (PARTITION BY fight_id, source_agent_id, skill_id ORDER BY time_ms, duration_ms) AS i FROM xc),
-    al AS (SELECT fight_id, source_agent_id, skill_id, list({{'t': time_ms, 'd': duration_ms}} ORDER BY time_ms, duration_ms) AS l FROM ca GROUP BY 1, 2, 3),
-    gp AS (SELECT fight_id, source_agent_id, skill_id FROM xc UNION SELECT fight_id, source_agent_id, skill_id FROM ca),
-    wk AS (SELECT gp.fight_id, gp.source_agent_id, gp.skill_id, 0::BIGINT AS i, coalesce(l, []) AS l, NULL::BOOLEAN AS ok
-        FROM gp LEFT JOIN al ON gp.fight_id = al.fight_id AND gp.source_agent_id = al.source_agent_id AND gp.skill_id = al.skill_id
-      UNION ALL SELECT fight_id, source_agent_id, skill_id, i, CASE WHEN p > 0 THEN list_concat(l[1 : p - 1], l[p + 1 : len(l)]) ELSE l END, p > 0
-      FROM (SELECT wk.fight_id, wk.source_agent_id, wk.skill_id, xn.i, wk.l, coalesce(list_position(list_transform(wk.l, lambda y: (y.d = xn.duration_ms AND abs(y.t - xn.time_ms) <= 2)
-          OR (y.t = xn.time_ms AND (y.d = 0 OR xn.duration_ms = 0))), true), 0) AS p
-        FROM wk JOIN xn ON xn.fight_id = wk.fight_id AND xn.source_agent_id = wk.source_agent_id AND xn.skill_id = wk.skill_id AND xn.i = wk.i + 1) s),
-    gv AS (SELECT fight_id, source_agent_id, skill_id, count(*) FILTER (ok) AS matched, count(*) FILTER (NOT ok) AS missing, min(len(l)) AS extra FROM wk GROUP BY 1, 2, 3)"""
+
+
+def _greedy(name: str, expected: str, actual: str, keys: list[str]) -> str:
+    """CTEs up to ``gv_<name>`` (keys, matched, missing, extra): one expected cast after the other takes the first actual one left that fits."""
+    cols, on = ", ".join(keys), lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    return f"""xn_{name} AS MATERIALIZED (SELECT {cols}, time_ms, duration_ms, row_number() OVER (PARTITION BY {cols} ORDER BY time_ms, duration_ms) AS i FROM {expected}),
+    al_{name} AS (SELECT {cols}, list({{'t': time_ms, 'd': duration_ms}} ORDER BY time_ms, duration_ms) AS l FROM {actual} GROUP BY {cols}),
+    gp_{name} AS (SELECT {cols} FROM {expected} UNION SELECT {cols} FROM {actual}),
+    wk_{name} AS (SELECT {", ".join(f"g.{k}" for k in keys)}, 0::BIGINT AS i, coalesce(l, []) AS l, NULL::BOOLEAN AS ok FROM gp_{name} g LEFT JOIN al_{name} a ON {on("g", "a")}
+      UNION ALL SELECT {cols}, i, CASE WHEN p > 0 THEN list_concat(l[1 : p - 1], l[p + 1 : len(l)]) ELSE l END, p > 0
+      FROM (SELECT {", ".join(f"w.{k}" for k in keys)}, x.i, w.l, coalesce(list_position(list_transform(w.l, lambda y: (y.d = x.duration_ms AND abs(y.t - x.time_ms) <= 2)
+          OR (y.t = x.time_ms AND (y.d = 0 OR x.duration_ms = 0))), true), 0) AS p FROM wk_{name} w JOIN xn_{name} x ON {on("x", "w")} AND x.i = w.i + 1) s),
+    gv_{name} AS (SELECT {cols}, count(*) FILTER (ok) AS matched, count(*) FILTER (NOT ok) AS missing, min(len(l)) AS extra FROM wk_{name} GROUP BY {cols})"""
+
+
+_CAST_KEYS = ["fight_id", "source_agent_id", "skill_id"]
 
 
 @query("D3", f"""
-    WITH RECURSIVE {_GREEDY} SELECT fight_id, source_agent_id, skill_id, u.verdict, CAST(u.n AS BIGINT) AS casts
-    FROM gv, unnest([{{'verdict': 'MATCHED', 'n': matched}}, {{'verdict': 'MISSING', 'n': missing}}, {{'verdict': 'EXTRA', 'n': extra}}]) AS t(u) WHERE u.n > 0""")
+    WITH RECURSIVE {_EXPECTED_CASTS}, {_greedy("m", "xc", "ca", _CAST_KEYS)} SELECT fight_id, source_agent_id, skill_id, u.verdict, CAST(u.n AS BIGINT) AS casts
+    FROM gv_m, unnest([{{'verdict': 'MATCHED', 'n': matched}}, {{'verdict': 'MISSING', 'n': missing}}, {{'verdict': 'EXTRA', 'n': extra}}]) AS t(u) WHERE u.n > 0""")
 def matched_casts(c: Corpus) -> DataFrame:
     rows = reconcile.match_casts(_expected_casts(c), casts(c), ["fight_id", "source_agent_id"], chunk_ms=HOUR_MS)
     return rows.groupBy("fight_id", "source_agent_id", "skill_id", "verdict").agg(F.sum("n").alias("casts"))
@@ -289,7 +293,21 @@ def coincidence_counts(c: Corpus) -> DataFrame:
     return reconcile.coincidences(swaps, others, ["fight_id"], 1_800_000).groupBy("event_key").agg(F.sum("n").alias("casts"))
 
 
-@query("G3")
+_TAGGED = ["candidate_id", *_CAST_KEYS]
+
+
+def _what_if_sql() -> str:
+    sums = lambda n, name: f"SELECT candidate_id, fight_id, source_agent_id, CAST(sum(missing + extra) AS BIGINT) AS {name} FROM gv_{n} GROUP BY 1, 2, 3 HAVING sum(missing + extra) > 0"
+    return f"""WITH RECURSIVE {_EXPECTED_CASTS}, cd AS (SELECT lower(event_type) AS candidate_id, fight_id, source_agent_id, 100 + skill_id % 4 AS skill_id, time_ms, 0 AS duration_ms FROM ev
+      WHERE event_type IN ('INTERRUPT', 'MISSILE')), tc AS (SELECT DISTINCT candidate_id, skill_id FROM cd),
+    xw AS (SELECT candidate_id, xc.* FROM xc JOIN tc ON xc.skill_id = tc.skill_id), bw AS (SELECT candidate_id, ca.fight_id, ca.source_agent_id, ca.skill_id, time_ms, duration_ms FROM ca JOIN tc ON ca.skill_id = tc.skill_id),
+    aw AS (SELECT * FROM bw UNION ALL SELECT candidate_id, fight_id, source_agent_id, skill_id, time_ms, duration_ms FROM cd),
+    {_greedy("b", "xw", "bw", _TAGGED)}, {_greedy("a", "xw", "aw", _TAGGED)}, bs AS ({sums("b", "before")}), ass AS ({sums("a", "after")})
+    SELECT candidate_id, fight_id, source_agent_id, coalesce(before, 0) AS before, coalesce("after", 0) AS "after", coalesce("after", 0) - coalesce(before, 0) AS change
+    FROM bs FULL JOIN ass USING (candidate_id, fight_id, source_agent_id)""".replace("AS after FROM gv", 'AS "after" FROM gv')
+
+
+@query("G3", _what_if_sql())
 def rule_what_if(c: Corpus) -> DataFrame:
     """What adding every interrupt (or every missile) as an instant cast would change."""
     t = c.events(["INTERRUPT", "MISSILE"])

@@ -72,6 +72,18 @@ def stack_ctes(clears: bool = False) -> str:
     sg AS (SELECT st.* EXCLUDE (i), coalesce(lead(t) OVER (PARTITION BY st.fight_id, agent_id, buff_id ORDER BY i), end_ms) AS until FROM st JOIN ends ON st.fight_id = ends.fight_id)"""
 
 
+def level_ctes() -> str:
+    """CTEs from ``sg`` on to ``lv``: the longest stretches (start_ms, end_ms) of one positive level per key."""
+    work, key = "t + coalesce(list_sum(list_transform(s, lambda y: y.e)), 0)", "fight_id, agent_id, buff_id"
+    return f"""pc AS (SELECT *, unnest(list_sort(list_distinct(list_concat([t::DOUBLE, until::DOUBLE],
+        list_filter(CASE WHEN intensity THEN list_transform(s, lambda y: y.e) ELSE [{work}] END, lambda e: e > t AND e < until))))) AS a FROM sg WHERE until > t),
+      pd AS (SELECT *, lead(a) OVER (PARTITION BY {key}, t ORDER BY a) AS b FROM pc),
+      pl AS (SELECT {key}, a, b, CASE WHEN intensity THEN len(list_filter(s, lambda y: y.e > a)) WHEN {work} > a THEN 1 ELSE 0 END AS n FROM pd WHERE b IS NOT NULL),
+      pg AS (SELECT *, CASE WHEN lag(b) OVER w = a AND lag(n) OVER w = n THEN 0 ELSE 1 END AS opens FROM pl WHERE n > 0 WINDOW w AS (PARTITION BY {key} ORDER BY a)),
+      ph AS (SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY a) AS g FROM pg),
+      lv AS (SELECT {key}, CAST(min(a) AS BIGINT) AS start_ms, CAST(max(b) AS BIGINT) AS end_ms, CAST(max(n) AS BIGINT) AS stacks FROM ph GROUP BY {key}, g)"""
+
+
 def area(low: str = "0", high: str = "9e18") -> str:
     """Stack time of a row of ``sg`` inside [low, high)."""
     return f"""CASE WHEN intensity THEN coalesce(list_sum(list_transform(s, lambda y: greatest(0, least(y.e, until, {high}) - greatest(t, {low})))), 0)
