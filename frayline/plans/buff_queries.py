@@ -33,7 +33,7 @@ _TRACKED = _list(L.TRACKED_BOONS.values())
 _NAMES = "CASE skill_id " + " ".join(f"WHEN {i} THEN '{n}'" for n, i in L.TRACKED_BOONS.items()) + " END"
 _ENDS = "ends AS (SELECT fight_id, max(time_ms) AS end_ms FROM ev GROUP BY 1)"
 # stack level by the epoch formula: prefix sum minus the lowest prefix (or 0) since the last remove-all
-_HISTORY = """h0 AS (SELECT fight_id, target_agent_id AS agent_id, skill_id AS buff_id, seq, time_ms, kind,
+HISTORY = """h0 AS (SELECT fight_id, target_agent_id AS agent_id, skill_id AS buff_id, seq, time_ms, kind,
       CASE kind WHEN 'apply' THEN stacks WHEN 'remove_single' THEN -stacks ELSE 0 END AS d,
       count(*) FILTER (kind = 'remove_all') OVER (PARTITION BY fight_id, target_agent_id, skill_id ORDER BY time_ms, seq) AS era
       FROM ev WHERE event_type = 'BOON_APPLY' AND kind <> 'remove_manual'),
@@ -42,13 +42,13 @@ _HISTORY = """h0 AS (SELECT fight_id, target_agent_id AS agent_id, skill_id AS b
       CAST(p - least(0, min(p) OVER (PARTITION BY fight_id, agent_id, buff_id, era ORDER BY time_ms, seq)) AS BIGINT) AS stacks FROM h1)"""
 
 
-@query("F1 N4 F4 V9", f"WITH {_HISTORY} SELECT * FROM hist")
+@query("F1 N4 F4 V9", f"WITH {HISTORY} SELECT * FROM hist")
 def stack_history(c: Corpus) -> DataFrame:
     return buffs.stack_history(c.events(["BOON_APPLY"]), HOUR_MS)
 
 
 @query("F2 F3 N5", f"""
-    WITH {_HISTORY}, {_ENDS}, st AS (SELECT hist.*, coalesce(lead(time_ms) OVER (PARTITION BY hist.fight_id, agent_id, buff_id ORDER BY time_ms, seq), end_ms) AS until, end_ms
+    WITH {HISTORY}, {_ENDS}, st AS (SELECT hist.*, coalesce(lead(time_ms) OVER (PARTITION BY hist.fight_id, agent_id, buff_id ORDER BY time_ms, seq), end_ms) AS until, end_ms
       FROM hist JOIN ends ON hist.fight_id = ends.fight_id)
     SELECT fight_id, agent_id, buff_id, CAST(sum(stacks * (until - time_ms)) AS BIGINT) AS stack_ms,
       CAST(sum(CASE WHEN stacks > 0 THEN until - time_ms ELSE 0 END) AS BIGINT) AS present_ms, max(end_ms) AS end_ms,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from frayline.functions import documents, roles
 from frayline.functions import lookups as L
 from frayline.operators import ops, profiles, quality, rollups, summaries, timelines
+from frayline.plans.buff_queries import HISTORY
 from frayline.plans.registry import query
 from frayline.plans.rollup_queries import rounded
 from frayline.plans.timeline_queries import CONTRIB, contributions
@@ -590,18 +591,17 @@ def live_summaries(c: Corpus) -> DataFrame:
     return live.merged_summaries(c.spark, f"{folder}/summaries", keys, timelines.TOTALS)
 
 
-@query("X4", """
-    WITH h0 AS (SELECT fight_id, target_agent_id AS agent_id, skill_id AS buff_id, ev.seq, time_ms, kind, ts, CASE kind WHEN 'apply' THEN stacks WHEN 'remove_single' THEN -stacks ELSE 0 END AS d,
-      count(*) FILTER (kind = 'remove_all') OVER (PARTITION BY fight_id, target_agent_id, skill_id ORDER BY time_ms, ev.seq) AS era
-      FROM ev JOIN events ON event_id = seq WHERE ev.event_type = 'BOON_APPLY' AND kind <> 'remove_manual'),
-    h1 AS (SELECT *, sum(d) OVER (PARTITION BY fight_id, agent_id, buff_id, era ORDER BY time_ms, seq) AS p FROM h0),
-    h2 AS (SELECT fight_id, agent_id, buff_id, seq, time_ms, ts, CAST(p - least(0, min(p) OVER (PARTITION BY fight_id, agent_id, buff_id, era ORDER BY time_ms, seq)) AS BIGINT) AS stacks FROM h1)
-    SELECT fight_id, agent_id, buff_id, seq, time_ms, stacks FROM h2 WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM h0)""")
+@query("X4", f"WITH {HISTORY} SELECT * FROM hist")
 def live_stack_history(c: Corpus) -> DataFrame:
-    events = StreamCorpus(c.spark, c.folder, timestamps=True).events(["BOON_APPLY"])
+    """All rows: once the stored events are read, a closing row moves the watermark past the last of them."""
+    corpus = StreamCorpus(c.spark, c.folder, timestamps=True)
     folder = live.work_folder(c.spark, "live-stacks")
-    live.drain(live.live_stack_history(events), folder)
-    return c.spark.read.parquet(f"{folder}/rows")
+    events = corpus.events(["BOON_APPLY"])
+    last = Corpus(c.spark, c.folder, timestamps=True).events(["BOON_APPLY"]).agg(F.max(F.struct("ts", "fight_id")).alias("m"))
+    live.closing_rows(last.select("m.*"), events.schema, "ts", "1 day").write.parquet(f"{folder}/closing")
+    closing = c.spark.readStream.schema(events.schema).parquet(f"{folder}/closing")
+    live.drain(live.live_stack_history(events.unionByName(closing)), folder)
+    return c.spark.read.parquet(f"{folder}/rows").filter(F.col("agent_id") != live.CLOSING_ID)
 
 
 @query("X5", f"""

@@ -137,6 +137,22 @@ def live_stack_history(events: DataFrame, event_time: str = "ts", delay: str = "
     )
 
 
+CLOSING_ID = -1
+
+
+def closing_rows(last: DataFrame, schema, event_time: str, after: str) -> DataFrame:
+    """The row that closes a drained stream, for a table of events in ``schema``.
+
+    ``last`` holds the newest event time and its fight. The row is an apply on no agent, later than all by ``after``, which
+    must exceed the watermark's delay; the watermark then passes every event, and the row itself never comes out.
+    """
+    own = {
+        event_time: F.col(event_time) + F.expr(f"INTERVAL {after}"), "fight_id": F.col("fight_id"), "event_type": F.lit("BOON_APPLY"), "kind": F.lit("apply"),
+        "target_agent_id": F.lit(CLOSING_ID), "skill_id": F.lit(CLOSING_ID), "seq": F.lit(CLOSING_ID), "time_ms": F.lit(2**40), "stacks": F.lit(0),
+    }
+    return last.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def sweep_batch(now: Column, threshold_s: int, path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: stuck uploads of the batch become failed."""
     return batch_sink(path, lambda batch: ops.sweep_stuck(batch, now, threshold_s))
