@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,8 +137,35 @@ def guard_windows(events: DataFrame, skills: list[int], epsilon_ms: int = 10, ch
     )
 
 
+TRIGGER = [*CAST, "seq", "time_ms", "cooldown_ms", "trigger_kind", "trigger_id"]
+# a total order for the cooldown: several rules may fire on one record
+TRIGGER_ORDER = ("time_ms", "seq", "trigger_kind", "trigger_id")
+
+
+def instant_casts(triggered: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Triggers that outlast the cooldown of their (agent, cast), whatever has triggered it before."""
+    rows = apply_cooldown(triggered, chunk_ms, TRIGGER_ORDER)
+    return rows.select(*CAST, "seq", "time_ms", F.lit(0).cast("bigint").alias("duration_ms"), "trigger_kind", "trigger_id")
+
+
+def complete_rotation(triggered: list[DataFrame], casts: list[DataFrame], chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """All casts of a log: triggers of every source share one cooldown memory; other casts join them as they are.
+
+    ``triggered``: tables of ``TRIGGER`` columns; ``casts``: tables with the cast, its time and its duration.
+    """
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    columns = [*CAST, "time_ms", "duration_ms"]
+    instant = instant_casts(union([t.select(*TRIGGER) for t in triggered]), chunk_ms)
+    return final_casts(union([x.select(*columns) for x in [instant, *casts]]), chunk_ms)
+
+
 def inferred_casts(events: DataFrame, rules: DataFrame, agents: DataFrame, guards: DataFrame | None = None, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Instant casts from a rule table, with gates, guards, swap alignment and per-rule cooldown.
+    """Instant casts from a rule table, with gates, guards, swap alignment and per-rule cooldown."""
+    return instant_casts(rule_triggers(events, rules, agents, guards, chunk_ms), chunk_ms)
+
+
+def rule_triggers(events: DataFrame, rules: DataFrame, agents: DataFrame, guards: DataFrame | None = None, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Rule matches before the cooldown.
 
     The rule table is joined by key; AQE broadcasts it when its size allows.
     """
@@ -154,10 +183,7 @@ def inferred_casts(events: DataFrame, rules: DataFrame, agents: DataFrame, guard
         rows = covered_by_any(rows, guards, [FIGHT, "source_agent_id", "guard_skill_id"], "_guarded", chunk_ms)
         rows = rows.filter("not _guarded").drop("_guarded")
     rows = rows.withColumn("skill_id", F.col("cast_skill_id"))
-    rows = align_to_swaps(rows, events.filter(_is("WEAPON_SWAP")), chunk_ms=chunk_ms)
-    # a total order for the cooldown: several rules may fire on one record
-    rows = apply_cooldown(rows, chunk_ms, ("time_ms", "seq", "trigger_kind", "trigger_id"))
-    return rows.select(*CAST, "seq", "time_ms", F.lit(0).cast("bigint").alias("duration_ms"), "trigger_kind", "trigger_id")
+    return align_to_swaps(rows, events.filter(_is("WEAPON_SWAP")), chunk_ms=chunk_ms).select(*TRIGGER)
 
 
 def kit_casts(events: DataFrame, bundles: DataFrame, slot: int = 2, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -246,6 +272,11 @@ def grouped_translation(rows: DataFrame, keys: list[str], translation: DataFrame
 
 
 def minion_casts(events: DataFrame, minion_skills: DataFrame, intervals: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Minion activations as instant casts of the owner."""
+    return instant_casts(minion_triggers(events, minion_skills, intervals, chunk_ms), chunk_ms).drop("trigger_kind", "trigger_id")
+
+
+def minion_triggers(events: DataFrame, minion_skills: DataFrame, intervals: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Minion activations credited to the owner: interval owner, else the owner named at its first spawn.
 
     ``minion_skills``: skill_id, cast_skill_id.
@@ -256,14 +287,22 @@ def minion_casts(events: DataFrame, minion_skills: DataFrame, intervals: DataFra
     rows = value_at(starts, intervals, [FIGHT, "agent_id"], "owner_agent_id", "interval_owner", chunk_ms)
     spawned = events.filter(_is("SPAWN")).groupBy(FIGHT, F.col("target_agent_id").alias("agent_id")).agg(F.min_by("source_agent_id", "seq").alias("spawn_owner"))
     rows = rows.join(spawned, [FIGHT, "agent_id"], "left").withColumn("source_agent_id", F.coalesce("interval_owner", F.when(F.col("spawn_owner") != 0, F.col("spawn_owner"))))
-    rows = rows.filter("source_agent_id is not null").withColumn("skill_id", F.col("cast_skill_id")).withColumn("cooldown_ms", F.lit(DEFAULT_COOLDOWN_MS))
-    return apply_cooldown(rows, chunk_ms).select(*CAST, "seq", "time_ms", F.lit(0).cast("bigint").alias("duration_ms"))
+    rows = rows.filter("source_agent_id is not null").withColumn("skill_id", F.col("cast_skill_id"))
+    own = {"cooldown_ms": F.lit(DEFAULT_COOLDOWN_MS), "trigger_kind": F.lit("minion"), "trigger_id": F.col("agent_id").cast("string")}
+    return rows.withColumns(own).select(*TRIGGER)
 
 
 def effect_casts(
     events: DataFrame, effect_rules: DataFrame, agents: DataFrame, chunk_ms: int = CHUNK_MS, radius_ms: int = 10
 ) -> DataFrame:
-    """Effect-triggered casts with gates.
+    """Effect-triggered casts with gates and their cooldown."""
+    return instant_casts(effect_triggers(events, effect_rules, agents, chunk_ms, radius_ms), chunk_ms).drop("trigger_kind", "trigger_id")
+
+
+def effect_triggers(
+    events: DataFrame, effect_rules: DataFrame, agents: DataFrame, chunk_ms: int = CHUNK_MS, radius_ms: int = 10
+) -> DataFrame:
+    """Effects that trigger a cast, after the gates.
 
     ``effect_rules``: guid, cast_skill_id, cooldown_ms, gate_profession, gate_elite,
     blocked_by_damage_skill (hit of that skill by the same agent nearby drops the
@@ -285,7 +324,7 @@ def effect_casts(
     blocked = F.col("_blocked")
     starved = (F.col("needs_buff_id") != NO_SKILL) & ~F.col("_fed")
     rows = rows.filter(~blocked & ~starved).withColumn("skill_id", F.col("cast_skill_id"))
-    return apply_cooldown(rows, chunk_ms).select(*CAST, "seq", "time_ms", F.lit(0).cast("bigint").alias("duration_ms"))
+    return rows.withColumns({"trigger_kind": F.lit("effect"), "trigger_id": F.col("guid")}).select(*TRIGGER)
 
 
 def final_casts(casts: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frayline.operators import classify, downs, identity, positions, rotation
 from frayline.operators.scan import covered_by_any, near_any
-from frayline.plans.registry import query
+from frayline.plans.registry import QUERIES, query
 from frayline.plans.rollup_queries import fight_seconds, rounded
 from frayline.sources.corpus import BUFF_CHOICES, Corpus, pick
 
@@ -399,8 +399,11 @@ def translated_buff_groups(c: Corpus) -> DataFrame:
     lg AS (SELECT *, lag(time_ms) OVER (PARTITION BY fight_id, source_agent_id, cast_skill ORDER BY time_ms, seq) AS pv FROM rs WHERE source_agent_id IS NOT NULL)
     SELECT fight_id, source_agent_id, cast_skill AS skill_id, seq, time_ms, 0 AS duration_ms FROM lg WHERE pv IS NULL OR time_ms - pv >= 50""")
 def minion_casts(c: Corpus) -> DataFrame:
-    minion = c.events(["SKILL_ACTIVATION"]).select("skill_id").distinct().withColumn("cast_skill_id", 700 + F.col("skill_id"))
-    return rotation.minion_casts(c.events(["SKILL_ACTIVATION", "SPAWN"]), minion, intervals(c), HOUR_MS)
+    return rotation.minion_casts(c.events(["SKILL_ACTIVATION", "SPAWN"]), minion_skills(c), intervals(c), HOUR_MS)
+
+
+def minion_skills(c: Corpus) -> DataFrame:
+    return c.events(["SKILL_ACTIVATION"]).select("skill_id").distinct().withColumn("cast_skill_id", 700 + F.col("skill_id"))
 
 
 _EFFECTS = """er AS (SELECT * FROM (VALUES ('G0', 800, 0, 9, 740), ('G1', 801, 600000, NULL, NULL), ('G2', 802, 0, NULL, 1122), ('G3', 803, 0, 12, NULL), ('G4', 804, 1000, NULL, NULL))
@@ -415,11 +418,14 @@ _EFFECTS = """er AS (SELECT * FROM (VALUES ('G0', 800, 0, 9, 740), ('G1', 801, 6
     lg AS (SELECT *, lag(time_ms) OVER (PARTITION BY fight_id, source_agent_id, cast_skill_id ORDER BY time_ms, seq) AS pv FROM ok)
     SELECT fight_id, source_agent_id, cast_skill_id AS skill_id, seq, time_ms, 0 AS duration_ms FROM lg WHERE pv IS NULL OR time_ms - pv >= cooldown_ms""")
 def effect_casts(c: Corpus) -> DataFrame:
-    table = c.spark.createDataFrame(
+    return rotation.effect_casts(c.events(["EFFECT", "DAMAGE", "BOON_APPLY"]), effect_rules(c), c.agents(), HOUR_MS, 7_200_000)
+
+
+def effect_rules(c: Corpus) -> DataFrame:
+    return c.spark.createDataFrame(
         [("G0", 800, 0, 9, 740), ("G1", 801, 600000, None, None), ("G2", 802, 0, None, 1122), ("G3", 803, 0, 12, None), ("G4", 804, 1000, None, None)],
         "guid STRING, cast_skill_id BIGINT, cooldown_ms INT, blocked_by_damage_skill BIGINT, needs_buff_id BIGINT",
     ).withColumns({"gate_profession": F.lit(None).cast("int"), "gate_elite": F.lit(None).cast("int")})
-    return rotation.effect_casts(c.events(["EFFECT", "DAMAGE", "BOON_APPLY"]), table, c.agents(), HOUR_MS, 7_200_000)
 
 
 _ALL = f"""{_CASTS}, al AS (SELECT * FROM pc WHERE duration_ms IS NOT NULL UNION SELECT fight_id, source_agent_id, -2, time_ms, 0 FROM ev WHERE event_type = 'WEAPON_SWAP'),
@@ -436,6 +442,60 @@ def final_casts(c: Corpus) -> DataFrame:
     return all_casts(c)
 
 
+def _twin(name: str) -> str:
+    return f"({QUERIES[name].sql})"
+
+
+# every trigger with the other side, for rules on oneself
+_SIDED = """tr AS (SELECT fight_id, seq, time_ms, 'buff_gain' AS trigger_kind, CAST(skill_id AS VARCHAR) AS trigger_id, target_agent_id AS agent, source_agent_id AS other FROM ev WHERE kind = 'apply'
+      UNION ALL SELECT fight_id, seq, time_ms, 'buff_loss', CAST(skill_id AS VARCHAR), target_agent_id, source_agent_id FROM ev WHERE kind = 'remove_all'
+      UNION ALL SELECT fight_id, seq, time_ms, 'buff_give', CAST(skill_id AS VARCHAR), source_agent_id, target_agent_id FROM ev WHERE kind = 'apply'
+      UNION ALL SELECT fight_id, seq, time_ms, lower(event_type), CAST(skill_id AS VARCHAR), source_agent_id, target_agent_id FROM ev WHERE event_type IN ('DAMAGE', 'HEALING', 'MISSILE'))"""
+
+
+@query("F20 F27 F19", f"""
+    WITH {_RULES}, {_SIDED}, {_GUARDS}, {_EFFECTS}, {_INTERVALS}, {_CASTS},
+    t1 AS (SELECT tr.fight_id, agent AS source_agent_id, cast_skill_id AS skill_id, tr.seq, tr.time_ms, cooldown_ms, tr.trigger_kind, tr.trigger_id
+      FROM tr JOIN ru ON tr.trigger_kind = ru.trigger_kind AND tr.trigger_id = ru.trigger_id LEFT JOIN agents a ON a.fight_id = tr.fight_id AND a.agent_id = agent
+      WHERE (gate_profession IS NULL OR gate_profession = profession) AND (cast_skill_id <> 1004 OR agent = other)
+        AND (cast_skill_id <> 1005 OR NOT EXISTS (SELECT 1 FROM gw WHERE gw.fight_id = tr.fight_id AND gw.source_agent_id = agent AND guard_skill_id = 100 AND start_ms <= tr.time_ms AND tr.time_ms < end_ms))),
+    ef AS (SELECT e.fight_id, e.source_agent_id, e.seq, e.time_ms, er.* FROM ev e JOIN er ON e.guid = er.guid WHERE event_type = 'EFFECT'),
+    t2 AS (SELECT fight_id, source_agent_id, cast_skill_id AS skill_id, seq, time_ms, cooldown_ms, 'effect' AS trigger_kind, guid AS trigger_id FROM ef
+      WHERE (blocked IS NULL OR NOT EXISTS (SELECT 1 FROM ev d WHERE d.event_type = 'DAMAGE' AND d.fight_id = ef.fight_id AND d.source_agent_id = ef.source_agent_id AND d.skill_id = blocked AND abs(d.time_ms - ef.time_ms) <= 7199999))
+      AND (needs IS NULL OR EXISTS (SELECT 1 FROM ev b WHERE b.kind = 'apply' AND b.fight_id = ef.fight_id AND b.target_agent_id = ef.source_agent_id AND b.skill_id = needs AND abs(b.time_ms - ef.time_ms) <= 7199999))),
+    ms AS (SELECT fight_id, source_agent_id AS agent_id, seq, time_ms, 700 + skill_id AS cast_skill FROM ev WHERE event_type = 'SKILL_ACTIVATION' AND activation IN (1, 2)),
+    so AS (SELECT fight_id, target_agent_id AS agent_id, min_by(source_agent_id, seq) AS spawn_owner FROM ev WHERE event_type = 'SPAWN' GROUP BY 1, 2),
+    t3 AS (SELECT ms.fight_id, coalesce(iv.owner_agent_id, nullif(spawn_owner, 0)) AS source_agent_id, cast_skill AS skill_id, ms.seq, ms.time_ms, 50 AS cooldown_ms, 'minion' AS trigger_kind, CAST(ms.agent_id AS VARCHAR) AS trigger_id
+      FROM ms LEFT JOIN iv ON ms.fight_id = iv.fight_id AND ms.agent_id = iv.agent_id AND start_ms <= ms.time_ms AND ms.time_ms < end_ms
+      LEFT JOIN so ON so.fight_id = ms.fight_id AND so.agent_id = ms.agent_id),
+    tg AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 WHERE source_agent_id IS NOT NULL),
+    lg AS (SELECT *, lag(time_ms) OVER (PARTITION BY fight_id, source_agent_id, skill_id ORDER BY time_ms, seq, trigger_kind, trigger_id) AS pv FROM tg),
+    al AS (SELECT fight_id, source_agent_id, skill_id, time_ms, 0 AS duration_ms FROM lg WHERE pv IS NULL OR time_ms - pv >= cooldown_ms
+      UNION SELECT fight_id, source_agent_id, skill_id, time_ms, duration_ms FROM pc WHERE duration_ms IS NOT NULL
+      UNION SELECT fight_id, source_agent_id, -2, time_ms, 0 FROM ev WHERE event_type = 'WEAPON_SWAP'
+      UNION SELECT fight_id, source_agent_id, skill_id, time_ms, duration_ms FROM {_twin("kit_casts")} k
+      UNION SELECT fight_id, target_agent_id, skill_id, time_ms, 0 FROM {_twin("translated_buff_groups")} g)
+    SELECT fight_id, source_agent_id, skill_id, time_ms, duration_ms FROM (SELECT *, lead(time_ms) OVER (PARTITION BY fight_id, source_agent_id, skill_id ORDER BY time_ms) AS nx FROM al) x
+      WHERE skill_id <> -2 OR nx IS NULL OR nx - time_ms > 1""")
+def complete_rotation(c: Corpus) -> DataFrame:
+    """Activations, swaps, kits, groups, and the triggers of rules, effects and minions under one cooldown.
+
+    Rules of cast 1004 act on oneself only, those of 1005 not while skill 100 is being cast.
+    """
+    table = rules(c).withColumns({
+        "before_swap": F.lit(False), "after_swap": F.lit(False), "self_only": F.col("cast_skill_id") == 1004,
+        "guard_skill_id": F.when(F.col("cast_skill_id") == 1005, 100).cast("bigint"),
+    })
+    guards = rotation.guard_windows(c.events(["SKILL_ACTIVATION"]), [100], chunk_ms=HOUR_MS)
+    triggered = [
+        rotation.rule_triggers(c.events(["DAMAGE", "HEALING", "MISSILE", "BOON_APPLY"]), table, c.agents(), guards, HOUR_MS),
+        rotation.effect_triggers(c.events(["EFFECT", "DAMAGE", "BOON_APPLY"]), effect_rules(c), c.agents(), HOUR_MS, 7_200_000),
+        rotation.minion_triggers(c.events(["SKILL_ACTIVATION", "SPAWN"]), minion_skills(c), intervals(c), HOUR_MS),
+    ]
+    groups = translated_buff_groups(c).select("fight_id", F.col("target_agent_id").alias("source_agent_id"), "skill_id", "time_ms", F.lit(0).cast("bigint").alias("duration_ms"))
+    return rotation.complete_rotation(triggered, [casts(c), rotation.swap_casts(c.events(["WEAPON_SWAP"])), kit_casts(c), groups], HOUR_MS)
+
+
 @query("F26", f"""
     WITH {_ALL}, sl AS (SELECT fight_id, source_agent_id, min(time_ms) + 3600000 AS lo_ms, max(time_ms) - 3600000 AS hi_ms FROM ev WHERE event_type = 'WEAPON_SWAP' GROUP BY 1, 2)
     SELECT fin.* FROM fin JOIN sl ON fin.fight_id = sl.fight_id AND fin.source_agent_id = sl.source_agent_id
