@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frayline.functions.combat import absorbed_hit, catalogue_condition, catalogue_condition_damage, landed_hit
 from frayline.operators.rollups import count_where, sum_where
+from frayline.functions import lookups as L
 from frayline.operators.scan import CHUNK_MS, Running, running
 
 FIGHT = "fight_id"
@@ -273,6 +274,46 @@ def worst_skills(differences: DataFrame, n: int) -> DataFrame:
     return totals.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("_all")
 
 
+# -- slices -----------------------------------------------------------------------------
+ABSENCE_FLOOR_MS = 1_000
+UNBOUNDED_MS = 2**62
+
+
+def slice_bounds(entries: DataFrame) -> DataFrame:
+    """Adds ``lo_ms`` and ``hi_ms``: the stretch an entry covers; entries without a valid one cover all of the fight."""
+    valid = F.col("first_ms").isNotNull() & F.col("last_ms").isNotNull() & (F.col("last_ms") >= F.col("first_ms"))
+    bound = lambda name, other: F.when(valid, F.col(name)).otherwise(F.lit(other)).cast("bigint")
+    return entries.withColumns({"lo_ms": bound("first_ms", -UNBOUNDED_MS), "hi_ms": bound("last_ms", UNBOUNDED_MS)})
+
+
+def entry_teams(entries: DataFrame, keys: list[str], order: str, team: str) -> DataFrame:
+    """The team shows on the last entry of an account only, 0 on the others."""
+    last = entries.groupBy(*keys).agg(F.max(order).alias("_last"))
+    rows = entries.join(last, keys)
+    return rows.withColumn(team, F.when(F.col(order) == F.col("_last"), F.col(team)).otherwise(0)).drop("_last")
+
+
+def events_in_slices(events: DataFrame, slices: DataFrame) -> DataFrame:
+    """Events of every entry's agent inside its stretch (closed); an agent has few entries, so rows hardly multiply."""
+    rows = events.join(slices, ["fight_id", "source_agent_id"])
+    return rows.filter(F.col("time_ms").between(F.col("lo_ms"), F.col("hi_ms")))
+
+
+def absence_stops(awareness: DataFrame, ends: DataFrame, grace_ms: int = L.DESPAWN_GRACE_MS) -> DataFrame:
+    """When an agent that leaves early stops holding buffs; null for those last seen close to the fight's end."""
+    rows = awareness.join(ends.select("fight_id", "end_ms"), "fight_id")
+    gone = F.col("end_ms") - F.col("last_ms") > ABSENCE_FLOOR_MS
+    return rows.withColumn("stop_ms", F.when(gone, F.col("last_ms") + grace_ms)).drop("end_ms")
+
+
+def header_results(fights: DataFrame, expected: dict[str, Column], actual: dict[str, Column]) -> DataFrame:
+    """One row per fight and expected header field: PASS when equal (nulls are equal to each other)."""
+    fields = F.array(*[
+        F.struct(F.lit(name).alias("field"), F.when(value.eqNullSafe(actual[name]), "PASS").otherwise("FAIL").alias("status")) for name, value in expected.items()
+    ])
+    return fights.select("fight_id", F.inline(fields))
+
+
 # -- classification and report ------------------------------------------------------
 def bucket(key: Column) -> Column:
     """``players[x].stats.total`` -> ``players.stats.total``."""

@@ -252,10 +252,49 @@ def status_report(c: Corpus) -> DataFrame:
     FROM orders""")
 def last_slice_teams(c: Corpus) -> DataFrame:
     """The team shows only on the last entry of an account."""
-    orders = c.table("orders").select(F.col("o_orderkey").alias("entry"), F.col("o_custkey").alias("account"))
-    last = orders.groupBy("account").agg(F.max("entry").alias("last_entry"))
-    team = F.when(F.col("entry") == F.col("last_entry"), 100 + F.col("account") % 3).otherwise(0)
-    return orders.join(last, "account").select("entry", "account", team.alias("team"))
+    entries = c.table("orders").select(F.col("o_orderkey").alias("entry"), F.col("o_custkey").alias("account"), (100 + F.col("o_custkey") % 3).alias("team"))
+    return reconcile.entry_teams(entries, ["account"], "entry", "team")
+
+
+@query("D9", """
+    WITH en AS (SELECT fight_id, agent_id, k AS entry, CASE WHEN agent_id % 5 <> 0 THEN k * 21600000 END AS first_ms, CASE WHEN agent_id % 7 = 0 THEN -1 ELSE k * 21600000 + 21599999 END AS last_ms
+      FROM players CROSS JOIN generate_series(0, 3) g(k) WHERE k = 0 OR (agent_id % 5 <> 0 AND agent_id % 7 <> 0))
+    SELECT en.fight_id, source_agent_id, entry, CAST(sum(damage) AS BIGINT) AS damage, count(*) AS hits FROM ev JOIN en ON ev.fight_id = en.fight_id AND source_agent_id = agent_id
+    WHERE event_type = 'DAMAGE' AND (first_ms IS NULL OR last_ms < first_ms OR time_ms BETWEEN first_ms AND last_ms) GROUP BY 1, 2, 3""")
+def slice_damage(c: Corpus) -> DataFrame:
+    """Damage per entry of six hours; entries without a valid stretch cover the fight."""
+    agent = F.col("source_agent_id")
+    entries = c.players().select("fight_id", F.col("agent_id").alias("source_agent_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("entry"))
+    entries = entries.filter((F.col("entry") == 0) | ((agent % 5 != 0) & (agent % 7 != 0))).withColumns({
+        "first_ms": F.when(agent % 5 != 0, F.col("entry") * 21_600_000), "last_ms": F.when(agent % 7 == 0, -1).otherwise(F.col("entry") * 21_600_000 + 21_599_999)})
+    rows = reconcile.events_in_slices(c.events(["DAMAGE"]), reconcile.slice_bounds(entries))
+    return rows.groupBy("fight_id", "source_agent_id", "entry").agg(F.sum("damage").alias("damage"), F.count(F.lit(1)).alias("hits"))
+
+
+@query("D9", """
+    WITH ac AS (SELECT fight_id, source_agent_id AS agent_id, max(time_ms) AS last_ms FROM ev GROUP BY 1, 2), fe AS (SELECT fight_id, max(time_ms) AS end_ms FROM ev GROUP BY 1)
+    SELECT ac.fight_id, agent_id, last_ms, CASE WHEN end_ms - last_ms > 1000 THEN last_ms + 10 END AS stop_ms FROM ac JOIN fe ON ac.fight_id = fe.fight_id""")
+def absence_stops(c: Corpus) -> DataFrame:
+    """When agents that leave early stop holding buffs."""
+    last = c.events().groupBy("fight_id", F.col("source_agent_id").alias("agent_id")).agg(F.max("time_ms").alias("last_ms"))
+    ends = c.events().groupBy("fight_id").agg(F.max("time_ms").alias("end_ms"))
+    return reconcile.absence_stops(last, ends)
+
+
+@query("D9", """
+    WITH fe AS (SELECT fight_id, max(time_ms) AS duration FROM ev GROUP BY 1)
+    SELECT f.fight_id, u.field, CASE WHEN u.expected = u.actual THEN 'PASS' ELSE 'FAIL' END AS status FROM fights f JOIN fe ON f.fight_id = fe.fight_id,
+      unnest([{'field': 'durationMS', 'expected': CAST(duration + CASE WHEN CAST(f.fight_id AS BIGINT) % 4 = 0 THEN 5 ELSE 0 END AS VARCHAR), 'actual': CAST(duration AS VARCHAR)},
+        {'field': 'arcVersion', 'expected': 'EVTC' || build_version, 'actual': CASE WHEN CAST(f.fight_id AS BIGINT) % 3 = 0 THEN build_version ELSE 'EVTC' || build_version END}]) AS t(u)""")
+def header_results(c: Corpus) -> DataFrame:
+    """Header fields of every fight against an expectation that is off in some."""
+    number = F.col("fight_id").cast("bigint")
+    ends = c.events().groupBy("fight_id").agg(F.max("time_ms").alias("duration"))
+    rows = c.fights().join(ends, "fight_id")
+    version = F.concat(F.lit("EVTC"), F.col("build_version"))
+    expected = {"durationMS": (F.col("duration") + F.when(number % 4 == 0, 5).otherwise(0)).cast("string"), "arcVersion": version}
+    actual = {"durationMS": F.col("duration").cast("string"), "arcVersion": F.when(number % 3 == 0, F.col("build_version")).otherwise(version)}
+    return reconcile.header_results(rows, expected, actual)
 
 
 @query("G6", f"""
