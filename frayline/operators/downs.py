@@ -24,13 +24,13 @@ def pre_down_windows(events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     Between the last rally and the down, the window starts at the first reading
     of 90 % or less after the last reading above 90 %. Without any reading above
     90 % it starts right after the rally (or at 0). A down whose actor dies in the
-    same millisecond, with no rally in it, opens none.
+    same millisecond, with no rally in it, opens none. Readings of agents that
+    never go down are left out before anything is ordered.
     """
-    rows = events.filter(_is("HEALTH_UPDATE", "DOWN", "UP", "DEATH"))
     agent = [FIGHT, "agent_id"]
-    rows = rows.select(
-        FIGHT, F.col("source_agent_id").alias("agent_id"), "seq", "time_ms", "event_type", "health_percent"
-    )
+    named = lambda *kinds: events.filter(_is(*kinds)).withColumn("agent_id", F.col("source_agent_id"))
+    rows = named("HEALTH_UPDATE", "DOWN", "UP", "DEATH").select(*agent, "seq", "time_ms", "event_type", "health_percent")
+    rows = rows.join(named("DOWN").select(*agent).distinct(), agent, "left_semi")
     at_once = rows.groupBy(*agent, "time_ms").agg(
         F.max(_is("DEATH").cast("int")).alias("died"), F.max(_is("UP").cast("int")).alias("rallied"),
         count_where(_is("DOWN")).alias("downs"),
@@ -67,8 +67,7 @@ def pre_down_windows(events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
 def down_contribution(events: DataFrame, durations: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Per-source contribution where health readings exist."""
     windows = pre_down_windows(events, chunk_ms).withColumnRenamed("agent_id", "target_agent_id")
-    acts = events.filter(_is("DAMAGE", "CC"))
-    acts = covered_by_any(acts, windows, [FIGHT, "target_agent_id"], "in_window", chunk_ms)
+    acts = _in_windows(events.filter(_is("DAMAGE", "CC")), windows, [FIGHT, "target_agent_id"], chunk_ms)
     down_hit = _is("DAMAGE") & F.col("against_downed") & landed_hit()
     counted = _is("DAMAGE") & F.col("in_window") & (F.col("damage") > 0)
     rows = acts.groupBy(FIGHT, "source_agent_id").agg(
@@ -83,6 +82,17 @@ def down_contribution(events: DataFrame, durations: DataFrame, chunk_ms: int = C
     return _with_outcomes(rows, events, durations)
 
 
+def _in_windows(acts: DataFrame, windows: DataFrame, keys: list[str], chunk_ms: int) -> DataFrame:
+    """Adds ``in_window``. Only acts in a time chunk that some window of their target touches are looked up in order;
+    downs are rare, so the table of those chunks is small and all other acts stay where they are."""
+    touched = F.explode(F.sequence(F.floor(F.col("start_ms") / chunk_ms), F.floor((F.col("end_ms") - 1) / chunk_ms)))
+    chunks = windows.select(*keys, touched.alias("_chunk_at")).distinct().withColumn("_near", F.lit(True))
+    marked = acts.withColumn("_chunk_at", F.floor(F.col("time_ms") / chunk_ms)).join(chunks, [*keys, "_chunk_at"], "left").drop("_chunk_at")
+    near = covered_by_any(marked.filter("_near").drop("_near"), windows, keys, "in_window", chunk_ms)
+    far = marked.filter("_near is null").drop("_near").withColumn("in_window", F.lit(False))
+    return far.unionByName(near.select(far.columns))
+
+
 def legacy_down_contribution(
     events: DataFrame, durations: DataFrame, boon_ids: list[int] = L.BOON_IDS, chunk_ms: int = CHUNK_MS
 ) -> DataFrame:
