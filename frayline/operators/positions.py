@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,30 +52,45 @@ def forward_filled(samples: DataFrame, bucket_ms: int = FILL_BUCKET_MS, chunk_ms
     return rows.select(FIGHT, "time_ms", "agent_id", "x", "y")
 
 
-def spacing(samples: DataFrame, bucket_ms: int = FILL_BUCKET_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def spacing(samples: DataFrame, slice_ms: int = FILL_BUCKET_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Mean distance to the squad's centre and to the other players, over times with two or more players.
 
-    The players of one time are held in one array (one entry per player of the
-    fight), so distances to the others are summed in place and no pair rows exist.
+    A fight is cut into slices of time. A slice knows its samples and where every player stood before it, and adds up
+    distances in arrays of players by times, so neither pairs nor filled positions become rows.
     """
-    at_time = forward_filled(samples, bucket_ms, chunk_ms).groupBy(FIGHT, "time_ms").agg(
-        F.sort_array(F.collect_list(F.struct("agent_id", "x", "y"))).alias("players"),
-        F.avg("x").alias("cx"), F.avg("y").alias("cy"),
-    )
-    distance = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])
-    # a player's distance to itself is 0, so it may stay in the sum
-    others = lambda p: F.aggregate("players", F.lit(0.0), lambda acc, o: acc + distance(p, o)) / (F.size("players") - 1)
-    per_player = F.transform(
-        "players",
-        lambda p: F.struct(
-            p["agent_id"].alias("agent_id"),
-            F.hypot(p["x"] - F.col("cx"), p["y"] - F.col("cy")).alias("to_centre"),
-            others(p).alias("to_others"),
-        ),
-    )
-    rows = at_time.filter(F.size("players") > 1).select(FIGHT, F.inline(per_player))
-    metrics = rows.groupBy(FIGHT, "agent_id").agg(F.avg("to_centre").alias("dist_to_com"), F.avg("to_others").alias("stack_dist"))
-    return samples.select(FIGHT, "agent_id").distinct().join(metrics, [FIGHT, "agent_id"], "left")
+    agent = [FIGHT, "agent_id"]
+    rows = samples.withColumn("slice", F.floor(F.col("time_ms") / slice_ms))
+    slices = rows.select(FIGHT, "slice").distinct()
+    # one row per player and slice: the position held when the slice begins
+    asked = rows.select(*agent).distinct().join(slices, FIGHT).withColumns({"time_ms": F.col("slice") * slice_ms, "_probe": F.lit(0)})
+    line = asked.unionByName(rows.withColumn("_probe", F.lit(1)), allowMissingColumns=True).withColumn("_here", F.when(F.col("_probe") == 1, F.struct("x", "y")))
+    held = running(line, agent, [Running("_held", "prev", F.col("_here"))], ("time_ms", "_probe"), chunk_ms).filter("_probe = 0")
+    held = held.select(*agent, "slice", F.lit(None).cast("bigint").alias("time_ms"), F.col("_held.x").alias("x"), F.col("_held.y").alias("y"))
+    parts = held.unionByName(rows.select(held.columns)).groupBy(FIGHT, "slice").applyInPandas(
+        _slice_sums, "fight_id string, agent_id bigint, to_centre double, to_others double, n bigint")
+    mean = lambda total: F.when(F.sum("n") > 0, F.sum(total) / F.sum("n"))
+    metrics = parts.groupBy(*agent).agg(mean("to_centre").alias("dist_to_com"), mean("to_others").alias("stack_dist"))
+    return samples.select(*agent).distinct().join(metrics, agent, "left")
+
+
+def _slice_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per player of a slice: distances summed over the slice's sample times, and the number of times that count."""
+    known = pdf["time_ms"].isna()
+    agents, times = np.unique(pdf["agent_id"]), np.unique(pdf.loc[~known, "time_ms"])
+    place = np.full((2, len(agents), len(times) + 1), np.nan)
+    who = np.searchsorted(agents, pdf["agent_id"])
+    when = np.where(known, 0, np.searchsorted(times, pdf["time_ms"]) + 1)
+    place[:, who, when] = pdf[["x", "y"]].to_numpy().T
+    last = np.maximum.accumulate(np.where(np.isnan(place[0]), 0, np.arange(len(times) + 1)), axis=1)
+    x, y = (np.take_along_axis(p, last, axis=1)[:, 1:] for p in place)
+    there = ~np.isnan(x)
+    n = there.sum(axis=0)
+    counts = there & (n > 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = np.hypot(x - np.nansum(x, axis=0) / n, y - np.nansum(y, axis=0) / n)
+        others = np.stack([np.nansum(np.hypot(x - x[k], y - y[k]), axis=0) for k in range(len(agents))]) / (n - 1)
+    total = lambda d: np.where(counts, d, 0.0).sum(axis=1)
+    return pd.DataFrame({"fight_id": pdf[FIGHT].iloc[0], "agent_id": agents, "to_centre": total(centre), "to_others": total(others), "n": counts.sum(axis=1)})
 
 
 def commander_distance(samples: DataFrame, commanders: DataFrame) -> DataFrame:
