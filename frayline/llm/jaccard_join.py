@@ -192,6 +192,11 @@ def verified(placed: DataFrame, threshold: float) -> DataFrame:
 
 def near_classes(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) per row: the class of near copies and the number of other rows linked to it."""
+    return _classes(documents, size, threshold, miss, block).drop("row")
+
+
+def _classes(documents: DataFrame, size: int, threshold: float, miss: float, block: int) -> DataFrame:
+    """``near_classes`` with the row key (a hash of id and text)."""
     signed = saved(signatures(documents, size, threshold, miss))
     nodes = saved(
         signed.filter("node is not null").groupBy("node")
@@ -220,11 +225,13 @@ def near_classes(documents: DataFrame, size: int = SIZE, threshold: float = THRE
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
     )
     return signed.join(told, "node", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        "row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def without_near_copies(documents: DataFrame, **parameters) -> DataFrame:
-    """One document of each class stays, that with the least id; rows that repeat an id count as one document."""
-    classes = near_classes(documents, **parameters)
-    gone = saved(classes.filter("doc_id <> class_id").select("doc_id").distinct())
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+def without_near_copies(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """One document of each class stays, that with the least id; rows that repeat its id and text stay with it."""
+    classes = _classes(documents, size, threshold, miss, block)
+    others = F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = saved(classes.filter(others).select(F.col("row").alias("__row")).distinct())
+    keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
+    return keyed.join(gone, "__row", "left_anti").select(*documents.columns)

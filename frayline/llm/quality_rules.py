@@ -7,7 +7,7 @@
 4. The rules left are compiled into one Spark column expression, which scores any number of rows.
 
 Rows: null text counts as empty and is scored like it; null or repeated ids do not matter for scores; labels that are
-null, or without a document, are not learned from; repeated labels count each time; without labels of both kinds the
+null, or without a document, are not learned from; rows with a null id are not held out; repeated labels count each time; without labels of both kinds the
 score is their share of ones (0.5 without labels); an empty table gives no rows.
 """
 
@@ -215,7 +215,7 @@ def scored(documents: DataFrame, model: RuleEnsemble, out: str = "score") -> Dat
 def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     rows = scored(documents.select("doc_id", "text"), trained(documents, labels))
-    return rows.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def without_low_quality(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
