@@ -8,7 +8,7 @@ spacing do not count; n-grams are ``size`` consecutive words (a shorter text has
 2. Nodes that share a bucket are chained by star edges (bucket member, least member), never as pairs; the connected
    parts of these edges hold every candidate pair.
 3. Verification: a part is cut by hash into blocks of about ``block`` nodes, and each pair of blocks is one group of
-   bounded size that compares full n-gram sets. It returns sums of links and local spanning edges, no pairs.
+   bounded size that compares full n-gram sets. It returns sums of links and local stars, no pairs.
 4. Classes are the connected components of the verified links; the class id is the least document id.
 
 Rows: texts that are null or without words have no n-grams: no links, and the class is their own id. Null ids never name
@@ -133,9 +133,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _group_links(rows: list[tuple], threshold: float) -> tuple[list, list]:
-    """Link sums per node and spanning edges of one pair of blocks. Rows: (node, block, copies, set)."""
+    """Link sums per node, and each node with the least one it is connected to here. Rows: (node, block, copies, set)."""
     if len(rows) < 2:
         return [], []
+    rows = sorted(rows, key=lambda r: r[0])
     sizes = np.array([len(r[3]) for r in rows])
     shared = overlaps([r[3] for r in rows])
     linked = shared / (sizes[:, None] + sizes[None, :] - shared) >= threshold
@@ -152,17 +153,15 @@ def _group_links(rows: list[tuple], threshold: float) -> tuple[list, list]:
             x = root[x]
         return x
 
-    edges = []
     for a, b in np.argwhere(np.triu(linked)).tolist():
         x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            edges.append((rows[a][0], rows[b][0]))
+        root[max(x, y)] = min(x, y)
+    edges = [(r[0], rows[find(k)][0]) for k, r in enumerate(rows) if find(k) != k]
     return [(r[0], int(s)) for r, s in zip(rows, sums) if s], edges
 
 
 def verified(placed: DataFrame, threshold: float) -> DataFrame:
-    """Rows (node, links, other): link sums have no ``other``, spanning edges no ``links``."""
+    """Rows (node, links, other): link sums have no ``other``, star edges no ``links``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
