@@ -103,7 +103,9 @@ def _fragments(documents: DataFrame, lists: DataFrame, window: int, gram: int) -
             kind = pa.list_(pa.struct([("owner", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("words", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(found, kind)], ["key", "words", "copies", "found"])
 
-    own = _keyed(documents).join(lists, ["row", "key"]).select("key", "text", "copies", "marks")
+    # a row may stand many times under one id: its text is cut once
+    once = _keyed(documents).groupBy("row", "key").agg(F.first("text").alias("text"))
+    own = once.join(lists, ["row", "key"]).select("key", "text", "copies", "marks")
     return own.mapInArrow(cut, "key long, words string, copies long, found array<struct<owner:long,block:long,start:long,words:string>>")
 
 

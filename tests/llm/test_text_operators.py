@@ -124,6 +124,18 @@ def test_substring_rows_and_references(spark):
         assert got == {1: "a b", 2: "u v w", 3: None, 4: "p q r"}
 
 
+def test_repeated_rows_are_removed_once_each(spark):
+    text = " ".join(f"t{k}" for k in range(40))
+    rows = [(1, text)] * 3 + [(2, f"own words before {text}"), (3, "b " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.removal_counts(docs).collect())
+    assert got == [(1, 40, 40)] * 3 + [(2, 43, 40), (3, 5, 0)]
+    kept = sorted((r.doc_id, r.text) for r in substring_dedup.without_repeats(docs).collect())
+    assert kept == [(2, "own words before"), (3, "b " * 5)]
+    # no other copy: the repeats are each other's
+    assert [r.n_removed for r in substring_dedup.removal_counts(docs.filter("doc_id = 1")).collect()] == [40] * 3
+
+
 def brute_classes(rows, threshold):
     sets = [set(jaccard_join.ngram_set(t).tolist()) for _, t in rows]
     n = len(rows)
