@@ -34,6 +34,7 @@ THRESHOLD = 0.8
 MISS = 1e-6
 BLOCK = 128
 MAX_HASHES = 200
+NUMBER = "__number"
 
 
 def choose_bands(threshold: float, miss: float = MISS, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -73,26 +74,27 @@ class Signer:
 
 
 def signatures(documents: DataFrame, size: int, threshold: float, miss: float) -> DataFrame:
-    """(doc_id, row key, node, number of n-grams, band hashes) per row; node is null without n-grams."""
+    """(doc_id, row key, row number, node, number of n-grams, band hashes) per row; node is null without n-grams."""
     shape = choose_bands(threshold, miss)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(*shape)
         for batch in batches:
             nodes, sizes, bands = [], [], []
-            for value in batch.column(2):
+            for value in batch.column(3):
                 grams = ngram_set(value.as_py(), size)
                 nodes.append(hashlib.md5(grams.tobytes()).digest() if len(grams) else None)
                 sizes.append(len(grams))
                 bands.append(signer.bands(grams) if len(grams) else [])
-            arrays = [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "node", "grams", "bands"])
+            arrays = [*batch.columns[:3], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "number", "node", "grams", "bands"])
 
-    return _keyed(documents).mapInArrow(sign, "doc_id long, row long, node binary, grams long, bands array<long>")
+    return _keyed(documents).mapInArrow(sign, "doc_id long, row long, number long, node binary, grams long, bands array<long>")
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return batched(documents).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    number = F.col(NUMBER) if NUMBER in documents.columns else F.lit(None).cast("long")
+    return batched(documents).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), number.alias("number"), "text")
 
 
 def gram_sets(documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -191,11 +193,14 @@ def verified(placed: DataFrame, threshold: float) -> DataFrame:
 
 def near_classes(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links) per row: the class of near copies and the number of other rows linked to it."""
-    return _classes(documents, size, threshold, miss, block).drop("row")
+    return _classes(documents, size, threshold, miss, block).select("doc_id", "class_id", "n_links")
 
 
 def _classes(documents: DataFrame, size: int, threshold: float, miss: float, block: int) -> DataFrame:
-    """``near_classes`` with the row key (a hash of id and text)."""
+    """``near_classes`` with the row key (a hash of id and text), the row number if there is one, and the class's root.
+
+    The root is a node, null for rows without copies: unlike the class id, it is never shared by two classes.
+    """
     signed = saved(signatures(documents, size, threshold, miss))
     nodes = saved(
         signed.filter("node is not null").groupBy("node")
@@ -216,15 +221,15 @@ def _classes(documents: DataFrame, size: int, threshold: float, miss: float, blo
     links = found.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.filter("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = classes.join(small, "node").groupBy("root").agg(F.min("least_id").alias("class_id"))
-    linked = classes.join(named, "root").join(links, "node").select("node", "class_id", "links")
+    linked = classes.join(named, "root").join(links, "node").select("node", "root", "class_id", "links")
     copied = small.filter("copies > 1").select("node", "copies", "least_id")
     told = saved(
         linked.join(copied, "node", "full").select(
-            "node", F.coalesce("class_id", "least_id").alias("class_id"),
+            "node", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "least_id").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
     )
     return signed.join(told, "node", "left").select(
-        "row", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        "row", "number", "root", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def without_near_copies(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -234,3 +239,17 @@ def without_near_copies(documents: DataFrame, size: int = SIZE, threshold: float
     gone = saved(classes.filter(others).select(F.col("row").alias("__row")).distinct())
     keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
     return keyed.join(gone, "__row", "left_anti").select(*documents.columns)
+
+
+def one_row_of_each_class(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """One row of each class stays, also of repeated rows, of texts that share an id and of rows without id.
+
+    It is the least by id (null last), hash of id and text, and a row number. The number is written with the rows once,
+    so that it means the same row wherever it is read. Rows without n-grams are in no class and stay.
+    """
+    numbered = saved(documents.withColumn(NUMBER, F.monotonically_increasing_id()))
+    members = saved(_classes(numbered, size, threshold, miss, block).filter("root is not null").select("root", "doc_id", "row", "number"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "number")
+    stay = members.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.number").alias("number"))
+    gone = saved(members.select("number").join(stay, "number", "left_anti").withColumnRenamed("number", NUMBER))
+    return numbered.join(gone, NUMBER, "left_anti").select(*documents.columns)

@@ -81,6 +81,29 @@ def test_stages_equal_brute_force(spark, folder):
     assert len(seen) == 5
 
 
+def test_repeated_rows_shared_and_null_ids_stay_once(spark, folder):
+    rng = random.Random(5)
+    a, b, c, d, e = (texts.words(rng, 60, 9000) for _ in range(5))
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    a, b, c, d, e = ([" ".join(w), near(w, 0), near(w, 59)] for w in (a, b, c, d, e))
+    rows = [(1, a[0])] * 3  # a repeated row
+    rows += [(2, b[0]), (2, b[1]), (2, b[2]), (2, c[0])]  # near texts under one id, and one of another class
+    rows += [(None, d[0]), (None, d[0]), (None, d[1]), (None, e[0]), (7, e[1])]  # classes of null ids, and with an id
+    rows += [(8, None), (8, None), (None, "")]  # no words, no class
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    kept = saved(corpus_pipeline.near_copies(spark, docs, folder))
+    assert kept.columns == docs.columns
+
+    def held(df):
+        groups = {t: name for name, g in zip("abcde", (a, b, c, d, e)) for t in g}
+        return sorted((str(r.doc_id), groups.get(r.text, str(r.text))) for r in df.collect())
+
+    want = sorted([("1", "a"), ("2", "b"), ("2", "c"), ("None", "d"), ("7", "e"), ("8", "None"), ("8", "None"), ("None", "")])
+    assert held(kept) == want
+    assert held(corpus_pipeline.repeated_passages(spark, kept, folder)) == want
+
+
 def item_free(text, items):
     return not any(re.sub(r"\W+", " ", t) in re.sub(r"\W+", " ", text) for _, t in items)
 
