@@ -5,7 +5,9 @@ knows one class per licence family and ``unknown``. It learns from the families'
 families' look-alikes, and a bounded sample of corpus lines (``SAMPLE`` documents, picked by a hash of the id). A held-out
 part calibrates it (temperature), and a paragraph is a candidate of a family whose calibrated probability reaches
 ``CONFIDENCE``. A candidate counts once a template of the family confirms it: at least ``CONFIRM`` of the template's
-2-grams stand in the paragraph. A text's families are those of its confirmed paragraphs.
+2-grams stand in the paragraph. A notice that is wrapped over adjoining lines is found on these lines joined: a stretch of
+lines, each with a 2-gram of one template, that has enough of them together is judged like a paragraph, unless it meets a
+line or stretch where its family is already found. A text's families are those of its confirmed paragraphs and stretches.
 
 Rows: null and empty texts have no paragraphs; every row gives one row, repeated rows and null ids included; further
 columns are not read; an empty table gives no rows, and the classifier then learns without corpus lines.
@@ -13,6 +15,7 @@ columns are not read; an empty table gives no rows, and the classifier then lear
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -42,6 +45,8 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
         "Released under the BSD 3-Clause License",
         "Use of this source code is governed by a BSD-style license",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
     ],
     "CC-BY": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -68,12 +73,15 @@ TEMPLATES = {
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "This project is licensed under the terms of the MIT license",
+        "MIT License",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License, version 2.0",
     ],
     "Proprietary": [
+        "All rights reserved",
+        "No part of this publication may be reproduced without written permission",
         "All rights reserved. No part of this publication may be reproduced without written permission",
         "This software is proprietary and confidential; unauthorized copying is prohibited",
     ],
@@ -108,6 +116,13 @@ class Classifier:
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "vocabulary", frozenset(w for g in self.weights for w in g.split(" ")))
+        forms = [(f, t) for f, ts in self.templates.items() for t in ts]
+        holders: dict[tuple, list[int]] = {}
+        for k, (_, t) in enumerate(forms):
+            for pair in t:
+                holders.setdefault(pair, []).append(k)
+        object.__setattr__(self, "forms", forms)
+        object.__setattr__(self, "holders", holders)
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         z = self.bias.copy()
@@ -120,7 +135,9 @@ class Classifier:
 
     def family(self, line: str) -> tuple[str, float] | None:
         """The confirmed family of a paragraph with its probability."""
-        words = words_of(line)
+        return self.judged(words_of(line))
+
+    def judged(self, words: list[str]) -> tuple[str, float] | None:
         if self.vocabulary.isdisjoint(words):  # no weight applies: the class is unknown by the bias alone
             return None
         p = self.probabilities(words)
@@ -132,6 +149,69 @@ class Classifier:
             return None
         return self.families[k], float(p[k])
 
+    def notices(self, lines: list[str]) -> list[tuple[str, float]]:
+        """What is found in a text: in its lines, and in adjoining lines joined."""
+        found: list[tuple[str, float]] = []
+        block: list[list[str]] = []
+        own: list[tuple[str, float] | None] = []
+        for line in [*lines, ""]:
+            if line.strip():
+                block.append(words_of(line))
+                own.append(self.judged(block[-1]))
+            elif block:
+                found += [x for x in own if x is not None] + self._wrapped(block, own)
+                block, own = [], []
+        return found
+
+    def _wrapped(self, block: list[list[str]], own: list[tuple[str, float] | None]) -> list[tuple[str, float]]:
+        words = [w for ws in block for w in ws]
+        pairs = list(zip(words, words[1:]))
+        if len(block) < 2 or self.holders.keys().isdisjoint(pairs):
+            return []
+        at = [k for k, ws in enumerate(block) for _ in ws]
+        places: dict[int, list[int]] = {}
+        for i, pair in enumerate(pairs):
+            for k in self.holders.get(pair, ()):
+                places.setdefault(k, []).append(i)
+        spans = {(b - a, a, b, self.forms[k][0]) for k, hits in places.items() for a, b in self._stretches(self.forms[k][1], hits, pairs, at)}
+        taken: dict[str, set[int]] = {}
+        for k, x in enumerate(own):
+            if x is not None:
+                taken.setdefault(x[0], set()).add(k)
+        found = []
+        for _, a, b, family in sorted(spans):
+            mine = taken.setdefault(family, set())
+            if mine.isdisjoint(range(a, b + 1)):
+                x = self.judged([w for ws in block[a : b + 1] for w in ws])
+                if x is not None and x[0] == family:
+                    mine.update(range(a, b + 1))
+                    found.append(x)
+        return found
+
+    @staticmethod
+    def _stretches(template: frozenset, hits: list[int], pairs: list[tuple], at: list[int]) -> Iterator[tuple[int, int]]:
+        """(first line, last line) of the least stretches of at least two lines that confirm, and of all their lines."""
+        need = math.ceil(CONFIRM * len(template) - 1e-9)
+        if len({pairs[i] for i in hits}) < need:
+            return
+        cuts = [0, *(k for k in range(1, len(hits)) if at[hits[k]] - at[hits[k - 1] + 1] > 1), len(hits)]
+        for start, end in zip(cuts, cuts[1:]):
+            seen: dict[tuple, int] = {}
+            low, enough = start, False
+            for k in range(start, end):
+                seen[pairs[hits[k]]] = seen.get(pairs[hits[k]], 0) + 1
+                while len(seen) >= need:
+                    a, b, enough = at[hits[low]], at[hits[k] + 1], True
+                    if a < b:
+                        yield a, b
+                    gone = pairs[hits[low]]
+                    seen[gone] -= 1
+                    if not seen[gone]:
+                        del seen[gone]
+                    low += 1
+            if enough and at[hits[start]] < at[hits[end - 1] + 1]:
+                yield at[hits[start]], at[hits[end - 1] + 1]
+
 
 def _varied(line: str, filler: list[str], rng: random.Random) -> str:
     """A form of a template as found in texts: words lost, words around it, other case."""
@@ -207,7 +287,7 @@ def licence_families(documents: DataFrame, templates: dict[str, list[str]] = TEM
             out: tuple[list, ...] = ([], [], [], [])
             for value in batch.column(1):
                 lines = [x for x in (value.as_py() or "").split("\n") if x.strip()]
-                found = [f for f in map(own.family, lines) if f is not None]
+                found = own.notices((value.as_py() or "").split("\n"))
                 for col, x in zip(out, (len(lines), len(found), ",".join(sorted({f for f, _ in found})), min((p for _, p in found), default=None))):
                     col.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())

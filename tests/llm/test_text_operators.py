@@ -222,3 +222,19 @@ def test_licences(spark):
     forms = [(licences._varied(t, ["lorem", "ipsum", "dolor"], rng), f) for f, ts in licences.TEMPLATES.items() for t in ts for _ in range(5)]
     right = [model.family(x) is not None and model.family(x)[0] == f for x, f in forms]
     assert np.mean(right) > 0.85
+
+
+def test_short_and_wrapped_notices(spark):
+    whole = {"All rights reserved.": "Proprietary", "The MIT License (MIT)": "MIT"}
+    wrapped = {
+        'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal': "MIT",
+        "# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either": "LGPL",
+        "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted": "BSD",
+        "Licensed under the Apache\nLicense, Version 2.0": "Apache-2.0",
+    }
+    given = [(f"some prose here\n{x}\nmore prose", f, 1) for x, f in (whole | wrapped).items()]
+    given += [(f"{x}\n\n{y}", ",".join(sorted((f, g))), 2) for (x, f), (y, g) in zip(wrapped.items(), list(wrapped.items())[1:])]
+    given += [("Licensed under the\n\nApache License of the tribe\nin Version 3", "", 0), ("All rights\nof way were\nreserved", "", 0)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_licences) for r in licences.licence_families(docs).collect()}
+    assert {given[k][0]: x for k, x in got.items()} == {t: (f, n) for t, f, n in given}
