@@ -578,7 +578,7 @@ def live_ingest(c: Corpus) -> DataFrame:
     stream = live.stream_table(c.spark, c.folder, "orders").selectExpr("concat('h', o_custkey) AS sha256", "cast(o_orderdate AS timestamp) AS uploaded_at")
     folder = live.work_folder(c.spark, "live-ingest")
     live.drain(live.first_uploads(stream).select("sha256"), folder, live.ingest_batch(f"{folder}/uploads"))
-    return live.batch_table(c.spark, f"{folder}/uploads", "sha256 STRING").select("sha256")
+    return live.hash_store(c.spark, f"{folder}/uploads").rows()
 
 
 @query("X3", f"WITH contrib AS ({CONTRIB}) SELECT fight_id, account_name, total_damage, total_healing, total_buff_removal FROM contrib")
@@ -602,37 +602,3 @@ def live_stack_history(c: Corpus) -> DataFrame:
     closing = c.spark.readStream.schema(events.schema).parquet(f"{folder}/closing")
     live.drain(live.live_stack_history(events.unionByName(closing)), folder)
     return c.spark.read.parquet(f"{folder}/rows").filter(F.col("agent_id") != live.CLOSING_ID)
-
-
-@query("X5", f"""
-    WITH {_UP} SELECT CASE WHEN status = 'pending' AND uploaded_at < {_NOW} - INTERVAL 86400 SECOND THEN 'failed' ELSE status END AS status, count(*) AS uploads FROM up GROUP BY 1""")
-def live_sweep(c: Corpus) -> DataFrame:
-    stream = live.stream_table(c.spark, c.folder, "orders").selectExpr(
-        "o_orderkey AS id", "cast(o_orderdate AS timestamp) AS uploaded_at",
-        "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status", "cast(NULL AS string) AS error_message",
-    )
-    folder = live.work_folder(c.spark, "live-sweep")
-    live.drain(stream, folder, live.sweep_batch(now(), 86400, f"{folder}/uploads"))
-    schema = "id BIGINT, uploaded_at TIMESTAMP, status STRING, error_message STRING"
-    return live.batch_table(c.spark, f"{folder}/uploads", schema).groupBy("status").agg(F.count(F.lit(1)).alias("uploads"))
-
-
-def _drained(c: Corpus, name: str, step, schema: str) -> DataFrame:
-    """``step`` of every micro-batch of the deliveries, kept once per batch."""
-    folder = live.work_folder(c.spark, name)
-    stream = as_deliveries(live.stream_table(c.spark, c.folder, "lineitem"))
-    live.drain(stream, folder, live.batch_sink(f"{folder}/rows", step))
-    return live.batch_table(c.spark, f"{folder}/rows", schema)
-
-
-@query("X5 O4", f"""
-    WITH {_DEL} SELECT attempt, count(*) AS due FROM de WHERE attempt < 3 AND delivered_at IS NULL AND (next_attempt_at IS NULL OR next_attempt_at <= {_NOW}) AND (status_code IS NULL OR status_code >= 300) GROUP BY 1""")
-def live_retries(c: Corpus) -> DataFrame:
-    rows = _drained(c, "live-retries", lambda batch: ops.due_retries(batch, now()).select("id", "attempt"), "id BIGINT, attempt INT")
-    return rows.groupBy("attempt").agg(F.count(F.lit(1)).alias("due"))
-
-
-@query("X5 O6", f"WITH {_DEL} SELECT id, subscription_id, error AS last_error FROM de WHERE attempt >= 3 AND delivered_at IS NULL")
-def live_dead_letters(c: Corpus) -> DataFrame:
-    step = lambda batch: ops.dead_letters(batch, now()).select("id", "subscription_id", "last_error")
-    return _drained(c, "live-dead-letters", step, "id BIGINT, subscription_id BIGINT, last_error STRING").drop("batch_id")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from frayline.operators import ops
 from frayline.operators.rollups import sum_where
 from frayline.session import checkpoint_dir
+from frayline.streaming import stacks
+from frayline.streaming.store import BatchStore
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +40,37 @@ def late_rows(query) -> int:
     return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
 
 
+def late_ledger(path: str, event_time: str = "ts", window: str = "1 hour", delay_ms: int = 600_000) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: per (fight, window) the rows that come after the watermark of their batch has passed the window.
+
+    The watermark of a batch is the newest event time of the batches before it less the delay. Each batch stores its newest
+    time, so counts are kept for good, survive restarts and are the same when a batch is replayed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        clock = BatchStore(spark, f"{path}/clock", "newest_ms BIGINT", lambda rows: rows.agg(F.max("newest_ms").alias("newest_ms")))
+        newest = clock.stored(before=batch_id).agg(F.max("newest_ms")).first()[0]
+        late = batch.groupBy("fight_id", F.window(event_time, window).alias("w")).agg(F.count(F.lit(1)).alias("late_rows"))
+        late = late.filter(F.lit(False) if newest is None else F.unix_millis("w.end") <= newest - delay_ms)
+        BatchStore(spark, f"{path}/late", LATE_DDL, merged_late).put(late.select("fight_id", F.col("w.start").alias("window_start"), "late_rows"), batch_id)
+        clock.put(batch.agg(F.max(F.unix_millis(event_time)).alias("newest_ms")), batch_id)
+
+    return write
+
+
+LATE_DDL = "fight_id STRING, window_start TIMESTAMP, late_rows BIGINT"
+
+
+def merged_late(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("fight_id", "window_start").agg(F.sum("late_rows").alias("late_rows"))
+
+
+def late_windows(spark: SparkSession, path: str) -> DataFrame:
+    """What the ledger has counted so far."""
+    return BatchStore(spark, f"{path}/late", LATE_DDL, merged_late).rows()
+
+
 def first_uploads(uploads: DataFrame, time: str = "uploaded_at", delay: str = "7 days") -> DataFrame:
     """One row per content hash within the watermark; the sink's anti-join covers older ones."""
     return uploads.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
@@ -65,12 +98,29 @@ def batch_sink(path: str, step: Callable[[DataFrame], DataFrame] = lambda batch:
     return write
 
 
-def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: append hashes that no other batch has stored."""
+PREFIX_DIGITS = 2
+
+
+def hash_store(spark: SparkSession, path: str) -> BatchStore:
+    """Content hashes by their first digits, with Bloom filters for look-ups of single ones."""
+    options = {"parquet.bloom.filter.enabled#sha256": "true"}
+    return BatchStore(spark, path, "sha256 STRING", DataFrame.distinct, F.substring("sha256", 1, PREFIX_DIGITS), options)
+
+
+def ingest_batch(path: str, compact_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: append hashes that no other batch has stored.
+
+    Only the folders of the prefixes a batch brings are read, and every ``compact_every`` batches they are merged, so what a
+    batch opens depends on the batch and not on the store. There are at most 256 prefixes of hexadecimal hashes.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = batch_table(batch.sparkSession, path, "sha256 STRING").filter(F.col("batch_id") != batch_id)
-        own_folder(batch.join(stored.select("sha256"), "sha256", "left_anti"), path, batch_id)
+        store = hash_store(batch.sparkSession, path)
+        if batch_id and batch_id % compact_every == 0:
+            store.compact(batch_id - 1)
+        prefixes = [r[0] for r in batch.select(F.substring("sha256", 1, PREFIX_DIGITS)).distinct().collect()]
+        stored = store.stored(prefixes, before=batch_id)
+        store.put(batch.select("sha256").distinct().join(stored, "sha256", "left_anti"), batch_id)
 
     return write
 
@@ -88,53 +138,13 @@ def newest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, "_last.*")
 
 
-HISTORY_DDL = "fight_id STRING, agent_id BIGINT, buff_id BIGINT, seq BIGINT, time_ms BIGINT, stacks BIGINT"
-STATE_DDL = "level BIGINT, times ARRAY<BIGINT>, seqs ARRAY<BIGINT>, kinds ARRAY<STRING>, amounts ARRAY<BIGINT>"
-
-
-def _history_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Waits until the watermark has passed a row, then applies rows in (time, seq) order."""
-    level, *queues = state.get if state.exists else (0, [], [], [], [])
-    waiting = list(zip(*[list(q) for q in queues]))
-    for pdf in batches:
-        waiting += list(zip(pdf.time_ms.tolist(), pdf.seq.tolist(), pdf.kind.tolist(), pdf.stacks.tolist()))
-    waiting.sort()
-    day = _day_of(key[0])
-    passed = state.getCurrentWatermarkMs() - day
-    out, keep = [], []
-    for t, seq, kind, n in waiting:
-        if t > passed:
-            keep.append((t, seq, kind, n))
-            continue
-        if kind == "apply":
-            level += n
-        elif kind == "remove_single":
-            level = max(0, level - n)
-        else:
-            level = 0
-        out.append((*key, seq, t, level))
-    state.update((level, *([list(p) for p in zip(*keep)] or [[], [], [], []])))
-    if keep:
-        state.setTimeoutTimestamp(day + keep[0][0] + 1)
-    yield pd.DataFrame(out, columns=["fight_id", "agent_id", "buff_id", "seq", "time_ms", "stacks"])
-
-
 def _day_of(fight_id: str) -> int:
     return int(pd.Timestamp(fight_id).value // 1_000_000)
 
 
 def live_stack_history(events: DataFrame, event_time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Stack history per (fight, target, buff) as rows leave the watermark.
-
-    ``events`` carry ``event_time`` next to the event columns.
-    """
-    rows = events.filter("event_type = 'BOON_APPLY' and kind <> 'remove_manual'").withWatermark(event_time, delay).select(
-        "fight_id", F.col("target_agent_id").cast("bigint").alias("agent_id"), F.col("skill_id").cast("bigint").alias("buff_id"),
-        "seq", "time_ms", "kind", F.col("stacks").cast("bigint").alias("stacks"), event_time,
-    )
-    return rows.groupBy("fight_id", "agent_id", "buff_id").applyInPandasWithState(
-        _history_step, HISTORY_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    """Stack history where a fight is the calendar day its id names."""
+    return stacks.stack_history(events, _day_of, event_time, delay)
 
 
 CLOSING_ID = -1
@@ -153,18 +163,38 @@ def closing_rows(last: DataFrame, schema, event_time: str, after: str) -> DataFr
     return last.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def sweep_batch(now: Column, threshold_s: int, path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: stuck uploads of the batch become failed."""
-    return batch_sink(path, lambda batch: ops.sweep_stuck(batch, now, threshold_s))
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on disk and checkpointed by changes; the setting is put back."""
+    before = spark.conf.get(PROVIDER_KEY, None)
+    spark.conf.set(PROVIDER_KEY, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER_KEY)
+        else:
+            spark.conf.set(PROVIDER_KEY, before)
+
+
+def started(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append", **trigger) -> StreamingQuery:
+    """The running query: into parquet under ``folder``/rows, or through a batch sink."""
+    writer = stream.writeStream.trigger(**(trigger or {"availableNow": True})).option("checkpointLocation", f"{folder}/progress")
+    with rocks_state(stream.sparkSession):
+        if sink is None:
+            return writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start()
+        return writer.outputMode(mode).foreachBatch(sink).start()
 
 
-def drain(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
-    """Process what is available now: into parquet under ``folder``/rows, or through a batch sink."""
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress")
-    if sink is None:
-        writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
-    else:
-        writer.outputMode(mode).foreachBatch(sink).start().awaitTermination()
+def drain(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> StreamingQuery:
+    """Process what is available now; the ended query tells its progress."""
+    query = started(stream, folder, sink, mode)
+    query.awaitTermination()
+    return query
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

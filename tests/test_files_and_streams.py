@@ -110,7 +110,7 @@ def test_ingest_is_exactly_once_over_replayed_batches(spark, tmp_path):
     sink(df("a", "b"), 0)
     sink(df("b", "c"), 1)
     sink(df("b", "c"), 1)
-    assert sorted(r.sha256 for r in spark.read.parquet(str(tmp_path / "u")).collect()) == ["a", "b", "c"]
+    assert sorted(r.sha256 for r in live.hash_store(spark, str(tmp_path / "u")).stored().collect()) == ["a", "b", "c"]
 
 
 def test_summaries_over_several_and_replayed_batches(spark, tmp_path):
@@ -124,16 +124,6 @@ def test_summaries_over_several_and_replayed_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [("f", "a", 107), ("f", "b", 1)]
 
 
-def test_replayed_sweep_keeps_each_upload_once(spark, tmp_path):
-    path, now = str(tmp_path / "u"), F.lit("2026-01-03").cast("timestamp")
-    sink = live.sweep_batch(now, 3600, path)
-    df = spark.createDataFrame([(1, "pending", None)], "id BIGINT, status STRING, error_message STRING").withColumn("uploaded_at", F.lit("2026-01-01").cast("timestamp"))
-    for _ in range(2):
-        sink(df, 0)
-    schema = "id BIGINT, status STRING, error_message STRING, uploaded_at TIMESTAMP"
-    assert [r.status for r in live.batch_table(spark, path, schema).collect()] == ["failed"]
-
-
 def test_open_windows_come_out_with_their_newest_state(spark, tmp_path):
     source, hour = str(tmp_path / "in"), 3_600_000
     write_stream(spark, [hit(0, 1, 9, 1), hit(hour, 1, 9, 2)], source)
