@@ -163,30 +163,123 @@ def _context_kind() -> Column:
     )
 
 
-def with_context(raw: DataFrame) -> DataFrame:
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+def _long(value: Column | str | int) -> Column:
+    column = F.lit(value) if isinstance(value, int) else F.col(value) if isinstance(value, str) else value
+    return column.cast("bigint")
+
+
+def _key(topic: str, *parts: Column | str | int) -> Column:
+    """One lookup key: what is asked for, and up to three numbers."""
+    padded = [*parts, *[0] * (3 - len(parts))]
+    return _struct(topic=F.lit(topic), **{f"k{i}": _long(p) for i, p in enumerate(padded)})
+
+
+KEY = [FIGHT, "topic", "k0", "k1", "k2"]
+
+
+def _trail(raw: DataFrame, chunk: int) -> DataFrame:
+    """Narrow rows in record order: announced instances, records that ask, and the ups, downs and deaths of actors.
+
+    A record that has a master asks on its master's line, others on a line of their own; ``master`` is what the line knows
+    by then, ``island`` counts the closed downs of an actor.
+    """
+    none = F.lit(None).cast("bigint")
+
+    def line(name: str, ident: Column | str | int, prio: int, agent: Column = none, code: Column = F.lit(0)) -> Column:
+        # one array of all numbers: no reader can prune some of them, so all readers share one exchange
+        about = F.array(*[_long(c) for c in ("time", "src", "skill", "_kind")], _long(code), _long(ident))
+        return _struct(line=F.lit(name), id=_long(ident), prio=F.lit(prio), agent=agent, about=about)
+
+    mastered = _modern() & (F.col("src_master") != 0)
+    entries = F.array_compact(F.array(
+        F.when(_modern() & (F.col("src_inst") != 0) & (F.col("src") != 0), line("instance", "src_inst", 0, agent=_long("src"))),
+        F.when(_modern() & (F.col("dst_inst") != 0) & (F.col("dst") != 0), line("instance", "dst_inst", 1, agent=_long("dst"))),
+        F.when(mastered, line("instance", "src_master", 2)),
+        F.when(~mastered & (F.col("_kind") > 0), line("record", 0, 2)),
+        F.when(_modern() & F.col("statechange").isin(3, 4, 5), line("downs", "src", 0, code=F.col("statechange"))),
+    ))
+    rows = raw.withColumn("_kind", _context_kind()).select(FIGHT, "seq", F.inline(entries))
+    closes = (F.col("line") == "downs") & F.col("about")[4].isin(3, 4)
+    rows = running(rows, [FIGHT, "line", "id"], [Running("master", "last", F.col("agent")), Running("island", "before", closes.cast("int"))], ("seq", "prio"), chunk)
+    numbers = ("time", "src", "skill", "wants", "code", "about_id")
+    return rows.select(FIGHT, "line", "seq", "prio", "master", "island", *[F.col("about")[i].alias(n) for i, n in enumerate(numbers)])
+
+
+def _trail_facts(trail: DataFrame) -> DataFrame:
+    """Last owner of every agent, and every first down of an island with the time that closed it."""
+    owner = (F.col("line") == "instance") & (F.col("prio") == 2) & F.col("master").isNotNull() & (F.col("src") != 0)
+    opens, closes = F.col("code") == 5, F.col("code").isin(3, 4)
+    rows = trail.withColumn("topic", F.when(owner, "owner").when(F.col("line") == "downs", "down")).filter("topic is not null")
+    islands = rows.groupBy(FIGHT, "topic", F.when(owner, F.col("src")).otherwise(F.col("about_id")).alias("k0"), F.when(owner, 0).otherwise(F.col("island")).alias("island")).agg(
+        F.max_by("master", F.when(owner, F.col("seq"))).alias("owner"), F.min_by("time", F.when(opens, F.col("seq"))).alias("started"), F.max(F.when(closes, F.col("time"))).alias("closed"),
+    ).filter("topic = 'owner' or started is not null")
+    last = F.max_by(F.struct("owner", "closed"), "island").alias("last")
+    return islands.groupBy(FIGHT, "topic", "k0", F.coalesce("started", F.lit(0)).alias("k1")).agg(last).select(FIGHT, "topic", "k0", "k1", F.lit(0).cast("bigint").alias("k2"), "last.*")
+
+
+def _record_facts(raw: DataFrame) -> DataFrame:
+    """Effect ids with their GUID, moments at which all of a buff went, and the last mention of every actor."""
+    guid = F.concat(_little_endian_hex(F.col("src")), _little_endian_hex(F.col("dst")))
+    seen = lambda who: F.when(_modern() & (F.col("time") > 0) & (F.col(who) != 0), _key("seen", who))
+    keys = F.array_compact(F.array(
+        F.when(F.col("statechange") == 46, _key("effect", "skill")), F.when(_modern() & (F.col("buffremove") == 1), _key("cleared", "time", "src", "skill")), seen("src"), seen("dst"),
+    ))
+    rows = raw.select(FIGHT, "seq", "time", F.when(F.col("statechange") == 46, guid).alias("guid"), F.inline(keys))
+    return rows.groupBy(*KEY).agg(F.max_by("guid", F.when(F.col("topic") == "effect", F.col("seq"))).alias("guid"), F.max("time").alias("last_time"))
+
+
+def _answers(raw: DataFrame, chunk: int) -> DataFrame:
+    """What the rules read besides the record, one narrow row per record that reads anything.
+
+    All questions meet all facts in one join; a question is a key, and a record has two at most.
+    """
+    trail = _trail(raw, chunk)
+    asking = trail.filter("prio = 2 and wants > 0").withColumn("master", F.when(F.col("wants") >= 3, F.col("master")))
+    wants = F.col("wants")
+    keys = (
+        F.when(wants == 1, F.array(_key("effect", "skill"), _key("owner", "src")))
+        .when(wants == 2, F.array(_key("down", "src", "time"), _key("seen", "src")))
+        .when(wants == 3, F.array(_key("owner", "src")))
+        .when(wants == 4, F.array(_key("cleared", "time", F.coalesce("master", "src"), "skill")))
+        .otherwise(F.array(_key("nothing", "seq")))  # spread over all partitions, meets no fact
+    )
+    asked = asking.select(FIGHT, "seq", "time", "master", F.inline(keys))
+    facts = _trail_facts(trail).unionByName(_record_facts(raw), allowMissingColumns=True).withColumn("known", F.lit(True))
+    met = asked.join(facts, KEY, "left")
+    of = lambda topic, value: F.max(F.when(F.col("topic") == topic, F.col(value)))
+    rows = met.groupBy(FIGHT, "seq").agg(
+        F.max("master").alias("master"), F.max("time").alias("time"), of("owner", "owner").alias("owner"), of("effect", "guid").alias("guid"),
+        F.coalesce(of("cleared", "known"), F.lit(False)).alias("cleared"), of("down", "known").alias("down"), of("down", "closed").alias("closed"), of("seen", "last_time").alias("seen"),
+    )
+    tail = F.greatest(F.coalesce("seen", "time") - F.col("time"), F.lit(0))
+    downtime = F.when(F.col("down"), F.coalesce(F.col("closed") - F.col("time"), tail))
+    return rows.select(FIGHT, "seq", "master", "owner", "guid", "cleared", downtime.alias("downtime_ms"))
+
+
+def routed(rows: DataFrame, route: Column) -> DataFrame:
+    """The rows for which ``route`` holds, as a generator that yields them.
+
+    A filter would be pushed below the projections that make the columns it reads, and those would be computed once for each
+    mention and once more for the output; a generator stays where it is.
+    """
+    return rows.select("*", F.explode(F.when(route, F.array(F.lit(True)))).alias("_routed")).drop("_routed")
+
+
+def with_context(raw: DataFrame, chunk: int = SEQ_CHUNK) -> DataFrame:
     """Everything the rules read besides the record itself.
 
-    Records are parted by what they read, and only those parts are shuffled to their lookups: effects to definitions and
-    owners, downs to their pairs, spawns and missiles to owners, single removals to all-removals, records with a master
-    to the master. All others pass by.
+    Most records read nothing and pass by. The others get their answers by (fight, seq) from one narrow table: effects
+    their definition and owner, downs their length, spawns and missiles owner and master, single removals whether all went
+    at that moment, records with a master the master.
     """
     raw = fold_recoded(raw)
-    found = _found_masters(raw, SEQ_CHUNK)
-    masters = found.select(FIGHT, "seq", "master")
-    owned = owners(found).withColumnRenamed("agent", "src")
-    cleared = all_removals(raw).withColumn("cleared", F.lit(True))
-    kind = _context_kind()
-    part = lambda n: raw.filter(kind == n)
-    parts = [
-        part(1).join(effect_guids(raw), [FIGHT, "skill"], "left").join(owned, [FIGHT, "src"], "left"),
-        part(2).join(down_durations(raw), [FIGHT, "src", "time"], "left"),
-        part(3).join(owned, [FIGHT, "src"], "left").join(masters, [FIGHT, "seq"], "left"),
-        part(4).join(masters, [FIGHT, "seq"], "left").withColumn("actor", F.coalesce("master", "src")).join(cleared, [FIGHT, "time", "actor", "skill"], "left"),
-        part(5).join(masters, [FIGHT, "seq"], "left"),
-    ]
-    rows = part(0)
-    for more in parts:
-        rows = rows.unionByName(more, allowMissingColumns=True)
+    kinds = raw.withColumn("_kind", _context_kind())
+    rows = routed(kinds, F.col("_kind") > 0).join(_answers(raw, chunk), [FIGHT, "seq"], "left")
+    rows = routed(kinds, F.col("_kind") == 0).unionByName(rows, allowMissingColumns=True).drop("_kind")
     return rows.withColumns({"actor": F.coalesce("master", "src"), "cleared": F.coalesce("cleared", F.lit(False))})
 
 

@@ -101,7 +101,10 @@ def _co_located(chunked: DataFrame, keys: list[str]) -> DataFrame:
     The pair is one struct: structs with nulls inside are equal to each other, so rows with a null key or a null time
     keep their carry in a plain equi-join.
     """
-    return chunked.withColumn("_place", F.struct(*keys, "_chunk")).repartition("_place")
+    placed = chunked.select(F.struct(*keys, "_chunk").alias("_place"), *[c for c in chunked.columns if c not in (*keys, "_chunk")])
+    # keys are read back from the place: they are shuffled once, and no reader needs other columns because of them
+    back = [F.col(f"_place.{c}").alias(c) if c in (*keys, "_chunk") else F.col(c) for c in chunked.columns]
+    return placed.repartition("_place").select("_place", *back)
 
 
 def _whole_row(chunked: DataFrame, place: Column) -> Column:

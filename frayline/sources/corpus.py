@@ -140,7 +140,8 @@ class Corpus:
             "event_id AS seq",
             "unix_millis(cast(ts AS timestamp)) - unix_millis(date_trunc('day', cast(ts AS timestamp))) AS time_ms",
             "user_id",
-            r"""cast(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS bigint) AS k""",
+            # generated, not projected: filters on k and what follows from it stay above, so the text is searched once a row
+            r"""explode(array(cast(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS bigint))) AS k""",
             "cast(round(value * 100) AS bigint) AS m",
             "event_type AS stored_type",
             *self._extra,

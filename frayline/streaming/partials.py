@@ -17,6 +17,7 @@ from frayline.streaming.store import BatchStore
 
 PRESENCE_MS = 5000
 SUMS = ["total_damage", "condi_damage", "total_healing", "total_buff_removal", "boon_removals", "condition_cleanses", "cc_applied", "cleanses", "strips", "cc", "downtime_ms"]
+SPANS = ["least_ms", "most_ms", "first_seq", "first_ms", "last_seq", "last_ms"]
 KEYS = f"{FIGHT} STRING, agent_id BIGINT"
 
 
@@ -28,7 +29,8 @@ class LiveSummaries:
             return rows.groupBy(FIGHT, "agent_id").agg(*[F.sum(c).alias(c) for c in [*SUMS, "acted", "counted"]])
 
         def spans(rows: DataFrame) -> DataFrame:
-            return rows.groupBy(FIGHT).agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+            ends = [F.min_by("first_ms", "first_seq").alias("first_ms"), F.min("first_seq").alias("first_seq"), F.max_by("last_ms", "last_seq").alias("last_ms"), F.max("last_seq").alias("last_seq")]
+            return rows.groupBy(FIGHT).agg(F.min("least_ms").alias("least_ms"), F.max("most_ms").alias("most_ms"), *ends)
 
         def presence(rows: DataFrame) -> DataFrame:
             return rows.groupBy(FIGHT, "agent_id", "part_no").agg(F.bitmap_or_agg("bits").alias("bits"))
@@ -36,7 +38,7 @@ class LiveSummaries:
         sums = ", ".join(f"{c} BIGINT" for c in [*SUMS, "acted", "counted"])
         self.sums = BatchStore(spark, f"{path}/sums", f"{KEYS}, {sums}", summed)
         self.targets = BatchStore(spark, f"{path}/targets", f"{KEYS}, target_id BIGINT", DataFrame.distinct)
-        self.spans = BatchStore(spark, f"{path}/spans", f"{FIGHT} STRING, first_ms BIGINT, last_ms BIGINT", spans)
+        self.spans = BatchStore(spark, f"{path}/spans", f"{FIGHT} STRING, {', '.join(f'{c} BIGINT' for c in SPANS)}", spans)
         self.presence = BatchStore(spark, f"{path}/presence", f"{KEYS}, part_no BIGINT, bits BINARY", presence)
         self.tables = [self.sums, self.targets, self.spans, self.presence]
 
@@ -50,7 +52,14 @@ class LiveSummaries:
             table.compact(upto)
 
     def durations(self) -> DataFrame:
-        return self.spans.rows().select(FIGHT, ((F.col("last_ms") - F.col("first_ms")) / 1000.0).alias("duration_s"))
+        """First to last hit or heal in stream order, else the latest time."""
+        first, last = F.coalesce("first_ms", F.lit(0)), F.coalesce("last_ms", F.lit(0))
+        seconds = F.when(last > first, (last - first) / 1000.0).otherwise(F.col("most_ms") / 1000.0)
+        return self.spans.rows().select(FIGHT, seconds.alias("duration_s"))
+
+    def event_spans(self) -> DataFrame:
+        """First to last event."""
+        return self.spans.rows().select(FIGHT, ((F.col("most_ms") - F.col("least_ms")) / 1000.0).alias("duration_s"))
 
     def counters(self) -> DataFrame:
         """Cleanses, strips, CC, distinct cleave targets and down time per agent."""
@@ -108,7 +117,13 @@ def partial_targets(events: DataFrame) -> DataFrame:
 
 
 def partial_spans(events: DataFrame) -> DataFrame:
-    return events.groupBy(FIGHT).agg(F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
+    """Least and greatest time, and the first and last hit or heal by their place in the stream."""
+    hit = (F.coalesce(F.col("damage"), F.lit(0)) > 0) | (F.coalesce(F.col("healing"), F.lit(0)) > 0)
+    first, last = F.when(hit & (F.col("time_ms") != 0), F.col("seq")), F.when(hit, F.col("seq"))
+    return events.groupBy(FIGHT).agg(
+        F.min("time_ms").alias("least_ms"), F.max("time_ms").alias("most_ms"), F.min(first).alias("first_seq"), F.min_by("time_ms", first).alias("first_ms"),
+        F.max(last).alias("last_seq"), F.max_by("time_ms", last).alias("last_ms"),
+    )
 
 
 def partial_presence(events: DataFrame) -> DataFrame:

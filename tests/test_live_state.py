@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from frayline.operators import ops, rollups, summaries
+from frayline.operators import ops, records, rollups, summaries
 from frayline.streaming import live, sweeps
 from frayline.streaming.partials import LiveSummaries
 from frayline.streaming.store import BatchStore
@@ -168,7 +168,8 @@ def test_partial_states_over_batches_and_replays_equal_the_batch(spark, tmp_path
     everything = event_frame(spark, rows)
     text = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert text(states.counters()) == text(rollups.combat_counters(everything))
-    seconds = everything.groupBy("fight_id").agg(((F.max("time_ms") - F.min("time_ms")) / 1000.0).alias("duration_s"))
+    seconds = records.fight_durations(everything)
+    assert text(states.durations()) == text(seconds) and text(states.event_spans()) == text(records.event_spans(everything))
     assert text(states.presence_pct(players)) == text(rollups.presence(everything, players, seconds))
     assert text(states.account_buckets(players)) == text(summaries.account_buckets(everything, players, skills))
 
