@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frayline.functions import lookups as L
 from frayline.functions.combat import landed_hit, safe_rate
 from frayline.operators.rollups import count_where, sum_where
-from frayline.operators.scan import CHUNK_MS, Running, covered_by_any, running
+from frayline.operators.scan import CHUNK_MS, Running, running
 
 FIGHT = "fight_id"
 WINDOW_HEALTH = 90.0
@@ -66,10 +66,9 @@ def pre_down_windows(events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
 
 def down_contribution(events: DataFrame, durations: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Per-source contribution where health readings exist."""
-    windows = pre_down_windows(events, chunk_ms).withColumnRenamed("agent_id", "target_agent_id")
-    acts = _in_windows(events.filter(_is("DAMAGE", "CC")), windows, [FIGHT, "target_agent_id"], chunk_ms)
-    down_hit = _is("DAMAGE") & F.col("against_downed") & landed_hit()
+    acts = acts_before_downs(events, chunk_ms)
     counted = _is("DAMAGE") & F.col("in_window") & (F.col("damage") > 0)
+    down_hit = F.col("down_hit")
     rows = acts.groupBy(FIGHT, "source_agent_id").agg(
         sum_where(counted, "damage").alias("down_contribution_damage"),
         sum_where(down_hit, "damage").alias("against_downed_damage"),
@@ -82,15 +81,38 @@ def down_contribution(events: DataFrame, durations: DataFrame, chunk_ms: int = C
     return _with_outcomes(rows, events, durations)
 
 
-def _in_windows(acts: DataFrame, windows: DataFrame, keys: list[str], chunk_ms: int) -> DataFrame:
-    """Adds ``in_window``. Only acts in a time chunk that some window of their target touches are looked up in order;
-    downs are rare, so the table of those chunks is small and all other acts stay where they are."""
-    touched = F.explode(F.sequence(F.floor(F.col("start_ms") / chunk_ms), F.floor((F.col("end_ms") - 1) / chunk_ms)))
-    chunks = windows.select(*keys, touched.alias("_chunk_at")).distinct().withColumn("_near", F.lit(True))
-    marked = acts.withColumn("_chunk_at", F.floor(F.col("time_ms") / chunk_ms)).join(chunks, [*keys, "_chunk_at"], "left").drop("_chunk_at")
-    near = covered_by_any(marked.filter("_near").drop("_near"), windows, keys, "in_window", chunk_ms)
-    far = marked.filter("_near is null").drop("_near").withColumn("in_window", F.lit(False))
-    return far.unionByName(near.select(far.columns))
+def acts_before_downs(events: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Hits and CC with ``in_window``: whether they fall into a pre-down window of their target.
+
+    Windows are not made for this. Target and acts share one timeline, and an act at t is inside a window when the target's
+    next down comes before its next rally and its next reading above 90 %, there is no rally at t, and since the last rally
+    the last reading above 90 % (if any) was followed by a lower one up to t. A later down cannot cover t if this one does
+    not: between the two stands nothing that moves the start back.
+    """
+    on = lambda kind, value: F.when(F.col(kind) == 1, value)
+    marks = events.filter(_is("HEALTH_UPDATE", "DOWN", "UP", "DEATH")).groupBy(FIGHT, F.col("source_agent_id").cast("bigint").alias("agent_id"), "time_ms").agg(
+        F.max(_is("DEATH").cast("int")).alias("died"), F.max(_is("UP").cast("int")).alias("rallied"), F.max(_is("DOWN").cast("int")).alias("downed"),
+        F.max_by("health_percent", F.when(_is("HEALTH_UPDATE"), F.col("seq"))).alias("last_reading"),
+        F.max(F.when(_is("HEALTH_UPDATE"), F.col("health_percent"))).alias("top_reading"),
+    )
+    opens = (F.col("downed") == 1) & ~((F.col("died") == 1) & (F.col("rallied") == 0))
+    marks = marks.select(
+        FIGHT, "agent_id", "time_ms", F.lit(0).alias("prio"), F.lit(0).cast("bigint").alias("seq"), on("rallied", F.col("time_ms")).alias("up_at"), F.when(opens, F.col("time_ms")).alias("down_at"),
+        F.when(F.col("top_reading") > WINDOW_HEALTH, F.col("time_ms")).alias("high_at"), F.when(F.col("last_reading") <= WINDOW_HEALTH, F.col("time_ms")).alias("low_at"),
+    )
+    down_hit = _is("DAMAGE") & F.col("against_downed") & landed_hit()
+    acts = events.filter(_is("DAMAGE", "CC")).select(
+        FIGHT, F.col("target_agent_id").cast("bigint").alias("agent_id"), "time_ms", F.lit(1).alias("prio"), "seq", "source_agent_id", "event_type", "damage", "cc_value",
+        F.coalesce(down_hit, F.lit(False)).alias("down_hit"),
+    )
+    at = lambda name, kind: Running(f"{kind}_{name}", kind, F.col(f"{name}_at"))
+    steps = [at("up", "last"), at("high", "last"), at("low", "last"), at("down", "next"), at("up", "next"), at("high", "next")]
+    rows = running(marks.unionByName(acts, allowMissingColumns=True), [FIGHT, "agent_id"], steps, ("time_ms", "prio", "seq"), chunk_ms).filter("prio = 1")
+    ahead = lambda name: F.coalesce(F.col(f"next_{name}") >= F.col("next_down"), F.lit(True))
+    rally = F.coalesce("last_up", F.lit(-1))
+    lowered = F.when(F.col("last_high") > rally, F.coalesce(F.col("last_low") >= F.col("last_high"), F.lit(False))).otherwise(F.lit(True))
+    inside = F.col("next_down").isNotNull() & ahead("up") & ahead("high") & (rally < F.col("time_ms")) & lowered
+    return rows.select(FIGHT, "source_agent_id", "agent_id", "time_ms", "seq", "event_type", "damage", "cc_value", "down_hit", inside.alias("in_window"))
 
 
 def legacy_down_contribution(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ FIGHT = "fight_id"
 CAST = [FIGHT, "source_agent_id", "skill_id"]
 REPEAT_SLACK_MS = 10
 DEFAULT_COOLDOWN_MS = 50
+SWAP_RADIUS_MS = 5
 NO_SKILL = -1  # stands in for "no such gate" where the skill is part of a key
 RULE_DDL = (
     "trigger_kind STRING, trigger_id STRING, cast_skill_id BIGINT, cooldown_ms INT, gate_profession INT, "
@@ -21,6 +23,14 @@ RULE_DDL = (
 )
 
 
+Staging = Callable[[DataFrame, str], DataFrame]
+
+
+def unstaged(rows: DataFrame, name: str) -> DataFrame:
+    """Leaves a result in the plan. A running value reads its input twice, so chains of them grow; a stage cuts them."""
+    return rows
+
+
 def _is(kind: str) -> Column:
     return F.col("event_type") == kind
 
@@ -101,7 +111,7 @@ def triggers(events: DataFrame) -> DataFrame:
     return events.select(FIGHT, "seq", "time_ms", F.inline(entries))
 
 
-def align_to_swaps(rows: DataFrame, swaps: DataFrame, radius_ms: int = 5, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def align_to_swaps(rows: DataFrame, swaps: DataFrame, radius_ms: int = SWAP_RADIUS_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Moves ``before_swap`` casts to 1 ms before a swap closer than the radius, ``after_swap`` ones to 1 ms after."""
     keys = [FIGHT, "source_agent_id"]
     marks = swaps.select(*keys, "time_ms", F.col("time_ms").alias("_swap"), F.lit(0).alias("_p"), F.lit(0).cast("bigint").alias("seq")).distinct()
@@ -148,15 +158,15 @@ def instant_casts(triggered: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
     return rows.select(*CAST, "seq", "time_ms", F.lit(0).cast("bigint").alias("duration_ms"), "trigger_kind", "trigger_id")
 
 
-def complete_rotation(triggered: list[DataFrame], casts: list[DataFrame], chunk_ms: int = CHUNK_MS) -> DataFrame:
+def complete_rotation(triggered: list[DataFrame], casts: list[DataFrame], chunk_ms: int = CHUNK_MS, stage: Staging = unstaged) -> DataFrame:
     """All casts of a log: triggers of every source share one cooldown memory; other casts join them as they are.
 
     ``triggered``: tables of ``TRIGGER`` columns; ``casts``: tables with the cast, its time and its duration.
     """
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     columns = [*CAST, "time_ms", "duration_ms"]
-    instant = instant_casts(union([t.select(*TRIGGER) for t in triggered]), chunk_ms)
-    return final_casts(union([x.select(*columns) for x in [instant, *casts]]), chunk_ms)
+    instant = instant_casts(stage(union([t.select(*TRIGGER) for t in triggered]), "triggers"), chunk_ms)
+    return final_casts(stage(union([x.select(*columns) for x in [instant, *casts]]), "casts"), chunk_ms)
 
 
 def inferred_casts(events: DataFrame, rules: DataFrame, agents: DataFrame, guards: DataFrame | None = None, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -164,8 +174,10 @@ def inferred_casts(events: DataFrame, rules: DataFrame, agents: DataFrame, guard
     return instant_casts(rule_triggers(events, rules, agents, guards, chunk_ms), chunk_ms)
 
 
-def rule_triggers(events: DataFrame, rules: DataFrame, agents: DataFrame, guards: DataFrame | None = None, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Rule matches before the cooldown.
+def rule_triggers(
+    events: DataFrame, rules: DataFrame, agents: DataFrame, guards: DataFrame | None = None, chunk_ms: int = CHUNK_MS, swap_radius_ms: int = SWAP_RADIUS_MS, stage: Staging = unstaged
+) -> DataFrame:
+    """Rule matches before the cooldown, moved to the swaps beside them.
 
     The rule table is joined by key; AQE broadcasts it when its size allows.
     """
@@ -182,8 +194,8 @@ def rule_triggers(events: DataFrame, rules: DataFrame, agents: DataFrame, guards
         rows = rows.withColumn("guard_skill_id", F.coalesce("guard_skill_id", F.lit(NO_SKILL)))
         rows = covered_by_any(rows, guards, [FIGHT, "source_agent_id", "guard_skill_id"], "_guarded", chunk_ms)
         rows = rows.filter("not _guarded").drop("_guarded")
-    rows = rows.withColumn("skill_id", F.col("cast_skill_id"))
-    return align_to_swaps(rows, events.filter(_is("WEAPON_SWAP")), chunk_ms=chunk_ms).select(*TRIGGER)
+    rows = rows.withColumn("skill_id", F.col("cast_skill_id")).select(*TRIGGER, "before_swap", "after_swap")
+    return align_to_swaps(stage(rows, "rule-matches"), events.filter(_is("WEAPON_SWAP")), swap_radius_ms, chunk_ms).select(*TRIGGER)
 
 
 def kit_casts(events: DataFrame, bundles: DataFrame, slot: int = 2, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -300,7 +312,7 @@ def effect_casts(
 
 
 def effect_triggers(
-    events: DataFrame, effect_rules: DataFrame, agents: DataFrame, chunk_ms: int = CHUNK_MS, radius_ms: int = 10
+    events: DataFrame, effect_rules: DataFrame, agents: DataFrame, chunk_ms: int = CHUNK_MS, radius_ms: int = 10, stage: Staging = unstaged
 ) -> DataFrame:
     """Effects that trigger a cast, after the gates.
 
@@ -317,6 +329,7 @@ def effect_triggers(
     rows = rows.withColumns({n: F.coalesce(n, F.lit(NO_SKILL)) for n in ("blocked_by_damage_skill", "needs_buff_id")})
     hits = events.filter(_is("DAMAGE")).select(FIGHT, "source_agent_id", F.col("skill_id").alias("blocked_by_damage_skill"), "time_ms")
     rows = near_any(rows, hits, [FIGHT, "source_agent_id", "blocked_by_damage_skill"], radius_ms - 1, "_blocked", chunk_ms)
+    rows = stage(rows, "effect-matches")
     gains = events.filter(_is("BOON_APPLY") & (F.col("kind") == "apply")).select(
         FIGHT, F.col("target_agent_id").alias("source_agent_id"), F.col("skill_id").alias("needs_buff_id"), "time_ms"
     )

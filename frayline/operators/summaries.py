@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frayline.functions import lookups as L
-from frayline.functions.roles import additive_roles, readout_roles, with_role
+from frayline.functions.roles import additive_roles, with_role
 from frayline.operators.rollups import ACTION_KINDS, count_where, sum_where
 from frayline.operators.timelines import TOTALS
 
@@ -148,14 +148,6 @@ def fight_player_summaries(buckets: DataFrame, boons: DataFrame, durations: Data
     return rows.withColumn("roles", roles).drop("_squad_healing", "_share", "_boon_rate", "duration_s")
 
 
-READOUT_ZERO = [
-    "total_damage", "hit_count", "condi_damage", "power_damage", "dps", "total_healing", "hps", "barrier_total",
-    "stun_breaks", "boons_out", "boons_in", "strips_received_in", "damage_taken", "barrier_absorbed", "cc_taken",
-    "deaths", "dodges", "blocks", "interrupts", "cleanses", "strips", "cc", "cleave_targets", "downtime_ms",
-    "kill_participation", "presence_pct",
-]
-
-
 def readout_details(readout: DataFrame, parts: list[DataFrame], counts: list[str]) -> DataFrame:
     """Readout rows with the columns of further per-agent tables; absent counts and rates are 0, absent text ''.
 
@@ -164,37 +156,3 @@ def readout_details(readout: DataFrame, parts: list[DataFrame], counts: list[str
     for part in parts:
         readout = readout.join(part, [FIGHT, "agent_id"], "left")
     return readout.fillna(0, counts)
-
-
-def combat_readout(
-    players: DataFrame, damage: DataFrame, healing: DataFrame, boons: DataFrame, defense: DataFrame,
-    counters: DataFrame, kills: DataFrame, presence: DataFrame, outgoing: DataFrame | None = None,
-) -> DataFrame:
-    """One row per player found in any metric set.
-
-    The roll-ups are stacked and re-aggregated on (fight, agent) instead of
-    chained through outer joins: one shuffle of already reduced rows. ``presence``
-    fills a value but does not make a player appear.
-    """
-    sets = [
-        damage.withColumnRenamed("source_agent_id", "agent_id"),
-        healing.withColumnRenamed("source_agent_id", "agent_id"),
-        boons, defense, counters, kills,
-    ]
-    stacked = None
-    for rows in sets:
-        # being down or hitting no one makes no member by itself: counters count through cleanses, strips and CC
-        member = F.when(F.col("cleanses") + F.col("strips") + F.col("cc") > 0, 1) if rows is counters else F.lit(1)
-        rows = rows.withColumn("_member", member)
-        stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
-    stacked = stacked.unionByName(presence, allowMissingColumns=True)
-    merged = stacked.groupBy(FIGHT, "agent_id").agg(
-        F.max("_member").alias("_member"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in READOUT_ZERO]
-    )
-    rows = merged.filter(F.col("_member").isNotNull()).drop("_member").join(players, [FIGHT, "agent_id"])
-    prefix = None
-    if outgoing is not None:
-        rows = rows.join(outgoing, [FIGHT, "agent_id"], "left")
-        prefix = "outgoing_"
-    rows = with_role(rows, removal="strips", outgoing_prefix=prefix)
-    return readout_roles(rows)

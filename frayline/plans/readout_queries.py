@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frayline.functions import lookups as L
-from frayline.operators import buffs, profiles, rollups, summaries
+from frayline.operators import profiles, rollups, summaries
+from frayline.operators import readout as fused
 from frayline.plans import buff_queries, rollup_queries, sequence_queries, service_queries  # noqa: F401  (registers the metric sets)
 from frayline.plans.registry import QUERIES, query
 from frayline.plans.rollup_queries import fight_seconds, rounded
@@ -14,19 +15,7 @@ from frayline.sources.corpus import Corpus
 
 
 def readout(c: Corpus) -> DataFrame:
-    seconds, players = fight_seconds(c), c.players()
-    split = rollups.condition_split(c.events(["DAMAGE"]), c.fights(), c.skills())
-    return summaries.combat_readout(
-        players.drop("is_player"),
-        rollups.player_damage_split(split, seconds),
-        rollups.player_healing(c.events(["HEALING", "STUN_BREAK"]), seconds, barrier=F.col("barrier")),
-        rollups.player_boons(c.events(["BOON_APPLY", "BUFF_REMOVAL"]), seconds),
-        rollups.player_defense(c.events(["DAMAGE", "CC", "DEATH", "DODGE", "BLOCK", "INTERRUPT"]), F.col("shield_damage")),
-        rollups.combat_counters(c.events(["BUFF_REMOVAL", "CC", "DAMAGE", "DOWN"])),
-        rollups.kill_participation(c.events(["DAMAGE", "DEATH"])),
-        rollups.presence(c.events(), players, seconds).drop("active_buckets"),
-        buffs.wide_outgoing(buffs.outgoing_generation(c.events(["BOON_APPLY"]))),
-    )
+    return fused.readout(c.events(), c.players().drop("is_player"), fight_seconds(c), c.fights(), c.skills())
 
 
 def _twin(name: str) -> str:
@@ -61,7 +50,7 @@ _READOUT = f"""WITH {", ".join(f"{a} AS MATERIALIZED {_twin(q)}" for a, q in _SE
       total_buff_removal AS strips, cc, cleave_targets, downtime_ms, kill_participation, presence_pct, role AS detected_role, array_to_string(tags, ',') AS detected_tags,
       array_to_string(role_list, ',') AS roles FROM ro""")
 def combat_readout(c: Corpus) -> DataFrame:
-    rows = rounded(readout(c), "dps", "hps", "presence_pct").drop(*[f"outgoing_{b}" for b in L.TRACKED_BOONS])
+    rows = rounded(readout(c), "dps", "hps", "presence_pct").drop(*[f"outgoing_{b}" for b in L.TRACKED_BOONS], *_RATES, *_BOONS_OUT)
     return rows.withColumns({"roles": F.array_join("roles", ","), "detected_tags": F.array_join("detected_tags", ",")})
 
 
@@ -90,16 +79,11 @@ def _pivot(source: str, value: str, columns: dict[str, str]) -> str:
 def full_readout(c: Corpus) -> DataFrame:
     """The readout's further columns: rates, boon columns, down contribution, uptimes, outgoing boons, commander distance."""
     run = lambda name: QUERIES[name].build(c)
-    renamed = lambda name: run(name).withColumnRenamed("source_agent_id", "agent_id")
     uptimes = run("boon_uptimes").groupBy("fight_id", "agent_id").agg(
         *[F.max(F.when(F.col("boon") == b, F.col("uptime"))).alias(n) for n, b in zip(_UPTIMES, L.TRACKED_BOONS)])
-    parts = [
-        renamed("player_damage").select("fight_id", "agent_id", *_RATES[:2]), renamed("player_healing").select("fight_id", "agent_id", "barrier_ps"),
-        run("player_boons").select("fight_id", "agent_id", *_RATES[3:], *_BOONS_OUT), renamed("down_contribution").select("fight_id", "agent_id", *_DOWN),
-        uptimes, run("commander_distances"), run("other_boon_maps"),
-    ]
-    rows = summaries.readout_details(readout(c).select("fight_id", "agent_id", "total_damage", *_GIVEN), parts, [*_RATES, *_BOONS_OUT, *_DOWN, *_GIVEN])
-    return rows
+    parts = [run("down_contribution").withColumnRenamed("source_agent_id", "agent_id").select("fight_id", "agent_id", *_DOWN), uptimes, run("commander_distances"), run("other_boon_maps")]
+    rows = rounded(readout(c), *_RATES).select("fight_id", "agent_id", "total_damage", *_RATES, *_BOONS_OUT, *_GIVEN)
+    return summaries.readout_details(rows, parts, _DOWN)
 
 
 @query("A25", _READOUT + """

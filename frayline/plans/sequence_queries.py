@@ -9,7 +9,8 @@ from frayline.operators import classify, downs, identity, positions, rotation
 from frayline.operators.scan import covered_by_any, near_any
 from frayline.plans.registry import QUERIES, query
 from frayline.plans.rollup_queries import fight_seconds, rounded
-from frayline.sources.corpus import BUFF_CHOICES, Corpus, pick
+from frayline.session import Stage
+from frayline.sources.corpus import BUFF_CHOICES, Corpus, StagedCorpus, pick
 
 HOUR_MS = 3_600_000
 DOWN_KINDS = ["DAMAGE", "CC", "DOWN", "UP", "DEATH", "HEALTH_UPDATE", "COMBAT_OUTCOME"]
@@ -453,12 +454,21 @@ _SIDED = """tr AS (SELECT fight_id, seq, time_ms, 'buff_gain' AS trigger_kind, C
       UNION ALL SELECT fight_id, seq, time_ms, lower(event_type), CAST(skill_id AS VARCHAR), source_agent_id, target_agent_id FROM ev WHERE event_type IN ('DAMAGE', 'HEALING', 'MISSILE'))"""
 
 
+ROTATION_KINDS = ["DAMAGE", "HEALING", "MISSILE", "BOON_APPLY", "EFFECT", "SKILL_ACTIVATION", "SPAWN", "WEAPON_SWAP"]
+ROTATION_COLUMNS = ["kind", "guid", "activation", "duration_ms", "expected_duration_ms", "swapped_to"]
+SWAP_RADIUS = 600_000
+
+
 @query("F20 F27 F19", f"""
     WITH {_RULES}, {_SIDED}, {_GUARDS}, {_EFFECTS}, {_INTERVALS}, {_CASTS},
-    t1 AS (SELECT tr.fight_id, agent AS source_agent_id, cast_skill_id AS skill_id, tr.seq, tr.time_ms, cooldown_ms, tr.trigger_kind, tr.trigger_id
+    t0 AS (SELECT tr.fight_id, agent AS source_agent_id, cast_skill_id AS skill_id, tr.seq, tr.time_ms, cooldown_ms, tr.trigger_kind, tr.trigger_id
       FROM tr JOIN ru ON tr.trigger_kind = ru.trigger_kind AND tr.trigger_id = ru.trigger_id LEFT JOIN agents a ON a.fight_id = tr.fight_id AND a.agent_id = agent
       WHERE (gate_profession IS NULL OR gate_profession = profession) AND (cast_skill_id <> 1004 OR agent = other)
         AND (cast_skill_id <> 1005 OR NOT EXISTS (SELECT 1 FROM gw WHERE gw.fight_id = tr.fight_id AND gw.source_agent_id = agent AND guard_skill_id = 100 AND start_ms <= tr.time_ms AND tr.time_ms < end_ms))),
+    sp AS (SELECT DISTINCT fight_id, source_agent_id, time_ms AS swap_ms FROM ev WHERE event_type = 'WEAPON_SWAP'),
+    sn AS (SELECT t0.*, CASE WHEN skill_id IN (1001, 1002) THEN coalesce((SELECT max(swap_ms) FROM sp WHERE sp.fight_id = t0.fight_id AND sp.source_agent_id = t0.source_agent_id AND swap_ms <= time_ms AND time_ms - swap_ms < {SWAP_RADIUS}),
+      (SELECT min(swap_ms) FROM sp WHERE sp.fight_id = t0.fight_id AND sp.source_agent_id = t0.source_agent_id AND swap_ms > time_ms AND swap_ms - time_ms < {SWAP_RADIUS})) END AS near FROM t0),
+    t1 AS (SELECT * EXCLUDE (near) REPLACE (CASE WHEN near IS NULL THEN time_ms WHEN skill_id = 1001 THEN least(time_ms, near - 1) ELSE greatest(time_ms, near + 1) END AS time_ms) FROM sn),
     ef AS (SELECT e.fight_id, e.source_agent_id, e.seq, e.time_ms, er.* FROM ev e JOIN er ON e.guid = er.guid WHERE event_type = 'EFFECT'),
     t2 AS (SELECT fight_id, source_agent_id, cast_skill_id AS skill_id, seq, time_ms, cooldown_ms, 'effect' AS trigger_kind, guid AS trigger_id FROM ef
       WHERE (blocked IS NULL OR NOT EXISTS (SELECT 1 FROM ev d WHERE d.event_type = 'DAMAGE' AND d.fight_id = ef.fight_id AND d.source_agent_id = ef.source_agent_id AND d.skill_id = blocked AND abs(d.time_ms - ef.time_ms) <= 7199999))
@@ -480,20 +490,23 @@ _SIDED = """tr AS (SELECT fight_id, seq, time_ms, 'buff_gain' AS trigger_kind, C
 def complete_rotation(c: Corpus) -> DataFrame:
     """Activations, swaps, kits, groups, and the triggers of rules, effects and minions under one cooldown.
 
-    Rules of cast 1004 act on oneself only, those of 1005 not while skill 100 is being cast.
+    Rules of cast 1001 move before a swap beside them, those of 1002 behind it; rules of cast 1004 act on oneself only, those
+    of 1005 not while skill 100 is being cast. The events of a rotation are staged once, as are the results that running
+    values read.
     """
-    table = rules(c).withColumns({
-        "before_swap": F.lit(False), "after_swap": F.lit(False), "self_only": F.col("cast_skill_id") == 1004,
-        "guard_skill_id": F.when(F.col("cast_skill_id") == 1005, 100).cast("bigint"),
-    })
-    guards = rotation.guard_windows(c.events(["SKILL_ACTIVATION"]), [100], chunk_ms=HOUR_MS)
+    stage = Stage(c.spark, "rotation")
+    ends, lives = stage(fight_ends(c), "ends"), stage(intervals(c), "intervals")
+    c = StagedCorpus(c, stage, ROTATION_KINDS, ROTATION_COLUMNS)
+    table = rules(c).withColumns({"self_only": F.col("cast_skill_id") == 1004, "guard_skill_id": F.when(F.col("cast_skill_id") == 1005, 100).cast("bigint")})
+    guards = stage(rotation.guard_windows(c.events(["SKILL_ACTIVATION"]), [100], chunk_ms=HOUR_MS), "guards")
     triggered = [
-        rotation.rule_triggers(c.events(["DAMAGE", "HEALING", "MISSILE", "BOON_APPLY"]), table, c.agents(), guards, HOUR_MS),
-        rotation.effect_triggers(c.events(["EFFECT", "DAMAGE", "BOON_APPLY"]), effect_rules(c), c.agents(), HOUR_MS, 7_200_000),
-        rotation.minion_triggers(c.events(["SKILL_ACTIVATION", "SPAWN"]), minion_skills(c), intervals(c), HOUR_MS),
+        rotation.rule_triggers(c.events(["DAMAGE", "HEALING", "MISSILE", "BOON_APPLY", "WEAPON_SWAP"]), table, c.agents(), guards, HOUR_MS, SWAP_RADIUS, stage),
+        rotation.effect_triggers(c.events(["EFFECT", "DAMAGE", "BOON_APPLY"]), effect_rules(c), c.agents(), HOUR_MS, 7_200_000, stage),
+        rotation.minion_triggers(c.events(["SKILL_ACTIVATION", "SPAWN"]), minion_skills(c), lives, HOUR_MS),
     ]
     groups = translated_buff_groups(c).select("fight_id", F.col("target_agent_id").alias("source_agent_id"), "skill_id", "time_ms", F.lit(0).cast("bigint").alias("duration_ms"))
-    return rotation.complete_rotation(triggered, [casts(c), rotation.swap_casts(c.events(["WEAPON_SWAP"])), kit_casts(c), groups], HOUR_MS)
+    paired = rotation.paired_casts(c.events(["SKILL_ACTIVATION"]), ends, expected_when_open=[101], chunk_ms=HOUR_MS)
+    return rotation.complete_rotation(triggered, [paired, rotation.swap_casts(c.events(["WEAPON_SWAP"])), kit_casts(c), groups], HOUR_MS, stage)
 
 
 @query("F26", f"""

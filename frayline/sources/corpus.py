@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frayline.session import Stage
+
 # combat kind -> (stored event type, condition on k)
 KIND_RULES: dict[str, tuple[str, int, int]] = {
     "DAMAGE": ("purchase", 0, 99),
@@ -243,6 +245,26 @@ class Corpus:
         )
 
 
+class StagedCorpus(Corpus):
+    """A corpus whose events of chosen kinds are staged once, laid out by kind, and whose agents are staged too."""
+
+    def __init__(self, corpus: Corpus, stage: Stage, kinds: Iterable[str], columns: Iterable[str]):
+        super().__init__(corpus.spark, corpus.folder)
+        self.kinds = frozenset(kinds)
+        head = ["fight_id", "seq", "time_ms", "event_type", "source_agent_id", "target_agent_id", "skill_id"]
+        self._staged = stage(corpus.events(self.kinds).select(*head, *columns), "events", "event_type")
+        self._agents = stage(corpus.agents(), "agents")
+
+    def events(self, kinds: Iterable[str] | None = None) -> DataFrame:
+        """The staged events when they hold all kinds asked for, else those of the stored table."""
+        if kinds is None or not self.kinds.issuperset(kinds):
+            return super().events(kinds)
+        return self._staged.filter(F.col("event_type").isin(sorted(kinds)))
+
+    def agents(self) -> DataFrame:
+        return self._agents
+
+
 class StreamCorpus(Corpus):
     """The same corpus with its event table read as a stream of files."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from frayline.operators.rollups import sum_where
-from frayline.session import checkpoint_dir
+from frayline.session import work_folder  # noqa: F401  (streams keep their files there)
 from frayline.streaming import stacks
 from frayline.streaming.store import BatchStore
 
@@ -195,12 +194,3 @@ def drain(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None]
     query = started(stream, folder, sink, mode)
     query.awaitTermination()
     return query
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in shared storage: the checkpoint folder, else the streaming checkpoint location, else the warehouse."""
-    settings = (checkpoint_dir(spark), spark.conf.get("spark.sql.streaming.checkpointLocation", None), spark.conf.get("spark.sql.warehouse.dir", None))
-    base = next((s for s in settings if s), None)
-    if base is None:
-        raise ValueError("set spark.checkpoint.dir, spark.sql.streaming.checkpointLocation or spark.sql.warehouse.dir to shared storage")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
