@@ -236,8 +236,14 @@ class _Reader:
         return self.file(f"{self.base}/{file}").read_at(length, start)
 
 
-def captures(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
-    """Records of distinct ``keys`` (column key), read by ranges. A key's entries may run over several index files."""
+READ_BYTES = 4 << 20  # of compressed records a task reads back
+
+
+def captures(keys: DataFrame, parts: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
+    """Records of distinct ``keys`` (column key), read by ranges. A key's entries may run over several index files.
+
+    ``partitions``: tasks that read. Without it Spark goes by the size of the keys, which says little about the records.
+    """
     listed = sorted((bytes(r.first_key), r.path) for r in parts.collect())  # one row per index file
     firsts = [k for k, _ in listed]
 
@@ -265,7 +271,8 @@ def captures(keys: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
 
     dealt = keys.select("key").mapInArrow(files_of, "key binary, path string")
     # by range of keys, so that a busy index file is read by several tasks, each with its neighbouring blocks
-    return dealt.repartitionByRange("path", "key").sortWithinPartitions("path", "key").mapInArrow(read, _CAPTURE)
+    ranged = dealt.repartitionByRange(partitions, "path", "key") if partitions else dealt.repartitionByRange("path", "key")
+    return ranged.sortWithinPartitions("path", "key").mapInArrow(read, _CAPTURE)
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -273,4 +280,5 @@ def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = shared_folder(pages.sparkSession)
     entries = saved(write_archive(pages, folder, min_bytes))
     parts = saved(write_index(entries, folder))
-    return captures(entries.select("key").distinct(), parts, folder)
+    stored = entries.agg(F.sum("length")).first()[0] or 0
+    return captures(entries.select("key").distinct(), parts, folder, 1 + stored // READ_BYTES)

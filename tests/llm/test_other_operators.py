@@ -64,6 +64,36 @@ def test_top_k(spark, shard):
     assert tree_search.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 3e7, 1e12])
+def test_top_k_of_long_vectors_is_exact(spark, size):
+    rng = np.random.default_rng(7)
+    rows = [(i, (size * rng.normal(size=6)).tolist()) for i in range(40)] + [(i, [x + 0.25 for x in rows_]) for i, rows_ in enumerate([[size] * 6] * 9, 40)]
+    rows += [(i, rng.normal(size=6).tolist()) for i in range(50, 90)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in own if i % 10 == 0):
+        best = sorted((-sum(a * b for a, b in zip(own[q], w)), i) for i, w in own.items() if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    asked = table.filter("vec_id % 10 = 0")
+    if max(abs(w[3]) for w in want) >= 2**63:
+        with pytest.raises(Exception, match="64 bits"):
+            tree_search.top_k(asked, table).collect()
+    else:
+        assert sorted(map(tuple, tree_search.top_k(asked, table, shard=30, block=5).collect())) == sorted(want)
+    x = np.array([own[i] for i in sorted(own)], dtype=np.float64)
+    found = tree_search.DualSearch(x[:9], np.arange(9), x, np.arange(len(x)), 3)
+    for place, q in enumerate(found.qid.tolist()):
+        brute = sorted((-sum(int(a) * int(b) for a, b in zip(x[q], w)), i) for i, w in enumerate(x.tolist()) if i != q)[:3]
+        assert [(-int(s), int(i)) for s, i in zip(found.scores[place], found.ids[place])] == brute
+
+
+def test_vectors_beyond_all_bounds_are_compared():
+    x = np.array([[1e200, 1.0], [-1e200, 2.0], [3.0, 1e190], [5.0, 7.0]])
+    found = tree_search.DualSearch(x, np.arange(4), x, np.arange(4), 2)
+    assert [int(i) for i in found.ids[0]] == [3, 2] and found.scores[3][0] == 5 * int(1e200) + 7
+
+
 def test_pruning_leaves_pairs_out():
     rng = np.random.default_rng(4)
     centers = 400 * rng.normal(size=(30, 6))
