@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ SAMPLE_MS = 500
 SAMPLE_LIMIT = 2000
 FILL_BUCKET_MS = 10_000
 CHUNK_STEPS = 10_000
+BLOCK = 512  # players; a task holds two blocks of them
 
 
 def downsample(positions: DataFrame, step_ms: int = SAMPLE_MS, limit: int | None = None) -> DataFrame:
@@ -52,45 +55,107 @@ def forward_filled(samples: DataFrame, bucket_ms: int = FILL_BUCKET_MS, chunk_ms
     return rows.select(FIGHT, "time_ms", "agent_id", "x", "y")
 
 
-def spacing(samples: DataFrame, slice_ms: int = FILL_BUCKET_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+def squad_times(samples: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Players present at every sample time of a fight, and the sums of where they stand.
+
+    A sample moves its player from where it stood; these moves add up along time, so no filled position becomes a row. The
+    samples of one player, at most one per step of its fight, are one window; the times of a fight are cut into chunks.
+    """
+    steps = running(samples, [FIGHT, "agent_id"], [Running("_was", "prev", F.struct("x", "y"))], ("time_ms",), None)
+    from_ = lambda c: F.col(c) - F.coalesce(F.col(f"_was.{c}"), F.lit(0.0))
+    moves = steps.groupBy(FIGHT, "time_ms").agg(
+        F.count(F.when(F.col("_was").isNull(), 1)).alias("new"), F.sum(from_("x")).alias("dx"), F.sum(from_("y")).alias("dy")
+    )
+    total = lambda name, value: Running(name, "sum", F.col(value))
+    return running(moves, [FIGHT], [total("n", "new"), total("sx", "dx"), total("sy", "dy")], ("time_ms",), chunk_ms).select(FIGHT, "time_ms", "n", "sx", "sy")
+
+
+def spacing(samples: DataFrame, slice_ms: int = FILL_BUCKET_MS, chunk_ms: int = CHUNK_MS, block: int = BLOCK) -> DataFrame:
     """Mean distance to the squad's centre and to the other players, over times with two or more players.
 
-    A fight is cut into slices of time. A slice knows its samples and where every player stood before it, and adds up
-    distances in arrays of players by times, so neither pairs nor filled positions become rows.
+    A fight is cut into slices of time, its players into blocks of about ``block``. A task adds up the distances
+    of one block to another in arrays of players by times, from their samples and from where they stood before the slice;
+    the sums of a player's blocks meet in one aggregation. A task holds two blocks, however many players there are.
     """
-    agent = [FIGHT, "agent_id"]
+    agent, slice_ = [FIGHT, "agent_id"], [FIGHT, "slice"]
     rows = samples.withColumn("slice", F.floor(F.col("time_ms") / slice_ms))
-    slices = rows.select(FIGHT, "slice").distinct()
-    # one row per player and slice: the position held when the slice begins
-    asked = rows.select(*agent).distinct().join(slices, FIGHT).withColumns({"time_ms": F.col("slice") * slice_ms, "_probe": F.lit(0)})
+    slices = rows.select(*slice_).distinct()
+    # one row per player and slice after its first sample: the position held when the slice begins
+    since = rows.groupBy(*agent).agg(F.min("slice").alias("_first"))
+    asked = since.join(slices, FIGHT).filter("slice > _first").drop("_first").withColumns({"time_ms": F.col("slice") * slice_ms, "_probe": F.lit(0)})
     line = asked.unionByName(rows.withColumn("_probe", F.lit(1)), allowMissingColumns=True).withColumn("_here", F.when(F.col("_probe") == 1, F.struct("x", "y")))
-    held = running(line, agent, [Running("_held", "prev", F.col("_here"))], ("time_ms", "_probe"), chunk_ms).filter("_probe = 0")
+    held = running(line, agent, [Running("_held", "prev", F.col("_here"))], ("time_ms", "_probe"), None).filter("_probe = 0")
     held = held.select(*agent, "slice", F.lit(None).cast("bigint").alias("time_ms"), F.col("_held.x").alias("x"), F.col("_held.y").alias("y"))
-    parts = held.unionByName(rows.select(held.columns)).groupBy(FIGHT, "slice").applyInPandas(
-        _slice_sums, "fight_id string, agent_id bigint, to_centre double, to_others double, n bigint")
+    sizes = since.groupBy(FIGHT).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = held.unionByName(rows.select(held.columns)).join(sizes, FIGHT).withColumn("at", F.pmod(F.xxhash64("agent_id"), "blocks").cast("int"))
+    # a row is its own block's in every group of that row of blocks, and the other block's in every group of that column
+    groups = F.concat(F.transform(every, lambda j: F.struct(F.col("at").alias("own"), j.alias("other"))), F.transform(F.filter(every, lambda i: i != F.col("at")), lambda i: F.struct(i.alias("own"), F.col("at").alias("other"))))
+    placed = placed.select(*slice_, "agent_id", "time_ms", "x", "y", "at", F.lit(None).cast("bigint").alias("n"), F.inline(groups))
+    times = squad_times(samples, chunk_ms).withColumn("slice", F.floor(F.col("time_ms") / slice_ms)).join(sizes, FIGHT)
+    pairs = F.flatten(F.transform(every, lambda i: F.transform(every, lambda j: F.struct(i.alias("own"), j.alias("other")))))
+    times = times.select(
+        *slice_, F.lit(0).cast("bigint").alias("agent_id"), "time_ms", (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"), F.lit(-1).alias("at"), "n", F.inline(pairs)
+    )
+    pair = [*slice_, "own", "other"]
+    dealt = placed.unionByName(times).repartition(*pair).sortWithinPartitions(*pair).select(*pair, "agent_id", "time_ms", "x", "y", "at", "n")
+    parts = dealt.mapInArrow(_pair_sums, PARTS_DDL)
     mean = lambda total: F.when(F.sum("n") > 0, F.sum(total) / F.sum("n"))
     metrics = parts.groupBy(*agent).agg(mean("to_centre").alias("dist_to_com"), mean("to_others").alias("stack_dist"))
     return samples.select(*agent).distinct().join(metrics, agent, "left")
 
 
-def _slice_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per player of a slice: distances summed over the slice's sample times, and the number of times that count."""
-    known = pdf["time_ms"].isna()
-    agents, times = np.unique(pdf["agent_id"]), np.unique(pdf.loc[~known, "time_ms"])
+PARTS_DDL = "fight_id string, agent_id bigint, to_centre double, to_others double, n bigint"
+_PAIR = 4  # columns that name a pair of blocks
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of all pairs of blocks of a partition; rows come sorted by pair, and one pair at most waits for its other rows."""
+    waiting: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if waiting is not None:
+            rows = [np.concatenate(x) for x in zip(waiting, rows)]
+        changes = np.zeros(max(0, len(rows[0]) - 1), dtype=bool)
+        for c in rows[:_PAIR]:
+            changes |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(changes) + 1).tolist()]
+        if len(edges) > 1:
+            yield _parts([[c[a:b] for c in rows] for a, b in zip(edges, edges[1:])])
+        waiting = [c[edges[-1] :] for c in rows] if len(rows[0]) else waiting
+    if waiting is not None:
+        yield _parts([waiting])
+
+
+def _parts(pairs: list[list[np.ndarray]]) -> pa.RecordBatch:
+    found = [_block_sums(*rows) for rows in pairs]
+    fights = np.concatenate([np.full(len(f[0]), rows[0][0], dtype=object) for rows, f in zip(pairs, found)])
+    columns = [np.concatenate(c) for c in zip(*found)]
+    return pa.RecordBatch.from_arrays([pa.array(fights, pa.string()), *map(pa.array, columns)], ["fight_id", "agent_id", "to_centre", "to_others", "n"])
+
+
+def _block_sums(fight, slice_, own, other, agent, time, x, y, at, n) -> tuple[np.ndarray, ...]:
+    """Players of one block with their distances to another block's, summed over the slice's times; to the centre once."""
+    once, ticks = own[0] == other[0], at == -1
+    order = np.argsort(time[ticks])
+    times, sizes, cx, cy = (c[ticks][order] for c in (time, n, x, y))
+    agent, time, x, y, at = (c[~ticks] for c in (agent, time, x, y, at))
+    agents, first, who = np.unique(agent.astype(np.int64), return_index=True, return_inverse=True)
+    mine, theirs = at[first] == own[0], at[first] == other[0]
+    held = np.isnan(time.astype(np.float64))
+    when = np.where(held, 0, np.searchsorted(times, time) + 1)
     place = np.full((2, len(agents), len(times) + 1), np.nan)
-    who = np.searchsorted(agents, pdf["agent_id"])
-    when = np.where(known, 0, np.searchsorted(times, pdf["time_ms"]) + 1)
-    place[:, who, when] = pdf[["x", "y"]].to_numpy().T
+    place[:, who, when] = np.stack([x, y])
     last = np.maximum.accumulate(np.where(np.isnan(place[0]), 0, np.arange(len(times) + 1)), axis=1)
     x, y = (np.take_along_axis(p, last, axis=1)[:, 1:] for p in place)
-    there = ~np.isnan(x)
-    n = there.sum(axis=0)
-    counts = there & (n > 1)
+    ox, oy, x, y = x[theirs], y[theirs], x[mine], y[mine]
+    counts = ~np.isnan(x) & (sizes > 1)
     with np.errstate(invalid="ignore", divide="ignore"):
-        centre = np.hypot(x - np.nansum(x, axis=0) / n, y - np.nansum(y, axis=0) / n)
-        others = np.stack([np.nansum(np.hypot(x - x[k], y - y[k]), axis=0) for k in range(len(agents))]) / (n - 1)
+        others = np.stack([np.nansum(np.hypot(ox - x[k], oy - y[k]), axis=0) for k in range(len(x))]) / (sizes - 1) if len(x) else x
+        centre = np.hypot(x - cx, y - cy)
     total = lambda d: np.where(counts, d, 0.0).sum(axis=1)
-    return pd.DataFrame({"fight_id": pdf[FIGHT].iloc[0], "agent_id": agents, "to_centre": total(centre), "to_others": total(others), "n": counts.sum(axis=1)})
+    seen = counts.sum(axis=1)
+    return agents[mine], total(centre) * once, total(others), seen * int(once)
 
 
 def commander_distance(samples: DataFrame, commanders: DataFrame) -> DataFrame:

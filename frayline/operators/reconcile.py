@@ -270,8 +270,10 @@ def worst_skills(differences: DataFrame, n: int) -> DataFrame:
     """The n skills with the largest sum of missing and extra casts, ties by skill."""
     side = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("casts"))), F.lit(0)).alias(d)
     totals = differences.groupBy("skill_id").agg(side("missing"), side("extra"), F.sum("casts").alias("_all"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("_all"), "skill_id")
-    return totals.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("_all")
+    order = [F.desc("_all"), "skill_id"]
+    # the n rows are taken first, so only they are numbered together
+    top = totals.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).drop("_all")
 
 
 # -- slices -----------------------------------------------------------------------------

@@ -141,11 +141,11 @@ def requested_accounts(spark, accounts: list[str], minimum: int = 2, maximum: in
 def aligned_days(series: DataFrame, requested: DataFrame, value: str = "total_damage") -> DataFrame:
     """The requested accounts (2 to 4, see :func:`requested_accounts`) on the union of their days: one value or null.
 
-    A day is expanded by the request's accounts, never by the accounts of the corpus.
+    A day meets the request's accounts, never the accounts of the corpus.
     """
     own = series.join(requested.select("account_name"), "account_name", "left_semi").select("account_name", "local_day", value)
-    names = [r.account_name for r in requested.select("account_name").collect()]
-    frame = own.select("local_day").distinct().withColumn("account_name", F.explode(F.array(*map(F.lit, names))))
+    names = requested.agg(F.collect_set("account_name").alias("_names")).withColumn("_all", F.lit(1))
+    frame = own.select("local_day").distinct().withColumn("_all", F.lit(1)).join(names, "_all").select("local_day", F.explode("_names").alias("account_name"))
     return frame.join(own, ["account_name", "local_day"], "left").select("account_name", "local_day", value)
 
 

@@ -79,8 +79,8 @@ _INTERVALS = """orig AS (SELECT fight_id, min(time) AS origin, max(time) AS last
       FROM (SELECT *, lead(time) OVER (PARTITION BY fight_id, agent_id ORDER BY time, seq) AS nx FROM ch) n JOIN orig ON n.fight_id = orig.fight_id
       WHERE state <> 'gone' AND coalesce(nx, last) > time)"""
 _SPANS = """sp AS (SELECT a.fight_id, agent_id, min(time) - any_value(origin) AS first_ms, max(time) - any_value(origin) AS last_ms
-    FROM (SELECT fight_id, time, src AS agent_id, statechange FROM raw UNION ALL SELECT fight_id, time, dst, statechange FROM raw) a
-    JOIN orig ON a.fight_id = orig.fight_id WHERE time > 0 AND agent_id <> 0 AND (a.fight_id, agent_id) IN (SELECT (fight_id, agent_id) FROM agents) AND statechange NOT IN (8, 19, 27) GROUP BY 1, 2)"""
+    FROM (SELECT fight_id, time, src AS agent_id, statechange FROM raw UNION ALL SELECT fight_id, time, dst, statechange FROM raw WHERE statechange <> 19) a
+    JOIN orig ON a.fight_id = orig.fight_id WHERE time > 0 AND agent_id <> 0 AND (a.fight_id, agent_id) IN (SELECT (fight_id, agent_id) FROM agents) AND statechange NOT IN (8, 27) GROUP BY 1, 2)"""
 
 
 def intervals(c: Corpus) -> DataFrame:
@@ -89,9 +89,10 @@ def intervals(c: Corpus) -> DataFrame:
 
 
 def spans(c: Corpus) -> DataFrame:
-    """Awareness of the known agents (position records pack coordinates into dst and name no agent there)."""
+    """Awareness of the known agents. Position records pack coordinates into dst and name no agent there, but one in src."""
     known = c.agents().select("fight_id", "agent_id")
-    return classify.awareness(c.raw_records().filter("statechange <> 19")).join(known, ["fight_id", "agent_id"], "left_semi")
+    raw = c.raw_records().withColumn("dst", F.when(F.col("statechange") == 19, 0).otherwise(F.col("dst")))
+    return classify.awareness(raw).join(known, ["fight_id", "agent_id"], "left_semi")
 
 
 @query("C12", f"WITH {_INTERVALS} SELECT * FROM iv")
@@ -559,6 +560,9 @@ _FILL = f"""{_POS}, ts AS (SELECT DISTINCT fight_id, time_ms AS t FROM ds),
     fl AS (SELECT ts.fight_id, t AS time_ms, agent_id, x, y FROM ts JOIN hd ON ts.fight_id = hd.fight_id AND hd.time_ms <= t AND t < until)"""
 
 
+_TRUE_CLOCK = "time_ms // 1800000 * 1800000 AS time_ms", "time_ms"
+
+
 @query("P2 J12", f"WITH {_FILL} SELECT * FROM fl")
 def filled_positions(c: Corpus) -> DataFrame:
     return positions.forward_filled(samples(c), HOUR_MS, HOUR_MS)
@@ -577,6 +581,13 @@ def spacing_metrics(c: Corpus) -> DataFrame:
     return rounded(positions.spacing(samples(c), HOUR_MS, HOUR_MS), "dist_to_com", "stack_dist")
 
 
+@query("P3 P4", f"WITH {_SPACING.replace(*_TRUE_CLOCK)} SELECT fight_id, agent_id, round(dist_to_com, 6) AS dist_to_com, round(stack_dist, 6) AS stack_dist FROM mt")
+def spacing_on_own_clocks(c: Corpus) -> DataFrame:
+    """Spacing where every player has sample times of its own."""
+    own = c.events(["POSITION"]).select("fight_id", F.col("source_agent_id").alias("agent_id"), "seq", "time_ms", "x", "y")
+    return rounded(positions.spacing(positions.downsample(own), HOUR_MS, HOUR_MS), "dist_to_com", "stack_dist")
+
+
 _COMMANDER = f"""cm AS (SELECT fight_id, min(agent_id) AS cid FROM agents WHERE name LIKE '% [CMDR]' GROUP BY 1),
     cp AS (SELECT ds.fight_id, time_ms, x AS cx, y AS cy, cid FROM ds JOIN cm ON ds.fight_id = cm.fight_id AND ds.agent_id = cid),
     cd AS (SELECT ds.fight_id, ds.agent_id, CASE WHEN ds.agent_id = any_value(cid) THEN 0.0 ELSE avg(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))) END AS commander_dist

@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from frayline.operators import downs, identity, positions, reconcile, rotation
 from tests.rows import event_frame, hit, state
@@ -148,3 +150,29 @@ def test_active_duration_rules(spark):
     fights = spark.createDataFrame([("f1", 2000)], "fight_id STRING, duration_ms BIGINT")
     got = {r.agent_id: r.active_ms for r in identity.active_durations(slices, spans, fights, 30).collect()}
     assert got == {1: 100, 3: 510, 4: None}
+
+
+@pytest.mark.parametrize("block", [2, 3, 512])
+def test_spacing_in_blocks_equals_the_filled_positions(spark, block):
+    rng = random.Random(block)
+    rows = [(a, rng.randrange(0, 900), float(rng.randrange(50)), float(rng.randrange(50))) for a in range(7) for _ in range(a + 1)]
+    df = samples(spark, list({(a, t): (a, t, x, y) for a, t, x, y in rows}.values()))
+    filled = {}
+    for r in positions.forward_filled(df, 100, 100).collect():
+        filled.setdefault(r.time_ms, {})[r.agent_id] = (r.x, r.y)
+    total = {}
+    for place in filled.values():
+        if len(place) > 1:
+            cx, cy = (sum(p[i] for p in place.values()) / len(place) for i in (0, 1))
+            for a, (x, y) in place.items():
+                others = sum(math.hypot(x - u, y - v) for u, v in place.values()) / (len(place) - 1)
+                total.setdefault(a, []).append((math.hypot(x - cx, y - cy), others))
+    for r in positions.spacing(df, 100, 100, block).collect():
+        own = total[r.agent_id]
+        assert r.dist_to_com == pytest.approx(sum(c for c, _ in own) / len(own)) and r.stack_dist == pytest.approx(sum(o for _, o in own) / len(own))
+
+
+def test_spacing_of_a_crowd_uses_many_tasks(spark):
+    crowd = spark.range(1200).selectExpr("'f1' AS fight_id", "9007199254740993L + id AS agent_id", "0L AS time_ms", "cast(id % 40 AS double) AS x", "0.0D AS y")  # ids beyond doubles
+    rows = positions.spacing(crowd, 100, 100, 300).agg(F.count("stack_dist"), F.avg("dist_to_com")).first()
+    assert rows[0] == 1200 and rows[1] == pytest.approx(10.0)
