@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,43 +235,92 @@ def kit_casts(events: DataFrame, bundles: DataFrame, slot: int = 2, chunk_ms: in
 def anchor_groups(rows: DataFrame, keys: list[str], radius_ms: int = 10, chunk_ms: int = CHUNK_MS) -> DataFrame:
     """Adds ``anchor_ms``: rows within ``radius_ms`` of a group's first time share the group.
 
-    The distinct times of a key first fall into islands split at gaps of
-    ``radius_ms`` or more (no group crosses one). Islands are dealt to tasks and
-    read in time order; a task holds one batch and the last anchor, and jumps
-    from anchor to anchor by binary search.
+    An anchor leads to the first time at least ``radius_ms`` later, so where a chunk of time is entered decides all its
+    anchors. A chunk does not know where; it maps every time it may be entered at (those less than ``radius_ms`` behind its
+    start, and the next) to the last anchor that follows from it. The maps of a key are folded in order, one row per chunk,
+    which tells every chunk the anchor before it; then all chunks place their times at once. A dense stretch of any length
+    is thus spread over its chunks.
     """
-    times = rows.select(*keys, "time_ms").distinct()
-    times = running(times, keys, [Running("_prev", "prev", F.col("time_ms"))], ("time_ms",), chunk_ms)
-    opens = F.col("_prev").isNull() | (F.col("time_ms") - F.col("_prev") >= radius_ms)
-    times = running(times, keys, [Running("_island", "last", F.when(opens, F.col("time_ms")))], ("time_ms",), chunk_ms)
-    # equal islands of different keys get different numbers only through the key, so the key is part of the group
-    times = times.withColumn("_group", F.to_json(F.struct(*keys, "_island")))
-    ordered = times.select(*keys, "time_ms", "_group").repartition("_group").sortWithinPartitions("_group", "time_ms")
-    schema = ordered.drop("_group").withColumn("anchor_ms", F.col("time_ms")).schema
-
-    def jump(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        group, anchor = None, 0
+    times = rows.select(*keys, "time_ms").distinct().withColumn("_key", F.to_json(F.struct(*keys))).withColumn("_chunk", F.floor(F.col("time_ms") / chunk_ms))
+    place = ["_key", "_chunk"]
+    dealt = times.select(*place, "time_ms").repartition(*place).sortWithinPartitions(*place, "time_ms")
+    maps = dealt.mapInArrow(_chunk_maps(radius_ms, chunk_ms), "_key string, _chunk bigint, entries array<bigint>, exits array<bigint>")
+    before = maps.repartition("_key").sortWithinPartitions(*place).mapInArrow(_folded_maps(radius_ms), "_key string, _chunk bigint, anchor_before bigint")
+    known = times.select(*place, "time_ms").join(before, place).repartition(*place).sortWithinPartitions(*place, "time_ms")
+    placed = known.select(*place, "time_ms", "anchor_before").mapInArrow(_placed_times(radius_ms), "_key string, time_ms bigint, anchor_ms bigint")
+    return rows.withColumn("_key", F.to_json(F.struct(*keys))).join(placed, ["_key", "time_ms"]).drop("_key")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[list]]:
+    """Rows of equal first ``by`` columns, as one list of columns each; rows come sorted, one run at most is held back."""
+    held: list[list] | None = None
+    for batch in batches:
+        rows = [c.to_pylist() for c in batch.columns]
+        if held is not None:
+            rows = [x + y for x, y in zip(held, rows)]
+        n = len(rows[0])
+        heads = list(zip(*rows[:by]))
+        edges = [k for k in range(n) if k == 0 or heads[k] != heads[k - 1]]
+        for a, b in zip(edges, edges[1:]):
+            yield [c[a:b] for c in rows]
+        held = [c[edges[-1] :] for c in rows] if edges else held
+    if held is not None:
+        yield held
+
+
+def _jumps(times: np.ndarray, radius_ms: int) -> np.ndarray:
+    """Place of the first time at least ``radius_ms`` after each; the number of times where there is none."""
+    return np.searchsorted(times, times + radius_ms)
+
+
+def _chunk_maps(radius_ms: int, chunk_ms: int):
+    def scan(batches):
+        for keys, chunks, at in _runs(batches, 2):
+            times = np.array(at, dtype=np.int64)
+            follow, last = _jumps(times, radius_ms), np.arange(len(times))
+            for k in range(len(times) - 1, -1, -1):
+                if follow[k] < len(times):
+                    last[k] = last[follow[k]]
+            n = int(np.searchsorted(times, chunks[0] * chunk_ms + radius_ms)) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[:1]), pa.array(chunks[:1], pa.int64()), pa.array([times[:n].tolist()], pa.list_(pa.int64())), pa.array([times[last[:n]].tolist()], pa.list_(pa.int64()))],
+                ["_key", "_chunk", "entries", "exits"],
+            )
+
+    return scan
+
+
+def _folded_maps(radius_ms: int):
+    def scan(batches):
+        key, anchor = None, None
         for batch in batches:
-            names = batch.schema.names
-            groups, at = batch.column(names.index("_group")).to_pylist(), batch.column(names.index("time_ms")).to_numpy()
-            anchors = np.empty_like(at)
-            edges = [k for k in range(len(groups)) if k == 0 or groups[k] != groups[k - 1]]
-            for a, b in zip(edges, [*edges[1:], len(groups)]):
-                if groups[a] != group:
-                    group, anchor = groups[a], at[a]
-                while a < b:
-                    end = a + int(np.searchsorted(at[a:b], anchor + radius_ms))
-                    anchors[a:end] = anchor
-                    a = end
-                    if a < b:
-                        anchor = at[a]
-            kept = [batch.column(k) for k, n in enumerate(names) if n != "_group"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(anchors)], schema.names)
-
-    return rows.join(ordered.mapInArrow(jump, schema), [*keys, "time_ms"])
+            keys, chunks, before = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for k, entries, exits in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if k != key:
+                    key, anchor = k, None
+                before.append(anchor)
+                place = 0 if anchor is None else bisect_left(entries, anchor + radius_ms)
+                if place < len(entries):
+                    anchor = exits[place]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(chunks, pa.int64()), pa.array(before, pa.int64())], ["_key", "_chunk", "anchor_before"])
+
+    return scan
+
+
+def _placed_times(radius_ms: int):
+    def scan(batches):
+        for keys, _, at, before in _runs(batches, 2):
+            times, anchor = np.array(at, dtype=np.int64), before[0]
+            anchors = np.empty_like(times)
+            k = 0 if anchor is None else int(np.searchsorted(times, anchor + radius_ms))
+            anchors[:k] = 0 if anchor is None else anchor
+            follow = _jumps(times, radius_ms)
+            while k < len(times):
+                anchors[k : follow[k]] = times[k]
+                k = int(follow[k])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(times), pa.array(anchors)], ["_key", "time_ms", "anchor_ms"])
+
+    return scan
 
 
 def grouped_translation(rows: DataFrame, keys: list[str], translation: DataFrame, radius_ms: int = 10, chunk_ms: int = CHUNK_MS) -> DataFrame:

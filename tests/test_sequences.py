@@ -86,16 +86,18 @@ def test_cooldown_counts_dropped_triggers_too(spark):
     assert [r.time_ms for r in rotation.apply_cooldown(df, 60).orderBy("time_ms").collect()] == [0, 130, 200]
 
 
-@pytest.mark.parametrize("chunk", [15, 10_000])
+@pytest.mark.parametrize("chunk", [4, 25, 50, 10_000])
 def test_anchor_groups_equal_a_plain_walk(spark, chunk):
     rng = random.Random(5)
-    times = sorted(rng.randrange(400) for _ in range(120))
-    df = spark.createDataFrame([("f1", t, i) for i, t in enumerate(times)], "fight_id STRING, time_ms BIGINT, seq BIGINT")
-    got = {r.seq: r.anchor_ms for r in rotation.anchor_groups(df, ["fight_id"], 10, chunk).collect()}
-    anchor = None
-    for i, t in enumerate(times):
-        anchor = t if anchor is None or t - anchor >= 10 else anchor
-        assert got[i] == anchor
+    lines = {"f1": sorted(rng.randrange(-50, 400) for _ in range(120)), "f2": list(range(0, 300, 3)), None: [7, 8, 40]}  # dense, without any gap of 10
+    df = spark.createDataFrame([(f, t, i) for f, times in lines.items() for i, t in enumerate(times)], "fight_id STRING, time_ms BIGINT, seq BIGINT")
+    got = {(r.fight_id, r.seq): r.anchor_ms for r in rotation.anchor_groups(df, ["fight_id"], 10, chunk).collect()}
+    for fight, times in lines.items():
+        anchor = None
+        for i, t in enumerate(times):
+            anchor = t if anchor is None or t - anchor >= 10 else anchor
+            assert got[fight, i] == anchor
+    assert len(got) == sum(map(len, lines.values()))
 
 
 @pytest.mark.parametrize("chunk", [25, 10_000])
