@@ -21,6 +21,7 @@ HEADLINE = [
     "classified_events", "target_damage", "player_damage", "player_boons", "squad_rollup", "skill_usage", "event_windows",
     "player_timelines", "stack_history", "boon_uptimes", "down_contribution", "final_casts", "spacing_metrics",
     "fight_player_summaries", "combat_readout", "modal_profiles", "account_days", "compared_fields",
+    "full_readout", "complete_rotation",
 ]
 
 

@@ -14,7 +14,7 @@ from frayline.plans import load_queries  # noqa: E402
 LIBRARY = {
     "S2": "sources.files.write_event_stream (tests/test_files_and_streams.py)",
     "C24": "corpus.agents / players / skills views, rollups.with_names",
-    "V7": "timelines._checked, timelines._bucket (tests/test_rollups.py)",
+    "V7": "timelines._bucket (tests/test_rollups.py)",
     "T7": "rollups.ordered",
 }
 
