@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frayline.session import checkpoint_dir
 
@@ -44,6 +45,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def sampled(share: float, *columns: str) -> Column:
+    """True for about ``share`` of all values of ``columns``: a hash of 62 bits, so no share above 0 becomes none."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 2) < F.lit(int(share * 2**62)).cast("long")
+
+
 ARROW_ROWS = 1000
 
 

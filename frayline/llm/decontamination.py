@@ -5,12 +5,14 @@ words). Their windows are ``window`` consecutive words; a shorter item is one wi
 document words are streamed through it, and a word is hit when it lies in an occurrence of a window, which shows as a
 matching length of the window's size or more.
 
-A benchmark has no fixed size, so it is dealt by id into shards of about ``SHARD_BYTES`` text each; one automaton is
-broadcast per pass, and passes hand their spans on. One shard, the usual case, is one pass without any shuffle.
+A benchmark has no fixed size, so its distinct rows are dealt by id and text into shards of about ``SHARD_BYTES`` text
+each, whatever one id holds; one automaton is broadcast per pass, and passes hand their spans on. One shard, the usual
+case, is one pass without any shuffle of documents. A single item longer than a shard is a shard of its own size.
 
 Rows: null or empty text has no words; items without words hit nothing; windows of items with a null id hit but carry no
 id; rows with the same id are one item; every document row gives one row, repeated rows and null ids included; an empty
-benchmark leaves all documents clean. Further columns pass through ``decontaminate`` unchanged.
+benchmark leaves all documents clean; very long texts are read whole, by one task each. Further columns pass through
+``decontaminate`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frayline.llm.automaton import SuffixAutomaton, merged
-from frayline.llm.common import batched, saved
+from frayline.llm.common import batched, saved, unused
 
 WINDOW = 10
 SHARD_BYTES = 2_000_000
 COVERAGE = 0.8
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_SPANS, _ITEMS, _WORDS = "__spans", "__items", "__words"
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -97,30 +98,35 @@ class ItemMatcher:
 
 def shard_matcher(items: DataFrame, k: int, shards: int, window: int, id_column: str, text: str) -> ItemMatcher:
     """The matcher of shard k; only one shard is on the driver at a time."""
-    own = items.filter(F.pmod(F.xxhash64(id_column), F.lit(shards)) == k).select(id_column, text)
+    own = items.filter(F.pmod(F.xxhash64(id_column, text), F.lit(shards)) == k).select(id_column, text)
     return ItemMatcher([(r[0], normal_words(r[1])) for r in own.toLocalIterator()], window)
 
 
-def matched(documents: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES, clean: bool = False) -> DataFrame:
-    """``documents`` with hit word spans, occurring items and the number of words in ``__`` columns.
+def matched(documents: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = SHARD_BYTES, clean: bool = False) -> tuple[DataFrame, list[str]]:
+    """``documents`` with three more columns, and their names: hit word spans, occurring items, number of words.
 
     ``clean``: the last pass also takes the hit spans out of the text.
     """
+    items = items.select(item_id, item_text).distinct()
+    added = [unused(documents, name) for name in ("spans", "items", "words")]
     shards = max(1, -(-(items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0) // shard_bytes))
-    found = documents.withColumns({_SPANS: F.lit(None).cast("array<struct<start:long,end:long>>"), _ITEMS: F.lit(None).cast("array<long>"), _WORDS: F.lit(0).cast("long")})
+    empty = F.lit(None).cast("array<struct<start:long,end:long>>"), F.lit(None).cast("array<long>"), F.lit(0).cast("long")
+    found = documents.withColumns(dict(zip(added, empty)))
     for k in range(shards):
         matcher = documents.sparkSession.sparkContext.broadcast(shard_matcher(items, k, shards, window, item_id, item_text))
-        found = _pass(saved(found) if k else found, matcher, text, clean and k == shards - 1)
-    return found
+        found = _pass(saved(found) if k else found, matcher, text, added, clean and k == shards - 1)
+    return found, added
 
 
-def _pass(documents: DataFrame, matcher, text: str, clean: bool) -> DataFrame:
+def _pass(documents: DataFrame, matcher, text: str, added: list[str], clean: bool) -> DataFrame:
+    spans_, items_, words_ = added
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher.value
         for batch in batches:
-            place = {n: batch.schema.get_field_index(n) for n in (text, _SPANS, _ITEMS, _WORDS)}
+            place = {n: batch.schema.get_field_index(n) for n in (text, spans_, items_, words_)}
             spans, items, sizes, texts = [], [], [], []
-            for value, s, i in zip(batch.column(place[text]), batch.column(place[_SPANS]).to_pylist(), batch.column(place[_ITEMS]).to_pylist()):
+            for value, s, i in zip(batch.column(place[text]), batch.column(place[spans_]).to_pylist(), batch.column(place[items_]).to_pylist()):
                 words = normal_words(value.as_py())
                 hit, found = own.match(words)
                 hit = merged([(x["start"], x["end"]) for x in s or ()] + hit)
@@ -129,7 +135,7 @@ def _pass(documents: DataFrame, matcher, text: str, clean: bool) -> DataFrame:
                     texts.append(without_spans(value.as_py(), hit) if hit else value.as_py())
                 items.append(sorted({*(i or ()), *(x for x in found if x is not None)}))
                 sizes.append(len(words))
-            new = {place[_SPANS]: spans, place[_ITEMS]: items, place[_WORDS]: sizes} | ({place[text]: texts} if clean else {})
+            new = {place[spans_]: spans, place[items_]: items, place[words_]: sizes} | ({place[text]: texts} if clean else {})
             columns = [pa.array(new[k], c.type) if k in new else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
@@ -138,11 +144,11 @@ def _pass(documents: DataFrame, matcher, text: str, clean: bool) -> DataFrame:
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, hit words, items with occurring windows, their digest, and the verdict."""
-    found = matched(documents.select("doc_id", "text"), items, window)
-    hit = F.aggregate(_SPANS, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    ids = F.array_join(F.array_sort(F.transform(_ITEMS, lambda x: x.cast("string"))), ",")
+    found, (spans, items_, words) = matched(documents.select("doc_id", "text"), items, window)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    ids = F.array_join(F.array_sort(F.transform(items_, lambda x: x.cast("string"))), ",")
     return found.select(
-        "doc_id", F.col(_WORDS).alias("n_words"), hit.alias("n_hit"), F.size(_ITEMS).cast("long").alias("n_items"),
+        "doc_id", F.col(words).alias("n_words"), hit.alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
         F.sha2(ids, 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
@@ -162,6 +168,6 @@ def without_spans(value: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``documents`` without the spans that hit items; documents with at least ``coverage`` of their words hit go."""
     names = documents.columns
-    found = matched(documents, items, window, text, clean=True)
-    hit = F.aggregate(_SPANS, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.filter((hit == 0) | (hit < coverage * F.col(_WORDS))).select(*names)
+    found, (spans, _, words) = matched(documents, items, window, text, clean=True)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.filter((hit == 0) | (hit < coverage * F.col(words))).select(*names)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frayline.llm.common import ALPHANUMERIC, batched, mixed, saved, window_hashes, word_bounds, word_hashes
+from frayline.llm.common import ALPHANUMERIC, batched, mixed, saved, unused, window_hashes, word_bounds, word_hashes
 from frayline.llm.components import components
 
 SIZE = 5
@@ -34,7 +34,6 @@ THRESHOLD = 0.8
 MISS = 1e-6
 BLOCK = 128
 MAX_HASHES = 200
-NUMBER = "__number"
 
 
 def choose_bands(threshold: float, miss: float = MISS, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -73,7 +72,7 @@ class Signer:
         return mixed(sums + np.arange(self.shape[0], dtype=np.uint64)).view(np.int64)
 
 
-def signatures(documents: DataFrame, size: int, threshold: float, miss: float) -> DataFrame:
+def signatures(documents: DataFrame, size: int, threshold: float, miss: float, number: str | None = None) -> DataFrame:
     """(doc_id, row key, row number, node, number of n-grams, band hashes) per row; node is null without n-grams."""
     shape = choose_bands(threshold, miss)
 
@@ -89,12 +88,12 @@ def signatures(documents: DataFrame, size: int, threshold: float, miss: float) -
             arrays = [*batch.columns[:3], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "number", "node", "grams", "bands"])
 
-    return _keyed(documents).mapInArrow(sign, "doc_id long, row long, number long, node binary, grams long, bands array<long>")
+    return _keyed(documents, number).mapInArrow(sign, "doc_id long, row long, number long, node binary, grams long, bands array<long>")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    number = F.col(NUMBER) if NUMBER in documents.columns else F.lit(None).cast("long")
-    return batched(documents).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), number.alias("number"), "text")
+def _keyed(documents: DataFrame, number: str | None = None) -> DataFrame:
+    numbered = F.lit(None).cast("long") if number is None else F.col(number)
+    return batched(documents).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), numbered.alias("number"), "text")
 
 
 def gram_sets(documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -196,12 +195,12 @@ def near_classes(documents: DataFrame, size: int = SIZE, threshold: float = THRE
     return _classes(documents, size, threshold, miss, block).select("doc_id", "class_id", "n_links")
 
 
-def _classes(documents: DataFrame, size: int, threshold: float, miss: float, block: int) -> DataFrame:
+def _classes(documents: DataFrame, size: int, threshold: float, miss: float, block: int, number: str | None = None) -> DataFrame:
     """``near_classes`` with the row key (a hash of id and text), the row number if there is one, and the class's root.
 
     The root is a node, null for rows without copies: unlike the class id, it is never shared by two classes.
     """
-    signed = saved(signatures(documents, size, threshold, miss))
+    signed = saved(signatures(documents, size, threshold, miss, number))
     nodes = saved(
         signed.filter("node is not null").groupBy("node")
         .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min("row").alias("row"), F.first("bands").alias("bands"))
@@ -236,9 +235,10 @@ def without_near_copies(documents: DataFrame, size: int = SIZE, threshold: float
     """One document of each class stays, that with the least id; rows that repeat its id and text stay with it."""
     classes = _classes(documents, size, threshold, miss, block)
     others = F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = saved(classes.filter(others).select(F.col("row").alias("__row")).distinct())
-    keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return keyed.join(gone, "__row", "left_anti").select(*documents.columns)
+    row = unused(documents, "row")
+    gone = saved(classes.filter(others).select(F.col("row").alias(row)).distinct())
+    keyed = documents.withColumn(row, F.xxhash64("doc_id", "text"))
+    return keyed.join(gone, row, "left_anti").select(*documents.columns)
 
 
 def one_row_of_each_class(documents: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -247,9 +247,10 @@ def one_row_of_each_class(documents: DataFrame, size: int = SIZE, threshold: flo
     It is the least by id (null last), hash of id and text, and a row number. The number is written with the rows once,
     so that it means the same row wherever it is read. Rows without n-grams are in no class and stay.
     """
-    numbered = saved(documents.withColumn(NUMBER, F.monotonically_increasing_id()))
-    members = saved(_classes(numbered, size, threshold, miss, block).filter("root is not null").select("root", "doc_id", "row", "number"))
+    name = unused(documents, "number")
+    numbered = saved(documents.withColumn(name, F.monotonically_increasing_id()))
+    members = saved(_classes(numbered, size, threshold, miss, block, name).filter("root is not null").select("root", "doc_id", "row", "number"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "number")
     stay = members.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.number").alias("number"))
-    gone = saved(members.select("number").join(stay, "number", "left_anti").withColumnRenamed("number", NUMBER))
-    return numbered.join(gone, NUMBER, "left_anti").select(*documents.columns)
+    gone = saved(members.select("number").join(stay, "number", "left_anti").withColumnRenamed("number", name))
+    return numbered.join(gone, name, "left_anti").select(*documents.columns)

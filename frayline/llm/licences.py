@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frayline.llm.common import batched
+from frayline.llm.common import batched, sampled
 
 SAMPLE = 5_000
+REPEATS = 100  # how often one line counts among them
 CONFIDENCE = 0.5
 CONFIRM = 0.7
 UNKNOWN = "unknown"
@@ -273,8 +274,10 @@ def sample_lines(documents: DataFrame, sample: int = SAMPLE) -> list[str]:
                 out += sorted(lines, key=lambda x: zlib.crc32(x.encode()))[:2]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
 
-    own = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    return sorted(own.mapInArrow(pick, "line string").toPandas()["line"])
+    # by id and text, so that an id (or null) on many texts is thinned like all others; equal lines come as one row
+    own = documents.filter(sampled(share, "doc_id", "text")).select("text")
+    lines = own.mapInArrow(pick, "line string").groupBy("line").agg(F.count("*").alias("n")).toPandas()
+    return sorted(line for line, n in zip(lines["line"], lines["n"]) for _ in range(min(int(n), REPEATS)))
 
 
 def licence_families(documents: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: int = SAMPLE) -> DataFrame:

@@ -7,7 +7,8 @@ the finished pattern is used for as many bins as the counts allow. Pieces find t
 class; ranks come from counts per (write task, length), so no class is ever gathered in one task.
 
 Rows: null text counts as empty (the closing id alone); repeated rows and null ids are packed like all others; an empty
-table gives no rows; ties between equal lengths are settled by the order of writing.
+table gives no rows; ties between equal lengths are settled by the order of writing. A very long text is encoded whole by
+one task and cut into pieces of ``capacity``. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -184,6 +185,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             keep = [batch.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(starts, ["length", "_task"]).select(
+    # the table has a row per length and write task, so it grows with the corpus: merged, never broadcast
+    ranked = pieces.join(starts.hint("merge"), ["length", "_task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank")).alias("_at"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frayline.llm.common import batched, word_bounds, word_hashes
+from frayline.llm.common import batched, sampled, unused, word_bounds, word_hashes
 
 SAMPLE = 20_000
 CUT = 0.3
@@ -197,10 +197,15 @@ def fold(id_column: str = "doc_id") -> Column:
 def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
     """Learned from at most about ``sample`` labelled rows outside the held-out fold 0; fold 1 of them picks the penalty."""
     own = labels.filter(f"{label} is not null and doc_id is not null").filter(fold() != 0).select("doc_id", F.col(label).alias("_label"))
-    share = min(1.0, sample / max(1, own.count()))
-    own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # an id that stands on many rows counts once per label, so that a share of the ids is a share of what is broadcast
+    own = own.distinct()
+    own = own.filter(sampled(min(1.0, sample / max(1, own.count())), "doc_id"))
     # about ``sample`` rows of two numbers: small enough to broadcast, whatever the corpus
     rows = batched(documents).select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    # a picked id may stand on any number of documents; only then is there more to thin out
+    there = documents.select("doc_id").join(F.broadcast(own), "doc_id").count()
+    if there > 2 * sample:
+        rows = rows.distinct().filter(sampled(2 * sample / there, "doc_id", "text"))
     found = rows.select("doc_id", fold().alias("fold"), "_label", statistics("text").alias("stats")).toPandas()
     found = found.assign(order=found["stats"].map(lambda s: tuple(s))).sort_values(["doc_id", "order", "_label"], kind="stable")
     x = np.stack(found["stats"].to_list()) if len(found) else np.zeros((0, len(STATISTICS)))
@@ -209,7 +214,8 @@ def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", sam
 
 def scored(documents: DataFrame, model: RuleEnsemble, out: str = "score") -> DataFrame:
     """``documents`` with the score of each text."""
-    return batched(documents).withColumn("__stats", statistics("text")).withColumn(out, model.score(F.col("__stats"))).drop("__stats")
+    stats = unused(documents, "stats")
+    return batched(documents).withColumn(stats, statistics("text")).withColumn(out, model.score(F.col(stats))).drop(stats)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -220,5 +226,6 @@ def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = CUT) ->
 
 def without_low_quality(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """``documents`` whose score is at least ``cut``."""
-    rows = scored(documents, trained(documents, labels), "__score")
-    return rows.filter(F.col("__score") >= cut).select(*documents.columns)
+    score = unused(documents, "score")
+    rows = scored(documents, trained(documents, labels), score)
+    return rows.filter(F.col(score) >= cut).select(*documents.columns)

@@ -16,7 +16,7 @@ the shards are dealt to tasks, and only stretches that can match are streamed th
    matching statistics of each: a window is repeated if its state occurs more than once.
 4. A shard with more than ``SHARD_WORDS`` words of distinct fragments is dealt anew as single windows, which pre-aggregate.
 
-Equal texts are handled once, with their number of copies; texts are told apart by a 64-bit hash of text and size. Anchor
+Equal texts are handled once, with their number of copies; texts are told apart by their md5. Anchor
 hashes only choose what meets; what is removed is decided on the words. Rows: null text has no words and stays; texts without white space are one word; repeated rows are copies of
 each other, hence removed like other repeats; an empty table gives no rows; further columns pass through.
 """
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frayline.llm.automaton import SuffixAutomaton, merged
-from frayline.llm.common import batched, saved, window_hashes, word_bounds, word_hashes
+from frayline.llm.common import batched, saved, unused, window_hashes, word_bounds, word_hashes
 
 WINDOW = 35
 GRAM = 12
@@ -60,24 +60,29 @@ def _hashed(text: str | None) -> tuple[list[bytes], np.ndarray]:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    return batched(documents).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", F.octet_length("text")).alias("key"), "text")
+    return batched(documents).select("doc_id", text_key().alias("key"), "text")
+
+
+def text_key() -> Column:
+    """128 bits of the text; null for null."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def scanned(documents: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, row, key, n_words, digest of all words, anchors) per row."""
+    """(doc_id, key, n_words, digest of all words, anchors) per row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, anchors = [], [], []
-            for value in batch.column(3):
+            for value in batch.column(2):
                 words, hashes = _hashed(value.as_py())
                 sizes.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 anchors.append(elected(hashes, window, gram)[0].view(np.int64))
-            arrays = [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(digests), pa.array(anchors, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "key", "n_words", "digest", "anchors"])
+            arrays = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests), pa.array(anchors, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_words", "digest", "anchors"])
 
-    return _keyed(documents).mapInArrow(scan, "doc_id long, row long, key long, n_words long, digest string, anchors array<long>")
+    return _keyed(documents).mapInArrow(scan, "doc_id long, key binary, n_words long, digest string, anchors array<long>")
 
 
 def _fragments(documents: DataFrame, lists: DataFrame, window: int, gram: int) -> DataFrame:
@@ -103,10 +108,10 @@ def _fragments(documents: DataFrame, lists: DataFrame, window: int, gram: int) -
             kind = pa.list_(pa.struct([("owner", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("words", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(found, kind)], ["key", "words", "copies", "found"])
 
-    # a row may stand many times under one id: its text is cut once
-    once = _keyed(documents).groupBy("row", "key").agg(F.first("text").alias("text"))
-    own = once.join(lists, ["row", "key"]).select("key", "text", "copies", "marks")
-    return own.mapInArrow(cut, "key long, words string, copies long, found array<struct<owner:long,block:long,start:long,words:string>>")
+    # a text may stand on many rows: it is cut once
+    once = _keyed(documents).groupBy("key").agg(F.first("text").alias("text"))
+    own = once.join(lists, "key").select("key", "text", "copies", "marks")
+    return own.mapInArrow(cut, "key binary, words string, copies long, found array<struct<owner:long,block:long,start:long,words:string>>")
 
 
 def _windows(value: str, window: int) -> list[str]:
@@ -170,13 +175,14 @@ def _shard_repeats(distinct: DataFrame, window: int) -> DataFrame:
 def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(rows, removed): the scanned rows, and per text key its number of removed words, kept words and their digest."""
     rows = saved(scanned(documents, window, gram))
-    anchors = rows.select("row", "key", F.posexplode("anchors").alias("k", "anchor"))
-    owners = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("key", "k")).alias("own"))
-    owners = saved(owners.filter("n > 1").select("anchor", F.col("own.key").alias("owner"), F.floor(F.col("own.k") / BLOCK).alias("block")))
+    anchors = rows.select("key", F.posexplode("anchors").alias("k", "anchor"))
+    # owners only name shards: two texts of one hash would share theirs, and no window less would be judged
+    owners = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key").alias("text"), "k")).alias("own"))
+    owners = saved(owners.filter("n > 1").select("anchor", F.col("own.text").alias("owner"), F.floor(F.col("own.k") / BLOCK).alias("block")))
     marks = anchors.join(owners, "anchor").groupBy("key").agg(
-        F.count("*").alias("n"), F.min("row").alias("row"), F.collect_set(F.struct("k", "owner", "block")).alias("marks"))
+        F.count("*").alias("n"), F.collect_set(F.struct("k", "owner", "block")).alias("marks"))
     # every copy of a text gives the same marks
-    lists = marks.select("key", "row", "marks", (F.col("n") / F.size("marks")).cast("long").alias("copies"))
+    lists = marks.select("key", "marks", (F.col("n") / F.size("marks")).cast("long").alias("copies"))
     texts = saved(_fragments(documents, lists, window, gram))
 
     fragments = texts.select("key", "copies", F.explode("found").alias("f")).select("key", "copies", "f.*").withColumn("sub", F.lit(0).cast("long"))
@@ -202,7 +208,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digests)], ["key", "gone", "kept", "kept_digest"])
 
     removed = texts.select("key", "words").join(spans, "key").select("key", "words", "spans")
-    return rows, removed.mapInArrow(remove, "key long, gone long, kept string, kept_digest string")
+    return rows, removed.mapInArrow(remove, "key binary, gone long, kept string, kept_digest string")
 
 
 def removal_counts(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -218,10 +224,10 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     a row that loses all its words goes."""
     names = documents.columns
     _, removed = repeats(documents, window)
-    removed = saved(removed.select(F.col("key").alias("__key"), F.col("kept").alias("__kept")))
-    keyed = documents.withColumn("__key", F.xxhash64("text", F.octet_length("text")))
-    joined = keyed.join(removed, "__key", "left").filter("__kept is null or __kept <> ''")
-    return joined.withColumn("text", F.coalesce("__kept", "text")).select(*names)
+    key, kept = unused(documents, "key"), unused(documents, "kept")
+    removed = saved(removed.select(F.col("key").alias(key), F.col("kept").alias(kept)))
+    joined = documents.withColumn(key, text_key()).join(removed, key, "left").filter(F.col(kept).isNull() | (F.col(kept) != ""))
+    return joined.withColumn("text", F.coalesce(kept, "text")).select(*names)
 
 
 def without_reference_spans(documents: DataFrame, references: DataFrame, window: int = WINDOW, shard_bytes: int = REFERENCE_BYTES) -> DataFrame:

@@ -107,6 +107,30 @@ def test_pruning_leaves_pairs_out():
     assert np.array_equal(found.scores[np.argsort(found.qid)], want)
 
 
+def test_cells_that_cannot_score_are_left_out(spark):
+    rng = np.random.default_rng(5)
+    centers = 200 * rng.normal(size=(24, 6))
+    x = np.round(np.repeat(centers, 50, axis=0) + rng.normal(size=(1200, 6)))
+    net = tree_search.Net(x[rng.permutation(1200)[:300]], 24)
+    cell, away = net.cells(x)
+    assert np.all(np.sqrt(((x - net.centers[cell]) ** 2).sum(axis=1)) <= away)
+    bounds = tree_search.Bounds(net, {int(c): float(away[cell == c].max()) for c in set(cell.tolist())})
+    scores = x[::20] @ x.T
+    most = bounds.most(x[::20])
+    for k, c in enumerate(bounds.cells.tolist()):
+        assert np.all(scores[:, cell == c].max(axis=1) <= most[:, k])
+    floors = np.sort(scores, axis=1)[:, -6]
+    assert (most >= floors[:, None]).mean() < 0.3
+    rows = [(i, (v / 256).tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = tree_search.top_k(table.filter("vec_id % 20 = 0"), table, shard=50, block=16, sample=300)
+    want = []
+    for q in range(0, 1200, 20):
+        order = sorted((-int(s), i) for i, s in enumerate(x[q] @ x.T) if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(order, 1)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def labelled(spark, n=300):
     rng = random.Random(5)
     rows, labels = [], []
@@ -143,6 +167,15 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert quality_rules.trained(docs, labels) == quality_rules.trained(docs, other)
 
 
+def test_an_id_on_very_many_rows_does_not_fill_the_sample(spark):
+    docs, labels = labelled(spark)
+    many = spark.range(4000).selectExpr("2L as doc_id", "concat('the river was near ', id) as text", "0.1d as score", "'x' as stats")
+    labels = labels.unionByName(spark.range(500).selectExpr("2L as doc_id", "1 as quality", "0 as toxic"))
+    model = quality_rules.trained(docs.unionByName(many), labels, sample=400)
+    got = quality_rules.scored(docs, model).filter("doc_id > 2 and doc_id < 300").collect()
+    assert np.mean([(r.score >= 0.3) == (r.doc_id % 3 != 0) for r in got]) > 0.95
+
+
 def test_odd_texts_are_scored(spark):
     docs, labels = labelled(spark)
     got = quality_rules.quality_scores(texts.documents(spark), labels.filter("doc_id < 60"))

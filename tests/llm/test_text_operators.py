@@ -66,13 +66,14 @@ def test_contamination(spark, shard_bytes):
     bits = ["alpha beta gamma delta eps", "gamma delta eps zeta", "one", "ONE!", "w1 w2", "beta", "no id here either", "x-y", "é"]
     docs = texts.documents(spark, [" ".join(rng.choices(bits, k=rng.randrange(6))) for _ in range(40)])
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = decontamination.matched(docs.select("doc_id", "text"), items, 4, shard_bytes=shard_bytes)
+    found, (spans, hit_items, _) = decontamination.matched(docs.select("doc_id", "text"), items, 4, shard_bytes=shard_bytes)
     assert found.count() == docs.count()
     if shard_bytes > 20:
         got = decontamination.contamination(docs, items, 4).collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == brute_contamination([(r.doc_id, r.text) for r in docs.collect()], ITEMS, 4)
     else:
-        whole = decontamination.matched(docs.select("doc_id", "text"), items, 4)
+        assert (spans, hit_items) == ("__spans", "__items")
+        whole, _ = decontamination.matched(docs.select("doc_id", "text"), items, 4)
         assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
 
 
