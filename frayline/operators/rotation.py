@@ -208,27 +208,27 @@ def kit_casts(events: DataFrame, bundles: DataFrame, slot: int = 2, chunk_ms: in
     else every activation; the first kit in order wins; the cast precedes the swap by 1 ms.
     """
     keys = [FIGHT, "source_agent_id"]
-    # a swap closes the stretch of the one before and opens its own a little later
-    marks = F.array(
-        F.struct(F.col("time_ms").alias("at_ms"), F.lit(-1).alias("slot")),
-        F.struct((F.col("time_ms") + REPEAT_SLACK_MS).alias("at_ms"), F.col("swapped_to").cast("int").alias("slot")),
-    )
-    swaps = events.filter(_is("WEAPON_SWAP")).select(*keys, "time_ms", "seq", F.inline(marks)).select(
-        *keys, F.col("at_ms").alias("time_ms"), "seq", F.struct("time_ms", "seq", "slot").alias("swap"), F.lit(0).alias("_p")
-    )
+    all_swaps = events.filter(_is("WEAPON_SWAP"))
+    swaps = all_swaps.select(*keys, "time_ms").distinct().select(*keys, "time_ms", F.col("time_ms").alias("swap_ms"), F.lit(0).alias("_p"))
     acts = _activations(events).select(*keys, "time_ms", "seq", "skill_id", "starts", F.lit(1).alias("_p"))
-    line = running(acts.unionByName(swaps, allowMissingColumns=True), keys, [Running("at", "last", F.col("swap"))], ("time_ms", "_p", "seq"), chunk_ms)
-    acts = line.filter((F.col("_p") == 1) & (F.col("at.slot") == slot))
-    acts = acts.join(bundles, "skill_id", "left")
+    line = running(acts.unionByName(swaps, allowMissingColumns=True), keys, [Running("at", "last", F.col("swap_ms"))], ("time_ms", "_p", "seq"), chunk_ms)
+    acts = line.filter((F.col("_p") == 1) & F.col("at").isNotNull()).join(bundles, "skill_id", "left")
     kit = F.struct("kit_order", "kit_skill_id")
-    per_swap = acts.groupBy(*keys, F.col("at.time_ms").alias("swap_ms"), F.col("at.seq").alias("seq")).agg(
+    chosen = [
         F.max("starts").alias("any_start"),
         F.min(F.when(F.col("kit_skill_id").isNotNull() & F.col("starts"), kit)).alias("by_start"),
         F.min(F.when(F.col("kit_skill_id").isNotNull(), kit)).alias("by_any"),
-    )
-    chosen = F.when(F.col("any_start"), F.col("by_start")).otherwise(F.col("by_any"))
-    return per_swap.withColumn("kit", chosen).filter("kit is not null").select(
-        *keys, F.col("kit.kit_skill_id").alias("skill_id"), "seq", (F.col("swap_ms") - 1).alias("time_ms"), F.lit(0).cast("bigint").alias("duration_ms")
+    ]
+    # a stretch opens a little after its swap, and swaps until then do not close it: an activation lies in the stretches of
+    # the last swap before it and of those shortly before that one, so its distance from the last one, up to the slack, decides
+    after = F.least(F.col("time_ms") - F.col("at"), F.lit(REPEAT_SLACK_MS))
+    near = acts.groupBy(*keys, "at", after.alias("after")).agg(*chosen)
+    back = F.explode(F.sequence(F.lit(REPEAT_SLACK_MS) - F.col("after"), F.lit(REPEAT_SLACK_MS).cast("bigint")))
+    near = near.select("*", back.alias("back")).withColumn("time_ms", F.col("at") - F.col("back"))
+    per_swap = near.groupBy(*keys, "time_ms").agg(F.max("any_start").alias("any_start"), F.min("by_start").alias("by_start"), F.min("by_any").alias("by_any"))
+    kit_swaps = all_swaps.filter(F.col("swapped_to").cast("int") == slot).select(*keys, "time_ms", "seq").join(per_swap, [*keys, "time_ms"])
+    return kit_swaps.withColumn("kit", F.when(F.col("any_start"), F.col("by_start")).otherwise(F.col("by_any"))).filter("kit is not null").select(
+        *keys, F.col("kit.kit_skill_id").alias("skill_id"), "seq", (F.col("time_ms") - 1).alias("time_ms"), F.lit(0).cast("bigint").alias("duration_ms")
     )
 
 
