@@ -55,10 +55,11 @@ def collisions(uploads: DataFrame, fights: DataFrame) -> DataFrame:
 def parse_outcomes(attempts: DataFrame, parser_version: str) -> DataFrame:
     """Final state of each parse: ``attempts``: upload_id, error_class, error_text, fight_no, fight_id, has_header, collides.
 
-    One row per fight a parse yielded (fight_no null when none); only the first counts.
+    One row per fight a parse yielded (fight_no null when none); only the first counts. ``fight_no`` is anything that orders
+    the fights of an upload, a number or a struct.
     """
     first = attempts.groupBy("upload_id").agg(
-        F.min_by(F.struct("error_class", "error_text", "fight_id", "has_header", "collides"), F.coalesce("fight_no", F.lit(0))).alias("f"),
+        F.min_by(F.struct("error_class", "error_text", "fight_id", "has_header", "collides"), F.struct("fight_no")).alias("f"),
         F.greatest(F.count("fight_no") - 1, F.lit(0)).alias("ignored_fights"),
     ).select("upload_id", "f.*", "ignored_fights")
     error = (

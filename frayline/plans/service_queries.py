@@ -112,7 +112,7 @@ def content_collisions(c: Corpus) -> DataFrame:
     SELECT upload_id, fight_id, ignored_fights, CASE WHEN error_message IS NULL THEN 'completed' ELSE 'failed' END AS status, error_message, CASE WHEN error_message IS NULL THEN 'v1' END AS parser_version FROM x""")
 def parse_outcomes(c: Corpus) -> DataFrame:
     """Line items of an order are the fights its parse yielded."""
-    line = "l_linenumber * 10000000000L + l_partkey * 100000L + l_suppkey"
+    line = "struct(l_linenumber, l_partkey, l_suppkey)"
     attempts = c.table("lineitem").selectExpr(
         "l_orderkey AS upload_id", "if(l_partkey % 11 = 0, 'ParseError', NULL) AS error_class", "if(l_partkey % 11 = 0, 'truncated', NULL) AS error_text",
         f"{line} AS fight_no", "concat('f', l_partkey) AS fight_id", "l_partkey % 7 <> 0 AS has_header", "l_partkey % 5 = 0 AS collides",
