@@ -326,6 +326,9 @@ SELECTORS = ["stem", "account", "bucket", "skill_id", "key"]
 SELECTOR_SETS = [list(c) for n in range(len(SELECTORS) + 1) for c in combinations(SELECTORS, n)]
 
 
+RULE_SHARES = 256
+
+
 def classify_known(results: DataFrame, rules: DataFrame, selector_sets: list[list[str]] = SELECTOR_SETS) -> DataFrame:
     """FAIL rows explained by the first rule whose selectors all equal and whose bound holds become KNOWN_DELTA.
 
@@ -345,7 +348,10 @@ def classify_known(results: DataFrame, rules: DataFrame, selector_sets: list[lis
     keyed = rules.select("ord", "rule_id", "reason", "max_abs_delta", rule_address.alias("_at"))
     fails = results.filter("status = 'FAIL'").withColumn("_at", F.explode(F.array(*[address(u, "") for u in selector_sets])))
     bound = F.col("max_abs_delta").isNull() | (F.abs("delta") <= F.abs("max_abs_delta"))
-    best = fails.join(keyed, "_at").filter(bound).groupBy("stem", "key").agg(F.min(F.struct("ord", "rule_id", "reason")).alias("r"))
+    # few addresses hold all fails: each is spread over shares of the keys, rules stand in every share
+    fails = fails.withColumn("_share", F.pmod(F.xxhash64("stem", "key"), F.lit(RULE_SHARES)))
+    keyed = keyed.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(RULE_SHARES - 1).cast("bigint"))))
+    best = fails.join(keyed, ["_at", "_share"]).filter(bound).groupBy("stem", "key").agg(F.min(F.struct("ord", "rule_id", "reason")).alias("r"))
     rows = results.join(best, ["stem", "key"], "left")
     known = (F.col("status") == "FAIL") & F.col("r").isNotNull()
     return rows.withColumns(
