@@ -383,18 +383,31 @@ def delta_profile(results: DataFrame, top: int = 4) -> DataFrame:
 
 
 # -- corpus diagnostics ---------------------------------------------------------------
+def _spots(events: DataFrame, keys: list[str], radius_ms: int) -> DataFrame:
+    """Least and greatest time per event key and bucket of ``radius_ms``, with how many events there are."""
+    return events.groupBy(*keys, "event_key", F.floor(F.col("time_ms") / radius_ms).alias("_b")).agg(
+        F.min("time_ms").alias("lo"), F.max("time_ms").alias("hi"), F.count(F.lit(1)).alias("fires")
+    )
+
+
+def _near(casts: DataFrame, spots: DataFrame, keys: list[str], radius_ms: int) -> DataFrame:
+    marks = casts.groupBy(*keys, "cast_ms").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.floor(F.col("cast_ms") / radius_ms))
+    # a time of the cast's own bucket is always near; of the bucket before only the greatest can decide, of the one after the least
+    seen = lambda side, at: F.struct((F.col("_b") + side).alias("_b"), *[F.when(F.lit(side == i), F.col(at)).alias(n) for i, n in ((0, "own"), (1, "before"), (-1, "after"))])
+    around = spots.select(*keys, "event_key", F.inline(F.array(seen(0, "lo"), seen(1, "hi"), seen(-1, "lo"))))
+    around = around.groupBy(*keys, "event_key", "_b").agg(*[F.max(c).alias(c) for c in ("own", "before", "after")])
+    reached = [F.col("own").isNotNull(), F.col("cast_ms") - F.col("before") <= radius_ms, F.col("after") - F.col("cast_ms") <= radius_ms]
+    return marks.join(around, [*keys, "_b"]).filter(reached[0] | reached[1] | reached[2]).select(*keys, "cast_ms", "event_key", "n")
+
+
 def coincidences(casts: DataFrame, events: DataFrame, keys: list[str], radius_ms: int = 30) -> DataFrame:
     """Distinct (cast, event key) pairs within ``radius_ms``.
 
-    ``casts``: keys + cast_ms; ``events``: keys + time_ms + event_key. Both sides are
-    first reduced to distinct times, so a bucket holds at most radius times per
-    event key and the bucketed join cannot multiply a hot moment.
+    ``casts``: keys + cast_ms; ``events``: keys + time_ms + event_key. Events become one row per event key and bucket of
+    ``radius_ms``, which also holds the nearest times of the two buckets beside it. A cast time meets each event key
+    once, however many events are near, so nothing is paired that does not share a bucket or touch it.
     """
-    marks = casts.groupBy(*keys, "cast_ms").agg(F.count(F.lit(1)).alias("n"))
-    marks = marks.withColumn("_b", F.explode(F.array(*[F.floor(F.col("cast_ms") / radius_ms) + i for i in (-1, 0, 1)])))
-    times = events.select(*keys, "event_key", "time_ms").distinct().withColumn("_b", F.floor(F.col("time_ms") / radius_ms))
-    near = marks.join(times, [*keys, "_b"]).filter(F.abs(F.col("time_ms") - F.col("cast_ms")) <= radius_ms)
-    return near.groupBy(*keys, "cast_ms", "event_key").agg(F.max("n").alias("n"))
+    return _near(casts, _spots(events, keys, radius_ms), keys, radius_ms)
 
 
 def trigger_candidates(casts: DataFrame, events: DataFrame, keys: list[str], radius_ms: int = 30, min_cover: float = 0.9) -> DataFrame:
