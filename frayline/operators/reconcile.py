@@ -412,8 +412,9 @@ def coincidences(casts: DataFrame, events: DataFrame, keys: list[str], radius_ms
 
 def trigger_candidates(casts: DataFrame, events: DataFrame, keys: list[str], radius_ms: int = 30, min_cover: float = 0.9) -> DataFrame:
     """Event keys found near at least ``min_cover`` of the casts, with how often they fire at all."""
-    covers = coincidences(casts, events, keys, radius_ms).groupBy("event_key").agg(F.sum("n").alias("covers"))
-    fires = events.groupBy("event_key").agg(F.count(F.lit(1)).alias("fires"))
+    spots = _spots(events, keys, radius_ms)
+    covers = _near(casts, spots, keys, radius_ms).groupBy("event_key").agg(F.sum("n").alias("covers"))
+    fires = spots.groupBy("event_key").agg(F.sum("fires").alias("fires"))
     total = casts.agg(F.count(F.lit(1)).alias("casts"))  # one row
     rows = covers.join(fires, "event_key").join(total)
     return rows.filter(F.col("covers") >= F.col("casts") * min_cover).withColumn("one_to_one", F.col("fires") == F.col("casts"))

@@ -40,3 +40,13 @@ def test_casts_meet_event_keys_not_events(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert max(_join_rows(found)) <= len(counts) * 4  # four event keys near any cast at most; 11,641 rows before
+
+    covers, fires = {}, {}
+    for _, _, k, n in want:
+        covers[k] = covers.get(k, 0) + n
+    for _, _, k in events:
+        fires[k] = fires.get(k, 0) + 1
+    chosen = reconcile.trigger_candidates(c, e, ["fight_id"], 30, 0.5).collect()
+    assert {(r.event_key, r.covers, r.fires, r.casts) for r in chosen} == {(k, n, fires[k], len(casts)) for k, n in covers.items() if k and n >= len(casts) * 0.5}
+
+
