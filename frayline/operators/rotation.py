@@ -87,7 +87,8 @@ def swap_casts(events: DataFrame) -> DataFrame:
 
 def apply_cooldown(triggers: DataFrame, chunk_ms: int = CHUNK_MS, order: tuple[str, ...] = ("time_ms", "seq")) -> DataFrame:
     """Keeps an instant cast when the previous trigger of its (agent, cast), kept or not, is a cooldown away."""
-    rows = running(triggers, CAST, [Running("_prev", "prev", F.col("time_ms"))], order, chunk_ms)
+    # the time before is the greatest before: a number, where a last value carries its place along
+    rows = running(triggers, CAST, [Running("_prev", "max_before", F.col("time_ms"))], order, chunk_ms)
     wait = F.coalesce("cooldown_ms", F.lit(DEFAULT_COOLDOWN_MS))
     return rows.filter(F.col("_prev").isNull() | (F.col("time_ms") - F.col("_prev") >= wait)).drop("_prev")
 
@@ -182,23 +183,29 @@ def rule_triggers(
 ) -> DataFrame:
     """Rule matches before the cooldown, moved to the swaps beside them.
 
-    The rule table is joined by key; AQE broadcasts it when its size allows.
+    The rule table is joined by key; AQE broadcasts it when its size allows. Only matches of rules with a guard meet the
+    guards, and only those of rules that name a swap meet the swaps.
     """
-    rows = triggers(events).join(rules, ["trigger_kind", "trigger_id"])
     who = agents.select(FIGHT, F.col("agent_id").alias("source_agent_id"), "profession", "elite")
-    rows = rows.join(who, [FIGHT, "source_agent_id"], "left")
     gate = (
         (F.col("gate_profession").isNull() | F.col("gate_profession").eqNullSafe(F.col("profession")))
         & (F.col("gate_elite").isNull() | F.col("gate_elite").eqNullSafe(F.col("elite")))
         & (~F.coalesce("self_only", F.lit(False)) | (F.col("source_agent_id") == F.col("other_agent_id")))
     )
-    rows = rows.filter(gate)
-    if guards is not None:
-        rows = rows.withColumn("guard_skill_id", F.coalesce("guard_skill_id", F.lit(NO_SKILL)))
-        rows = covered_by_any(rows, guards, [FIGHT, "source_agent_id", "guard_skill_id"], "_guarded", chunk_ms)
-        rows = rows.filter("not _guarded").drop("_guarded")
-    rows = rows.withColumn("skill_id", F.col("cast_skill_id")).select(*TRIGGER, "before_swap", "after_swap")
-    return align_to_swaps(stage(rows, "rule-matches"), events.filter(_is("WEAPON_SWAP")), swap_radius_ms, chunk_ms).select(*TRIGGER)
+
+    def matches(some: DataFrame) -> DataFrame:
+        rows = triggers(events).join(some, ["trigger_kind", "trigger_id"])
+        return rows.join(who, [FIGHT, "source_agent_id"], "left").filter(gate)
+
+    if guards is None:
+        rows = matches(rules)
+    else:
+        guarded = covered_by_any(matches(rules.filter("guard_skill_id is not null")), guards, [FIGHT, "source_agent_id", "guard_skill_id"], "_guarded", chunk_ms)
+        rows = matches(rules.filter("guard_skill_id is null")).unionByName(guarded.filter("not _guarded").drop("_guarded"))
+    rows = stage(rows.withColumn("skill_id", F.col("cast_skill_id")).select(*TRIGGER, "before_swap", "after_swap"), "rule-matches")
+    moves = F.coalesce("before_swap", F.lit(False)) | F.coalesce("after_swap", F.lit(False))
+    moved = align_to_swaps(rows.filter(moves), events.filter(_is("WEAPON_SWAP")), swap_radius_ms, chunk_ms)
+    return moved.select(*TRIGGER).unionByName(rows.filter(~moves).select(*TRIGGER))
 
 
 def kit_casts(events: DataFrame, bundles: DataFrame, slot: int = 2, chunk_ms: int = CHUNK_MS) -> DataFrame:

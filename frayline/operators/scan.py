@@ -38,14 +38,22 @@ class Running:
 _UNBOUNDED = Window.unboundedPreceding
 
 
-def _local(step: Running, w) -> Column:
+def _windows(by: Sequence[str], ordering: Sequence[Column]) -> tuple:
+    """The window of a key in order, and in the order turned round: a frame that ends with the partition starts anew at
+    every row, which is quadratic, so what follows a row is read as what came before it in the other direction.
+    """
+    return Window.partitionBy(*by).orderBy(*[c.asc() for c in ordering]), Window.partitionBy(*by).orderBy(*[c.desc() for c in ordering])
+
+
+def _local(step: Running, windows: tuple) -> Column:
+    w, back = windows
     through = w.rowsBetween(_UNBOUNDED, Window.currentRow)
     earlier = w.rowsBetween(_UNBOUNDED, -1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    later = back.rowsBetween(_UNBOUNDED, -1)
     return {
         "last": lambda v: F.last(v, True).over(through),
         "prev": lambda v: F.last(v, True).over(earlier),
-        "next": lambda v: F.first(v, True).over(later),
+        "next": lambda v: F.last(v, True).over(later),
         "sum": lambda v: F.coalesce(F.sum(v).over(through), F.lit(0)),
         "before": lambda v: F.coalesce(F.sum(v).over(earlier), F.lit(0)),
         "max": lambda v: F.max(v).over(through),
@@ -69,14 +77,15 @@ def _summary(step: Running, order: Column) -> Column:
     }[step.kind]()
 
 
-def _carry(step: Running, column: str, w) -> Column:
+def _carry(step: Running, column: str, windows: tuple) -> Column:
+    w, back = windows
     earlier = w.rowsBetween(_UNBOUNDED, -1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
+    later = back.rowsBetween(_UNBOUNDED, -1)
     v = F.col(column)
     return {
         "last": lambda: F.last(v, True).over(earlier),
         "prev": lambda: F.last(v, True).over(earlier),
-        "next": lambda: F.first(v, True).over(later),
+        "next": lambda: F.last(v, True).over(later),
         "sum": lambda: F.sum(v).over(earlier),
         "before": lambda: F.sum(v).over(earlier),
         "max": lambda: F.max(v).over(earlier),
@@ -108,9 +117,13 @@ def _co_located(chunked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _whole_row(chunked: DataFrame, place: Column) -> Column:
-    """The chunk's last row. It makes both sides need the same columns, so Spark plans one
-    exchange and reuses it; pruning would otherwise shuffle the input twice."""
-    return F.max_by(F.struct(*[F.col(c) for c in chunked.columns]), place).alias("_whole")
+    """A value of all columns. It makes both sides need the same columns, so Spark plans one exchange and reuses it; pruning
+    would otherwise shuffle the input twice. As a number it is aggregated in place; maps have no hash, the last row stands in.
+    """
+    columns = [F.col(c) for c in chunked.columns]
+    if any("map<" in kind for _, kind in chunked.dtypes):
+        return F.max_by(F.struct(*columns), place).alias("_whole")
+    return F.max(F.xxhash64(*columns)).alias("_whole")
 
 
 def running(
@@ -127,16 +140,16 @@ def running(
     keys = list(keys)
     ordering = [F.col(c) for c in order]
     if chunk_ms is None:
-        w = Window.partitionBy(*keys).orderBy(*ordering)
+        w = _windows(keys, ordering)
         return df.withColumns({s.name: _local(s, w) for s in steps})
     chunked = _co_located(df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk_ms)), keys)
-    w = Window.partitionBy("_place").orderBy(*ordering)
+    w = _windows(["_place"], ordering)
     local = chunked.withColumns({f"_l_{s.name}": _local(s, w) for s in steps})
     place = F.struct(*ordering)
     chunks = chunked.groupBy("_place").agg(
         *[_summary(s, place).alias(f"_s_{s.name}") for s in steps], _whole_row(chunked, place)
     ).select("*", "_place.*")
-    over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    over_chunks = _windows(keys, [F.col("_chunk")])
     carries = chunks.filter("_whole is not null").select(
         "_place", *[_carry(s, f"_s_{s.name}", over_chunks).alias(f"_c_{s.name}") for s in steps]
     )

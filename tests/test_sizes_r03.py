@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from frayline.operators import reconcile
+from frayline.operators import reconcile, scan
 
 
 def _join_rows(df):
@@ -50,3 +50,16 @@ def test_casts_meet_event_keys_not_events(spark):
     assert {(r.event_key, r.covers, r.fires, r.casts) for r in chosen} == {(k, n, fires[k], len(casts)) for k, n in covers.items() if k and n >= len(casts) * 0.5}
 
 
+def test_next_values_and_swaps_of_a_crowded_chunk(spark):
+    rng = random.Random(13)
+    rows = spark.createDataFrame([(None if i % 9 == 0 else "k", rng.randrange(90), i, rng.choice([None, i])) for i in range(400)], "k STRING, time_ms BIGINT, seq BIGINT, v BIGINT")
+    for chunk in (None, 30):
+        df = scan.running(rows, ["k"], [scan.Running("after", "next", F.col("v"))], chunk_ms=chunk)
+        # a frame that ends with the partition is summed up anew for every row of a chunk
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+        got = sorted(df.collect(), key=lambda r: (r.time_ms, r.seq))
+        assert len(got) == 400
+        for i, r in enumerate(got):
+            assert r.after == next((x.v for x in got[i + 1 :] if x.k == r.k and x.v is not None), None)
+
+
