@@ -1,12 +1,14 @@
 """Summaries of fights that arrive in pieces: per batch a mergeable partial state, per read one merge.
 
-Sums add up, spans are least and greatest times, distinct targets are keyed rows, and presence is a bitmap per (fight,
-agent, bitmap bucket). Merging is associative, and every batch is kept once, so pieces may come in any number of batches,
+Sums add up, spans are least and greatest times, distinct targets are keyed rows, and presence is a bit set per (fight,
+agent, word of 64 buckets). Merging is associative, and every batch is kept once, so pieces may come in any number of batches,
 in any order, and batches may be replayed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +18,25 @@ from frayline.operators.rollups import FIGHT, count_where, sum_where
 from frayline.streaming.store import BatchStore
 
 PRESENCE_MS = 5000
+WORD_BITS = 64
 SUMS = ["total_damage", "condi_damage", "total_healing", "total_buff_removal", "boon_removals", "condition_cleanses", "cc_applied", "cleanses", "strips", "cc", "downtime_ms"]
 SPANS = ["least_ms", "most_ms", "first_seq", "first_ms", "last_seq", "last_ms"]
 KEYS = f"{FIGHT} STRING, agent_id BIGINT"
 
 
+# the partial tables and what each reads of an event
+TABLES = {
+    "sums": [FIGHT, "event_type", "source_agent_id", "target_agent_id", "skill_id", "kind", "buff_id", "damage", "healing", "buff_removal", "stacks", "downtime_ms"],
+    "targets": [FIGHT, "event_type", "source_agent_id", "target_agent_id"],
+    "spans": [FIGHT, "seq", "time_ms", "damage", "healing"],
+    "presence": [FIGHT, "time_ms", "source_agent_id", "target_agent_id"],
+}
+
+
 class LiveSummaries:
-    """The partial states below a folder."""
+    """The partial states below a folder: all four, or those named in ``kept`` when no reading needs the others."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, kept: Sequence[str] = tuple(TABLES)) -> None:
         def summed(rows: DataFrame) -> DataFrame:
             return rows.groupBy(FIGHT, "agent_id").agg(*[F.sum(c).alias(c) for c in [*SUMS, "acted", "counted"]])
 
@@ -33,22 +45,27 @@ class LiveSummaries:
             return rows.groupBy(FIGHT).agg(F.min("least_ms").alias("least_ms"), F.max("most_ms").alias("most_ms"), *ends)
 
         def presence(rows: DataFrame) -> DataFrame:
-            return rows.groupBy(FIGHT, "agent_id", "part_no").agg(F.bitmap_or_agg("bits").alias("bits"))
+            return rows.groupBy(FIGHT, "agent_id", "part_no").agg(F.bit_or("bits").alias("bits"))
 
         sums = ", ".join(f"{c} BIGINT" for c in [*SUMS, "acted", "counted"])
         self.sums = BatchStore(spark, f"{path}/sums", f"{KEYS}, {sums}", summed)
         self.targets = BatchStore(spark, f"{path}/targets", f"{KEYS}, target_id BIGINT", DataFrame.distinct)
         self.spans = BatchStore(spark, f"{path}/spans", f"{FIGHT} STRING, {', '.join(f'{c} BIGINT' for c in SPANS)}", spans)
-        self.presence = BatchStore(spark, f"{path}/presence", f"{KEYS}, part_no BIGINT, bits BINARY", presence)
-        self.tables = [self.sums, self.targets, self.spans, self.presence]
+        self.presence = BatchStore(spark, f"{path}/presence", f"{KEYS}, part_no BIGINT, bits BIGINT", presence)
+        self.tables = {name: getattr(self, name) for name in kept}
 
     def put(self, events: DataFrame, skills: DataFrame, batch_id: int) -> None:
-        """The partial state of one batch of events."""
-        for table, rows in zip(self.tables, (partial_sums(events, skills), partial_targets(events), partial_spans(events), partial_presence(events))):
-            table.put(rows, batch_id)
+        """The partial state of one batch of events; every kept table reads the batch once."""
+        partial = {"sums": lambda: partial_sums(events, skills), "targets": lambda: partial_targets(events), "spans": lambda: partial_spans(events), "presence": lambda: partial_presence(events)}
+        for name, table in self.tables.items():
+            table.put(partial[name](), batch_id)
+
+    def columns(self) -> list[str]:
+        """What the kept tables read: a stream hands its batches on as rows, so columns are left out before it or not at all."""
+        return sorted({c for name in self.tables for c in TABLES[name]})
 
     def compact(self, upto: int) -> None:
-        for table in self.tables:
+        for table in self.tables.values():
             table.compact(upto)
 
     def durations(self) -> DataFrame:
@@ -69,7 +86,7 @@ class LiveSummaries:
 
     def presence_pct(self, players: DataFrame) -> DataFrame:
         """Share of 5-second buckets in which a player acts or is acted on, capped at 100."""
-        seen = self.presence.rows().groupBy(FIGHT, "agent_id").agg(F.sum(F.bitmap_count("bits")).alias("active_buckets"))
+        seen = self.presence.rows().groupBy(FIGHT, "agent_id").agg(F.coalesce(F.sum(F.bit_count("bits").cast("bigint")), F.lit(0)).alias("active_buckets"))
         rows = seen.join(players.select(FIGHT, "agent_id"), [FIGHT, "agent_id"], "left_semi").join(self.durations(), FIGHT)
         buckets = F.greatest(F.ceil(F.floor(F.col("duration_s") * 1000) / PRESENCE_MS), F.lit(1))
         return rows.select(FIGHT, "agent_id", "active_buckets", F.least(F.col("active_buckets") / buckets * 100.0, F.lit(100.0)).alias("presence_pct"))
@@ -127,6 +144,10 @@ def partial_spans(events: DataFrame) -> DataFrame:
 
 
 def partial_presence(events: DataFrame) -> DataFrame:
-    """A bitmap of the 5-second buckets an agent is seen in, per stretch of as many buckets as a bitmap holds."""
+    """The 5-second buckets an agent is seen in, as bits of one word per stretch of 64 buckets.
+
+    A word is a number, so rows are reduced before they are shuffled, and an agent seen for a moment leaves one word only.
+    """
     seen = events.select(FIGHT, F.explode(F.array(*[F.col(c).cast("bigint") for c in ("source_agent_id", "target_agent_id")])).alias("agent_id"), F.floor(F.col("time_ms") / PRESENCE_MS).alias("bucket"))
-    return seen.groupBy(FIGHT, "agent_id", F.bitmap_bucket_number("bucket").alias("part_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bucket", F.lit(WORD_BITS)).cast("int"))
+    return seen.groupBy(FIGHT, "agent_id", F.floor(F.col("bucket") / WORD_BITS).alias("part_no")).agg(F.bit_or(bit).alias("bits"))

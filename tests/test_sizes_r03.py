@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from frayline.operators import reconcile, scan
+from frayline.streaming import partials
+from tests.rows import event_frame, hit
 
 
 def _join_rows(df):
@@ -63,3 +65,22 @@ def test_next_values_and_swaps_of_a_crowded_chunk(spark):
             assert r.after == next((x.v for x in got[i + 1 :] if x.k == r.k and x.v is not None), None)
 
 
+def test_presence_is_kept_in_words_and_unread_tables_are_not_kept(spark, tmp_path):
+    times = [0, 1, 63 * 5000, 64 * 5000, 64 * 5000 + 4999, 200 * 5000]
+    events = event_frame(spark, [hit(t, 1, 2, 5) for t in times])
+    skills = spark.createDataFrame([(1, "Burning")], "skill_id BIGINT, skill_name STRING")
+    players = spark.createDataFrame([("f1", 1, "n", "acc", 1, 2)], "fight_id STRING, agent_id BIGINT, name STRING, account_name STRING, profession INT, elite INT")
+    words = {(r.agent_id, r.part_no): r.bits for r in partials.partial_presence(events).collect()}
+    # numbers, three words an agent; a bitmap of 4 KiB for each agent before
+    assert words == {(a, part): bits for a in (1, 2) for part, bits in ((0, 1 - 2**63), (1, 1), (3, 2**8))}
+    seen = partials.LiveSummaries(spark, str(tmp_path / "seen"), ("presence", "spans"))
+    sums = partials.LiveSummaries(spark, str(tmp_path / "sums"), ("sums",))
+    for states in (seen, sums):
+        states.put(events.limit(4).select(*states.columns()), skills, 0)
+        states.put(events.subtract(events.limit(4)).select(*states.columns()), skills, 1)
+    assert [r.active_buckets for r in seen.presence_pct(players).collect()] == [4]
+    assert [(r.total_damage, r.condi_damage) for r in sums.account_buckets(players).collect()] == [(30, 30)]
+    assert [p.name for p in (tmp_path / "sums").iterdir()] == ["sums"]
+    assert "time_ms" not in sums.columns() and "damage" not in partials.TABLES["presence"]
+
+
