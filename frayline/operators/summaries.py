@@ -38,11 +38,15 @@ def contributions(events: DataFrame, players: DataFrame) -> DataFrame:
     )
 
 
-def account_buckets(events: DataFrame, players: DataFrame, skills: DataFrame) -> DataFrame:
-    """Raw sums per (fight, account): what the summary row is built from.
+SUMS = ["total_damage", "condi_damage", "total_healing", "total_buff_removal", "boon_removals", "condition_cleanses", "cc_applied"]
+UPTIMES = [f"{n}_uptime" for n in L.TRACKED_BOONS]
+OUTGOING = [f"outgoing_{n}" for n in L.TRACKED_BOONS]
 
-    An account appears when one of its agents acts, or gives or receives a buff.
-    Reduced per (agent, skill) before the skill and identity joins.
+
+def agent_buckets(events: DataFrame, skills: DataFrame) -> DataFrame:
+    """Raw sums and outgoing boons of every (fight, agent) that acts, or gives or receives a buff.
+
+    Reduced per (agent, skill) before the skill join.
     """
     buffs = F.col("event_type").isin("BOON_APPLY", "BUFF_APPLY")
     sides = F.when(
@@ -58,6 +62,7 @@ def account_buckets(events: DataFrame, players: DataFrame, skills: DataFrame) ->
     acts = F.col("acts")
     removal = acts & _is("BOON_APPLY") & (F.col("kind") != "apply")
     tracked = F.col("skill_id").isin(list(L.TRACKED_BOONS.values()))
+    given = acts & _is("BOON_APPLY") & (F.col("kind") == "apply") & (F.col("source_agent_id") != F.col("target_agent_id")) & tracked
     per_skill = rows.groupBy(FIGHT, "agent_id", "skill_id").agg(
         sum_where(acts & _is("DAMAGE"), "damage").alias("total_damage"),
         sum_where(acts & _is("HEALING"), "healing").alias("total_healing"),
@@ -65,18 +70,23 @@ def account_buckets(events: DataFrame, players: DataFrame, skills: DataFrame) ->
         sum_where(removal & tracked, "stacks").alias("boon_removals"),
         sum_where(removal & ~tracked, "stacks").alias("condition_cleanses"),
         count_where(acts & _is("CC")).alias("cc_applied"),
+        F.sum(F.when(given, F.col("duration_ms") * F.col("stacks"))).alias("_outgoing"),
     )
     condi = skills.filter(F.col("skill_name").isin(L.CONDITION_SKILL_NAMES)).select("skill_id", F.lit(True).alias("_condi"))
-    per_agent = per_skill.join(condi, "skill_id", "left").withColumn(
+    per_skill = per_skill.join(condi, "skill_id", "left").withColumn(
         "condi_damage", F.when(F.col("_condi"), F.col("total_damage")).otherwise(0)
     )
-    rows = per_agent.join(players, [FIGHT, "agent_id"])
-    sums = ["total_damage", "condi_damage", "total_healing", "total_buff_removal", "boon_removals", "condition_cleanses", "cc_applied"]
+    return per_skill.groupBy(FIGHT, "agent_id").agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        *[F.sum(F.when(F.col("skill_id") == i, F.col("_outgoing"))).alias(f"outgoing_{n}") for n, i in L.TRACKED_BOONS.items()],
+    )
+
+
+def _per_account(rows: DataFrame, *further: Column) -> DataFrame:
+    """Sums per (fight, account) over its agents; those without any (``total_damage`` is null) lend it no name."""
+    agent = F.when(F.col("total_damage").isNotNull(), F.col("agent_id"))
     out = rows.groupBy(FIGHT, "account_name").agg(
-        F.min_by("name", "agent_id").alias("name"),
-        F.min_by("profession", "agent_id").alias("profession"),
-        F.min_by("elite", "agent_id").alias("elite"),
-        *[F.sum(c).alias(c) for c in sums],
+        *[F.min_by(c, agent).alias(c) for c in ("name", "profession", "elite")], *[F.sum(c).alias(c) for c in SUMS], *further
     )
     return out.withColumns(
         {
@@ -86,34 +96,34 @@ def account_buckets(events: DataFrame, players: DataFrame, skills: DataFrame) ->
     ).drop("boon_removals")
 
 
-def merged_boons(uptimes: DataFrame, outgoing: DataFrame, players: DataFrame) -> DataFrame:
-    """Long boon rows per account: uptime averaged over all its agents, outgoing summed.
+def account_buckets(events: DataFrame, players: DataFrame, skills: DataFrame) -> DataFrame:
+    """Raw sums per (fight, account): what the summary row is built from.
 
-    ``uptimes(fight_id, agent_id, boon, uptime)``, ``outgoing(fight_id, agent_id, boon, outgoing)``.
+    An account appears when one of its agents acts, or gives or receives a buff.
     """
-    who = players.select(FIGHT, "agent_id", "account_name")
-    sizes = who.groupBy(FIGHT, "account_name").agg(F.count(F.lit(1)).alias("agent_count"))
-    values = uptimes.select(FIGHT, "agent_id", "boon", F.col("uptime"), F.lit(None).cast("bigint").alias("outgoing"))
-    values = values.unionByName(
-        outgoing.select(FIGHT, "agent_id", "boon", F.lit(None).cast("double").alias("uptime"), F.col("outgoing"))
-    )
-    rows = values.join(who, [FIGHT, "agent_id"]).groupBy(FIGHT, "account_name", "boon").agg(
-        F.sum("uptime").alias("uptime"), F.sum("outgoing").alias("outgoing")
-    )
-    return rows.join(sizes, [FIGHT, "account_name"]).select(
-        FIGHT, "account_name", F.col("boon").alias("boon_name"),
-        (F.col("uptime") / F.col("agent_count")).alias("uptime"), "outgoing",
+    return _per_account(agent_buckets(events, skills).drop(*OUTGOING).join(players, [FIGHT, "agent_id"]))
+
+
+def _merged() -> list[Column]:
+    """Uptimes averaged over all agents of an account, outgoing boons summed."""
+    return [(F.sum(u) / F.count(F.lit(1))).alias(u) for u in UPTIMES] + [F.sum(o).alias(o) for o in OUTGOING]
+
+
+def merged_boons(agents: DataFrame, outgoing: DataFrame) -> DataFrame:
+    """28 columns per account: ``agents`` (fight_id, agent_id, account_name, uptimes), ``outgoing(fight_id, agent_id, boon, outgoing)``."""
+    given = outgoing.groupBy(FIGHT, "agent_id").agg(
+        *[F.sum(F.when(F.col("boon") == n, F.col("outgoing"))).alias(f"outgoing_{n}") for n in L.TRACKED_BOONS]
     )
+    return agents.join(given, [FIGHT, "agent_id"], "left").groupBy(FIGHT, "account_name").agg(*_merged())
+
 
+def account_summaries(agents: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Sums and boons of every account one of whose agents has sums, in one shuffle by account.
 
-def wide_boons(boons: DataFrame) -> DataFrame:
-    """28 nullable columns per account from the long rows (fixed pivot values, no extra pass)."""
-    columns = []
-    for name in L.TRACKED_BOONS:
-        hit = F.col("boon_name") == name
-        columns.append(F.max(F.when(hit, F.col("uptime"))).alias(f"{name}_uptime"))
-        columns.append(F.max(F.when(hit, F.col("outgoing"))).alias(f"outgoing_{name}"))
-    return boons.groupBy(FIGHT, "account_name").agg(*columns)
+    ``agents``: the players with their uptimes, ``buckets``: :func:`agent_buckets`.
+    """
+    rows = agents.join(buckets, [FIGHT, "agent_id"], "left")
+    return _per_account(rows, *_merged()).filter("total_damage is not null")
 
 
 def long_boons(summaries: DataFrame) -> DataFrame:
@@ -132,11 +142,16 @@ def long_boons(summaries: DataFrame) -> DataFrame:
     return rows.filter(F.col("uptime").isNotNull() | F.col("outgoing").isNotNull())
 
 
-def fight_player_summaries(buckets: DataFrame, boons: DataFrame, durations: DataFrame) -> DataFrame:
-    """The materialised row per (fight, account): totals, boons, detected role, additive roles."""
-    squad = buckets.groupBy(FIGHT).agg(F.sum("total_healing").alias("_squad_healing"))
-    rows = buckets.join(wide_boons(boons), [FIGHT, "account_name"], "left")
-    rows = rows.join(squad, FIGHT).join(durations.select(FIGHT, "duration_s"), FIGHT, "left")
+def fight_player_summaries(accounts: DataFrame, durations: DataFrame) -> DataFrame:
+    """The materialised row per (fight, account): totals, boons, detected role, additive roles.
+
+    ``accounts``: :func:`account_summaries`. The squad's healing is added up from all their columns (a hash stands for the
+    others), so both readers of the accounts need the same ones and Spark reuses their shuffle.
+    """
+    whole = F.max(F.xxhash64(*accounts.columns)).alias("_whole")
+    squad = accounts.groupBy(FIGHT).agg(F.sum("total_healing").alias("_squad_healing"), whole).filter("_whole is not null")
+    fights = squad.drop("_whole").join(durations.select(FIGHT, "duration_s"), FIGHT, "left")
+    rows = accounts.join(fights, FIGHT)
     rows = with_role(rows, power="power_damage", condi="condi_damage", outgoing_prefix="outgoing_")
     total_out = sum((F.coalesce(F.col(f"outgoing_{n}"), F.lit(0)) for n in L.TRACKED_BOONS), F.lit(0))
     share = F.when(F.col("_squad_healing") > 0, F.col("total_healing") / F.col("_squad_healing")).otherwise(0.0)

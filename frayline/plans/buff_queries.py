@@ -18,7 +18,7 @@ BUFF_KINDS = ["BOON_APPLY", "BUFF_APPLY", "BUFF_EXTENSION"]
 
 def fight_ends(c: Corpus) -> DataFrame:
     """End of each fight: its last event; the length is the same as time starts at 0."""
-    return c.events().groupBy("fight_id").agg(F.max("time_ms").alias("end_ms")).withColumn("length_ms", F.col("end_ms"))
+    return c.clock().groupBy("fight_id").agg(F.max("time_ms").alias("end_ms")).withColumn("length_ms", F.col("end_ms"))
 
 
 def segments(c: Corpus) -> DataFrame:
@@ -153,8 +153,9 @@ def merged_instance_uptimes(c: Corpus) -> DataFrame:
 
 
 def account_boons(c: Corpus) -> DataFrame:
-    uptimes = buffs.boon_uptimes(segments(c), c.players(), fight_ends(c))
-    return summaries.merged_boons(uptimes, buffs.outgoing_generation(c.events(["BOON_APPLY"])), c.players())
+    """28 boon columns per account."""
+    players = buffs.with_uptimes(c.players().select("fight_id", "agent_id", "account_name"), segments(c), fight_ends(c))
+    return summaries.merged_boons(players, buffs.outgoing_generation(c.events(["BOON_APPLY"])))
 
 
 _ACCOUNT_BOONS = f"""{stack_ctes()},
@@ -170,18 +171,19 @@ _ACCOUNT_BOONS = f"""{stack_ctes()},
 
 @query("A24", f"WITH RECURSIVE {_ACCOUNT_BOONS} SELECT * FROM ab")
 def merged_account_boons(c: Corpus) -> DataFrame:
-    return rounded(account_boons(c), "uptime")
+    return rounded(summaries.long_boons(account_boons(c)), "uptime")
 
 
 def summary_rows(c: Corpus) -> DataFrame:
-    buckets = summaries.account_buckets(c.events(), c.players(), c.skills())
-    return summaries.fight_player_summaries(buckets, account_boons(c), records.event_spans(c.events()))
+    players = c.players().select("fight_id", "agent_id", "account_name", "name", "profession", "elite")
+    accounts = summaries.account_summaries(buffs.with_uptimes(players, segments(c), fight_ends(c)), summaries.agent_buckets(c.events(), c.skills()))
+    return summaries.fight_player_summaries(accounts, records.event_spans(c.clock()))
 
 
 @query("S8", f"WITH RECURSIVE {_ACCOUNT_BOONS} SELECT * FROM ab WHERE uptime IS NOT NULL OR outgoing IS NOT NULL")
 def fight_player_boons(c: Corpus) -> DataFrame:
     """Long boon rows unpivoted back from the wide summary columns."""
-    return rounded(summaries.long_boons(summaries.wide_boons(account_boons(c))), "uptime")
+    return rounded(summaries.long_boons(account_boons(c)), "uptime")
 
 
 @query("A22", """
