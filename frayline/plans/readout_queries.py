@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frayline.functions import lookups as L
-from frayline.operators import profiles, rollups, summaries
+from frayline.operators import buffs, profiles, rollups, summaries
 from frayline.operators import readout as fused
 from frayline.plans import buff_queries, rollup_queries, sequence_queries, service_queries  # noqa: F401  (registers the metric sets)
 from frayline.plans.registry import QUERIES, query
@@ -79,10 +79,9 @@ def _pivot(source: str, value: str, columns: dict[str, str]) -> str:
 def full_readout(c: Corpus) -> DataFrame:
     """The readout's further columns: rates, boon columns, down contribution, uptimes, outgoing boons, commander distance."""
     run = lambda name: QUERIES[name].build(c)
-    uptimes = run("boon_uptimes").groupBy("fight_id", "agent_id").agg(
-        *[F.max(F.when(F.col("boon") == b, F.col("uptime"))).alias(n) for n, b in zip(_UPTIMES, L.TRACKED_BOONS)])
-    parts = [run("down_contribution").withColumnRenamed("source_agent_id", "agent_id").select("fight_id", "agent_id", *_DOWN), uptimes, run("commander_distances"), run("other_boon_maps")]
+    parts = [run("down_contribution").withColumnRenamed("source_agent_id", "agent_id").select("fight_id", "agent_id", *_DOWN), run("commander_distances"), run("other_boon_maps")]
     rows = rounded(readout(c), *_RATES).select("fight_id", "agent_id", "total_damage", *_RATES, *_BOONS_OUT, *_GIVEN)
+    rows = rounded(buffs.with_uptimes(rows, buff_queries.segments(c), buff_queries.fight_ends(c)), *_UPTIMES)
     return summaries.readout_details(rows, parts, _DOWN)
 
 

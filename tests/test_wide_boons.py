@@ -1,9 +1,9 @@
-"""Boon columns whose rows grew with the boons instead of the agents."""
+"""Boon columns and tallies whose rows grew with the boons or the events instead of the agents."""
 
 from pyspark.sql import functions as F
 
 from frayline.functions import lookups as L
-from frayline.operators import buffs, summaries
+from frayline.operators import buffs, readout, summaries
 from tests.rows import boon, event_frame, hit, state
 from tests.test_sizes_r03 import _join_rows
 
@@ -46,3 +46,11 @@ def test_summaries_of_accounts_with_idle_agents(spark):
     assert max(_join_rows(found)) <= 6  # rows by agent and skill; every agent came once for each of 14 boons before
     long = summaries.long_boons(accounts).filter(F.col("account_name") == "a")
     assert long.count() == len(L.TRACKED_BOONS)
+
+
+def test_seen_buckets_are_bits_of_few_rows(spark):
+    events = event_frame(spark, [hit(t * 5000, 1, 2, 5) for t in range(200)] + [hit(0, 1, 2, 5), hit(199 * 5000 + 4999, 1, 1, 5)])
+    tallied = readout.tallies(events)
+    assert tallied.filter("metric = 'seen'").count() == 2 * 4  # a row for each of 400 buckets before
+    skills = spark.createDataFrame([(5, "Burning")], "skill_id BIGINT, skill_name STRING")
+    assert {r.agent_id: r.active_buckets for r in readout.agent_columns(tallied, skills).collect()} == {1: 200, 2: 200}
